@@ -1,0 +1,4 @@
+"""Named queries over the driver's tables, each with the SQL that checks it."""
+
+QUERIES = {}
+ORACLES = {}
