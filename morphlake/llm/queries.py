@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .bpe_codec import encode_documents
 from .common import table
 from .token_counts import token_counts
 
@@ -12,7 +13,12 @@ def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_bpe_codec(spark, sf_dir):
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op5_token_counts": op5_token_counts,
+    "op6_bpe_codec": op6_bpe_codec,
 }
 ORACLES: dict[str, str] = {}
