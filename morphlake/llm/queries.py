@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from . import quality_cnn
 from .bpe_codec import encode_documents
 from .common import table
 from .token_counts import token_counts
@@ -17,8 +18,13 @@ def op6_bpe_codec(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_quality_cnn(spark, sf_dir):
+    return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_quality_cnn": op7_quality_cnn,
 }
 ORACLES: dict[str, str] = {}
