@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import quality_cnn
+from . import quality_cnn, quality_rules
 from .bpe_codec import encode_documents
 from .common import table
 from .token_counts import token_counts
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -23,6 +27,7 @@ def op7_quality_cnn(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_quality_cnn": op7_quality_cnn,
