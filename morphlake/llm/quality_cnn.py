@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
@@ -194,9 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = 2
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if len(counts) < 2:
         return (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = [r.asDict() for r in known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows).drop("place").collect()]
-    ids = spark.createDataFrame([(r["doc_id"], r["quality"]) for r in picked], f"label_id {known.schema['doc_id'].dataType.simpleString()}, quality int")
+    picked = [(r["doc_id"], r["quality"]) for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
+    ids = spark.createDataFrame(picked, f"label_id {known.schema['doc_id'].dataType.simpleString()}, quality int")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).where(F.octet_length("text") <= sample_bytes)
     found = sorted((r["doc_id"], r["text"], r["quality"]) for r in rows.select("doc_id", "text", "quality").collect())
