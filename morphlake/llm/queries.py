@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import quality_cnn, quality_rules, simhash
+from . import iblt, quality_cnn, quality_rules, simhash
 from .bpe_codec import encode_documents
 from .common import table
 from .token_counts import token_counts
@@ -30,11 +30,16 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_iblt(spark, sf_dir):
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_quality_cnn": op7_quality_cnn,
     "op9_simhash": op9_simhash,
+    "op10_iblt": op10_iblt,
 }
 ORACLES: dict[str, str] = {}
