@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import iblt, quality_cnn, quality_rules, simhash
+from . import iblt, quality_cnn, quality_rules, simhash, suffix_dedup
 from .bpe_codec import encode_documents
 from .common import table
 from .token_counts import token_counts
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_iblt(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
