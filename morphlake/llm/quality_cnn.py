@@ -206,6 +206,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = 2
     return train([np.frombuffer(t.encode(), np.uint8) for _, t, _ in found], y, np.array([share[q] for q in y], np.float32), seed=seed)
 
 
+def _scores(model: Network | float, column) -> np.ndarray:
+    texts = [np.frombuffer(x.as_buffer(), np.uint8) for x in column.fill_null("").cast(pa.large_binary())]
+    if isinstance(model, float) or not texts:
+        return np.full(len(texts), model if isinstance(model, float) else 0.0)
+    return model.probability(pooled(model, texts))
+
+
 def score(docs: DataFrame, model: Network | float, folds: int = 5, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text).
 
@@ -215,10 +222,7 @@ def score(docs: DataFrame, model: Network | float, folds: int = 5, threshold: fl
 
     def run(batches):
         for batch in batches:
-            column = batch.column(1).fill_null("").cast(pa.large_binary())
-            texts = [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
-            p = np.full(len(texts), model) if isinstance(model, float) else model.probability(pooled(model, texts)) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p, pa.float64())], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_scores(model, batch.column(1)), pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"), (fold("doc_id", folds) == 0).alias("held_out"))
     scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
@@ -228,3 +232,15 @@ def score(docs: DataFrame, model: Network | float, folds: int = 5, threshold: fl
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """:func:`fit` on the labelled rows, then :func:`score` every document."""
     return score(docs, fit(docs, labels, **options))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with all columns and in no new order."""
+    model = fit(docs, labels, **options)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch.column(1)) >= threshold))
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import iblt, quality_cnn, quality_rules, simhash, suffix_dedup
+from . import iblt, packing, quality_cnn, quality_rules, simhash, suffix_dedup
 from .bpe_codec import encode_documents
 from .common import table
 from .token_counts import token_counts
@@ -30,6 +30,10 @@ def op7_quality_cnn(spark, sf_dir):
     return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,13 +42,21 @@ def op10_iblt(spark, sf_dir):
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_quality_cnn": op7_quality_cnn,
+    "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_iblt": op10_iblt,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
