@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import iblt, packing, quality_cnn, quality_rules, simhash, suffix_dedup
+from . import iblt, maxent_lm, packing, quality_cnn, quality_rules, simhash, suffix_dedup
 from .bpe_codec import encode_documents
 from .common import table
 from .token_counts import token_counts
 
 
+def op1_maxent_lm(spark, sf_dir):
+    return maxent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_maxent_lm": op1_maxent_lm,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
