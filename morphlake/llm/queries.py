@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import iblt, maxent_lm, packing, quality_cnn, quality_rules, simhash, suffix_dedup
+from . import iblt, language_id, maxent_lm, packing, quality_cnn, quality_rules, simhash, suffix_dedup
 from .bpe_codec import encode_documents
 from .common import table
 from .token_counts import token_counts
@@ -18,6 +18,10 @@ def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     "op1_maxent_lm": op1_maxent_lm,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
