@@ -8,13 +8,14 @@ smaller id or before it in the same one. The work is cut so that equal strings a
    are one context: the bytes they cover. Anchors that occur once in the corpus are dropped.
 2. Contexts with equal anchor and bytes are one: all but the first occurrence are repeats as a whole.
    Where an anchor has one distinct context left, nothing more can repeat.
-3. The distinct contexts left are dealt out by anchor. In each task they form shards; each shard's
-   Burrows-Wheeler transform is built by itself, and the transforms are merged by refining their
+3. The distinct contexts left are cut into slices of up to SLICE windows whose anchors lie alike, and
+   dealt out by the bytes that all windows of a slice have in common, so chance repeats of a k-gram
+   are alone and go. In each task the distinct slices form shards; each shard's Burrows-Wheeler transform is built by itself, and the transforms are merged by refining their
    interleave: the order by h - 1 bytes and the transforms' letters give the order by h bytes. The
    round in which two neighbours part is their common prefix; what stays together for WINDOW rounds
    is a repeated string. Suffixes are sorted within their shard only, never again.
-4. Contexts of an anchor that has more than CROWD of them are compared window by window by a
-   128-bit hash in a grouped aggregation, so that no anchor needs to fit into one task.
+4. Where more than CROWD distinct slices have these bytes in common, they are compared window by
+   window by a 128-bit hash in a grouped aggregation, so that no group needs to fit into one task.
 5. The intervals found are joined to their documents and cut out.
 """
 
@@ -35,6 +36,7 @@ from .common import fresh_path, materialize, remove
 WINDOW, GRAM = 100, 24
 SPAN = WINDOW - GRAM + 1  # k-grams in a window
 PIECE = 1 << 22  # windows of a long text that are held at once
+SLICE = 20  # windows
 CROWD = 4096
 SHARD_BYTES, TASK_BYTES = 1 << 18, 1 << 22
 
@@ -57,7 +59,8 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each context of a text."""
+    """Anchor hash, first window, and number of windows of each context of a text, with the place of
+    the anchor in the first window in the bits from the 16th on."""
     n = len(data) - WINDOW + 1
     out = []
     for at in range(0, max(0, n), PIECE):
@@ -74,7 +77,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             least = np.minimum(least[:-rest], least[rest:])
         where = (least & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        out.append((h[where[first]].view(np.int64), first + at, np.diff(np.append(first, len(where)))))
+        out.append((h[where[first]].view(np.int64), first + at, np.diff(np.append(first, len(where))) + (where[first] - first << 16)))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -99,31 +102,40 @@ def _contexts(batches):
         for doc, data in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
             h, at, n = anchors(data)
             raw, digest = memoryview(data), xxhash.xxh3_64_intdigest
-            c = np.array([digest(raw[s : s + m + WINDOW - 1]) for s, m in zip(at.tolist(), n.tolist(), strict=True)], np.uint64).view(np.int64)
+            c = np.array([digest(raw[s : s + m + WINDOW - 1]) for s, m in zip(at.tolist(), (n & 0xFFFF).tolist(), strict=True)], np.uint64).view(np.int64)
             parts.append((h, c, np.full(len(h), doc, np.int64), at, n))
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
 
-def _context_bytes(batches):
-    """The bytes of the contexts asked for, from the documents joined with their lists."""
-    for batch in batches:
-        rows = []
-        for doc, data, wanted in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            rows += [(w["h"], w["crowded"], doc, w["at"], data[w["at"] : w["at"] + w["windows"] + WINDOW - 1].tobytes()) for w in wanted]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["h", "crowded", "doc", "at", "data"])
-
+def _slices(batches):
+    """Slices of the contexts asked for (key, doc, at, data), from the documents joined with their lists.
 
-def _crowded_windows(batches):
+    Of equal slices in a batch all but the first are repeats; they come out as intervals without data.
+    """
     for batch in batches:
-        rows = []
-        for doc, at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for i in range(len(data) - WINDOW + 1):
-                rows.append((hashlib.blake2b(data[i : i + WINDOW], digest_size=16).digest(), doc, at + i))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["w", "doc", "at"])
+        rows: dict[tuple[int, bytes], tuple[int, int]] = {}
+        repeats = []
+        for doc, text, wanted in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            raw = text.tobytes()
+            for w in wanted:
+                far, n = w["windows"] >> 16, w["windows"] & 0xFFFF  # the anchor lies far - n + 1 to far bytes into the windows
+                p = w["at"] + far
+                for low in range((far - n + 1) // SLICE * SLICE, far + 1, SLICE):
+                    first, last = p - min(far, low + SLICE - 1), p - max(far - n + 1, low)
+                    key = xxhash.xxh3_64_intdigest(raw[p - low : p - low - SLICE + 1 + WINDOW], low) >> 1
+                    slot, here = (key, raw[first : last + WINDOW]), (doc, first)
+                    known = rows.get(slot)
+                    if known is None:
+                        rows[slot] = here
+                    else:
+                        rows[slot], (d, a) = min(known, here), max(known, here)
+                        repeats.append((d, a, a + len(slot[1])))
+        keys, doc, at, data = [k for k, _ in rows], [d for d, _ in rows.values()], [a for _, a in rows.values()], [x for _, x in rows]
+        keys += [hash(r[:2]) >> 1 for r in repeats]
+        columns = [pa.array(keys, pa.int64()), pa.array(doc + [r[0] for r in repeats], pa.int64()), pa.array(at + [r[1] for r in repeats], pa.int64())]
+        columns += [pa.array([None] * len(rows) + [r[2] for r in repeats], pa.int64()), pa.array(data + [None] * len(repeats), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "at", "stop", "data"])
 
 
 def shard_transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,24 +251,61 @@ def _repeats(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int
 
 
 def _merge_task(batches):
-    """Contexts sorted by anchor in, intervals out; anchors are taken together up to TASK_BYTES."""
+    """Slices sorted by key in, intervals out; keys are taken together up to TASK_BYTES.
+
+    Intervals that come in pass through. Slices beyond CROWD of one key come out as windows.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-    def out(rows):
-        found = list(_repeats(rows))
-        columns = list(zip(*found, strict=True)) if found else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc", "start", "stop"])
+    def batch_of(rows):
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["doc", "start", "stop", "w"])
+
+    def windows(doc, at, data):
+        return [(doc, at + i, at + i + WINDOW, hashlib.blake2b(data[i : i + WINDOW], digest_size=16).digest()) for i in range(len(data) - WINDOW + 1)]
+
+    ready: list[tuple[int, int, bytes]] = []
+    out: list[tuple] = []
+    group: dict[bytes, tuple[int, int]] = {}
+    held, last, crowd = 0, None, False
+
+    def close():
+        nonlocal held
+        if len(group) > 1:
+            ready.extend((d, a, x) for x, (d, a) in group.items())
+            held += sum(len(x) + 1 for x in group)
+        group.clear()
 
-    rows, held, last = [], 0, None
     for batch in batches:
-        for h, doc, at, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if h != last and held > TASK_BYTES:
-                yield out(rows)
-                rows, held = [], 0
-            rows.append((doc, at, data))
-            held += len(data) + 1
-            last = h
-    if rows:
-        yield out(rows)
+        for key, doc, at, stop, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if data is None:
+                out.append((doc, at, stop, None))
+                continue
+            if key != last:
+                close()
+                last, crowd = key, False
+                if held > TASK_BYTES:
+                    out += [(*x, None) for x in _repeats(ready)]
+                    ready, held = [], 0
+            if crowd:
+                out += windows(doc, at, data)
+            elif (known := group.get(data)) is not None:
+                group[data], (d, a) = min(known, (doc, at)), max(known, (doc, at))
+                out.append((d, a, a + len(data), None))
+            else:
+                group[data] = (doc, at)
+                if len(group) > CROWD:
+                    crowd = True
+                    for x, (d, a) in group.items():
+                        out += windows(d, a, x)
+                    group.clear()
+            if len(out) > 50_000:
+                yield batch_of(out)
+                out = []
+    close()
+    if ready:
+        out += [(*x, None) for x in _repeats(ready)]
+    yield batch_of(out)
 
 
 def _let_go(spark) -> None:
@@ -276,22 +325,29 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     _let_go(spark)
     shared = spark.read.parquet(path)
     place = F.struct("doc", "at")
-    firsts = materialize(shared.groupBy("h", "c").agg(F.min(F.struct("doc", "at", "windows")).alias("first"), F.count("*").alias("n")), "suffix-firsts")
+    n_windows = F.col("windows").bitwiseAND(F.lit(0xFFFF))
+    firsts_path = fresh_path(spark, "suffix-firsts")
+    shared.groupBy("h", "c").agg(F.min(F.struct("doc", "at", "windows")).alias("first"), F.count("*").alias("n")).write.parquet(firsts_path)
+    _let_go(spark)
+    firsts = spark.read.parquet(firsts_path)
     several = firsts.where("n > 1").select("h", "c", F.struct("first.doc", "first.at").alias("first"))
-    whole = shared.join(several, ["h", "c"]).where(place != F.col("first")).select("doc", F.col("at").alias("start"), (F.col("at") + F.col("windows") + WINDOW - 1).alias("stop"))
+    whole = shared.join(several, ["h", "c"]).where(place != F.col("first")).select("doc", F.col("at").alias("start"), (F.col("at") + n_windows + WINDOW - 1).alias("stop"))
     varied = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = firsts.join(varied, "h").select("h", "first.*", (F.col("kinds") > CROWD).alias("crowded"))
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "crowded", "at", "windows")).alias("wanted")).withColumnRenamed("doc", "of")
+    wanted = firsts.join(varied, "h", "left_semi").select("first.*")
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "windows")).alias("wanted")).withColumnRenamed("doc", "of")
     joined = named.join(lists.hint("shuffle_hash"), F.col("doc") == F.col("of")).select("doc", "text", "wanted")
-    data = materialize(joined.mapInArrow(_context_bytes, "h long, crowded boolean, doc long, at long, data binary"), "suffix-data")
+    slices = joined.mapInArrow(_slices, "key long, doc long, at long, stop long, data binary")
+    merged_path = fresh_path(spark, "suffix-merged")
+    slices.repartition("key").sortWithinPartitions("key").mapInArrow(_merge_task, "doc long, start long, stop long, w binary").write.parquet(merged_path)
+    _let_go(spark)
+    merged = spark.read.parquet(merged_path)
+    crowd = merged.where("w is not null")
+    earliest = crowd.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
+    alone = crowd.join(earliest, "w").where(F.struct("doc", "start") != F.col("first")).select("doc", "start", "stop")
+    found = materialize(whole.union(merged.where("w is null").drop("w")).union(alone), "suffix-intervals")
+    for done in (path, firsts_path, merged_path):
+        remove(spark, done)
     _let_go(spark)
-    calm = data.where("not crowded").select("h", "doc", "at", "data")
-    merged = calm.repartition("h").sortWithinPartitions("h").mapInArrow(_merge_task, "doc long, start long, stop long")
-    crowd = data.where("crowded").select("doc", "at", "data").mapInArrow(_crowded_windows, "w binary, doc long, at long")
-    earliest = crowd.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
-    alone = crowd.join(earliest, "w").where(place != F.col("first")).select("doc", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("stop"))
-    found = materialize(whole.union(merged).union(alone), "suffix-intervals")
-    remove(spark, path)
     return found
 
 
