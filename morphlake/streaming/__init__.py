@@ -1 +1,30 @@
+"""Streams of documents: row-local operators run on them as they are, without state.
 
+Operators that regroup exploded tokens would need state; on a stream they run a micro-batch at a
+time by ``in_batches``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+
+def read_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+def write(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Append to Parquet what has arrived, exactly once, then stop."""
+    return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def in_batches(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
+    """Apply a batch operator to each micro-batch; a batch that is run again overwrites its own folder."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        operator(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
