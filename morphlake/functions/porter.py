@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Irregular forms and suffix tables of the published algorithm and its extensions.
 IRREGULAR = {
@@ -113,7 +114,7 @@ def _second(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_column(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else stem(w))
 

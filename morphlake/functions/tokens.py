@@ -81,14 +81,19 @@ def drop_auxiliaries(tokens: Column) -> Column:
 
 def _windows(tokens: Column, low: int, high: int, make) -> Column:
     """``make`` of every run of low..high tokens, by place and then by length; nulls are left out."""
+    no_sizes = F.array().cast("array<int>")
 
-    def at(place: Column) -> Column:
-        longest = F.least(F.lit(high), F.size(tokens) - place)
-        sizes = F.when(longest >= low, F.sequence(F.lit(low), longest)).otherwise(F.array().cast("array<int>"))
-        return F.transform(sizes, lambda n: make(F.slice(tokens, place + 1, n)))
+    def of(array: Column) -> Column:
+        def at(place: Column) -> Column:
+            longest = F.least(F.lit(high), F.size(array) - place)
+            sizes = F.when(longest >= low, F.sequence(F.lit(low), longest)).otherwise(no_sizes)
+            return F.transform(sizes, lambda n: let(F.slice(array, place + 1, n), make))
 
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.flatten(F.transform(places, at)), lambda x: x.isNotNull())
+        places = F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(no_sizes)
+        return F.flatten(F.transform(places, at))
+
+    # Bound once: an optimiser that pulls the array's expression into a lambda would compute it at each place.
+    return F.filter(let(tokens, of), lambda x: x.isNotNull())
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 3, delimiter: str = ";") -> Column:
@@ -112,7 +117,9 @@ def topic_ngrams(tokens: Column, low: int, high: int, delimiter: str = ";") -> C
 
 def longest_only(terms: Column) -> Column:
     """Terms, longest first, without those that are part of the text of one kept before."""
-    ordered = F.transform(F.array_sort(F.transform(terms, lambda t, i: F.struct((-F.length(t)).alias("size"), i.alias("at"), t.alias("term")))), lambda x: x["term"])
+    # A repeated term is part of its first occurrence, so distinct terms give the same result.
+    sized = F.transform(F.array_distinct(terms), lambda t, i: F.struct((-F.length(t)).alias("size"), i.alias("at"), t.alias("term")))
+    ordered = F.transform(F.sort_array(sized), lambda x: x["term"])
     none = F.array().cast("array<string>")
     return F.aggregate(ordered, none, lambda acc, t: F.when(F.exists(acc, lambda kept: F.contains(kept, t)), acc).otherwise(F.concat(acc, F.array(t))))
 

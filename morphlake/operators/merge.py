@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tagset as T
-from ..functions.tokens import pair, strip
+from ..functions.tokens import let, pair, strip
 from .dictionary import Dictionary, collect_tokens, explode_tokens
 
 PLAIN, NUMBERED, SKIPPED = 0, 1, 2
@@ -22,7 +22,9 @@ def _candidates(tokens: Column, max_ngram: int, skip_patterns: tuple[str, ...],
     none = F.array().cast("array<struct<start:int,n:int,kind:int,text:string>>")
 
     def of_run(start: Column, n: Column) -> Column:
-        run = F.slice(tokens, start + 1, n)
+        return let(F.slice(tokens, start + 1, n), lambda run: of_tokens(run, start, n))
+
+    def of_tokens(run: Column, start: Column, n: Column) -> Column:
         pattern = F.array_join(F.transform(run, lambda t: F.when(t["tag"].isin(*T.NOUN_TAGS), "NNG").otherwise(t["tag"])), "+")
         plain = F.array_join(F.transform(run, lambda t: t["surface"]), "")
         numbered = F.array_join(F.transform(run, lambda t: F.when(t["tag"] == "SN", "n").otherwise(t["surface"])), "")
@@ -40,32 +42,42 @@ def _candidates(tokens: Column, max_ngram: int, skip_patterns: tuple[str, ...],
     return F.flatten(F.transform(places, at))
 
 
+def candidates(tokens: Column, *options) -> Column:
+    return let(tokens, lambda array: _candidates(array, *options))  # bound once for all places
+
+
 def merge_pass(docs: DataFrame, dictionary: Dictionary, max_ngram: int, skip_patterns: tuple[str, ...] = T.SKIP_PATTERNS, skipped_tags: tuple[str, ...] = T.SKIPPED_TAGS) -> DataFrame:
     """Documents (doc_id, tokens) after one pass of merging."""
-    found = docs.select("doc_id", F.explode(_candidates(F.col("tokens"), max_ngram, skip_patterns, skipped_tags)).alias("c")).select("doc_id", "c.*")
+    found = docs.select("doc_id", F.explode(candidates(F.col("tokens"), max_ngram, skip_patterns, skipped_tags)).alias("c")).select("doc_id", "c.*")
     hits = dictionary.with_tag(found, "text").where("dict_tag is not null")
     best = hits.groupBy("doc_id", "start").agg(F.max_by(F.struct("n", "text", "dict_tag"), F.struct("n", -F.col("kind"))).alias("hit"))
-    lists = best.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("start", "hit"))).alias("hits"))
-    empty = F.array().cast("array<struct<surface:string,tag:string>>")
+    lists = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "hit"))).alias("hits"))
+    none = F.array().cast("array<struct<start:int,n:int,text:string,tag:string>>")
 
-    def step(acc: Column, i: Column) -> Column:
-        hit = F.try_element_at(F.col("hits"), i)
-        token = F.get(F.col("tokens"), i)
-        merged = F.struct((i + hit["n"]).alias("next"), F.concat(acc["out"], F.array(pair(hit["text"], hit["dict_tag"]))).alias("out"))
-        single = F.struct((i + 1).alias("next"), F.concat(acc["out"], F.array(pair(token["surface"], token["tag"]))).alias("out"))
-        return F.when(i < acc["next"], acc).when(hit.isNull(), single).otherwise(merged)
+    def step(acc: Column, x: Column) -> Column:
+        hit = x["hit"]
+        one = F.struct(x["start"].alias("start"), hit["n"].alias("n"), hit["text"].alias("text"), hit["dict_tag"].alias("tag"))
+        return F.when(x["start"] < acc["next"], acc).otherwise(F.struct((x["start"] + hit["n"]).alias("next"), F.concat(acc["taken"], F.array(one)).alias("taken")))
 
-    places = F.sequence(F.lit(0), F.size("tokens") - 1)
-    out = F.aggregate(places, F.struct(F.lit(0).alias("next"), empty.alias("out")), step, lambda acc: acc["out"])
-    return docs.join(lists, "doc_id", "left").select("doc_id", F.when(F.col("hits").isNull(), F.col("tokens")).otherwise(out).alias("tokens"))
+    taken = F.aggregate("hits", F.struct(F.lit(0).alias("next"), none.alias("taken")), step, lambda acc: acc["taken"])
+    merged = lists.select("doc_id", F.explode(taken).alias("m")).select("doc_id", "m.*")
+    covered = merged.select("doc_id", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"), "text", F.col("tag").alias("new_tag"))
+    rows = explode_tokens(docs).join(covered, ["doc_id", "pos"], "left").where(F.col("start").isNull() | (F.col("start") == F.col("pos")))
+    return collect_tokens(docs, rows.select("doc_id", "pos", F.coalesce("text", "surface").alias("surface"), F.coalesce("new_tag", "tag").alias("tag")))
 
 
 def extended_tags(docs: DataFrame, dictionary: Dictionary, max_ngram: int = 7, skip_patterns: tuple[str, ...] = T.SKIP_PATTERNS, skipped_tags: tuple[str, ...] = T.SKIPPED_TAGS) -> DataFrame:
-    """Dictionary tags, a pass of merging up to ``max_ngram`` tokens, one of up to three, and tags again."""
+    """Dictionary tags, a pass of merging up to ``max_ngram`` tokens, one of up to three, and tags again.
+
+    Each pass reads its input several times, so the two inputs are kept (in memory, else on disk)
+    until Spark drops them or ``spark.catalog.clearCache()`` does; lost blocks are made again.
+    """
 
     def retagged(rows: DataFrame) -> DataFrame:
         return collect_tokens(rows, dictionary.retag(explode_tokens(rows)))
 
     bare = docs.select("doc_id", F.transform("tokens", lambda t: pair(strip(t["surface"]), t["tag"])).alias("tokens"))
-    rows = merge_pass(retagged(bare), dictionary, max_ngram, skip_patterns, skipped_tags)
-    return retagged(merge_pass(rows, dictionary, 3, skip_patterns, skipped_tags))
+    first = retagged(bare).persist()
+    second = merge_pass(first, dictionary, max_ngram, skip_patterns, skipped_tags).persist()
+    third = merge_pass(second, dictionary, 3, skip_patterns, skipped_tags).persist()
+    return retagged(third)

@@ -1,4 +1,537 @@
-"""Named queries over the driver's tables, each with the SQL that checks it."""
+"""Named queries over the driver's tables, each with the SQL that checks it.
 
-QUERIES = {}
-ORACLES = {}
+Documents are tagged by a rule on word length, and dictionaries, lexicons and mappings are made from
+the words of ``benchmark``, so the same inputs exist in both engines without files.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import tokens as K
+from ..functions.porter import english_words, stemmed
+from ..operators import bayes, lexicon, merge
+from ..operators.dictionary import Dictionary, collect_tokens, explode_tokens, postprocess
+from ..operators.userdic import UserDictionary
+from ..sources import wordlists
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return register
+
+
+# --- inputs, once for Spark and once as SQL ---------------------------------------------------------
+
+TAG_RULE = "CASE length({w}) % 6 WHEN 0 THEN 'NNG' WHEN 1 THEN 'VV' WHEN 2 THEN 'MAG' WHEN 3 THEN 'VA+EC' WHEN 4 THEN 'XR' ELSE 'SC' END"
+SQL_DOCS = "l AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM documents)"
+SQL_TOKS = f"{SQL_DOCS}, t0 AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS pos FROM l), toks AS (SELECT doc_id, pos, w, {TAG_RULE.format(w='w')} AS tag FROM t0)"
+SQL_BENCH = "bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)"
+SQL_DICT = "dict AS (SELECT w AS word, CASE length(w) % 4 WHEN 0 THEN 'NNG' WHEN 1 THEN 'VV' ELSE 'MAG' END AS dtag FROM bw WHERE length(w) % 3 <> 2)"
+SQL_SYN = "syn AS (SELECT w AS src, reverse(w) AS dst FROM bw WHERE length(w) % 5 = 2)"
+SQL_LEM = "lem AS (SELECT w AS src, substr(w, 1, 3) AS dst FROM bw WHERE length(w) % 5 = 3)"
+SQL_TERMS = "terms AS (SELECT w AS word, CASE substr(w, 1, 1) WHEN 't' THEN 'INDUSTRY' WHEN 'a' THEN 'GENERIC' WHEN 'o' THEN 'SECTOR' WHEN 'w' THEN 'COUNTRY' END AS category FROM bw WHERE substr(w, 1, 1) IN ('t', 'a', 'o', 'w'))"
+SQL_LEX = "lex AS (SELECT w AS term, CASE WHEN length(w) % 5 = 0 THEN 1 END AS pos_s, CASE WHEN length(w) % 5 = 1 THEN -1 END AS neg_s, CAST(length(w) % 7 - 3 AS DOUBLE) / 4 AS pol FROM bw)"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _tag(word: Column) -> Column:
+    n = F.length(word) % 6
+    return F.when(n == 0, "NNG").when(n == 1, "VV").when(n == 2, "MAG").when(n == 3, "VA+EC").when(n == 4, "XR").otherwise("SC")
+
+
+def english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", english_words(F.col("text")).alias("words"))
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return english(spark, sf_dir).select("doc_id", F.transform("words", lambda w: K.pair(w, _tag(w))).alias("tokens"))
+
+
+def slashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and terms, slash tokens with the first part of the tag."""
+    return tagged(spark, sf_dir).select("doc_id", F.transform("tokens", lambda t: F.concat_ws("/", t["surface"], F.substring_index(t["tag"], "+", 1))).alias("terms"))
+
+
+def bench_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.explode(english_words(F.col("text"))).alias("w")).distinct()
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
+    w = bench_words(spark, sf_dir)
+    n = F.length("w")
+    words = w.where(n % 3 != 2).select(F.col("w").alias("word"), F.when(n % 4 == 0, "NNG").when(n % 4 == 1, "VV").otherwise("MAG").alias("tag"), F.lit(0).alias("prio"))
+    first = F.substring("w", 1, 1)
+    category = F.when(first == "t", "INDUSTRY").when(first == "a", "GENERIC").when(first == "o", "SECTOR").when(first == "w", "COUNTRY")
+    terms = w.select(F.col("w").alias("word"), category.alias("category")).where("category is not null")
+    synonyms = w.where(n % 5 == 2).select(F.col("w").alias("src"), F.reverse("w").alias("dst"))
+    lemmas = w.where(n % 5 == 3).select(F.col("w").alias("src"), F.substring("w", 1, 3).alias("dst"))
+    return Dictionary(words, terms, synonyms, lemmas)
+
+
+def bench_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("w")
+    return bench_words(spark, sf_dir).select(F.col("w").alias("term"), F.when(n % 5 == 0, 1).alias("pos"), F.when(n % 5 == 1, -1).alias("neg"), ((n % 7 - 3).cast("double") / 4).alias("pol"))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 1).otherwise(-1).alias("label"))
+    return english(spark, sf_dir).join(labels, "doc_id").select("doc_id", "label", F.col("words").alias("features"))
+
+
+def _digest(terms: Column) -> Column:
+    """Number of elements and a digest of them in order: a short form of an array for comparison."""
+    return F.md5(F.array_join(terms, " ").cast("binary"))
+
+
+def _short(rows: DataFrame, terms: str = "terms") -> DataFrame:
+    return rows.select("doc_id", F.size(terms).cast("long").alias("n"), _digest(F.col(terms)).alias("digest"))
+
+
+def _short_tokens(rows: DataFrame) -> DataFrame:
+    return _short(rows.select("doc_id", K.slash(F.col("tokens")).alias("terms")))
+
+
+def _sql_short(rows: str, value: str = "x", order: str = "pos") -> str:
+    """Same short form of rows (doc_id, order, value); documents without rows have an empty list."""
+    return f"SELECT d.doc_id, count(r.{value}) AS n, md5(coalesce(string_agg(r.{value}, ' ' ORDER BY {order}), '')) AS digest FROM documents d LEFT JOIN {rows} r ON r.doc_id = d.doc_id GROUP BY d.doc_id"
+
+
+# --- tokens and tags -------------------------------------------------------------------------------
+
+
+@query("tokenize_en", f"WITH {SQL_TOKS} {_sql_short('toks', 'w')}")
+def tokenize_en(spark, sf_dir):
+    return _short(english(spark, sf_dir), "words")
+
+
+@query("token_counts", f"WITH {SQL_TOKS} SELECT w AS word, count(*) AS n FROM toks GROUP BY w")
+def token_counts(spark, sf_dir):
+    return english(spark, sf_dir).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("distinct_vocab", f"WITH {SQL_TOKS} SELECT length(w) AS size, count(DISTINCT w) AS n FROM toks GROUP BY 1")
+def distinct_vocab(spark, sf_dir):
+    return english(spark, sf_dir).select(F.explode("words").alias("word")).distinct().groupBy(F.length("word").cast("long").alias("size")).agg(F.count("*").alias("n"))
+
+
+@query("slash_tokens", f"WITH {SQL_TOKS}, r AS (SELECT doc_id, pos, w || '/' || tag AS x FROM toks) {_sql_short('r')}")
+def slash_tokens(spark, sf_dir):
+    return _short_tokens(tagged(spark, sf_dir))
+
+
+@query("morphs", f"WITH {SQL_TOKS} {_sql_short('toks', 'w')}")
+def morphs(spark, sf_dir):
+    return _short(tagged(spark, sf_dir).select("doc_id", K.morphs(F.col("tokens")).alias("terms")))
+
+
+@query("base_nouns", f"WITH {SQL_TOKS}, r AS (SELECT * FROM toks WHERE tag IN ('NNG', 'NNP', 'XSN', 'SL', 'XR', 'NNB', 'NR')) {_sql_short('r', 'w')}")
+def base_nouns(spark, sf_dir):
+    return _short(tagged(spark, sf_dir).select("doc_id", K.base_nouns(F.col("tokens")).alias("terms")))
+
+
+@query("skip_tags", f"WITH {SQL_TOKS}, r AS (SELECT doc_id, pos, w || '/' || tag AS x FROM toks WHERE tag <> 'SC') {_sql_short('r')}")
+def skip_tags(spark, sf_dir):
+    return _short_tokens(tagged(spark, sf_dir).select("doc_id", K.drop_tags(F.col("tokens"), ("SC",)).alias("tokens")))
+
+
+_RETAG = "CASE split_part(coalesce(dtag, tag), '+', 1) WHEN 'XR' THEN 'NNG' ELSE split_part(coalesce(dtag, tag), '+', 1) END"
+
+
+@query("check_tag", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_DICT}, r AS (SELECT doc_id, pos, w || '/' || {_RETAG} AS x FROM toks LEFT JOIN dict ON word = w) {_sql_short('r')}")
+def check_tag(spark, sf_dir):
+    docs = tagged(spark, sf_dir)
+    return _short_tokens(collect_tokens(docs, dictionary(spark, sf_dir).retag(explode_tokens(docs))))
+
+
+def _exists_query(known):
+    def run(spark, sf_dir):
+        rows = explode_tokens(tagged(spark, sf_dir)).withColumnRenamed("surface", "word")
+        return dictionary(spark, sf_dir).having(rows, tag="NNG", known=known).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+    return run
+
+
+_EXISTS = f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_DICT} SELECT doc_id, count(*) AS n FROM toks WHERE w {{}} IN (SELECT word FROM dict WHERE dtag = 'NNG') GROUP BY doc_id"
+query("dictionary_exists", _EXISTS.format(""))(_exists_query(True))
+query("dictionary_missing", _EXISTS.format("NOT"))(_exists_query(False))
+
+
+@query("ext_tag_merge")
+def ext_tag_merge(spark, sf_dir):
+    """Merging with pairs of neighbouring benchmark words as phrases."""
+    w = _table(spark, sf_dir, "benchmark").select(english_words(F.col("text")).alias("l"))
+    pairs = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - 2), lambda i: F.concat(F.get("l", i), F.get("l", i + 1)))).alias("word")).where("word is not null")
+    words = dictionary(spark, sf_dir).add_table(pairs.distinct(), "NNG")
+    return _short_tokens(merge.extended_tags(tagged(spark, sf_dir), words))
+
+
+# --- rewriting and filters -------------------------------------------------------------------------
+
+
+@query("synonym_replace", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_SYN}, r AS (SELECT doc_id, pos, coalesce(dst, w) || '/' || tag AS x FROM toks LEFT JOIN syn ON src = w) {_sql_short('r')}")
+def synonym_replace(spark, sf_dir):
+    docs = tagged(spark, sf_dir)
+    return _short_tokens(collect_tokens(docs, dictionary(spark, sf_dir).replace_synonyms(explode_tokens(docs))))
+
+
+@query("lemmatize", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_LEM}, r AS (SELECT doc_id, pos, coalesce(dst, w) || '/' || tag AS x FROM toks LEFT JOIN lem ON src = w AND tag IN ('VV', 'VX', 'XSV', 'VCN', 'VA', 'MAG', 'VAX')) {_sql_short('r')}")
+def lemmatize(spark, sf_dir):
+    docs = tagged(spark, sf_dir)
+    return _short_tokens(collect_tokens(docs, dictionary(spark, sf_dir).lemmatize(explode_tokens(docs))))
+
+
+_NOUNS = "n AS (SELECT doc_id, pos, coalesce(dst, w) AS w FROM toks LEFT JOIN syn ON src = w WHERE tag = 'NNG'), r AS (SELECT * FROM n WHERE w NOT IN (SELECT word FROM terms WHERE category IN ('INDUSTRY', 'GENERIC', 'SECTOR')))"
+
+
+@query("tag_filter_nouns", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_SYN}, {SQL_TERMS}, {_NOUNS} {_sql_short('r', 'w')}")
+def tag_filter_nouns(spark, sf_dir):
+    docs = tagged(spark, sf_dir)
+    rows = collect_tokens(docs, dictionary(spark, sf_dir).nouns(explode_tokens(docs)))
+    return _short(rows.select("doc_id", K.morphs(F.col("tokens")).alias("terms")))
+
+
+_SENT = (
+    "s1 AS (SELECT doc_id, pos, coalesce(dst, w) AS w, tag FROM toks LEFT JOIN syn ON src = w), s2 AS (SELECT doc_id, pos, coalesce(dst, w) AS w, tag FROM s1 LEFT JOIN lem ON src = w AND tag IN ('VV', 'MAG')), "
+    "r AS (SELECT doc_id, pos, w || '/' || tag AS x FROM s2 WHERE tag IN ('MAG', 'NNG', 'XR', 'VV', 'VA') AND w NOT IN (SELECT word FROM terms))"
+)
+
+
+@query("sent_words", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_SYN}, {SQL_LEM}, {SQL_TERMS}, {_SENT} {_sql_short('r')}")
+def sent_words(spark, sf_dir):
+    docs = tagged(spark, sf_dir)
+    rows = dictionary(spark, sf_dir).sentiment_words(explode_tokens(docs)).select("doc_id", "pos", F.col("word").alias("surface"), F.lit("").alias("tag"))
+    return _short(collect_tokens(docs, rows).select("doc_id", K.morphs(F.col("tokens")).alias("terms")))
+
+
+def _post(spark, sf_dir, **options):
+    docs = tagged(spark, sf_dir)
+    return _short_tokens(collect_tokens(docs, postprocess(explode_tokens(docs), **options)))
+
+
+def _entries(spark, sf_dir):
+    """Benchmark words, those of even length for one tag only."""
+    return bench_words(spark, sf_dir).select(F.col("w").alias("word"), F.when(F.length("w") % 2 == 0, "NNG").alias("tag"))
+
+
+_HIT = "EXISTS (SELECT 1 FROM bw WHERE bw.w = toks.w AND (length(bw.w) % 2 = 1 OR tag = 'NNG'))"
+_POST = f"WITH {SQL_TOKS}, {SQL_BENCH}, r AS (SELECT doc_id, pos, w || '/' || tag AS x FROM toks WHERE {{}}) {_sql_short('r')}"
+
+
+@query("postprocess_stop", _POST.format(f"NOT {_HIT}"))
+def postprocess_stop(spark, sf_dir):
+    return _post(spark, sf_dir, stopwords=_entries(spark, sf_dir))
+
+
+@query("postprocess_pass", _POST.format(_HIT))
+def postprocess_pass(spark, sf_dir):
+    return _post(spark, sf_dir, passwords=_entries(spark, sf_dir))
+
+
+@query("postprocess_tags", _POST.format("tag IN ('NNG', 'MAG')"))
+def postprocess_tags(spark, sf_dir):
+    return _post(spark, sf_dir, passtags=("NNG", "MAG"))
+
+
+_REPLACED = "CASE WHEN bw.w IS NULL OR (length(bw.w) % 2 = 0 AND tag <> 'NNG') THEN toks.w || '/' || tag WHEN length(bw.w) % 2 = 0 THEN upper(bw.w) || '/NNP' ELSE upper(bw.w) || '/' || tag END"
+
+
+@query("postprocess_replace", f"WITH {SQL_TOKS}, {SQL_BENCH}, r AS (SELECT doc_id, pos, {_REPLACED} AS x FROM toks LEFT JOIN bw ON bw.w = toks.w) {_sql_short('r')}")
+def postprocess_replace(spark, sf_dir):
+    entries = _entries(spark, sf_dir).withColumns({"new_word": F.upper("word"), "new_tag": F.when(F.col("tag").isNotNull(), "NNP")})
+    return _post(spark, sf_dir, replacements=entries)
+
+
+_INCLUDE = {
+    "sub": ({}, "contains(w, 'th') OR contains(w, 'on')"), "prefix": ({"startswith": True}, "starts_with(w, 'th') OR starts_with(w, 'on')"), "suffix": ({"endswith": True}, "ends_with(w, 'th') OR ends_with(w, 'on')"),
+    "unit": ({"unit_level": True}, "w IN ('th', 'on')"),
+}
+for _name, (_options, _where) in _INCLUDE.items():
+
+    @query(f"word_inclusion_{_name}", f"WITH {SQL_TOKS} SELECT w AS word, count(*) AS n FROM toks WHERE {_where} GROUP BY w")
+    def word_inclusion(spark, sf_dir, options=_options):
+        rows = english(spark, sf_dir).select(F.explode("words").alias("word"))
+        return rows.where(K.includes(F.col("word"), ("th", "on"), **options)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("has_jongseong", "SELECT n_name AS word, (((unicode(right(n_name, 1)) - 44032) % 28) + 28) % 28 <> 0 AS final FROM nation UNION ALL SELECT x, y FROM (VALUES ('금리', false), ('물가', false), ('상승', true)) v(x, y)")
+def has_jongseong(spark, sf_dir):
+    names = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("word"))
+    return names.union(spark.createDataFrame([("금리",), ("물가",), ("상승",)], "word string")).select("word", K.has_final_consonant(F.col("word")).alias("final"))
+
+
+# --- n-grams ---------------------------------------------------------------------------------------
+
+_GRAMS = "g AS (SELECT a.doc_id, a.pos, 1 AS k, a.w AS x FROM toks a UNION ALL SELECT a.doc_id, a.pos, 2, a.w || ';' || b.w FROM toks a JOIN toks b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 UNION ALL SELECT a.doc_id, a.pos, 3, a.w || ';' || b.w || ';' || c.w FROM toks a JOIN toks b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN toks c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2)"
+
+
+@query("ngrams_1_3", f"WITH {SQL_TOKS}, {_GRAMS} {_sql_short('g', 'x', 'pos, k')}")
+def ngrams_1_3(spark, sf_dir):
+    return _short(english(spark, sf_dir).select("doc_id", K.ngrams(F.col("words"), 1, 3).alias("terms")))
+
+
+_MP = (
+    "w AS (SELECT l.doc_id, CAST(p.pos AS BIGINT) AS pos, k.k, list_slice(s.s, p.pos + 1, p.pos + k.k) AS run FROM (SELECT doc_id, list(w || '/' || split_part(tag, '+', 1) ORDER BY pos) AS s FROM toks GROUP BY doc_id) s JOIN l ON l.doc_id = s.doc_id, "
+    "unnest(range(len(s.s))) AS p(pos), (SELECT unnest([1, 2, 3]) AS k) k WHERE p.pos + k.k <= len(s.s)), "
+    "e AS (SELECT doc_id, pos, k, run, list_filter(run, lambda x, i: i = 1 OR x <> run[i - 1]) AS kept FROM w), "
+    "r AS (SELECT doc_id, pos, k, array_to_string(kept, ';') AS x FROM e WHERE split_part(run[1], '/', 2) IN ('NNG', 'VA', 'VAX', 'MAG') AND len(list_filter(kept, lambda x: split_part(x, '/', 2) = 'NNG')) > 0)"
+)
+
+
+@query("topic_ngrams", f"WITH {SQL_TOKS}, {_MP} {_sql_short('r', 'x', 'pos, k')}")
+def topic_ngrams(spark, sf_dir):
+    return _short(slashed(spark, sf_dir).select("doc_id", K.topic_ngrams(F.col("terms"), 1, 3).alias("terms")))
+
+
+_CONTAIN = (
+    "f AS (SELECT doc_id, list(DISTINCT w) AS u FROM toks WHERE length(w) >= 9 GROUP BY doc_id), o AS (SELECT doc_id, list_transform(list_sort(list_transform(u, lambda x: lpad(CAST(1000000 - length(x) AS VARCHAR), 7, '0') || x)), lambda x: substr(x, 8)) AS s FROM f), "
+    "q AS (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS pos, s FROM o), r AS (SELECT doc_id, pos, x FROM q WHERE len(list_filter(list_slice(s, 1, CAST(pos AS BIGINT)), lambda y: contains(y, x))) = 0)"
+)
+
+
+@query("ngram_containment", f"WITH {SQL_TOKS}, {_CONTAIN} {_sql_short('r')}")
+def ngram_containment(spark, sf_dir):
+    """Long distinct words of each document that no longer one contains."""
+    terms = F.sort_array(F.array_distinct(F.filter("words", lambda w: F.length(w) >= 9)))
+    return _short(english(spark, sf_dir).select("doc_id", K.longest_only(terms).alias("terms")))
+
+
+@query("phrase_recovery", f"WITH {SQL_TOKS}, r AS (SELECT a.doc_id, a.pos, a.w || b.w AS x FROM toks a JOIN toks b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1) {_sql_short('r')}")
+def phrase_recovery(spark, sf_dir):
+    rows = slashed(spark, sf_dir).select("doc_id", F.transform(K.ngrams(F.col("terms"), 2, 2), K.phrase).alias("terms"))
+    return _short(rows)
+
+
+# --- lexicon scores --------------------------------------------------------------------------------
+
+_SCORED = f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_LEX}, s AS (SELECT doc_id, pos, w AS term, CAST(coalesce(pos_s, neg_s, 0) AS DOUBLE) AS c, coalesce(pol, 0) AS p FROM toks LEFT JOIN lex ON term = w)"
+_AGG = "SELECT d.doc_id, coalesce(sum(CASE WHEN {v} > 0 THEN {v} END), 0) AS positive, coalesce(sum(CASE WHEN {v} < 0 THEN {v} END), 0) AS negative, count_if({v} <> 0) AS hits, count({v}) AS n FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
+_ROUND = "CAST(positive AS DOUBLE) AS positive, CAST(negative AS DOUBLE) AS negative"
+
+
+def _terms(spark, sf_dir):
+    return english(spark, sf_dir).select("doc_id", F.col("words").alias("terms"))
+
+
+def _rounded(rows, *names):
+    return rows.withColumns({c: F.round(c, 6) for c in names})
+
+
+@query("lexicon_score_count", f"{_SCORED}, a AS ({_AGG.format(v='c')}) SELECT doc_id, {_ROUND}, round((positive + negative) / (positive - negative + 0.000001E0), 6) AS polarity, round(hits / (n + 0.000001E0), 6) AS subjectivity FROM a")
+def lexicon_score_count(spark, sf_dir):
+    return _rounded(lexicon.score(_terms(spark, sf_dir), bench_lexicon(spark, sf_dir)), "polarity", "subjectivity")
+
+
+@query("lexicon_score_weighted", f"{_SCORED}, a AS ({_AGG.format(v='p')}) SELECT doc_id, {_ROUND}, round((positive + negative) / (n + 0.000001E0), 6) AS polarity, round(hits / (n + 0.000001E0), 6) AS subjectivity FROM a")
+def lexicon_score_weighted(spark, sf_dir):
+    return _rounded(lexicon.score(_terms(spark, sf_dir), bench_lexicon(spark, sf_dir), by_count=False), "polarity", "subjectivity")
+
+
+@query("score_breakdown", f"{_SCORED} SELECT term, c AS score, p AS polarity, CASE WHEN c > 0 THEN 'positive' WHEN c < 0 THEN 'negative' ELSE 'neutral' END AS sentiment, count(*) AS n FROM s GROUP BY 1, 2, 3, 4")
+def score_breakdown(spark, sf_dir):
+    rows = lexicon.breakdown(_terms(spark, sf_dir), bench_lexicon(spark, sf_dir), phrases=True)
+    return rows.groupBy("term", "score", "polarity", "sentiment").agg(F.count("*").alias("n"))
+
+
+@query("calc_polarity", f"{_SCORED}, a AS ({_AGG.format(v='p')}), b AS (SELECT doc_id, count_if(p > 0) AS k FROM s GROUP BY doc_id) SELECT a.doc_id, round((positive + negative) / (2 * coalesce(k, 0) + 0.000001E0), 6) AS polarity FROM a LEFT JOIN b ON b.doc_id = a.doc_id")
+def calc_polarity(spark, sf_dir):
+    docs = english(spark, sf_dir)
+    scores = lexicon.term_scores(_terms(spark, sf_dir), bench_lexicon(spark, sf_dir)).groupBy("doc_id").agg(F.collect_list("pol").alias("scores"))
+    rows = docs.select("doc_id").join(scores, "doc_id", "left").withColumn("scores", F.coalesce("scores", F.array().cast("array<double>")))
+    return rows.select("doc_id", F.round(K.polarity_of(F.col("scores"), by_count=False), 6).alias("polarity"))
+
+
+@query("tone_terms_score", None)
+def tone_terms_score(spark, sf_dir):
+    """Tone preset: n-grams of known words, scored by a lexicon of slash terms."""
+    words = bench_words(spark, sf_dir)
+    known = words.select(F.concat_ws("/", "w", F.substring_index(_tag(F.col("w")), "+", 1)).alias("term"), F.length("w").alias("n"))
+    lex = known.select("term", F.when(F.col("n") % 2 == 0, 1).alias("pos"), F.when(F.col("n") % 2 == 1, -1).alias("neg"), F.lit(0.5).alias("pol"))
+    terms = lexicon.tone_terms(slashed(spark, sf_dir), known, lex, kind=3)
+    return _rounded(lexicon.score(terms, lex), "polarity", "subjectivity")
+
+
+_CLASSES = f"WITH {SQL_TOKS}, {SQL_BENCH}, k AS (SELECT w, length(w) % 3 AS a, length(w) % 4 AS b, 1 AS c FROM bw), s AS (SELECT doc_id, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM toks JOIN k USING (w) GROUP BY doc_id) "
+
+
+@query("class_proportions", _CLASSES + "SELECT d.doc_id, round(a / CAST(a + b + c AS DOUBLE), 6) AS a, round(b / CAST(a + b + c AS DOUBLE), 6) AS b, round(c / CAST(a + b + c AS DOUBLE), 6) AS c FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id")
+def class_proportions(spark, sf_dir):
+    n = F.length("w")
+    table = bench_words(spark, sf_dir).select(F.col("w").alias("ngram"), (n % 3).cast("double").alias("a"), (n % 4).cast("double").alias("b"), F.lit(1.0).alias("c"))
+    return _rounded(lexicon.class_proportions(_terms(spark, sf_dir), table), "a", "b", "c")
+
+
+@query("lexicon_filter", f"WITH {SQL_BENCH} SELECT w AS term, CASE WHEN length(w) % 3 = 1 THEN 1 END AS pos, CASE WHEN length(w) % 3 = 2 THEN -1 END AS neg, CAST(length(w) AS DOUBLE) AS pol FROM bw WHERE length(w) > 1 AND length(w) / 4.0E0 > 1.1E0")
+def lexicon_filter(spark, sf_dir):
+    n = F.length("w")
+    rows = bench_words(spark, sf_dir).select(F.col("w").alias("word"), F.when(n % 3 == 1, 1.0).when(n % 3 == 2, -1.0).otherwise(0.0).alias("polarity"), n.cast("double").alias("score"), (n / 4.0).alias("intensity"))
+    return wordlists.polarity_lexicon(rows, kind=1)
+
+
+def _stem_lexicon(spark, sf_dir, modulus):
+    n = F.length("w")
+    return lexicon.stem_lexicon(bench_words(spark, sf_dir).select(F.col("w").alias("word"), (n % modulus == 0).alias("positive"), (n % modulus == 1).alias("negative")))
+
+
+@query("porter_stem")
+def porter_stem(spark, sf_dir):
+    rows = english(spark, sf_dir).select(F.explode("words").alias("word")).distinct()
+    return stemmed(rows).groupBy("stem").agg(F.count("*").alias("n"))
+
+
+@query("harvard_score")
+def harvard_score(spark, sf_dir):
+    terms = lexicon.english_terms(_table(spark, sf_dir, "documents"))
+    return _rounded(lexicon.score(terms, _stem_lexicon(spark, sf_dir, 3)), "polarity", "subjectivity")
+
+
+@query("finance_score")
+def finance_score(spark, sf_dir):
+    stop = bench_words(spark, sf_dir).where(F.length("w") <= 2).select(F.col("w").alias("stem"))
+    terms = lexicon.english_terms(_table(spark, sf_dir, "documents"), stop)
+    return _rounded(lexicon.score(terms, _stem_lexicon(spark, sf_dir, 5)), "polarity", "subjectivity")
+
+
+# --- classifier ------------------------------------------------------------------------------------
+
+SQL_LAB = "lab AS (SELECT doc_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS label FROM labels)"
+SQL_FEAT = f"{SQL_TOKS}, {SQL_LAB}, feat AS (SELECT DISTINCT toks.doc_id, label, w FROM toks JOIN lab ON lab.doc_id = toks.doc_id)"
+SQL_NB = f"{SQL_FEAT}, z AS (SELECT count_if(label > 0) AS zp, count_if(label < 0) AS zn FROM lab), c AS (SELECT w, count_if(label > 0) AS np, count_if(label < 0) AS nn FROM feat GROUP BY w), nb AS (SELECT w, ln((np + 0.5E0) / (zp + 0.5E0 * (CASE WHEN np = zp AND nn = zn THEN 1 ELSE 2 END))) AS lp, ln((nn + 0.5E0) / (zn + 0.5E0 * (CASE WHEN np = zp AND nn = zn THEN 1 ELSE 2 END))) AS ln_ FROM c, z)"
+
+
+@query("nb_train_priors", f"WITH {SQL_LAB} SELECT label, round(ln((count(*) + 0.5E0) / ((SELECT count(*) FROM lab) + 0.5E0 * (SELECT count(DISTINCT label) FROM lab))), 6) AS logp FROM lab GROUP BY label")
+def nb_train_priors(spark, sf_dir):
+    return _rounded(bayes.priors(labelled(spark, sf_dir)), "logp")
+
+
+@query("nb_train_cond", f"WITH {SQL_NB} SELECT w AS feature, round(lp, 6) AS logp_pos, round(ln_, 6) AS logp_neg FROM nb")
+def nb_train_cond(spark, sf_dir):
+    return _rounded(bayes.conditionals(labelled(spark, sf_dir)), "logp_pos", "logp_neg")
+
+
+_CLASSIFIED = (
+    f"WITH {SQL_NB}, s AS (SELECT doc_id, sum(lp) AS p, sum(ln_) AS n FROM (SELECT DISTINCT doc_id, w FROM toks) JOIN nb USING (w) GROUP BY doc_id), "
+    "o AS (SELECT d.doc_id, coalesce(n, 0) + ln((zn + 0.5E0) / (zp + zn + 1)) - coalesce(p, 0) - ln((zp + 0.5E0) / (zp + zn + 1)) AS odds FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id, z), "
+    "q AS (SELECT doc_id, CASE WHEN odds > 700 THEN 0 ELSE 1 / (1 + exp(odds)) END AS pos_score FROM o) "
+)
+
+
+@query("nb_classify", _CLASSIFIED + "SELECT doc_id, round(pos_score, 6) AS pos_score, round(1 - pos_score, 6) AS neg_score, round(CASE WHEN greatest(pos_score, 1 - pos_score) / (least(pos_score, 1 - pos_score) + 0.000001E0) > 1.3E0 THEN pos_score - (1 - pos_score) ELSE 0 END, 6) AS polarity FROM q")
+def nb_classify(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    docs = english(spark, sf_dir).select("doc_id", F.col("words").alias("features"))
+    found = bayes.classify(docs, bayes.conditionals(rows), bayes.label_counts(rows))
+    return _rounded(found.drop("intensity"), "polarity", "pos_score", "neg_score")
+
+
+SQL_CHI = (
+    f"{SQL_TOKS}, {SQL_LAB}, f AS (SELECT w, count_if(label > 0) AS np, count_if(label < 0) AS nn FROM toks JOIN lab ON lab.doc_id = toks.doc_id GROUP BY w), z AS (SELECT sum(np) AS zp, sum(nn) AS zn FROM f), "
+    "b AS (SELECT w, np, nn, CAST(np AS DOUBLE) AS ap, CAST(nn AS DOUBLE) AS an, CAST(np + nn AS DOUBLE) AS fr, CAST(zp AS DOUBLE) AS zp, CAST(zn AS DOUBLE) AS zn, CAST(zp + zn AS DOUBLE) AS z FROM f, z), "
+    "e AS (SELECT w, np, nn, coalesce(z * pow(ap * (z - ap - (zp - ap) - (fr - ap)) - (zp - ap) * (fr - ap), 2) / nullif(zp * fr * ((zp - ap) + (z - ap - (zp - ap) - (fr - ap))) * ((fr - ap) + (z - ap - (zp - ap) - (fr - ap))), 0), 0) "
+    "+ coalesce(z * pow(an * (z - an - (zn - an) - (fr - an)) - (zn - an) * (fr - an), 2) / nullif(zn * fr * ((zn - an) + (z - an - (zn - an) - (fr - an))) * ((fr - an) + (z - an - (zn - an) - (fr - an))), 0), 0) AS score FROM b)"
+)
+
+
+@query("chi2_words", f"WITH {SQL_CHI} SELECT w AS feature, np AS n_pos, nn AS n_neg, round(score, 4) AS score FROM e")
+def chi2_words(spark, sf_dir):
+    return bayes.word_scores(labelled(spark, sf_dir)).withColumn("score", F.round("score", 4))
+
+
+@query("best_words_topk", f"WITH {SQL_CHI} SELECT w AS feature, round(score, 4) AS score FROM e QUALIFY row_number() OVER (ORDER BY round(score, 4) DESC, w) <= 500")
+def best_words_topk(spark, sf_dir):
+    return chi2_words(spark, sf_dir).orderBy(F.desc("score"), "feature").limit(500).select("feature", "score")
+
+
+@query("split_by_class")
+def split_by_class(spark, sf_dir):
+    rows = bayes.split_by_class(labelled(spark, sf_dir).drop("features"), 0.7)
+    return rows.groupBy("label", "train").agg(F.count("*").alias("n"))
+
+
+ORACLES["split_by_class"] = f"WITH {SQL_LAB}, n AS (SELECT label, count(*) AS n FROM lab GROUP BY label) SELECT label, true AS train, CAST(floor(n * 0.7E0) AS BIGINT) AS n FROM n UNION ALL SELECT label, false, CAST(n - floor(n * 0.7E0) AS BIGINT) FROM n"
+
+_PRED = "p AS (SELECT doc_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS actual, CAST(CASE WHEN n_chars % 7 = 0 THEN 0 WHEN n_chars % 3 = 0 THEN -1 ELSE 1 END AS DOUBLE) * (n_chars % 5 + 1) AS predicted FROM labels JOIN documents USING (doc_id))"
+
+
+def _predictions(spark, sf_dir):
+    n = F.col("n_chars")
+    sign = F.when(n % 7 == 0, 0.0).when(n % 3 == 0, -1.0).otherwise(1.0)
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.select("doc_id", F.when(F.col("quality") == 1, 1).otherwise(-1).alias("actual"), (sign * (n % 5 + 1)).alias("predicted"))
+
+
+@query("confusion_metrics", f"WITH {_PRED}, c AS (SELECT count_if(actual = 1 AND predicted > 0) AS tp, count_if(actual = -1 AND predicted < 0) AS tn, count_if(actual = -1 AND predicted > 0) AS fp, count_if(actual = 1 AND predicted < 0) AS fn, corr(actual, predicted) AS r FROM p) "
+       "SELECT tp AS t_pos, tn AS t_neg, fp AS f_pos, fn AS f_neg, round((tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE), 6) AS accuracy, round(tp / CAST(tp + fp AS DOUBLE), 6) AS pos_precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS pos_recall, round(tn / CAST(tn + fn AS DOUBLE), 6) AS neg_precision, round(tn / CAST(tn + fp AS DOUBLE), 6) AS neg_recall, round(r, 6) AS pearson FROM c")
+def confusion_metrics(spark, sf_dir):
+    return _rounded(bayes.confusion(_predictions(spark, sf_dir)), "accuracy", "pos_precision", "pos_recall", "neg_precision", "neg_recall", "pearson")
+
+
+@query("spearman", f"WITH {_PRED}, k AS (SELECT rank() OVER (ORDER BY actual) + (count(*) OVER (PARTITION BY actual) - 1) / 2.0E0 AS a, rank() OVER (ORDER BY predicted) + (count(*) OVER (PARTITION BY predicted) - 1) / 2.0E0 AS b FROM p) SELECT round(corr(a, b), 6) AS spearman FROM k")
+def spearman(spark, sf_dir):
+    return _rounded(bayes.spearman(_predictions(spark, sf_dir)), "spearman")
+
+
+_INFO = (
+    f"WITH {SQL_NB}, i AS (SELECT w, exp(greatest(lp, ln_)) / (exp(least(lp, ln_)) + 0.000001E0) AS ratio, lp > ln_ AS up FROM nb), k AS (SELECT * FROM i WHERE ratio > 1.2E0), "
+    "e AS (SELECT min(ratio) FILTER (up) AS p0, max(ratio) FILTER (up) AS p1, min(ratio) FILTER (NOT up) AS n0, max(ratio) FILTER (NOT up) AS n1 FROM k) "
+)
+
+
+@query("informative_features", _INFO + "SELECT w AS feature, round(ratio, 4) AS ratio, round(CASE WHEN up THEN coalesce((ratio - p0) / nullif(p1 - p0, 0), 1) ELSE -coalesce((ratio - n0) / nullif(n1 - n0, 0), 1) END, 6) AS polarity FROM k, e")
+def informative_features(spark, sf_dir):
+    rows = bayes.informative_features(bayes.conditionals(labelled(spark, sf_dir)))
+    return rows.select("feature", F.round("ratio", 4).alias("ratio"), F.round("polarity", 6).alias("polarity"))
+
+
+@query("train_evaluate")
+def train_evaluate(spark, sf_dir):
+    return bayes.evaluate(labelled(spark, sf_dir))
+
+
+@query("bagging")
+def bagging(spark, sf_dir):
+    return bayes.bagging(labelled(spark, sf_dir), iterations=3)
+
+
+@query("best_bigrams")
+def best_bigrams(spark, sf_dir):
+    return _short(bayes.best_collocations(labelled(spark, sf_dir), 2).withColumnRenamed("features", "terms"))
+
+
+# --- word lists and user dictionary ----------------------------------------------------------------
+
+
+@query("wordlist_load", "WITH x AS (SELECT DISTINCT split_part(split_part(trim(p_name), ' ', 1), '/', 1) AS word FROM part) SELECT word FROM x WHERE length(word) > 0 AND NOT starts_with(word, '#')")
+def wordlist_load(spark, sf_dir):
+    return wordlists.wordlist_from(_table(spark, sf_dir, "part").select(F.col("p_name").alias("value")), remove_tag=True)
+
+
+@query("vocab_load", "SELECT replace(lower(c_mktsegment), ' ', '') AS src, arg_max(lower(c_name), c_custkey) AS dst FROM customer GROUP BY 1")
+def vocab_load(spark, sf_dir):
+    lines = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("line_no"), F.concat_ws(",", "c_mktsegment", "c_name").alias("value"))
+    return wordlists.vocab_from(lines)
+
+
+_JONG = "CASE WHEN (((unicode(right({w}, 1)) - 44032) % 28) + 28) % 28 <> 0 THEN 'T' ELSE 'F' END"
+_IDS = "ids AS (SELECT * FROM (VALUES ('10', 'NNP', '*', 'T'), ('11', 'NNP', '*', 'F'), ('12', 'NNP', '*', 'T')) v(id, pos, semantic, has_jongseong))"
+
+
+@query("userdic_entries", f"WITH {_IDS} SELECT n_name AS surface, '10' AS left_id, CASE WHEN {_JONG.format(w='n_name')} = 'T' THEN '10' ELSE '11' END AS right_id, 1000 AS cost, {_JONG.format(w='n_name')} AS has_jongseong, n_name AS reading FROM nation")
+def userdic_entries(spark, sf_dir):
+    ids = [(0, "10", "NNP", "*", "T"), (1, "11", "NNP", "*", "F"), (2, "12", "NNP", "*", "T")]
+    context = spark.createDataFrame(ids, "line_no int, id string, pos string, semantic string, has_jongseong string")
+    empty = spark.createDataFrame([], wordlists.USER_SCHEMA)
+    words = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("surface"))
+    return UserDictionary(empty, context, context).add(words).entries.select("surface", "left_id", "right_id", "cost", "has_jongseong", "reading")
