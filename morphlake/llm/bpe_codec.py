@@ -21,6 +21,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
 from .token_counts import byte_alphabet
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -210,5 +211,5 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    rows = bounded_batches(docs).select("doc_id", docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA.replace("doc_id long", f"doc_id {rows.schema['doc_id'].dataType.simpleString()}"))

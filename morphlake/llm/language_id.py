@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 TRIGRAMS = 1 << 15
 #: Most frequent languages of the labelled table that are told apart.
@@ -74,7 +74,7 @@ def _likelihoods(langs: list[str], table: np.ndarray):
             out = np.zeros((batch.num_rows, len(langs)))
             for k, source in enumerate(batch.column(1).to_pylist()):
                 found = _buckets(visible_text(source))
-                if len(found):
+                if len(found) and langs:
                     sums = table[found].sum(0) * min(1.0, EVIDENCE / len(found))
                     p = np.exp(sums - sums.max())
                     out[k] = p / p.sum()
@@ -109,7 +109,7 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     n = len(langs)
     host = host_of(F.col("url"))
     labels = F.split(host, r"\.")
-    rows = pages.select(
+    rows = bounded_batches(pages).select(
         F.struct("page_id", host.alias("host"), F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2))).alias("domain"), F.element_at(labels, -1).alias("suffix"), declared_language(F.col("html")).alias("declared")).alias("row"),
         F.col("html").cast("string").alias("html"),
     )
@@ -134,7 +134,7 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     # P(declared | language); declarations of languages that are not told apart share what is left.
     said = []
     for k, x in enumerate(p):
-        mass = total[f"all_{x}"] + 1.0
+        mass = (total[f"all_{x}"] or 0.0) + 1.0
         rates = {d: (r[x] + 1.0 / (n + 2)) / mass for d, r in by_declared.items()}
         column = F.lit(max(1.0 / (n + 2) / mass, 1 - sum(rates.values())))
         for d, rate in rates.items():

@@ -82,7 +82,7 @@ def pack(docs: DataFrame, budget: int = 8192, buckets: int = 16) -> DataFrame:
     histogram = {r["entry"]: r["count"] for r in rows.groupBy(_entry(F.col("n_tokens")).alias("entry")).count().collect()}
     upper = boundaries(histogram, buckets)
     bucket, chunks, fit = F.lit(None).cast("long"), F.lit(1), F.lit(1)
-    for low, high in reversed(list(zip([-1, *upper[:-1]], upper, strict=True))):
+    for low, high in reversed(list(zip([-1, *upper], upper, strict=False))):
         total = sum(c for x, c in histogram.items() if low < x <= high)
         docs_each = max(1, budget // max(1, high))
         inside = F.col("entry") <= high

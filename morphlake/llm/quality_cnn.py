@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded_batches, fold
 
 STRIDE, WIDTH, DEPTH, FILTERS, HIDDEN = 4, 8, 8, 32, 16
 BLOCK = 64  # bytes; chunks are four blocks long and start every third block
@@ -89,7 +89,7 @@ def _chunk_maxima(net: Network, pieces: list[tuple[np.ndarray, int]]) -> tuple[n
     return np.maximum(best + net.bias, 0), np.array([len(c) for c in chunk_at])
 
 
-def pooled(net: Network, texts: list[np.ndarray], budget: int = 2_000_000) -> np.ndarray:
+def pooled(net: Network, texts: list[np.ndarray], budget: int = 500_000) -> np.ndarray:
     """Largest and mean chunk response of each filter, for texts given as byte arrays."""
     top = np.zeros((len(texts), FILTERS), np.float32)
     total = np.zeros((len(texts), FILTERS), np.float64)
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Network | float, folds: int = 5, threshold: fl
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_scores(model, batch.column(1)), pa.float64())], names=["doc_id", "held_out", "score"])
 
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text"), (fold("doc_id", folds) == 0).alias("held_out"))
+    rows = bounded_batches(docs).select("doc_id", docs["text"].cast("string").alias("text"), (fold("doc_id", folds) == 0).alias("held_out"))
     scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -240,7 +240,8 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_scores(model, batch.column(1)) >= threshold))
+            text = batch.column(0).field("text").cast(pa.large_string())
+            yield batch.filter(pa.array(_scores(model, text) >= threshold))
 
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     return rows.mapInArrow(run, rows.schema).select("row.*")

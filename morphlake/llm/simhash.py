@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .components import connected_components
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
@@ -58,7 +58,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit integer, of every row; row by row."""
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    rows = bounded_batches(docs).select("doc_id", docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
@@ -104,12 +104,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row of ``docs`` with the smallest id of each component, with all columns.
 
-    Rows that repeat a kept id are one row: any of them, as they stand for the same document.
+    Rows that repeat a kept id are one row: any of them, as they stand for the same document. Rows
+    without an id cannot be told apart and all stay.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id"))
     kept = materialize(kept.groupBy("doc_id").count().select(F.col("doc_id").alias("kept_id"), "count"), "simhash-kept")
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("row_id"))
-    same = F.col("row_id").eqNullSafe(F.col("kept_id"))
+    same = F.col("row_id") == F.col("kept_id")
     once = row.join(kept.where("count = 1").hint("shuffle_hash"), same, "left_semi")
     many = row.join(kept.where("count > 1").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["row_id"])
-    return once.union(many).select("row.*")
+    return once.union(many).union(row.where("row_id is null")).select("row.*")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, remove
+from .common import bounded_batches, fresh_path, materialize, remove
 
 WINDOW, GRAM = 100, 24
 SPAN = WINDOW - GRAM + 1  # k-grams in a window
@@ -128,7 +128,7 @@ def _slices(batches):
                     known = rows.get(slot)
                     if known is None:
                         rows[slot] = here
-                    else:
+                    elif known != here:  # else a repeated row
                         rows[slot], (d, a) = min(known, here), max(known, here)
                         repeats.append((d, a, a + len(slot[1])))
         keys, doc, at, data = [k for k, _ in rows], [d for d, _ in rows.values()], [a for _, a in rows.values()], [x for _, x in rows]
@@ -289,7 +289,9 @@ def _merge_task(batches):
                     ready, held = [], 0
             if crowd:
                 out += windows(doc, at, data)
-            elif (known := group.get(data)) is not None:
+            elif (known := group.get(data)) == (doc, at):
+                continue  # a repeated row
+            elif known is not None:
                 group[data], (d, a) = min(known, (doc, at)), max(known, (doc, at))
                 out.append((d, a, a + len(data), None))
             else:
@@ -317,7 +319,7 @@ def _let_go(spark) -> None:
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """doc, start and stop of byte intervals that cover exactly the bytes to remove; they may overlap."""
     spark = docs.sparkSession
-    named = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null").where(F.octet_length("text") >= WINDOW)
+    named = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null").where(F.octet_length("text") >= WINDOW)
     known = named.select("text").mapInArrow(_anchor_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     contexts = named.mapInArrow(_contexts, "h long, c long, doc long, at long, windows long")
     path = fresh_path(spark, "suffix-contexts")

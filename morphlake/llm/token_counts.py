@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import bounded_batches, fresh_path
 
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
 #: The pattern by which byte-level tokenizers of this family cut a text.
@@ -139,7 +139,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     spark = docs.sparkSession
     cache_path = cache_path or fresh_path(spark, "token-cache")
     version = tokenizer_digest(tokenizer_path)
-    keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
+    keyed = bounded_batches(docs).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("content")
     )
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
