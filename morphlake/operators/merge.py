@@ -2,53 +2,45 @@
 
 From each place the longest run of tokens whose joined text the dictionary knows becomes one token;
 the last token of a document never takes part. Runs of certain tag patterns also match with numbers
-written as ``n``, or without their symbols. Candidates are made row by row, joined to the
+written as ``n``, or without their symbols. Candidates are made by looking ahead in each document, joined to the
 dictionary, and the hits of a document are applied from left to right.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tagset as T
-from ..functions.tokens import let, pair, strip
+from ..functions.tokens import pair, strip
 from .dictionary import Dictionary, collect_tokens, explode_tokens
 
 PLAIN, NUMBERED, SKIPPED = 0, 1, 2
 
 
-def _candidates(tokens: Column, max_ngram: int, skip_patterns: tuple[str, ...], skipped_tags: tuple[str, ...]) -> Column:
-    none = F.array().cast("array<struct<start:int,n:int,kind:int,text:string>>")
-
-    def of_run(start: Column, n: Column) -> Column:
-        return let(F.slice(tokens, start + 1, n), lambda run: of_tokens(run, start, n))
-
-    def of_tokens(run: Column, start: Column, n: Column) -> Column:
-        pattern = F.array_join(F.transform(run, lambda t: F.when(t["tag"].isin(*T.NOUN_TAGS), "NNG").otherwise(t["tag"])), "+")
-        plain = F.array_join(F.transform(run, lambda t: t["surface"]), "")
-        numbered = F.array_join(F.transform(run, lambda t: F.when(t["tag"] == "SN", "n").otherwise(t["surface"])), "")
-        skipped = F.array_join(F.transform(F.filter(run, lambda t: ~t["tag"].isin(*skipped_tags)), lambda t: t["surface"]), "")
-        one = lambda kind, text: F.struct(start.alias("start"), n.alias("n"), F.lit(kind).alias("kind"), text.alias("text"))
-        first = F.when(pattern.isin(*T.UNMERGED_PATTERNS), none).otherwise(F.array(one(PLAIN, plain)))
-        return F.when(pattern.isin(*skip_patterns), F.concat(first, F.array(one(NUMBERED, numbered), one(SKIPPED, skipped)))).otherwise(first)
-
-    def at(start: Column) -> Column:
-        longest = F.least(F.lit(max_ngram), F.size(tokens) - 1 - start)
-        sizes = F.when(longest >= 2, F.sequence(F.lit(2), longest)).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(sizes, lambda n: of_run(start, n)))
-
-    places = F.when(F.size(tokens) > 2, F.sequence(F.lit(0), F.size(tokens) - 3)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(places, at))
-
-
-def candidates(tokens: Column, *options) -> Column:
-    return let(tokens, lambda array: _candidates(array, *options))  # bound once for all places
+def candidates(exploded: DataFrame, max_ngram: int, skip_patterns: tuple[str, ...], skipped_tags: tuple[str, ...]) -> DataFrame:
+    """doc_id, start, n, kind and text of all runs of tokens (doc_id, pos, surface, tag) that may be a phrase."""
+    place = Window.partitionBy("doc_id").orderBy("pos")
+    tag = F.when(F.col("tag").isin(*T.NOUN_TAGS), "NNG").otherwise(F.col("tag"))
+    forms = {
+        "plain": F.col("surface"), "tags": tag, "numbered": F.when(F.col("tag") == "SN", "n").otherwise(F.col("surface")),
+        "skipped": F.when(F.col("tag").isin(*skipped_tags), "").otherwise(F.col("surface")),
+    }
+    ahead = exploded.select("doc_id", F.col("pos").alias("start"), *[F.lead(column, k).over(place).alias(f"{name}_{k}") for name, column in forms.items() for k in range(max_ngram + 1)])
+    joined = lambda name, n, by="": F.concat_ws(by, *[F.col(f"{name}_{k}") for k in range(n)])
+    runs = []
+    for n in range(2, max_ngram + 1):
+        inside = F.col(f"plain_{n}").isNotNull()  # a token follows: the last one never takes part
+        patterned = inside & joined("tags", n, "+").isin(*skip_patterns)
+        runs.append(F.struct(F.lit(n).alias("n"), F.lit(PLAIN).alias("kind"), F.when(inside & ~joined("tags", n, "+").isin(*T.UNMERGED_PATTERNS), joined("plain", n)).alias("text")))
+        if any(x.count("+") == n - 1 for x in skip_patterns):
+            runs += [F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), F.when(patterned, joined(name, n)).alias("text")) for kind, name in ((NUMBERED, "numbered"), (SKIPPED, "skipped"))]
+    return ahead.select("doc_id", "start", F.inline(F.array(*runs))).where("text is not null")
 
 
 def merge_pass(docs: DataFrame, dictionary: Dictionary, max_ngram: int, skip_patterns: tuple[str, ...] = T.SKIP_PATTERNS, skipped_tags: tuple[str, ...] = T.SKIPPED_TAGS) -> DataFrame:
     """Documents (doc_id, tokens) after one pass of merging."""
-    found = docs.select("doc_id", F.explode(candidates(F.col("tokens"), max_ngram, skip_patterns, skipped_tags)).alias("c")).select("doc_id", "c.*")
+    found = candidates(explode_tokens(docs), max_ngram, skip_patterns, skipped_tags)
     hits = dictionary.with_tag(found, "text").where("dict_tag is not null")
     best = hits.groupBy("doc_id", "start").agg(F.max_by(F.struct("n", "text", "dict_tag"), F.struct("n", -F.col("kind"))).alias("hit"))
     lists = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "hit"))).alias("hits"))
