@@ -326,6 +326,26 @@ def test_language_model_is_a_distribution():
         assert abs(leaf[model.classes == c].sum() - 1) < 1e-9
 
 
+def test_language_model_fits_on_every_part(spark):
+    """Class totals are those of all training tokens, and each part of the texts moves weights."""
+    texts = [(f"lead{k} next{k} " * 5 + f"once{k}{j}", k) for k in range(maxent_lm.PARTS) for j in range(6)]
+    train = spark.createDataFrame(texts, "text string, part long")
+    tokens = Counter(w for t, _ in texts for w in maxent_lm.tokens_of(t))
+    counts = spark.createDataFrame([(w, c) for w, c in tokens.items()], "token binary, c long")
+    model = maxent_lm.fit(train, counts)
+    worker = maxent_lm.Worker(model)
+    assert model.class_counts.sum() == sum(tokens.values())
+    ids = worker.encode(list(tokens))
+    cls = worker.classes[ids]
+    leaf = (np.array(list(tokens.values())) + maxent_lm.RARE) / 10 ** model.leaf_bottom()[cls]
+    for c in set(cls.tolist()):
+        unseen = maxent_lm.RARE / 10 ** model.leaf_bottom()[c] if maxent_lm.TAIL_CLASS <= c < maxent_lm.END_CLASS else 0
+        assert abs(leaf[cls == c].sum() + unseen - 1) < 1e-9
+    for k in range(maxent_lm.PARTS):
+        row = worker.features(worker.encode([f"lead{k}".encode(), f"next{k}".encode()]), np.zeros(2, np.int64))[1, 1]
+        assert np.abs(model.weights[row]).max() > 0.1
+
+
 def test_language_id(spark):
     words = {"en": "the and of with that there ", "de": "der die und mit nicht eine ", "fr": "les une avec dans pour être "}
     labelled = spark.createDataFrame([(lang, w * 30) for lang, w in words.items()] + [(None, "x"), ("en", None)], "lang string, text string")
