@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import set_join
 from .common import bounded_batches, materialize
 from .components import connected_components
 
@@ -101,13 +102,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The row of ``docs`` with the smallest id of each component, with all columns.
 
     Rows that repeat a kept id are one row: any of them, as they stand for the same document. Rows
     without an id cannot be told apart and all stay.
+
+    With ``similarity``, texts link by that Jaccard similarity of their shingles or more, which no
+    Hamming distance decides; else by fingerprints of three-word shingles.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id"))
+    if similarity is None and shingle != SHINGLE:
+        raise ValueError("fingerprints are of three-word shingles; give a similarity")
+    linked = near_duplicates(docs) if similarity is None else set_join.near_duplicates(docs, shingle, similarity)
+    kept = linked.where(F.col("doc_id") == F.col("component_id"))
     kept = materialize(kept.groupBy("doc_id").count().select(F.col("doc_id").alias("kept_id"), "count"), "simhash-kept")
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("row_id"))
     same = F.col("row_id") == F.col("kept_id")

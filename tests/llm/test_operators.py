@@ -193,6 +193,40 @@ def test_simhash_links(spark, monkeypatch, hot):
     assert groups(by_root) == groups(by_found)
 
 
+def test_pipeline_near_dedup(spark):
+    """The stage links all texts of 0.8 of common five-word shingles or more, and no others."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(5000)}"
+    notice = " ".join(word() for _ in range(30))
+    texts = [None, "", "  ", "one two", "ONE  two", "one three"]
+    for size in (12, 60, 300):
+        for changes in (0, 1, 2, 4, 8, 12):
+            base = [word() for _ in range(size)]
+            for _ in range(4):  # each differs from the one before
+                texts.append(" ".join(base))
+                for at in rng.integers(0, size, changes).tolist():
+                    base[at] = word()
+    texts += [" ".join(word() for _ in range(20)) + " " + notice for _ in range(30)]
+    crowd = [word() for _ in range(200)]
+    texts += [" ".join([*crowd[:k], word(), *crowd[k + 1 :]]) for k in range(0, 200, 4)]
+
+    def shingles(text):
+        w = lower(text).split()
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
 def _dedup(rows):
     order = sorted({(i, t or "") for i, t in rows if i is not None})
     seen, out = set(), {}
