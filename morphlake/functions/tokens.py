@@ -6,9 +6,11 @@ slash tokens by ``;``. These functions need no shuffle and no state, so they als
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tagset as T
@@ -124,6 +126,38 @@ def longest_only(terms: Column) -> Column:
     return F.aggregate(ordered, none, lambda acc, t: F.when(F.exists(acc, lambda kept: F.contains(kept, t)), acc).otherwise(F.concat(acc, F.array(t))))
 
 
+def longest_ngrams(words: list[str], high: int, delimiter: str = ";") -> list[str]:
+    """:func:`longest_only` of all n-grams of up to ``high`` words, without comparing pairs.
+
+    Every shorter n-gram is part of one of ``high`` words (or of all words, if there are fewer), so
+    only these can stay. What is part of a dropped term is part of the one that this is part of, so a
+    term stays if no suffix of a term but itself begins with it. Suffixes with fewer delimiters than
+    all terms begin with none.
+    """
+    high = min(high, len(words))
+    terms = dict.fromkeys(delimiter.join(words[k : k + high]) for k in range(len(words) - high + 1)) if words else {}
+    least = min((t.count(delimiter) for t in terms), default=0)
+    suffixes = sorted(t[k:] for t in terms for k in range(len(t.rsplit(delimiter, least)[0]) + 1))
+    kept = []
+    for t in sorted(terms, key=len, reverse=True):
+        after = bisect.bisect_left(suffixes, t) + 1
+        if not (after < len(suffixes) and suffixes[after].startswith(t)):
+            kept.append(t)
+    return kept
+
+
+def with_longest_ngrams(rows: DataFrame, high: int) -> DataFrame:
+    """doc_id and terms, :func:`longest_ngrams` of the array ``words``, of every row."""
+
+    def run(batches):
+        for batch in batches:
+            found = [longest_ngrams(x or [], high) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "terms"])
+
+    rows = rows.select("doc_id", "words")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, terms array<string>")
+
+
 def phrase(term: Column) -> Column:
     """Surfaces of an n-gram without blanks; the term itself if a part has not exactly one slash."""
     parts = F.split(term, ";")

@@ -308,6 +308,12 @@ def ngram_containment(spark, sf_dir):
     return _short(english(spark, sf_dir).select("doc_id", K.longest_only(terms).alias("terms")))
 
 
+@query("ngram_containment_all")
+def ngram_containment_all(spark, sf_dir):
+    """All n-grams of one to five words of each document that no longer one contains."""
+    return _short(K.with_longest_ngrams(english(spark, sf_dir), 5))
+
+
 @query("phrase_recovery", f"WITH {SQL_TOKS}, r AS (SELECT a.doc_id, a.pos, a.w || b.w AS x FROM toks a JOIN toks b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1) {_sql_short('r')}")
 def phrase_recovery(spark, sf_dir):
     rows = slashed(spark, sf_dir).select("doc_id", F.transform(K.ngrams(F.col("terms"), 2, 2), K.phrase).alias("terms"))

@@ -48,6 +48,28 @@ def test_containment(terms):
     assert df.select(K.longest_only(F.col("t")).alias("x")).first()["x"] == kept
 
 
+def test_containment_of_all_ngrams(spark, tmp_path):
+    """The query keeps what comparing all pairs of n-grams of one to five words keeps."""
+    import hashlib
+    import random
+
+    from morphlake.plans import catalogue
+
+    rng = random.Random(4)
+    docs = [[], ["a"], ["a", "a"], ["ba", "b", "c", "d", "ea", "a", "b", "c", "d", "e"]]
+    docs += [["".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(n)] for n in (3, 5, 6, 12, 60, 60)]
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for i, words in enumerate(docs):
+        kept = []
+        for t in sorted([";".join(words[k : k + n]) for k in range(len(words)) for n in range(1, 6) if k + n <= len(words)], key=len, reverse=True):
+            if not any(t in x for x in kept):
+                kept.append(t)
+        expected.append((i, len(kept), hashlib.md5(" ".join(kept).encode()).hexdigest()))
+    found = catalogue.QUERIES["ngram_containment_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == expected
+
+
 def test_score_formulas(spark):
     docs = spark.createDataFrame([(0, ["up"]), (1, ["down", "x"]), (2, [])], "doc_id long, terms array<string>")
     lex = spark.createDataFrame([("up", 1, None, 0.5), ("down", None, -1, -0.25)], "term string, pos int, neg int, pol double")
