@@ -380,6 +380,18 @@ def test_language_model_fits_on_every_part(spark):
         assert np.abs(model.weights[row]).max() > 0.1
 
 
+def test_topics_see_every_text(spark, monkeypatch):
+    """Each head token has its count in all training texts, also in long ones, shared among the topics."""
+    texts = [f"short{k % 7} word " * 3 for k in range(40)] + [f"long{k} " * (maxent_lm.SAMPLE_BYTES // 4) for k in range(3)] + [None, ""]
+    tokens = Counter(w for t in texts for w in maxent_lm.tokens_of(t))
+    train = spark.createDataFrame([(t or "", k % maxent_lm.PARTS) for k, t in enumerate(texts)], "text string, part long")
+    counts = spark.createDataFrame(list(tokens.items()), "token binary, c long")
+    seen, made = [], maxent_lm.Model.__init__
+    monkeypatch.setattr(maxent_lm.Model, "__init__", lambda *a: seen.append(a[4]) or made(*a))
+    maxent_lm.fit(train, counts)
+    assert {t: round(float(x.sum()), 6) for t, x in seen[0].items()} == {t: c for t, c in tokens.items() if t and c > 2}
+
+
 def test_language_id(spark):
     words = {"en": "the and of with that there ", "de": "der die und mit nicht eine ", "fr": "les une avec dans pour être "}
     labelled = spark.createDataFrame([(lang, w * 30) for lang, w in words.items()] + [(None, "x"), ("en", None)], "lang string, text string")
