@@ -6,8 +6,8 @@ its address. The prior comes from all other pages: the mean text posterior of th
 by that of its domain, this by that of the address suffix, and this by that of all pages, each sum
 without the page itself. All sums are grouped aggregations with partial sums before the shuffle.
 
-The trigram tables are learned from all rows of a labelled table (text, lang); their size is
-bounded by TRIGRAMS and LANGUAGES.
+The trigram tables are learned from all rows of a labelled table (text, lang), for every language in
+it. Their size is TRIGRAMS times the number of languages; over LANGUAGES of them are refused.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize
 
 TRIGRAMS = 1 << 15
-#: Most frequent languages of the labelled table that are told apart.
-LANGUAGES = 32
+#: Languages up to which the table of log probabilities (64 MB) fits into every task.
+LANGUAGES = 256
 #: Trigrams that a text counts for at most; neighbouring trigrams are far from independent.
 EVIDENCE = 40.0
 #: Pages that the level above counts for when a level is smoothed.
@@ -59,12 +59,15 @@ def _trigram_counts(batches: Iterator[pa.RecordBatch]):
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and the log probability of each trigram bucket in each."""
     rows = labelled.where("lang is not null").select("lang", F.col("text").cast("string").alias("text"))
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    langs = sorted(top)
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"the labelled table has more than {LANGUAGES} languages")
+    place = {lang: k for k, lang in enumerate(langs)}
     table = np.full((TRIGRAMS, len(langs)), 0.5)
-    counts = rows.where(F.col("lang").isin(langs)).mapInArrow(_trigram_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    for r in counts.collect() if langs else ():
-        table[r["bucket"], langs.index(r["lang"])] += r["n"]
+    counts = rows.mapInArrow(_trigram_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = counts.toArrow() if langs else None
+    if found is not None and found.num_rows:
+        table[found["bucket"].to_numpy(), [place[x] for x in found["lang"].to_pylist()]] += found["n"].to_numpy()
     return langs, np.log(table / table.sum(0))
 
 
@@ -132,14 +135,16 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
         level = [(F.col(f"{name}_{x}") - F.col(x) + STRENGTH * above) / (F.col(f"n_{name}") - 1 + STRENGTH) for x, above in zip(p, level, strict=True)]
     by_declared = {r["declared"]: r for r in found.groupBy("declared").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in p]).where(F.col("declared").isin(langs) | F.col("declared").isNull()).collect()}
     # P(declared | language); declarations of languages that are not told apart share what is left.
-    said = []
+    shares, rest = [], []
     for k, x in enumerate(p):
         mass = (total[f"all_{x}"] or 0.0) + 1.0
         rates = {d: (r[x] + 1.0 / (n + 2)) / mass for d, r in by_declared.items()}
-        column = F.lit(max(1.0 / (n + 2) / mass, 1 - sum(rates.values())))
-        for d, rate in rates.items():
-            column = F.when(F.col("declared").isNull() if d is None else F.col("declared") == d, F.lit(rate)).otherwise(column)
-        said.append(column)
+        shares.append(rates)
+        rest.append(max(1.0 / (n + 2) / mass, 1 - sum(rates.values())))
+    spark = pages.sparkSession
+    known = spark.createDataFrame([(d, [rates[d] for rates in shares]) for d in by_declared], "known string, shares array<double>")
+    joined = joined.join(F.broadcast(known), F.col("declared").eqNullSafe(F.col("known")), "left")
+    said = [F.coalesce(F.get("shares", F.lit(k)), F.lit(x)) for k, x in enumerate(rest)]
     joint = joined.select("page_id", "host", "declared", *p, *[(F.greatest(F.col(x), F.lit(1e-12)) * s * F.greatest(prior, F.lit(1e-12))).alias(f"q{k}") for k, (x, s, prior) in enumerate(zip(p, said, level, strict=True))])
     q = [f"q{k}" for k in range(n)]
 

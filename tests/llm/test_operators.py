@@ -408,6 +408,20 @@ def test_language_id(spark):
     assert {r["lang"] for r in language_id.identify(pages, labelled.limit(0)).collect()} == {None}
 
 
+def test_language_id_learns_every_language(spark):
+    """Also a rare one of more than 32, with its declarations; too many are refused."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    name = lambda k: f"{letters[k // 20]}{letters[k % 20]}"
+    words = {name(k): " ".join(f"{letters[k % 20]}{v}{letters[k // 20]}{letters[(k * 7) % 20]}{v}" for v in "aeiou") for k in range(40)}
+    labelled = spark.createDataFrame([(x, w) for k, (x, w) in enumerate(words.items()) for _ in range(1 + (k < 39))], "lang string, text string")
+    data = [(k, None, f'<html lang="{x}"><p>{words[x]}</p>') for k, x in enumerate(words)]
+    out = language_id.identify(spark.createDataFrame(data, "page_id long, url string, html string"), labelled).collect()
+    assert {r["page_id"]: r["lang"] for r in out} == dict(enumerate(words)) and len(out) == 40
+    many = spark.range(language_id.LANGUAGES + 1).selectExpr("cast(id as string) AS lang", "'x' AS text")
+    with pytest.raises(ValueError):
+        language_id.train(many)
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     import corpus_pipeline
 
