@@ -508,7 +508,13 @@ def train_evaluate(spark, sf_dir):
 
 @query("bagging")
 def bagging(spark, sf_dir):
-    return bayes.bagging(labelled(spark, sf_dir), iterations=3)
+    return bayes.bagging(labelled(spark, sf_dir))
+
+
+@query("bagging_summary")
+def bagging_summary(spark, sf_dir):
+    """Mean metrics of the iterations, and the best of them."""
+    return bayes.bagging_summary(bayes.bagging(labelled(spark, sf_dir)))
 
 
 @query("best_bigrams")

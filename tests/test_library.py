@@ -70,6 +70,19 @@ def test_containment_of_all_ngrams(spark, tmp_path):
     assert sorted(map(tuple, found)) == expected
 
 
+def test_bagging_query(spark, tmp_path):
+    from morphlake.plans import catalogue
+
+    docs = [(i, ("good fine " if i % 2 else "bad poor ") * 3, i % 2) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality int")
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = catalogue.QUERIES["bagging"](spark, str(tmp_path))
+    assert sorted(r["iteration"] for r in rows.collect()) == list(range(1, 21))
+    summary = catalogue.QUERIES["bagging_summary"](spark, str(tmp_path)).collect()
+    assert len(summary) == 1 and 1 <= summary[0]["best_iteration"] <= 20 and 0 <= summary[0]["accuracy"] <= 1
+
+
 def test_score_formulas(spark):
     docs = spark.createDataFrame([(0, ["up"]), (1, ["down", "x"]), (2, [])], "doc_id long, terms array<string>")
     lex = spark.createDataFrame([("up", 1, None, 0.5), ("down", None, -1, -0.25)], "term string, pos int, neg int, pol double")
