@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, words
+from .common import materialize, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -158,6 +158,11 @@ def estimate(histogram: dict[int, int], n: int = len(RULES), rounds: int = 200,
     return math.log(prior / (1 - prior)), [[bad, 0.0, good] for bad, good in weights()]
 
 
+def odds_of(code: int, model: tuple[float, list[list[float]]]) -> float:
+    """Log odds that a document with this vote pattern is good."""
+    return model[0] + sum(weights[v + 1] for v, weights in zip(votes_of(code, len(model[1])), model[1], strict=True))
+
+
 def posterior(code: Column, model: tuple[float, list[list[float]]]) -> Column:
     """Probability that a document with this vote pattern is good."""
     odds = F.lit(model[0])
@@ -167,10 +172,19 @@ def posterior(code: Column, model: tuple[float, list[list[float]]]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def _decided(df: DataFrame, model: tuple[float, list[list[float]]]) -> DataFrame:
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    good = posterior(F.col("pattern"), model)
-    return df.withColumns({"base_failed": failed, "posterior": good, "kept": ~failed & (good >= 0.5)})
+def _measured_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns that the rules need, without the struct behind them."""
+    m, w = F.col("measure"), F.col("measure.w")
+    counts = {"n_words": w["n_words"], "word_chars": w["word_chars"], "n_symbols": m["n_symbols"], "n_dup_lines": m["lines"]["dup"], "n_repeat_words": w["n_repeat_words"], "pattern": pattern()}
+    return measured(docs).select(*docs.columns, *[c.alias(name) for name, c in counts.items()])
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+
+
+def _model(rows: DataFrame) -> tuple[float, list[list[float]]]:
+    return estimate({r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()})
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -180,26 +194,22 @@ def judge(docs: DataFrame) -> DataFrame:
     table gives no rows; other columns are not read. The counts are made in one pass over the texts
     and written to the shared folder, then the patterns are counted and every row is judged.
     """
-    m, w = F.col("measure"), F.col("measure.w")
-    rows = measured(docs.select("doc_id", "text")).select(
-        "doc_id", w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["lines"]["dup"].alias("n_dup_lines"),
-        w["n_repeat_words"].alias("n_repeat_words"), pattern().alias("pattern"),
-    )
-    path = fresh_path(docs.sparkSession, "quality-rules")
-    rows.write.parquet(path)
-    rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
-    histogram = {r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()}
-    return _decided(rows, estimate(histogram)).drop("pattern")
+    rows = materialize(_measured_rows(docs.select("doc_id", "text")).drop("text"), "quality-rules")
+    good = posterior(F.col("pattern"), _model(rows))
+    return rows.withColumns({"base_failed": _base_failed(), "posterior": good}).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop("pattern")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all columns and nothing else.
 
-    The patterns of all rows are counted first; then the counts are made again on the way through,
-    which costs CPU time but neither a shuffle nor a second copy of the texts.
+    Rows with null texts fail; repeated rows are each kept or dropped alike; an empty table stays
+    empty. The rows are written once to the shared folder beside their vote pattern, so each text is
+    measured once and a filter on the verdict cannot pull the measures into itself. Which of the
+    patterns are good is decided on the driver, which sees at most 3 ** len(RULES) of them.
     """
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"])
-    w = F.col("measure.w")
-    rows = measured(row).select("row", w["n_words"].alias("n_words"), w["n_repeat_words"].alias("n_repeat_words"), pattern().alias("pattern"))
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    rows = materialize(_measured_rows(row).select("row", (~_base_failed()).alias("passed"), "pattern"), "quality-rules-rows")
     histogram = {r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()}
-    return _decided(rows, estimate(histogram)).where("kept").select("row.*")
+    model = estimate(histogram)
+    good = sorted(code for code in histogram if odds_of(code, model) >= 0)
+    return rows.where(F.col("passed") & F.col("pattern").isin(good)).select("row.*")
