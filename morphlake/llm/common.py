@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,22 +42,62 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch().write(df, name)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete a folder when it ends, for results that are read until then."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
+class Scratch:
+    """Tables of the shared folder that one operator writes for itself, to be deleted together."""
+
+    def __init__(self) -> None:
+        self.written: list[tuple[SparkSession, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(df.sparkSession, name)
+        df.write.parquet(path)
+        remove_at_exit(df.sparkSession, path)
+        self.written.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete all of them; nothing may read them any more."""
+        for spark, path in self.written:
+            remove(spark, path)
+        self.written.clear()
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder written by :func:`materialize` once nothing reads it any more."""
+    """Delete a folder of the shared folder once nothing reads it any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are written.
+
+    It does so when the driver has collected their plans; this asks for that, and results do not
+    depend on it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
-    """``df``, after limiting the Arrow batches of its session, so whole texts fit into a Python worker."""
+    """``df``, after limiting the Arrow batches of its session, so whole texts fit into a Python worker.
+
+    Spark reads these settings when a plan runs, so they stay; smaller limits of the caller are kept.
+    """
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    as_bytes = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", as_bytes(size))):
+        now = conf.get(key)
+        if now.startswith("-") or not 0 < as_bytes(now) <= most:
+            conf.set(key, str(most))
     return df
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import set_join
-from .common import bounded_batches, materialize
+from .common import Scratch, bounded_batches, materialize, release
 from .components import connected_components
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
@@ -54,13 +54,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches):
     for batch in batches:
         values = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer, of every row; row by row."""
-    rows = bounded_batches(docs).select("doc_id", docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    """doc_id, a hash of the text, and fp, the fingerprint as a signed 64-bit integer, of every row; row by row."""
+    rows = bounded_batches(docs).select("doc_id", docs["text"].cast("string").alias("text"), F.xxhash64(docs["text"].cast("string")).alias("text_hash"))
+    return rows.mapInArrow(_fingerprints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -86,6 +86,21 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.union(stars)
 
 
+def components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, text_hash, fp, root of its component, and component_id of every row of ``docs`` (doc_id, text).
+
+    ``scratch`` gets the tables that are written on the way; the result is read from them.
+    """
+    scratch = scratch or Scratch()
+    prints = scratch.write(fingerprints(docs), "simhash-prints")
+    nodes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    roots = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = scratch.write(rooted.join(ids, "root").select("fp", "root", "component_id"), "simhash-found")
+    return prints.join(found, "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of ``docs`` (doc_id, text).
 
@@ -93,31 +108,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     returned. A null doc_id is never a component's id unless all of its ids are null. An empty
     table gives no rows; other columns are not read.
     """
-    prints = materialize(fingerprints(docs), "simhash-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = materialize(rooted.join(ids, "root").select("fp", "component_id"), "simhash-found")
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The row of ``docs`` with the smallest id of each component, with all columns.
 
-    Rows that repeat a kept id are one row: any of them, as they stand for the same document. Rows
-    without an id cannot be told apart and all stay.
+    Rows of one id with texts of different components are each kept in their own; in one component
+    the text with the smallest hash stays. Rows of equal id and text are one document: any of them
+    stays. Rows without an id cannot be told apart and all stay; an empty table stays empty.
 
     With ``similarity``, texts link by that Jaccard similarity of their shingles or more, which no
     Hamming distance decides; else by fingerprints of three-word shingles.
     """
     if similarity is None and shingle != SHINGLE:
         raise ValueError("fingerprints are of three-word shingles; give a similarity")
-    linked = near_duplicates(docs) if similarity is None else set_join.near_duplicates(docs, shingle, similarity)
-    kept = linked.where(F.col("doc_id") == F.col("component_id"))
-    kept = materialize(kept.groupBy("doc_id").count().select(F.col("doc_id").alias("kept_id"), "count"), "simhash-kept")
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("row_id"))
-    same = F.col("row_id") == F.col("kept_id")
-    once = row.join(kept.where("count = 1").hint("shuffle_hash"), same, "left_semi")
-    many = row.join(kept.where("count > 1").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["row_id"])
+    scratch = Scratch()
+    linked = components(docs, scratch) if similarity is None else set_join.components(docs, shingle, similarity, scratch)
+    firsts = linked.where(F.col("doc_id") == F.col("component_id")).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    kept = firsts.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("first"))
+    kept = materialize(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"), "first.n"), "simhash-kept")
+    scratch.clear()
+    release(docs.sparkSession)
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("row_id"), F.xxhash64(docs["text"].cast("string")).alias("row_hash"))
+    same = (F.col("row_id") == F.col("kept_id")) & (F.col("row_hash") == F.col("kept_hash"))
+    once = row.join(kept.where("n = 1").hint("shuffle_hash"), same, "left_semi")
+    many = row.join(kept.where("n > 1").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["row_id", "row_hash"])
     return once.union(many).union(row.where("row_id is null")).select("row.*")
