@@ -1,10 +1,11 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Rules look at counts of a text and vote good (1), bad (-1) or abstain (0). The votes of a document
-form one of at most 3 ** len(RULES) patterns; a grouped count of the patterns is all that
-expectation-maximisation needs. It estimates how often each rule votes which way on good and on bad
-documents, without labels, and the posterior probability that a document is good replaces the
-demand that it pass every rule.
+Rules look at counts of a text and vote good (1), bad (-1) or abstain (0). Each watches one trait, and
+several watch traits of the same kind of junk, so votes overlap and contradict each other. The votes
+of a document form one of at most 3 ** len(RULES) patterns; a grouped count of the patterns is all
+that expectation-maximisation needs. Its hidden classes are good documents and the kinds of junk. It
+estimates, without labels, how often each rule is right on each class when it votes, and the
+posterior probability that a document is good replaces the demand that it pass every rule.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     chars = F.length(text)
     without = lambda drop: chars - F.length(F.translate(text, drop, ""))
+    found = lambda regex: F.regexp_count(text, F.lit(regex)).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
     def counts(array: Column) -> Column:
@@ -69,6 +71,7 @@ def measured(docs: DataFrame) -> DataFrame:
             F.size(array).cast("long").alias("n_words"),
             F.length(F.array_join(array, "")).cast("long").alias("word_chars"),
             F.size(F.array_distinct(array)).cast("long").alias("n_distinct"),
+            F.size(F.filter(array, lambda w, i: w == F.get(array, i - 1))).cast("long").alias("n_adjacent"),
             repeated_words(array).alias("n_repeat_words"),
         )
 
@@ -79,41 +82,47 @@ def measured(docs: DataFrame) -> DataFrame:
             _let(words(text), counts).alias("w"),
             without(SYMBOLS).cast("long").alias("n_symbols"),
             (chars - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
-            F.regexp_count(text, F.lit("[A-ZÀ-ÖØ-Þ]{3}")).cast("long").alias("n_capitals"),
+            found("[A-ZÀ-ÖØ-Þ]{3}").alias("n_capitals"),
+            found(r"[^\p{L}\p{M}\x20\x09-\x0D]").alias("n_others"),
+            found(r"[.?!。？！।۔](?=[\x20\x09-\x0D]|$)").alias("n_ends"),
             _let(lines, lambda array: F.struct(F.size(array).cast("long").alias("n"), (F.size(array) - F.size(F.array_distinct(array))).cast("long").alias("dup"))).alias("lines"),
         ), lambda x: x),
     )
 
 
-def _rules() -> dict[str, Column]:
-    m, w = F.col("measure"), F.col("measure.w")
-    n = w["n_words"]
-    bad = {
-        "symbols": m["n_symbols"] * 12 > w["word_chars"],
-        "repeated_windows": w["n_repeat_words"] * 10 > n * 3,
-        "repeated_lines": (m["lines"]["dup"] * 2 > m["lines"]["n"]) & (m["lines"]["n"] > 2),
-        "vocabulary": (n <= 1000) & (w["n_distinct"] * 4 < n),
-        "shouting": m["n_shouts"] * 5 > n,
-        "capitals": m["n_capitals"] * 8 > w["word_chars"],
-        "word_length": (w["word_chars"] * 2 < n * 3) | (w["word_chars"] > n * 20),
-    }
-    plain = (m["n_symbols"] * 200 <= w["word_chars"]) & (m["n_shouts"] * 50 <= n) & (m["n_capitals"] * 30 <= w["word_chars"])
-    varied = (w["n_repeat_words"] * 20 <= n) & ((n > 1000) | (w["n_distinct"] * 2 > n))
-    good = {"clean": plain & varied}  # one rule, since the two would not speak independently
-    enough = n >= MIN_WORDS
-    return {k: F.when(enough & x, -1).otherwise(0) for k, x in bad.items()} | {k: F.when(enough & x, 1).otherwise(0) for k, x in good.items()}
+#: Rules in the order of their digits, each with the kind of junk that it watches; None: any kind.
+RULES = {
+    "symbols": "symbols", "letters": "symbols", "capitals": "shouting", "shouts": "shouting", "adjacent": "repetition", "windows": "repetition", "vocabulary": "repetition",
+    "lines": "repetition", "sentences": None,
+}
+KINDS = ("symbols", "shouting", "repetition")
 
 
-#: The last says good or nothing, the others bad or nothing.
-RULES = ("symbols", "repeated_windows", "repeated_lines", "vocabulary", "shouting", "capitals", "word_length", "clean")
+def _votes() -> dict[str, Column]:
+    """Vote of each rule: bad beyond one threshold, good within another, else none."""
+    m, w = F.col("measure"), F.col("measure.w")
+    n, size = w["n_words"], w["word_chars"]
+    other, line_count, dup = m["n_others"], m["lines"]["n"], m["lines"]["dup"]
+    sides = {
+        "symbols": (m["n_symbols"] * 100 > size * 6, m["n_symbols"] * 100 < size),
+        "letters": (other * 100 > size * 20, other * 100 < size * 7),
+        "capitals": (m["n_capitals"] * 100 > size * 5, m["n_capitals"] * 100 < size),
+        "shouts": (m["n_shouts"] * 5 > n, m["n_shouts"] * 50 < n),
+        "adjacent": (w["n_adjacent"] * 100 > n * 15, w["n_adjacent"] * 100 < n * 3),
+        "windows": (w["n_repeat_words"] * 100 > n * 15, w["n_repeat_words"] * 100 <= n * 2),
+        "vocabulary": (((n <= 1000) & (w["n_distinct"] * 3 < n)) | (w["n_distinct"] * 20 < n), w["n_distinct"] * 2 > n),
+        "lines": (dup * 3 > line_count, dup == 0),
+        "sentences": ((m["n_ends"] * 2 > n) | ((n >= 50) & (m["n_ends"] * 200 < n)), (m["n_ends"] * 50 > n) & (m["n_ends"] * 5 < n)),
+    }
+    return {name: F.when(n < MIN_WORDS, 0).when(bad, -1).when(good, 1).otherwise(0) for name, (bad, good) in sides.items()}
 
 
 def pattern() -> Column:
     """The votes as one number in base 3, the first rule's digit the lowest."""
-    rules = _rules()
+    votes = _votes()
     total = F.lit(0)
     for k, name in enumerate(RULES):
-        total = total + (rules[name] + 1) * 3**k
+        total = total + (votes[name] + 1) * 3**k
     return total
 
 
@@ -121,55 +130,82 @@ def votes_of(code: int, n: int = len(RULES)) -> list[int]:
     return [code // 3**k % 3 - 1 for k in range(n)]
 
 
-def estimate(histogram: dict[int, int], n: int = len(RULES), rounds: int = 200, prior: float = 0.8, trust: float = 0.05) -> tuple[float, list[list[float]]]:
-    """Expectation-maximisation over a histogram of vote patterns.
+def expected_rates() -> list[list[float]]:
+    """Share of bad votes among the votes of each rule, on good documents and on each kind of junk, before any data."""
+    on = lambda rule, kind: 0.3 if rule is None else 0.8 if rule == kind else 0.1
+    return [[0.05] * len(RULES), *[[on(rule, kind) for rule in RULES.values()] for kind in KINDS]]
 
-    Returns the log odds of good before any vote, and for each rule the log odds that its votes -1,
-    0 and 1 add; abstaining adds nothing. A vote cast on good documents at rate g and on bad ones at
-    rate b has accuracy g / (g + b) if it says good, else b / (g + b); these rates are estimated. The
-    expected rates of a useful rule count as ``trust`` times all documents, so a rule keeps its
-    meaning until the other rules outweigh it. Documents on which all rules abstain say nothing and
-    are left out; without any others, the expected rates are returned.
-    """
-    hope = [(0.005, 0.35), (0.8, 0.2)]  # of bad and of good votes, each on good and on bad documents
-    rates = [[list(x) for x in hope] for _ in range(n)]
-    rows = [(votes, count) for votes, count in ((votes_of(code, n), count) for code, count in sorted(histogram.items())) if any(votes)]
-    total = sum(count for _, count in rows)
 
-    def weights() -> list[list[float]]:
-        return [[math.log(g / b) for g, b in rule] for rule in rates]
+def estimate(histogram: dict[int, int], hope: list[list[float]] | None = None, rounds: int = 200, trust: float = 0.01) -> tuple[list[float], list[list[float]]]:
+    """Expectation-maximisation over a histogram of vote patterns.
 
+    Returns the shares of the classes, good documents first, and for each class and rule the share of
+    bad votes among the votes the rule casts there; a rule's accuracy is one less that on good
+    documents, and that itself on junk. Abstaining says nothing. The expected rates count as
+    ``trust`` times all voting documents, so a class that is absent keeps its meaning; the shares
+    start from nine tenths good. Documents on which all rules abstain are left out; without any
+    others, the expected rates are returned.
+    """
+    hope = hope or expected_rates()
+    classes, n = len(hope), len(hope[0])
+    rates = [list(x) for x in hope]
+    shares = [0.9] + [0.1 / (classes - 1)] * (classes - 1)
+    rows = []
+    for code, count in sorted(histogram.items()):
+        votes = votes_of(code, n)
+        if any(votes):
+            rows.append(([k for k, v in enumerate(votes) if v < 0], [k for k, v in enumerate(votes) if v > 0], count))
+    total = sum(count for _, _, count in rows)
+    weight = max(1.0, trust * total)
     for _ in range(rounds if total else 0):
-        sums = [[[x * trust * total for x in kind] for kind in hope] for _ in range(n)]
-        right, odds_of = 0.0, weights()
-        for votes, count in rows:
-            odds = math.log(prior / (1 - prior)) + sum(odds_of[k][v > 0] for k, v in enumerate(votes) if v)
-            p = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
-            right += p * count
-            for k, v in enumerate(votes):
-                if v:
-                    sums[k][v > 0][0] += p * count
-                    sums[k][v > 0][1] += (1 - p) * count
-        before, prior = prior, (right + 1) / (total + 2)
-        sizes = ((prior + trust) * total, (1 - prior + trust) * total)
-        rates = [[[min(x / size, 1.0) for x, size in zip(kind, sizes, strict=True)] for kind in rule] for rule in sums]
-        if abs(prior - before) < 1e-10:
+        logs = [(math.log(s), [math.log(x) for x in r], [math.log(1 - x) for x in r]) for s, r in zip(shares, rates, strict=True)]
+        size, bad, good = [0.0] * classes, [[0.0] * n for _ in hope], [[0.0] * n for _ in hope]
+        for against, for_, count in rows:
+            z = [s + sum(b[k] for k in against) + sum(g[k] for k in for_) for s, b, g in logs]
+            top = max(z)
+            p = [math.exp(x - top) for x in z]
+            whole = sum(p)
+            for c in range(classes):
+                mass = p[c] / whole * count
+                size[c] += mass
+                for k in against:
+                    bad[c][k] += mass
+                for k in for_:
+                    good[c][k] += mass
+        before = rates
+        rates = [[(b + weight * h) / (b + g + weight) for b, g, h in zip(*x, strict=True)] for x in zip(bad, good, hope, strict=True)]
+        shares = [(x + 1) / (total + classes) for x in size]
+        if max(abs(x - y) for r, s in zip(rates, before, strict=True) for x, y in zip(r, s, strict=True)) < 1e-9:
             break
-    return math.log(prior / (1 - prior)), [[bad, 0.0, good] for bad, good in weights()]
+    return shares, rates
 
 
-def odds_of(code: int, model: tuple[float, list[list[float]]]) -> float:
-    """Log odds that a document with this vote pattern is good."""
-    return model[0] + sum(weights[v + 1] for v, weights in zip(votes_of(code, len(model[1])), model[1], strict=True))
+def _odds(votes: list[int], model: tuple[list[float], list[list[float]]], junk: int) -> float:
+    """Log odds of a kind of junk against good, given the votes."""
+    shares, rates = model
+    out = math.log(shares[junk] / shares[0])
+    for v, good, bad in zip(votes, rates[0], rates[junk], strict=True):
+        out += math.log(bad / good) if v < 0 else math.log((1 - bad) / (1 - good)) if v > 0 else 0.0
+    return out
 
 
-def posterior(code: Column, model: tuple[float, list[list[float]]]) -> Column:
+def probability_of(code: int, model: tuple[list[float], list[list[float]]]) -> float:
     """Probability that a document with this vote pattern is good."""
-    odds = F.lit(model[0])
-    for k, (bad, none, good) in enumerate(model[1]):
-        digit = F.floor(code / 3**k) % 3
-        odds = odds + F.when(digit == 0, bad).when(digit == 1, none).otherwise(good)
-    return 1 / (1 + F.exp(-odds))
+    votes = votes_of(code, len(model[1][0]))
+    return 1 / (1 + sum(math.exp(min(_odds(votes, model, k), 700.0)) for k in range(1, len(model[0]))))
+
+
+def posterior(code: Column, model: tuple[list[float], list[list[float]]]) -> Column:
+    """:func:`probability_of` as a column."""
+    shares, rates = model
+    junk = F.lit(0.0)
+    for k in range(1, len(shares)):
+        odds = F.lit(math.log(shares[k] / shares[0]))
+        for i, (good, bad) in enumerate(zip(rates[0], rates[k], strict=True)):
+            digit = F.floor(code / 3**i) % 3
+            odds = odds + F.when(digit == 0, math.log(bad / good)).when(digit == 2, math.log((1 - bad) / (1 - good))).otherwise(0.0)
+        junk = junk + F.exp(odds)
+    return 1 / (1 + junk)
 
 
 def _measured_rows(docs: DataFrame) -> DataFrame:
@@ -183,8 +219,8 @@ def _base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
 
 
-def _model(rows: DataFrame) -> tuple[float, list[list[float]]]:
-    return estimate({r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()})
+def _histogram(rows: DataFrame) -> dict[int, int]:
+    return {r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()}
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -195,7 +231,7 @@ def judge(docs: DataFrame) -> DataFrame:
     and written to the shared folder, then the patterns are counted and every row is judged.
     """
     rows = materialize(_measured_rows(docs.select("doc_id", "text")).drop("text"), "quality-rules")
-    good = posterior(F.col("pattern"), _model(rows))
+    good = posterior(F.col("pattern"), estimate(_histogram(rows)))
     return rows.withColumns({"base_failed": _base_failed(), "posterior": good}).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop("pattern")
 
 
@@ -209,7 +245,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
     rows = materialize(_measured_rows(row).select("row", (~_base_failed()).alias("passed"), "pattern"), "quality-rules-rows")
-    histogram = {r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()}
+    histogram = _histogram(rows)
     model = estimate(histogram)
-    good = sorted(code for code in histogram if odds_of(code, model) >= 0)
+    good = sorted(code for code in histogram if probability_of(code, model) >= 0.5)
     return rows.where(F.col("passed") & F.col("pattern").isin(good)).select("row.*")
