@@ -2,9 +2,11 @@
 
 Three kinds of evidence are multiplied for each page: the likelihood of its text under hashed byte
 trigrams of each language, the likelihood of the language that its markup declares, and a prior of
-its address. The prior comes from all other pages: the mean text posterior of the host is smoothed
-by that of its domain, this by that of the address suffix, and this by that of all pages, each sum
-without the page itself. All sums are grouped aggregations with partial sums before the shuffle.
+its address. Rates of declarations and priors come from all other pages: the mean text posterior of
+the host is smoothed by that of its domain, this by that of the address suffix, and this by that of
+all pages, each sum without the page itself. All sums are grouped aggregations with partial sums
+before the shuffle; those of hosts and domains are written out, so that Spark can split the
+partition of a host with very many pages when it joins them back.
 
 The trigram tables are learned from all rows of a labelled table (text, lang), for every language in
 it. Their size is TRIGRAMS times the number of languages; over LANGUAGES of them are refused.
@@ -30,6 +32,8 @@ LANGUAGES = 256
 EVIDENCE = 40.0
 #: Pages that the level above counts for when a level is smoothed.
 STRENGTH = 4.0
+#: Share of pages expected to declare their own language, before any are seen; that counts as one page.
+RIGHT = 0.5
 _DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 
 
@@ -94,6 +98,14 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(host, r"\.$", "")
 
 
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host; three where these are a short label before a country's, as in ``co.uk``."""
+    labels = F.split(host, r"\.")
+    last = lambda n: F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.lit(n)))
+    shared = (F.length(F.element_at(labels, -1)) == 2) & (F.length(F.try_element_at(labels, F.lit(-2))) <= 3) & (F.size(labels) > 2)
+    return F.when(shared, last(3)).otherwise(last(2))
+
+
 def declared_language(source: Column) -> Column:
     """Primary tag of the lang attribute of the html element, in lower case; null if there is none."""
     found = F.regexp_extract(F.coalesce(source.cast("string"), F.lit("")), r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", 1)
@@ -111,9 +123,8 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     langs, table = train(labelled)
     n = len(langs)
     host = host_of(F.col("url"))
-    labels = F.split(host, r"\.")
     rows = bounded_batches(pages).select(
-        F.struct("page_id", host.alias("host"), F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2))).alias("domain"), F.element_at(labels, -1).alias("suffix"), declared_language(F.col("html")).alias("declared")).alias("row"),
+        F.struct("page_id", host.alias("host"), domain_of(host).alias("domain"), F.element_at(F.split(host, r"\."), -1).alias("suffix"), declared_language(F.col("html")).alias("declared")).alias("row"),
         F.col("html").cast("string").alias("html"),
     )
     found = rows.mapInArrow(_likelihoods(langs, table), f"row {rows.schema['row'].dataType.simpleString()}, text_p array<double>")
@@ -127,24 +138,18 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
         return found.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), *[F.sum(x).alias(f"{name}_{x}") for x in p])
 
     total = sums().first().asDict()
-    joined = found.join(sums("suffix"), "suffix").join(sums("domain"), "domain").join(sums("host"), "host")
+    joined = found.join(sums("suffix"), "suffix").join(materialize(sums("domain"), "language-domains"), "domain").join(materialize(sums("host"), "language-hosts"), "host")
     level = [F.lit((total[f"all_{x}"] or 0.0)) - F.col(x) for x in p]
     size = F.lit(total["n_all"] - 1)
     level = [(x + STRENGTH / n) / (size + STRENGTH) for x in level]
     for name in ("suffix", "domain", "host"):
         level = [(F.col(f"{name}_{x}") - F.col(x) + STRENGTH * above) / (F.col(f"n_{name}") - 1 + STRENGTH) for x, above in zip(p, level, strict=True)]
-    by_declared = {r["declared"]: r for r in found.groupBy("declared").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in p]).where(F.col("declared").isin(langs) | F.col("declared").isNull()).collect()}
-    # P(declared | language); declarations of languages that are not told apart share what is left.
-    shares, rest = [], []
-    for k, x in enumerate(p):
-        mass = (total[f"all_{x}"] or 0.0) + 1.0
-        rates = {d: (r[x] + 1.0 / (n + 2)) / mass for d, r in by_declared.items()}
-        shares.append(rates)
-        rest.append(max(1.0 / (n + 2) / mass, 1 - sum(rates.values())))
-    spark = pages.sparkSession
-    known = spark.createDataFrame([(d, [rates[d] for rates in shares]) for d in by_declared], "known string, shares array<double>")
-    joined = joined.join(F.broadcast(known), F.col("declared").eqNullSafe(F.col("known")), "left")
-    said = [F.coalesce(F.get("shares", F.lit(k)), F.lit(x)) for k, x in enumerate(rest)]
+    # P(declared | language), without the page itself; declarations of languages that are not told apart are one.
+    group = F.when(F.col("declared").isNull(), "none").when(F.col("declared").isin(langs), F.col("declared")).otherwise("other language")
+    by_declared = found.groupBy(group.alias("group")).agg(F.array(*[F.sum(x) for x in p]).alias("sums"))  # a row a language and two more
+    joined = joined.withColumn("group", group).join(F.broadcast(by_declared), "group")
+    before = [F.when(F.col("group") == lang, F.lit(RIGHT)).otherwise((1 - RIGHT) / (n + 1)) for lang in langs]
+    said = [(F.get("sums", F.lit(k)) - F.col(x) + before[k]) / (F.lit(total[f"all_{x}"] or 0.0) - F.col(x) + 1.0) for k, x in enumerate(p)]
     joint = joined.select("page_id", "host", "declared", *p, *[(F.greatest(F.col(x), F.lit(1e-12)) * s * F.greatest(prior, F.lit(1e-12))).alias(f"q{k}") for k, (x, s, prior) in enumerate(zip(p, said, level, strict=True))])
     q = [f"q{k}" for k in range(n)]
 
