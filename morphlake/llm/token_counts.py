@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path
+from .common import bounded_batches, fresh_path, materialize, remove_at_exit
 
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
 #: The pattern by which byte-level tokenizers of this family cut a text.
@@ -112,13 +112,16 @@ def _encode(path: str, version: bytes):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = counter(path)
+        done: set[bytes] = set()  # of this partition: repeated rows of an owner meet here
         for batch in batches:
-            seen: dict[bytes, str] = {}
+            new: dict[bytes, str] = {}
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(digest, text)
-            n = own.count(list(seen.values()))
+                if digest not in done:
+                    new.setdefault(digest, text)
+            done.update(new)
+            n = own.count(list(new.values()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array([version] * len(seen), pa.binary()), pa.array(n, pa.int64())],
+                [pa.array(list(new), pa.binary()), pa.array([version] * len(new), pa.binary()), pa.array(n, pa.int64())],
                 names=["content", "tokenizer", "n_tokens"],
             )
 
@@ -128,21 +131,24 @@ def _encode(path: str, version: bytes):
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of ``docs`` (doc_id, text).
 
-    Null texts count as empty; repeated rows are each returned and encoded once; an empty table
-    gives no rows; other columns of ``docs`` are ignored. Distinct texts that the cache under
+    Null texts count as empty; repeated rows are each returned, and encoded once where Spark does not
+    split their partition; an empty table gives no rows; other columns of ``docs`` are ignored. Distinct texts that the cache under
     ``cache_path`` lacks are encoded once and appended to it when this function is called; without
     a path, a fresh cache is made in the shared folder.
 
     The texts are shuffled once, by the id that represents a digest, so no group of copies meets in
-    one task; all other shuffles carry digests and counts only.
+    one task; all other shuffles carry digests and counts only. The counts are written out before
+    they are joined to all copies, so that Spark can split the partition of a digest with many.
     """
     spark = docs.sparkSession
-    cache_path = cache_path or fresh_path(spark, "token-cache")
+    own_cache, cache_path = not cache_path, cache_path or fresh_path(spark, "token-cache")
     version = tokenizer_digest(tokenizer_path)
     keyed = bounded_batches(docs).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("content")
     )
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    if own_cache:
+        remove_at_exit(spark, cache_path)
 
     def stored():
         rows = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == F.lit(version))
@@ -152,4 +158,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     misses = distinct.join(stored().select("content"), "content", "left_anti").withColumnRenamed("content", "missing")
     texts = keyed.join(misses.hint("shuffle_hash"), keyed.doc_id.eqNullSafe(misses.owner) & (keyed.content == misses.missing)).select("content", "text")
     texts.mapInArrow(_encode(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    return keyed.drop("text").join(stored(), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = materialize(stored(), "token-counts")
+    return keyed.drop("text").join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
