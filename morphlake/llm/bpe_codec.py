@@ -7,8 +7,9 @@ from the end of the word gives the ids. Two tokens may stand side by side if mer
 text would not cross their border before it has built both; that test walks down their merge trees.
 
 The codec covers files of the lower-casing word kind: NFC, white space as one blank, lower case,
-cut by a pattern that keeps no white space, bytes as characters, an end-of-word suffix. Words with
-characters that Unicode 3.2 does not know are left to the library, since versions differ on them.
+cut by a pattern that keeps no white space, bytes as characters, an end-of-word suffix. Text with
+characters that Unicode 3.2 does not know is normalised and cut by the library's own tables, since
+versions differ on them; its words are encoded like all others.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ class WordBpe:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.special_bytes = [x.encode() for x in added]
-        alphabet = byte_alphabet()
+        self.alphabet = alphabet = byte_alphabet()
 
         def plain(token: str) -> str:
             """Token as a string of one character a byte, END after its last if it ends a word."""
@@ -139,10 +140,12 @@ class WordBpe:
         text = chunk.decode()
         if not text.isascii() and any(unicodedata.ucd_3_2_0.category(c) == "Cn" for c in text):
             # Letters and digits are told apart by tables of other Unicode versions than the library's.
-            ids = self.library.encode(text, add_special_tokens=False).ids
+            cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            parts = ["".join(chr(self.alphabet[c]) for c in part) for part, _ in cut]
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each capital alone
-            ids = [i for part in self.pattern.findall(text) for i in self.word(part.encode().decode("latin-1"))]
+            parts = [part.encode().decode("latin-1") for part in self.pattern.findall(text)]
+        ids = [i for part in parts for i in self.word(part)]
         self.ids[chunk] = struct.pack(f"<{len(ids)}I", *ids)
         self.texts[chunk] = "".join(" " + self.piece[i] for i in ids).encode()
 
