@@ -6,8 +6,9 @@ largest response. The largest and the mean of these over the chunks pass through
 to one probability, so any length of text is read in full and in bounded memory.
 
 The network is fitted on the driver on a bounded sample of labelled rows: at most ``sample_rows``
-whole texts a class, none over ``sample_bytes`` bytes, in the order of a hash of the id. Classes are
-weighted back to their share among all training labels, so scores stay probabilities.
+whole texts a class, in the order of a hash of the id, as far as they fit into ``sample_bytes`` bytes
+together. A text is left out only if it does not fit into what is left of that. Classes are weighted
+back to their share among all training labels, so scores stay probabilities.
 """
 
 from __future__ import annotations
@@ -187,8 +188,12 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoc
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = 2000, sample_bytes: int = 65_536, seed: int = 7) -> Network | float:
-    """A network from the labelled rows outside fold 0; a constant where these have one class only."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = 2000, sample_bytes: int = 8 << 20, seed: int = 7) -> Network | float:
+    """A network from the labelled rows outside fold 0; a constant where these have one class only.
+
+    The driver holds the sample, ``sample_bytes`` a class at most, and some three times that while
+    it trains. Texts are measured before they are fetched.
+    """
     spark = docs.sparkSession
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -197,7 +202,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = 2
     picked = [(r["doc_id"], r["quality"]) for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
     ids = spark.createDataFrame(picked, f"label_id {known.schema['doc_id'].dataType.simpleString()}, quality int")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).where(F.octet_length("text") <= sample_bytes)
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+    sized = rows.groupBy("doc_id", "quality").agg(F.sum(F.octet_length("text")).alias("size"), F.min(F.xxhash64("doc_id")).alias("h"))  # a row a label, of which there are few
+    left, fitting = {0: sample_bytes, 1: sample_bytes}, []
+    for r in sorted(sized.collect(), key=lambda r: (r["h"], r["doc_id"])):
+        if r["size"] <= left[r["quality"]]:
+            left[r["quality"]] -= r["size"]
+            fitting.append((r["doc_id"],))
+    chosen = spark.createDataFrame(fitting, f"chosen_id {known.schema['doc_id'].dataType.simpleString()}")
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"), "left_semi")
     found = sorted((r["doc_id"], r["text"], r["quality"]) for r in rows.select("doc_id", "text", "quality").collect())
     y = np.array([q for _, _, q in found], np.float32)
     if len({*y}) < 2:
