@@ -3,6 +3,9 @@
 A batch is padded to the upper length of its bucket. Dynamic programming over the histogram of all
 lengths chooses the upper lengths that minimise the padding in total. Within a bucket, batches take
 as many documents as the token budget holds at the upper length.
+
+The histogram has an entry for each length that occurs, so it is as long as the longest text at
+most, and 16 bytes an entry reach the driver.
 """
 
 from __future__ import annotations
@@ -11,11 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize
 
-#: Lengths up to here have histogram entries of their own; longer ones are counted at the next of 64
-#: steps to each doubling, so the histogram stays small on any input.
-EXACT = 1 << 16
 #: Documents of a bucket that are numbered together, about.
 CHUNK = 4096
 
@@ -24,11 +24,6 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def _entry(length: Column) -> Column:
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)))) - 6)
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
     """Upper lengths of at most ``buckets`` buckets that give the least padding in total.
 
@@ -75,21 +70,22 @@ def pack(docs: DataFrame, budget: int = 8192, buckets: int = 16) -> DataFrame:
     Tokens are words. Null and blank texts have none and are padded like others. A document over the
     budget is a batch of its own; no document is split. Batches are formed within chunks of a bucket
     by a hash of the row, so buckets of any size are numbered in parallel; the last batch of a chunk
-    may be short. Repeated rows are packed each; an empty table gives no rows; other columns are not
-    read.
+    may be short, all others are full. Repeated rows are packed each; an empty table gives no rows;
+    other columns are not read. Texts are counted once and their lengths written out.
     """
-    rows = docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"))
-    histogram = {r["entry"]: r["count"] for r in rows.groupBy(_entry(F.col("n_tokens")).alias("entry")).count().collect()}
+    rows = materialize(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens")), "packing-lengths")
+    found = rows.groupBy("n_tokens").count().toArrow()
+    histogram = dict(zip(found["n_tokens"].to_pylist(), found["count"].to_pylist(), strict=True))
     upper = boundaries(histogram, buckets)
     bucket, chunks, fit = F.lit(None).cast("long"), F.lit(1), F.lit(1)
     for low, high in reversed(list(zip([-1, *upper], upper, strict=False))):
         total = sum(c for x, c in histogram.items() if low < x <= high)
         docs_each = max(1, budget // max(1, high))
-        inside = F.col("entry") <= high
+        inside = F.col("n_tokens") <= high
         bucket = F.when(inside, F.lit(high).cast("long")).otherwise(bucket)
         fit = F.when(inside, F.lit(docs_each)).otherwise(fit)
         chunks = F.when(inside, F.lit(max(1, total // (docs_each * -(-CHUNK // docs_each))))).otherwise(chunks)
-    placed = rows.withColumn("entry", _entry(F.col("n_tokens"))).select("doc_id", "n_tokens", bucket.alias("bucket_tokens"), fit.alias("fit"), F.pmod(F.xxhash64("doc_id", "n_tokens"), chunks.cast("long")).alias("chunk"))
+    placed = rows.select("doc_id", "n_tokens", bucket.alias("bucket_tokens"), fit.alias("fit"), F.pmod(F.xxhash64("doc_id", "n_tokens"), chunks.cast("long")).alias("chunk"))
     order = Window.partitionBy("bucket_tokens", "chunk").orderBy("doc_id", "n_tokens")
     number = F.floor((F.row_number().over(order) - 1) / F.col("fit"))
     return placed.select("doc_id", "n_tokens", "bucket_tokens", (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"), F.concat_ws("-", "bucket_tokens", "chunk", number).alias("batch_id"))
