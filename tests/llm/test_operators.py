@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -90,12 +91,93 @@ def test_quality_rules(docs, nothing, rows):
     assert quality_rules.keep_good(docs).columns == docs.columns
 
 
+def _votes(text):
+    """The nine rules again, on plain strings."""
+    text = text or ""
+    w = WORD.findall(text)
+    n, size = len(w), sum(map(len, w))
+    if n < 20:
+        return [0] * 9
+    letter = lambda c: unicodedata.category(c)[0] in "LM"
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    count = Counter(tuple(w[k : k + 8]) for k in range(n - 7))
+    covered = len({p for k in range(n - 7) if count[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)})
+    symbols, others = sum(c in "#*$%&|<>" for c in text), sum(not letter(c) and c not in " \t\n\v\f\r" for c in text)
+    capitals, shouts, near = len(re.findall("[A-ZÀ-ÖØ-Þ]{3}", text)), text.count("!"), sum(x == y for x, y in zip(w, w[1:], strict=False))
+    ends = sum(len(re.findall(r"[.?!。？！।۔](?=[\x20\x09-\x0D]|$)", text)) for _ in "x")
+    distinct, dup = len(set(w)), len(lines) - len(set(lines))
+    sides = [
+        (symbols / size > 0.06, symbols / size < 0.01), (others / size > 0.2, others / size < 0.07), (capitals / size > 0.05, capitals / size < 0.01), (shouts / n > 0.2, shouts / n < 0.02),
+        (near / n > 0.15, near / n < 0.03), (covered / n > 0.15, covered / n <= 0.02), (n <= 1000 and distinct * 3 < n or distinct * 20 < n, distinct * 2 > n), (dup * 3 > len(lines), dup == 0),
+        (ends * 2 > n or n >= 50 and ends * 200 < n, n < 50 * ends and ends * 5 < n),
+    ]
+    return [-1 if bad else int(good) for bad, good in sides]
+
+
+def _posteriors(votes, rounds=2000):
+    """Expectation-maximisation over documents instead of patterns, in numpy."""
+    v = np.array(votes)
+    kinds = [0, 0, 1, 1, 2, 2, 2, 2, None]
+    hope = np.array([[0.05] * 9, *[[0.3 if k is None else 0.8 if k == j else 0.1 for k in kinds] for j in range(3)]])
+    rates, shares = hope.copy(), np.array([0.9, 0.1 / 3, 0.1 / 3, 0.1 / 3])
+    voting = v[(v != 0).any(1)]
+    trust = max(1.0, 0.01 * len(voting))
+
+    def classes(v):
+        z = np.log(shares) + (v < 0) @ np.log(rates).T + (v > 0) @ np.log(1 - rates).T
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    for _ in range(rounds):
+        p = classes(voting)
+        bad, good = p.T @ (voting < 0), p.T @ (voting > 0)
+        rates, shares = (bad + trust * hope) / (bad + good + trust), (p.sum(0) + 1) / (len(voting) + 4)
+    return classes(v)[:, 0]
+
+
+def _junk_and_prose(spark, n=300):
+    """Prose, junk of three kinds, and prose that trips a single rule."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 9))))
+    prose = lambda m: " ".join(word() + ("." if k % 11 == 10 else "") for k in range(m))
+    out = []
+    for k in range(n):
+        base = prose(int(rng.integers(30, 200)))
+        junk = [" ".join(x + "###" for x in base.split()), " ".join(x.upper() + "!!" for x in base.split()), " ".join(" ".join([x] * 12) for x in base.split()[:40])]
+        out.append((k, junk[k // 10 % 3] if k % 10 == 9 else base + "\n" + base[: len(base) // 8] if k % 30 == 4 else base))
+    out += [(n, None), (n + 1, ""), (n + 2, "too short"), (5, out[5][1])]
+    return out, spark.createDataFrame(out, "doc_id long, text string")
+
+
+def test_rule_posteriors(spark):
+    """The model over patterns is that over documents; single bad votes are outweighed, joint ones are not."""
+    data, docs = _junk_and_prose(spark)
+    votes = [_votes(t) for _, t in data]
+    expected = _posteriors(votes)
+    found = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    for (i, _), p in zip(data, expected, strict=True):
+        assert abs(found[i]["posterior"] - p) < 1e-6 and found[i]["kept"] == (not found[i]["base_failed"] and p >= 0.5)
+    kept = [sum(x < 0 for x in v) for v, (i, _) in zip(votes, data, strict=True) if found[i]["kept"]]
+    dropped = [i for i, r in found.items() if not r["kept"]]
+    assert 1 in kept and {i for i, _ in data if i % 10 == 9 and i < 300} <= set(dropped) and len(dropped) < 40
+    good = sorted(r["doc_id"] for r in quality_rules.keep_good(docs).collect())
+    assert good == sorted(i for i, _ in data if found[i]["kept"])
+
+
 def test_rule_accuracies():
-    """Bad votes speak against a document and good votes for it; abstaining says nothing."""
-    code = lambda *votes: sum((v + 1) * 3**k for k, v in enumerate(votes))
-    _, weights = quality_rules.estimate({code(0, 0, 1): 900, code(-1, 0, 0): 80, code(0, -1, 0): 60, code(-1, -1, 0): 40}, n=3)
-    assert weights[0][0] < -1 and weights[1][0] < -1 and weights[2][2] > 0 and all(w[1] == 0 for w in weights)
-    assert quality_rules.estimate({})[1][0][1] == 0.0
+    """Expected rates hold without data; classes that are absent keep their meaning."""
+    shares, rates = quality_rules.estimate({})
+    assert rates == quality_rules.expected_rates()
+    code = sum(2 * 3**k for k in range(9))
+    shares, rates = quality_rules.estimate({code: 1000})
+    assert shares[0] > 0.95 and quality_rules.probability_of(code, (shares, rates)) > 0.99
+    assert quality_rules.probability_of(0, (shares, rates)) < 0.01
+
+
+def test_rules_stage_plan(spark, docs, nothing):
+    kept = quality_rules.keep_good(docs)
+    assert len(kept._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    assert quality_rules.keep_good(nothing).count() == 0 and kept.schema == docs.schema
 
 
 def test_cnn_pools_whole_texts():
@@ -276,38 +358,97 @@ def test_merged_transforms():
         assert n == common
 
 
+def _xx(seed, *values):
+    """Hash of longs, ints and strings, one seeding the next."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, seed)
+    return seed
+
+
+def _check(key):
+    return _xx(42, struct.pack("<Q", key & ~0xFFFF), "check") & 0xFFFF
+
+
+def _places_of(key, width):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [signed(_xx(42, struct.pack("<Q", key), struct.pack("<i", part), struct.pack("<i", width))) % width + width * part for part in range(3)]
+
+
+def _invert(fingerprint):
+    """All digests of a fingerprint, from its text alone, by peeling group after group."""
+    out = set()
+    for group in fingerprint.split(";"):
+        cells = [[int(n), int(x, 16)] if c else [0, 0] for c in group.split(",") for n, _, x in [c.partition(".")]]
+        while any(n for n, _ in cells):
+            key = next(x for n, x in cells if n == 1 and _check(x) == x & 0xFFFF)
+            out.add(key)
+            for at in _places_of(key, len(cells) // 3):
+                cells[at][0] -= 1
+                cells[at][1] ^= key
+        assert cells == [[0, 0]] * len(cells)
+    return out
+
+
+def _like(a, b):
+    return 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
+
+
 def test_iblt(docs, nothing, rows):
     order = sorted(((t or "", i) for i, t in rows), key=lambda x: x[0])
     order.sort(key=lambda x: -(x[1] if x[1] is not None else -(1 << 63)))
     out = {}
+    pieces = lambda x: set(re.findall(r"[^\n]{1,256}", x))
     for k, (t, i) in enumerate(order):
         n, other = len(t) // 3, order[(k + 1) % len(order)][0]
         edited = t[: len(t) - n] + other[:n]
-        pieces = lambda x: set(re.findall(r"[^\n]{1,256}", x))
         a, b, c = pieces(t), pieces(edited), pieces(other)
-        like = lambda x, y: 1.0 if not x and not y else 2 * len(x & y) / (len(x) + len(y))
-        out.setdefault(repr(i), []).append((len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(a, b), 9), round(like(a, c), 9)))
-    found = {}
+        out.setdefault(repr(i), []).append((len(t), hashlib.sha256(edited.encode()).hexdigest(), round(_like(a, b), 9), round(_like(a, c), 9)))
+    found, prints = {}, {}
     for r in iblt.fingerprints(docs).collect():
         found.setdefault(repr(r["doc_id"]), []).append((r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)))
+        prints.setdefault(repr(r["doc_id"]), []).append(r)
+        assert round(_like(_invert(r["fingerprint"]), _invert(r["edited_fingerprint"])), 9) == round(r["near_edited"], 9)
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in out.items()}
+    once = {i: t or "" for i, t in rows if len(prints[repr(i)]) == 1}
     by_text = {}
-    for r in iblt.fingerprints(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
-        by_text.setdefault(r["text"] or "", set()).add(r["fingerprint"])
+    for k, i in enumerate(sorted(once, key=lambda i: -(i if i is not None else -(1 << 63)))):
+        r = prints[repr(i)][0]
+        by_text.setdefault(once[i], set()).add(r["fingerprint"])
+        assert len(_invert(r["fingerprint"])) == len(pieces(once[i]))
+    assert all(len(x) == 1 for x in by_text.values()) and len({x for v in by_text.values() for x in v}) == len({frozenset(pieces(t)) for t in by_text})
     assert iblt.fingerprints(nothing).count() == 0
 
 
+def test_iblt_on_prose(spark):
+    """Likeness to the next document, too, follows from the fingerprint columns alone; ranges cut by size give the same neighbours."""
+    _, docs = _junk_and_prose(spark, 60)
+    docs = docs.where("doc_id < 60").dropDuplicates(["doc_id"])
+    found = {r["doc_id"]: r for r in iblt.fingerprints(docs).collect()}
+    ids = sorted(found, reverse=True)
+    for i, following in zip(ids, [*ids[1:], ids[0]], strict=True):
+        own = _invert(found[i]["fingerprint"])
+        assert round(_like(own, _invert(found[following]["fingerprint"])), 9) == round(found[i]["near_next"], 9)
+        assert round(_like(own, _invert(found[i]["edited_fingerprint"])), 9) == round(found[i]["near_edited"], 9)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for ranges, size in ((3, 64), (200, 1 << 20), (2, 1)):
+        neighbours = {r["doc_id"]: r["next_text"] for r in iblt.with_next(docs, ranges, size).collect()}
+        assert neighbours == {i: text[following] for i, following in zip(ids, [*ids[1:], ids[0]], strict=True)}
+
+
 def test_iblt_recovers_differences(spark):
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(4)
     data = [(k, rng.integers(0, 1 << 60, n).tolist(), rng.integers(0, 1 << 60, m).tolist()) for k, (n, m) in enumerate([(0, 0), (1, 0), (5, 5), (40, 3), (150, 160)])]
-    data = [(k, a + a[:0], b + a[: len(a) // 2]) for k, a, b in data]
+    data = [(k, a, b + a[: len(a) // 2]) for k, a, b in data]
     df = spark.createDataFrame(data, "k int, a array<long>, b array<long>")
     checked = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(iblt._check(x)))
     df = df.select("k", checked("a").alias("a"), checked("b").alias("b"))
-    for r in df.select("a", "b", iblt.difference(F.col("a"), F.col("b")).alias("d")).collect():
-        assert set(r["d"]["ours"]) == set(r["a"]) - set(r["b"]) and set(r["d"]["theirs"]) == set(r["b"]) - set(r["a"])
+    for r in df.select("a", "b", iblt.difference(F.col("a"), F.col("b")).alias("d"), iblt.recovered(F.col("a"), F.col("b")).alias("whole")).collect():
+        for side in (r["d"], r["whole"]["found"]):
+            assert set(side["ours"]) == set(r["a"]) - set(r["b"]) and set(side["theirs"]) == set(r["b"]) - set(r["a"])
+    sizes = [len(r["whole"]["cells"]) for r in df.select("k", iblt.recovered(F.col("a"), F.col("b")).alias("whole")).orderBy("k").collect()]
+    assert sizes[0] == sizes[1] == 12 < sizes[3] < sizes[4]  # larger sketches where smaller ones get stuck
 
 
 def test_packing(docs, nothing, rows):
@@ -408,6 +549,56 @@ def test_language_id(spark):
     assert {r["lang"] for r in language_id.identify(pages, labelled.limit(0)).collect()} == {None}
 
 
+def _fused(pages, langs, table):
+    """The fusion page by page: all sums run over the other pages."""
+    n = len(langs)
+    text, hosts, said = [], [], []
+    for _, url, source in pages:
+        found = language_id._buckets(language_id.visible_text(source))
+        sums = table[found].sum(0) * min(1.0, 40.0 / len(found)) if len(found) else np.zeros(n)
+        p = np.exp(sums - sums.max())
+        text.append(p / p.sum())
+        m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", (url or "").lower())
+        hosts.append(m[1].removesuffix(".") if m else "")
+        m = re.search(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", source or "", re.S | re.I)
+        said.append("none" if not m else m[1].lower() if m[1].lower() in langs else "other language")
+
+    def levels(host):
+        labels = host.split(".")
+        country = len(labels) > 2 and len(labels[-1]) == 2 and len(labels[-2]) <= 3
+        return labels[-1], ".".join(labels[-3:] if country else labels[-2:]), host
+
+    out = []
+    for k in range(len(pages)):
+        others = [j for j in range(len(pages)) if j != k]
+        prior = (sum((text[j] for j in others), np.zeros(n)) + 4.0 / n) / (len(others) + 4.0)
+        for level in range(3):
+            same = [j for j in others if levels(hosts[j])[level] == levels(hosts[k])[level]]
+            prior = (sum((text[j] for j in same), np.zeros(n)) + 4.0 * prior) / (len(same) + 4.0)
+        rate = np.array([(sum(text[j][x] for j in others if said[j] == said[k]) + (0.5 if said[k] == lang else 0.5 / (n + 1))) / (sum(text[j][x] for j in others) + 1.0) for x, lang in enumerate(langs)])
+        joint = np.maximum(text[k], 1e-12) * rate * np.maximum(prior, 1e-12)
+        out.append((langs[int(joint.argmax())], joint.max() / joint.sum()))
+    return out
+
+
+def test_language_id_fuses_all_evidence(spark):
+    rng = np.random.default_rng(6)
+    words = {"en": "the and of with that there".split(), "de": "der die und mit nicht eine".split(), "fr": "les une avec dans pour être".split()}
+    labelled = spark.createDataFrame([(lang, " ".join(w * 20)) for lang, w in words.items()], "lang string, text string")
+    hosts = ["http://a.example.co.uk/", "https://b.example.co.uk:80/x", "http://user@news.example.de/", "http://example.fr./", "http://www.other.com/", "", None, "nonsense"]
+    pages = []
+    for k in range(90):
+        lang = list(words)[int(rng.integers(3))]
+        said = [f' lang="{lang}"', "", " lang=zz", f" lang='{list(words)[int(rng.integers(3))]}'"][int(rng.integers(4))]
+        body = " ".join(rng.choice(words[lang], int(rng.integers(0, 9)))) if k % 9 else ""
+        pages.append((k, hosts[int(rng.integers(len(hosts)))], f"<html{said}><p>{body}</p></html>" if k % 13 else None))
+    langs, table = language_id.train(labelled)
+    expected = _fused(pages, langs, table)
+    out = {r["page_id"]: r for r in language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), labelled).collect()}
+    for (k, _, _), (lang, p) in zip(pages, expected, strict=True):
+        assert out[k]["lang"] == lang and abs(out[k]["probability"] - p) < 1e-9
+
+
 def test_language_id_learns_every_language(spark):
     """Also a rare one of more than 32, with its declarations; too many are refused."""
     letters = "bcdfghjklmnpqrstvwxz"
