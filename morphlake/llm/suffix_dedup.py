@@ -1,44 +1,53 @@
 """Removal of repeated byte strings through merged Burrows-Wheeler transforms.
 
 A byte goes if it lies in a string of WINDOW bytes that also starts earlier, in a document with a
-smaller id or before it in the same one. The work is cut so that equal strings always meet:
+smaller id or before it in the same one. What goes is decided by the merged transforms alone; hashes
+deal out the work so that equal strings always meet, and name strings that are byte for byte the same:
 
 1. Winnowing. Among the k-grams of a window the one with the smallest hash is its anchor, chosen by
    the window's bytes alone, so equal windows have equal anchors. Windows in a row with one anchor
-   are one context: the bytes they cover. Anchors that occur once in the corpus are dropped.
-2. Contexts with equal anchor and bytes are one: all but the first occurrence are repeats as a whole.
-   Where an anchor has one distinct context left, nothing more can repeat.
-3. The distinct contexts left are cut into slices of up to SLICE windows whose anchors lie alike, and
-   dealt out by the bytes that all windows of a slice have in common, so chance repeats of a k-gram
-   are alone and go. In each task the distinct slices form shards; each shard's Burrows-Wheeler transform is built by itself, and the transforms are merged by refining their
-   interleave: the order by h - 1 bytes and the transforms' letters give the order by h bytes. The
-   round in which two neighbours part is their common prefix; what stays together for WINDOW rounds
-   is a repeated string. Suffixes are sorted within their shard only, never again.
-4. Where more than CROWD distinct slices have these bytes in common, they are compared window by
-   window by a 128-bit hash in a grouped aggregation, so that no group needs to fit into one task.
-5. The intervals found are joined to their documents and cut out.
+   are one context: the bytes they cover. Contexts whose anchor occurs once in the corpus are dropped.
+2. Contexts of one anchor hash and one digest of their bytes are one string with a multiplicity; its
+   bytes are taken from the first of them. A string that is alone and occurs once is dropped.
+3. Strings whose anchor has no other string are dealt out whole, those that follow each other in one
+   document as one. The others are cut into slices of up
+   to SLICE windows whose anchors lie alike, and dealt out by the bytes that all windows of a slice
+   have in common, so chance repeats of a k-gram are alone and go. Where more than CROWD strings have
+   an anchor (the edges of a passage that very many documents hold), each of their windows is made a
+   string of its own first, so no group of strings needs to fit into one task.
+4. In each task the strings form shards; each shard's Burrows-Wheeler transform is built by itself, and
+   the transforms are merged by refining their interleave: the order by h - 1 bytes and the
+   transforms' letters give the order by h bytes. Only what can still be repeated is refined on: a
+   suffix alone in its interval is settled, as repeated if its string has a multiplicity, else as
+   not. What stays together for WINDOW rounds is a repeated string. Suffixes are sorted within their
+   shard only, never again.
+5. Of each interval all places but the first are cut. Strings with a multiplicity that were found
+   repeated as a whole are joined to their other places, and these are cut.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, materialize, remove
+from .common import Scratch, bounded_batches, materialize, release
 
 WINDOW, GRAM = 100, 24
 SPAN = WINDOW - GRAM + 1  # k-grams in a window
 PIECE = 1 << 22  # windows of a long text that are held at once
 SLICE = 20  # windows
-CROWD = 4096
+#: Strings of one anchor above which its windows become strings of their own; more in very large
+#: corpora, so that there are at most CROWDS such anchors, which every task is told (8 MB).
+CROWD, CROWDS = 4096, 1_000_000
 SHARD_BYTES, TASK_BYTES = 1 << 18, 1 << 22
+RUN = 4096  # windows of strings in a row that are dealt out as one
+PACKED = 7  # letters of nine bits in a sort key
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,48 +103,81 @@ def _anchor_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
 
 
+CONTEXT = "h long, c long, doc long, tie long, at long, windows long"
+
+
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    names = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[kind]) for x, (_, kind) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+
+
 def _contexts(batches):
     """A row for each context: anchor, digest of its bytes, document, first window, number of windows."""
-    names = ["h", "c", "doc", "at", "windows"]
     for batch in batches:
         parts = []
-        for doc, data in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
+        for doc, tie, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True):
             h, at, n = anchors(data)
             raw, digest = memoryview(data), xxhash.xxh3_64_intdigest
             c = np.array([digest(raw[s : s + m + WINDOW - 1]) for s, m in zip(at.tolist(), (n & 0xFFFF).tolist(), strict=True)], np.uint64).view(np.int64)
-            parts.append((h, c, np.full(len(h), doc, np.int64), at, n))
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
+            parts.append((h, c, np.full(len(h), doc, np.int64), np.full(len(h), tie, np.int64), at, n))
+        yield _batch([np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[]] * 6, CONTEXT)
 
 
-def _slices(batches):
-    """Slices of the contexts asked for (key, doc, at, data), from the documents joined with their lists.
+def _single_windows(crowded):
+    """As :func:`_contexts`, with each window in a context of a crowded anchor as a context of its own."""
 
-    Of equal slices in a batch all but the first are repeats; they come out as intervals without data.
-    """
+    def run(batches):
+        digest = xxhash.xxh3_64_intdigest
+        known = np.sort(np.array(crowded.value, np.int64))
+        for batch in batches:
+            out = [[] for _ in range(6)]
+            for doc, tie, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True):
+                h, at, n = anchors(data)
+                mine = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                raw = memoryview(data)
+                starts = [s for first, m in zip(at[mine].tolist(), (n[mine] & 0xFFFF).tolist(), strict=True) for s in range(first, first + m)]
+                for k, column in enumerate(([digest(raw[s : s + WINDOW], 1) for s in starts], [digest(raw[s : s + WINDOW], 2) for s in starts], [doc] * len(starts), [tie] * len(starts), starts, [1] * len(starts))):
+                    out[k] += column
+            yield _batch([np.array(x, np.uint64).view(np.int64) if k < 2 else x for k, x in enumerate(out)], CONTEXT)
+
+    return run
+
+
+STRINGS = "key long, doc long, tie long, at long, context long, windows array<int>, several boolean, data binary"
+
+
+def _strings(batches):
+    """Strings of the contexts asked for, from the documents joined with their lists: runs of contexts that
+    are alone with their anchors, with the numbers of their windows, and slices of the others.
+    ``context`` is where the context, or the first of a run, begins."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        rows: dict[tuple[int, bytes], tuple[int, int]] = {}
-        repeats = []
-        for doc, text, wanted in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            raw = text.tobytes()
-            for w in wanted:
+        out: list[tuple] = []
+
+        def close(doc, tie, raw, run):
+            if run:
+                at = run[0][0]
+                data = raw[at : run[-1][0] + run[-1][1] + WINDOW - 1]
+                out.append((digest(data) >> 1, doc, tie, at, at, [n for _, n in run], True, data))
+                run.clear()
+
+        for doc, tie, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            raw, run = text.tobytes(), []
+            for w in sorted(wanted, key=lambda w: w["at"]):
+                at, several = w["at"], w["several"]
                 far, n = w["windows"] >> 16, w["windows"] & 0xFFFF  # the anchor lies far - n + 1 to far bytes into the windows
-                p = w["at"] + far
+                if w["alone"]:  # and so several
+                    if run and (run[-1][0] + run[-1][1] != at or at + n - run[0][0] > RUN):
+                        close(doc, tie, raw, run)
+                    run.append((at, n))
+                    continue
+                p = at + far
                 for low in range((far - n + 1) // SLICE * SLICE, far + 1, SLICE):
                     first, last = p - min(far, low + SLICE - 1), p - max(far - n + 1, low)
-                    key = xxhash.xxh3_64_intdigest(raw[p - low : p - low - SLICE + 1 + WINDOW], low) >> 1
-                    slot, here = (key, raw[first : last + WINDOW]), (doc, first)
-                    known = rows.get(slot)
-                    if known is None:
-                        rows[slot] = here
-                    elif known != here:  # else a repeated row
-                        rows[slot], (d, a) = min(known, here), max(known, here)
-                        repeats.append((d, a, a + len(slot[1])))
-        keys, doc, at, data = [k for k, _ in rows], [d for d, _ in rows.values()], [a for _, a in rows.values()], [x for _, x in rows]
-        keys += [hash(r[:2]) >> 1 for r in repeats]
-        columns = [pa.array(keys, pa.int64()), pa.array(doc + [r[0] for r in repeats], pa.int64()), pa.array(at + [r[1] for r in repeats], pa.int64())]
-        columns += [pa.array([None] * len(rows) + [r[2] for r in repeats], pa.int64()), pa.array(data + [None] * len(repeats), pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "at", "stop", "data"])
+                    out.append((digest(raw[p - low : p - low - SLICE + 1 + WINDOW], low) >> 1, doc, tie, first, at, None, several, raw[first : last + WINDOW]))
+            close(doc, tie, raw, run)
+        yield _batch(list(zip(*out, strict=True)) if out else [[]] * 8, STRINGS)
 
 
 def shard_transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,213 +185,229 @@ def shard_transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     Letters are bytes plus one; 0 is an end. Ends sort before letters and among each other in the
     order of the strings. Suffixes are positions in the strings with their ends, one after another.
+    Suffixes are sorted by their first PACKED letters and then by doubling prefixes, as far as they
+    are not told apart yet.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
     ends = np.cumsum(sizes + 1) - 1
-    text = np.zeros(int(ends[-1]) + 1, np.uint16)
+    text = np.zeros(int(ends[-1]) + 1, np.int64)
     inner = np.ones(len(text), bool)
     inner[ends] = False
-    text[inner] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
-    rank = text.astype(np.int64) + len(strings)
-    rank[ends] = np.arange(len(strings))
-    left = np.repeat(ends, sizes + 1) - np.arange(len(text))  # letters before the end
-    width, order = 1, None
+    text[inner] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
+    owner = np.repeat(np.arange(len(strings)), sizes + 1)
+    left = ends[owner] - np.arange(len(text))  # letters before the end
+    packed = np.zeros(len(text), np.int64)
+    for k in range(PACKED):
+        packed = packed << 9 | np.where(left >= k, text[np.minimum(np.arange(len(text)) + k, len(text) - 1)], 0)
+    ended = np.where(left < PACKED, owner + 1, 0)
+    order = np.lexsort((ended, packed))
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (packed[order][1:] != packed[order][:-1]) | (ended[order][1:] > 0)
+    rank = np.empty(len(text), np.int64)  # place of the first suffix not told apart
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(len(text)), 0))
+    width = PACKED
     while True:
-        key = rank * (len(text) + len(strings) + 260) + np.where(left >= width, rank[np.minimum(np.arange(len(text)) + width, len(text) - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank = np.empty(len(text), np.int64)
-        rank[order] = new
-        width *= 2
-        if new[-1] == len(text) - 1:
+        open_at = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        if not len(open_at):
             break
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    before = text[np.maximum(order - 1, 0)].copy()
-    first = np.zeros(len(text), bool)
-    first[starts] = True
-    before[first[order]] = 0
+        suffix = order[open_at]
+        key = rank[suffix] * len(text) + rank[suffix + width]
+        by = np.argsort(key)
+        suffix, key = suffix[by], key[by]
+        order[open_at] = suffix
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        fresh[open_at[new]] = True
+        rank[suffix] = np.maximum.accumulate(np.where(new, open_at, 0))
+        width *= 2
+    before = text[np.maximum(order - 1, 0)].astype(np.uint16)
+    before[left[order] == sizes[owner[order]]] = 0
     return before, order
 
 
-def merge_transforms(transforms: list[np.ndarray], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of shard transforms by the first ``depth`` letters, and common prefixes.
+def merge_transforms(transforms: list[np.ndarray], weights: np.ndarray, depth: int, rows: np.ndarray | None = None, settle: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Refine the interleave of shard transforms by ``depth`` letters, as far as something is repeated.
 
-    Returns the shard of each place in the merged order, and for each place the length of the prefix
-    its suffix shares with the one before, ``depth`` if it is at least that.
+    ``weights`` has the multiplicity of the string of each row, all shards' rows one after another;
+    ``rows`` those whose suffixes are made longer, letter by letter towards the front, all if not given.
+    Returns the rows whose suffix then shares ``depth`` letters with another or has them more than
+    once, the interval of each, how many letters are still to come, and for every row the number of
+    letters, ``depth`` at most, that its suffix was seen to share. With ``settle``, a suffix alone in
+    its interval whose string has a multiplicity is returned at once, with letters to come.
     """
-    sizes = [len(t) for t in transforms]
-    kind = np.uint8 if len(transforms) <= 256 else np.uint16
     letters = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms)), sizes).astype(kind)
-    n_ends = sum(strings)
-    end_shard = np.repeat(np.arange(len(transforms)), strings).astype(kind)
-    lcp = np.full(len(letters), depth, np.int64)
-    lcp[0] = 0
-    block = np.zeros(len(letters), np.int32)
-    fresh = np.zeros(len(letters), bool)
+    follows = np.empty(len(letters), np.int32)  # row of the suffix that is one letter longer
+    at = 0
+    for t in transforms:
+        follows[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
+        at += len(t)
+    shared = np.zeros(len(letters), np.int16)
+    rows = np.arange(len(letters), dtype=np.int32) if rows is None else rows
+    interval, known, settled = np.zeros(len(rows), np.int32), 0, []
     for h in range(1, depth + 1):
-        in_order = np.empty(len(letters), np.uint16)
-        in_order[np.argsort(shard, kind="stable")] = letters
-        step = np.argsort(in_order, kind="stable")[n_ends:]  # letters of value 0 precede whole strings
-        c, b = in_order[step], block[step]
-        fresh[:n_ends] = True
-        fresh[n_ends] = True
-        fresh[n_ends + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-        lcp[fresh & (lcp == depth)] = h - 1
-        shard = np.concatenate([end_shard, shard[step]])
-        following = np.cumsum(fresh, dtype=np.int32)
-        if following[-1] == len(letters):
+        c = letters[rows]
+        by = np.argsort(c, kind="stable")[np.count_nonzero(c == 0) :]  # no letter precedes a whole string
+        rows, c, interval = follows[rows[by]], c[by], interval[by]
+        if not len(rows):
             break
-        block = following
-    return shard, lcp
-
-
-def repeated_starts(groups: list[list[bytes]], depth: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of the strings that share ``depth`` letters with another, as positions and block numbers.
-
-    ``groups`` are the shards, lists of strings. Positions count through all strings of all shards,
-    each with an end after it.
-    """
-    both = [shard_transform(strings) for strings in groups]
-    shard, lcp = merge_transforms([b for b, _ in both], [len(s) for s in groups], depth)
-    offsets = np.cumsum([0] + [len(b) for b, _ in both])[:-1]
-    suffix = np.empty(len(shard), np.int64)
-    suffix[np.argsort(shard, kind="stable")] = np.concatenate([order + at for (_, order), at in zip(both, offsets, strict=True)])
-    together = lcp >= depth
-    member = together | np.append(together[1:], False)
-    return suffix[member], np.cumsum(~together)[member]
-
-
-def _repeats(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-    """(doc, from, to) of the windows, in contexts (doc, at, data), that also start earlier."""
-    shards: list[list[bytes]] = [[]]
-    held = 0
-    for _, _, data in rows:
-        if held > SHARD_BYTES:
+        fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (interval[1:] != interval[:-1])])
+        starts = np.flatnonzero(fresh)
+        n = np.diff(np.append(starts, len(rows)))
+        total = np.add.reduceat(weights[rows], starts)
+        if settle:
+            single = starts[(n == 1) & (total > 1)]
+            settled.append((rows[single], np.arange(known, known - len(single), -1) - 1, np.full(len(single), depth - h)))
+            known -= len(single)
+            total[n == 1] = 0
+        repeated = np.repeat(total > 1, n)
+        rows, interval = rows[repeated], np.cumsum(fresh, dtype=np.int32)[repeated]
+        shared[rows] = h
+    settled.append((rows, interval, np.zeros(len(rows), np.int64)))
+    return (*(np.concatenate(x) for x in zip(*settled, strict=True)), shared)
+
+
+def repeated_places(strings: list[bytes], weights: list[int], depth: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, offset and interval of each suffix that has ``depth`` letters more than once, counting multiplicities."""
+    shards, held = [[]], 0
+    for data in strings:
+        if held > shard_bytes:
             shards.append([])
             held = 0
         shards[-1].append(data)
         held += len(data) + 1
-    suffix, block = repeated_starts(shards)
-    if not len(suffix):
+    both = [shard_transform(x) for x in shards]
+    offsets = np.cumsum([0] + [len(b) for b, _ in both])
+    suffix = np.concatenate([order + at for (_, order), at in zip(both, offsets, strict=False)])
+    sizes = np.array([len(s) + 1 for s in strings])
+    begins = np.cumsum(sizes) - sizes
+    of_suffix = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+    of_row = of_suffix[suffix]
+    # Suffixes with less than ``depth`` letters before them never get so many.
+    rows = np.flatnonzero(suffix - begins[of_row] >= depth).astype(np.int32)
+    rows, interval, ahead, _ = merge_transforms([b for b, _ in both], np.array(weights, np.int64)[of_row], depth, rows, True)
+    return of_row[rows], suffix[rows] - ahead - begins[of_row[rows]], interval
+
+
+FOUND = "doc long, tie long, start long, stop long, context long"
+
+
+def _repeats(strings: dict[bytes, list[tuple]]) -> Iterator[tuple]:
+    """Rows FOUND of strings, each with its places (doc, tie, at, context, windows, several).
+
+    A row without a context is an interval to cut. One with a context says how many windows of it
+    (``stop``), a string that has other places too, were found repeated.
+    """
+    places = [list({x[:3]: x for x in v}.values()) for v in strings.values()]  # repeated rows have equal places
+    weights = [min(2, len(p) + any(x[5] for x in p)) for p in places]
+    string, offset, interval = repeated_places(list(strings), weights)
+    if not len(string):
         return
-    sizes = np.array([len(d) + 1 for _, _, d in rows])
+    flat = [x for p in places for x in p]
+    doc, tie, at = (np.array(x) for x in zip(*(x[:3] for x in flat), strict=True))
+    sizes = np.array([len(p) for p in places])
     begins = np.cumsum(sizes) - sizes
-    owner = np.searchsorted(begins, suffix, side="right") - 1
-    doc = np.array([d for d, _, _ in rows], np.int64)[owner]
-    at = np.array([a for _, a, _ in rows], np.int64)[owner] + suffix - begins[owner]
-    order = np.lexsort((at, doc, block))
-    later = np.concatenate([[False], block[order][1:] == block[order][:-1]])
-    doc, at = doc[order][later], at[order][later]
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
+    n = sizes[string]
+    place, offset = np.repeat(begins[string] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(offset, n)
+    start, interval = at[place] + offset, np.repeat(interval, n)
+    # Contexts with a multiplicity, each from its offset in its place on.
+    parts = [(k, *part) for k, x in enumerate(flat) if x[5] for part in zip(np.cumsum([0, *(x[4] or [0])[:-1]]).tolist(), np.cumsum([x[3], *(x[4] or [0])[:-1]]).tolist(), strict=True)]
+    if parts:
+        of, first, context = (np.array(x) for x in zip(*parts, strict=True))
+        mine = np.array([x[5] for x in flat])[place]
+        which = np.searchsorted(of << 20 | first, place[mine] << 20 | offset[mine], side="right") - 1
+        found = np.bincount(which, minlength=len(of))
+        hit = np.flatnonzero(found)
+        yield from zip(doc[of[hit]].tolist(), tie[of[hit]].tolist(), [0] * len(hit), found[hit].tolist(), context[hit].tolist(), strict=True)
+    order = np.lexsort((start, tie[place], doc[place], interval))
+    later = np.concatenate([[False], interval[order][1:] == interval[order][:-1]])
+    place, start = place[order][later], start[order][later]
+    order = np.lexsort((start, tie[place], doc[place]))
+    doc, tie, start = doc[place][order], tie[place][order], start[order]
     if len(doc):
-        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)]))
+        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] > start[:-1] + 1)]))
         last = np.append(cut[1:], len(doc)) - 1
-        yield from zip(doc[cut].tolist(), at[cut].tolist(), (at[last] + WINDOW).tolist(), strict=True)
+        yield from ((*x, None) for x in zip(doc[cut].tolist(), tie[cut].tolist(), start[cut].tolist(), (start[last] + WINDOW).tolist(), strict=True))
 
 
 def _merge_task(batches):
-    """Slices sorted by key in, intervals out; keys are taken together up to TASK_BYTES.
+    """STRINGS sorted by key in, FOUND out; keys are taken together up to TASK_BYTES.
 
-    Intervals that come in pass through. Slices beyond CROWD of one key come out as windows.
+    A key whose only string has one place and no others is dropped.
     """
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-    def batch_of(rows):
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["doc", "start", "stop", "w"])
-
-    def windows(doc, at, data):
-        return [(doc, at + i, at + i + WINDOW, hashlib.blake2b(data[i : i + WINDOW], digest_size=16).digest()) for i in range(len(data) - WINDOW + 1)]
-
-    ready: list[tuple[int, int, bytes]] = []
+    ready: dict[bytes, list[tuple]] = {}
+    group: dict[bytes, list[tuple]] = {}
     out: list[tuple] = []
-    group: dict[bytes, tuple[int, int]] = {}
-    held, last, crowd = 0, None, False
+    held, last = 0, None
 
     def close():
         nonlocal held
-        if len(group) > 1:
-            ready.extend((d, a, x) for x, (d, a) in group.items())
-            held += sum(len(x) + 1 for x in group)
+        if len(group) > 1 or any(len(v) > 1 or v[0][5] for v in group.values()):
+            for data, places in group.items():
+                if data in ready:
+                    ready[data] += places
+                else:
+                    ready[data] = places
+                    held += len(data) + 1
         group.clear()
 
     for batch in batches:
-        for key, doc, at, stop, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if data is None:
-                out.append((doc, at, stop, None))
-                continue
+        columns = [batch.column(k).to_pylist() for k in range(8)]
+        for key, doc, tie, at, context, windows, several, data in zip(*columns, strict=True):
             if key != last:
                 close()
-                last, crowd = key, False
+                last = key
                 if held > TASK_BYTES:
-                    out += [(*x, None) for x in _repeats(ready)]
-                    ready, held = [], 0
-            if crowd:
-                out += windows(doc, at, data)
-            elif (known := group.get(data)) == (doc, at):
-                continue  # a repeated row
-            elif known is not None:
-                group[data], (d, a) = min(known, (doc, at)), max(known, (doc, at))
-                out.append((d, a, a + len(data), None))
-            else:
-                group[data] = (doc, at)
-                if len(group) > CROWD:
-                    crowd = True
-                    for x, (d, a) in group.items():
-                        out += windows(d, a, x)
-                    group.clear()
-            if len(out) > 50_000:
-                yield batch_of(out)
-                out = []
+                    out += _repeats(ready)
+                    ready, held = {}, 0
+                if len(out) > 50_000:
+                    yield _batch(list(zip(*out, strict=True)), FOUND)
+                    out = []
+            group.setdefault(data, []).append((doc, tie, at, context, windows, several))
     close()
     if ready:
-        out += [(*x, None) for x in _repeats(ready)]
-    yield batch_of(out)
-
-
-def _let_go(spark) -> None:
-    """Let Spark delete the shuffle files of jobs whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """doc, start and stop of byte intervals that cover exactly the bytes to remove; they may overlap."""
-    spark = docs.sparkSession
-    named = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null").where(F.octet_length("text") >= WINDOW)
-    known = named.select("text").mapInArrow(_anchor_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    contexts = named.mapInArrow(_contexts, "h long, c long, doc long, at long, windows long")
-    path = fresh_path(spark, "suffix-contexts")
-    contexts.join(known, "h", "left_semi").write.parquet(path)
-    _let_go(spark)
-    shared = spark.read.parquet(path)
-    place = F.struct("doc", "at")
-    n_windows = F.col("windows").bitwiseAND(F.lit(0xFFFF))
-    firsts_path = fresh_path(spark, "suffix-firsts")
-    shared.groupBy("h", "c").agg(F.min(F.struct("doc", "at", "windows")).alias("first"), F.count("*").alias("n")).write.parquet(firsts_path)
-    _let_go(spark)
-    firsts = spark.read.parquet(firsts_path)
-    several = firsts.where("n > 1").select("h", "c", F.struct("first.doc", "first.at").alias("first"))
-    whole = shared.join(several, ["h", "c"]).where(place != F.col("first")).select("doc", F.col("at").alias("start"), (F.col("at") + n_windows + WINDOW - 1).alias("stop"))
-    varied = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = firsts.join(varied, "h", "left_semi").select("first.*")
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "windows")).alias("wanted")).withColumnRenamed("doc", "of")
-    joined = named.join(lists.hint("shuffle_hash"), F.col("doc") == F.col("of")).select("doc", "text", "wanted")
-    slices = joined.mapInArrow(_slices, "key long, doc long, at long, stop long, data binary")
-    merged_path = fresh_path(spark, "suffix-merged")
-    slices.repartition("key").sortWithinPartitions("key").mapInArrow(_merge_task, "doc long, start long, stop long, w binary").write.parquet(merged_path)
-    _let_go(spark)
-    merged = spark.read.parquet(merged_path)
-    crowd = merged.where("w is not null")
-    earliest = crowd.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
-    alone = crowd.join(earliest, "w").where(F.struct("doc", "start") != F.col("first")).select("doc", "start", "stop")
-    found = materialize(whole.union(merged.where("w is null").drop("w")).union(alone), "suffix-intervals")
-    for done in (path, firsts_path, merged_path):
-        remove(spark, done)
-    _let_go(spark)
+        out += _repeats(ready)
+    yield _batch(list(zip(*out, strict=True)) if out else [[]] * 5, FOUND)
+
+
+def tie_of(docs: DataFrame, key: str) -> Column:
+    """What tells texts of one ``key`` apart: a hash of the text, or zero if no key has several texts."""
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    hashes = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias("low"), F.max(text).alias("high"))
+    return F.lit(0).cast("long") if hashes.where("low <> high").isEmpty() else text
+
+
+def repeated_intervals(named: DataFrame) -> DataFrame:
+    """doc, tie, start and stop of byte intervals of (doc, tie, text) that cover exactly the bytes to remove; they may overlap."""
+    spark = named.sparkSession
+    named = bounded_batches(named).where("doc is not null").where(F.octet_length("text") >= WINDOW)
+    own = Scratch()
+    known = own.write(named.select("text").mapInArrow(_anchor_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("all")).where("all > 1"), "suffix-anchors")
+    shared = own.write(named.select("doc", "tie", "text").mapInArrow(_contexts, CONTEXT).join(known, "h"), "suffix-contexts")
+    release(spark)
+    first = F.min(F.struct("doc", "tie", "at", "windows")).alias("first")
+    strings = own.write(shared.groupBy("h", "c").agg(first, F.count("*").alias("n"), F.max("all").alias("all")), "suffix-strings")
+    release(spark)
+    most = max(CROWD, strings.count() // CROWDS)
+    crowded = [r["h"] for r in strings.where("n < all").groupBy("h").count().where(F.col("count") > most).select("h").collect()]
+    shared = shared.drop("all")
+    if crowded:
+        told = spark.createDataFrame([(h,) for h in crowded], "h long")
+        windows = own.write(named.select("doc", "tie", "text").mapInArrow(_single_windows(spark.sparkContext.broadcast(crowded)), CONTEXT), "suffix-windows")
+        single = windows.groupBy("h", "c").agg(first, F.count("*").alias("n")).where("n > 1").withColumn("all", F.col("n"))
+        strings = own.write(strings.join(F.broadcast(told), "h", "left_anti").unionByName(single), "suffix-crowd")
+        shared = shared.join(F.broadcast(told), "h", "left_anti").unionByName(windows)
+    one = F.struct("first.at", "first.windows", (F.col("n") > 1).alias("several"), (F.col("n") == F.col("all")).alias("alone"))
+    lists = strings.groupBy(F.col("first.doc").alias("of"), F.col("first.tie").alias("of_tie")).agg(F.collect_list(one).alias("wanted"))
+    joined = named.join(lists.hint("shuffle_hash"), (F.col("doc") == F.col("of")) & (F.col("tie") == F.col("of_tie"))).select("doc", "tie", "text", "wanted")
+    merged = own.write(joined.mapInArrow(_strings, STRINGS).repartition("key").sortWithinPartitions("key").mapInArrow(_merge_task, FOUND), "suffix-merged")
+    release(spark)
+    confirmed = merged.where("context is not null").groupBy("doc", "tie", F.col("context").alias("at")).agg(F.sum("stop").alias("windows"))
+    several = strings.where("n > 1").select("h", "c", "first.doc", "first.tie", "first.at", F.col("first.windows").bitwiseAND(F.lit(0xFFFF)).alias("windows"))
+    several = own.write(several.join(confirmed, ["doc", "tie", "at", "windows"]).select("h", "c", F.struct("doc", "tie", "at").alias("first"), "windows"), "suffix-several")
+    others = shared.select("h", "c", "doc", "tie", "at").join(several, ["h", "c"]).where(F.struct("doc", "tie", "at") != F.col("first"))
+    others = others.select("doc", "tie", F.col("at").alias("start"), (F.col("at") + F.col("windows") + WINDOW - 1).alias("stop"))
+    found = materialize(others.union(merged.where("context is null").drop("context")), "suffix-intervals")
+    own.clear()
+    release(spark)
     return found
 
 
@@ -370,15 +428,18 @@ def _cut(data: np.ndarray, spans: list[dict] | None) -> tuple[bytes, int, int]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    spans = repeated_intervals(docs).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).withColumnRenamed("doc", "of")
-    return docs.join(spans.hint("shuffle_hash"), F.col("own_id") == F.col("of"), "left")
+    """``docs`` (own_id, text, ...) with spans, the intervals to cut out of each text."""
+    rows = docs.withColumn("own_tie", tie_of(docs, "own_id"))
+    named = rows.select(F.col("own_id").alias("doc"), F.col("own_tie").alias("tie"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    spans = repeated_intervals(named).groupBy(F.col("doc").alias("of"), F.col("tie").alias("of_tie")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return rows.join(spans.hint("shuffle_hash"), (F.col("own_id") == F.col("of")) & (F.col("own_tie") == F.col("of_tie")), "left")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text).
 
-    Null texts count as empty. Rows of one id and equal text are one document, each returned. Rows
-    without an id have no place in the order and keep all their bytes. Texts under WINDOW bytes keep
+    Null texts count as empty. Rows of one id and equal text are one document, each returned; other
+    texts of an id are documents of their own, in the order of a hash. Rows without an id have no place in the order and keep all their bytes. Texts under WINDOW bytes keep
     theirs. An empty table gives no rows; other columns are not read.
     """
 
