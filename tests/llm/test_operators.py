@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -310,9 +311,10 @@ def test_pipeline_near_dedup(spark):
 
 
 def _dedup(rows):
-    order = sorted({(i, t or "") for i, t in rows if i is not None})
+    signed = lambda t: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), 42)))[0]
+    order = sorted({(i, signed(t or ""), t or "") for i, t in rows if i is not None})
     seen, out = set(), {}
-    for i, t in order:
+    for i, _, t in order:
         b = t.encode()
         gone = bytearray(len(b))
         for s in range(len(b) - 99):
@@ -324,38 +326,123 @@ def _dedup(rows):
     return out
 
 
-@pytest.mark.parametrize("crowd", [4096, 1])
-def test_suffix_dedup(docs, nothing, rows, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+def _expected_dedup(rows):
     by = _dedup(rows)
-
-    def expected(i, t):
+    out = []
+    for i, t in rows:
         n, removed, spans, kept = by.get((i, t or ""), (len((t or "").encode()), 0, 0, (t or "").encode()))
-        return i, n, removed, spans, hashlib.sha256(kept).hexdigest()
+        out.append((i, n, removed, spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+DEDUP = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _passages(rng, n):
+    """Documents of passages that many share, near copies, and texts of one id."""
+    letters = list("abcdefgh     ")
+    prose = lambda m: "".join(rng.choice(letters, m))
+    common = [prose(int(rng.integers(90, 400))) for _ in range(4)]
+    out = []
+    for k in range(n):
+        t = prose(int(rng.integers(0, 300))) + common[int(rng.integers(4))] + prose(int(rng.integers(0, 200)))
+        out.append((k, t))
+        if k % 5 == 0:
+            at = int(rng.integers(len(t)))
+            out.append((k + 1000, t[:at] + "X" + t[at:]))
+        if k % 7 == 0:
+            out.append((k, t[: len(t) // 2] + prose(50)))
+    out += [(2000, "ab" * 400), (2001, "ab" * 400), (2002, common[0] * 3), (3, None), (3, "")]
+    return out
 
-    found = pairs(suffix_dedup.deduplicate(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert found == sorted((expected(i, t) for i, t in rows), key=repr)
+
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_suffix_dedup(spark, docs, nothing, rows, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    assert pairs(suffix_dedup.deduplicate(docs), *DEDUP) == _expected_dedup(rows)
+    shared = _passages(np.random.default_rng(crowd), 60)
+    assert pairs(suffix_dedup.deduplicate(spark.createDataFrame(shared, "doc_id long, text string").repartition(4)), *DEDUP) == _expected_dedup(shared)
     if crowd > 1:
         assert suffix_dedup.deduplicate(nothing).count() == 0
         cut = suffix_dedup.cut_repeats(docs)
         assert cut.columns == docs.columns and cut.count() == len(rows)
 
 
+def test_suffix_dedup_in_pieces(spark, monkeypatch):
+    """Texts above PIECE, small shards and tasks give the same result; without the merge nothing goes."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 2000)
+    shared = _passages(np.random.default_rng(5), 40)
+    shared += [(3000, " ".join(t or "" for _, t in shared[:20])), (3001, "q" * 9000)]
+    df = spark.createDataFrame(shared, "doc_id long, text string").repartition(4)
+    expected = _expected_dedup(shared)
+
+    def in_parts(name, value):
+        """Settings that Python workers read: the module's functions are run in this process."""
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, name, value)
+            data = np.frombuffer(shared[-2][1].encode(), np.uint8)
+            return [x.tolist() for x in suffix_dedup.anchors(data)]
+
+    whole = in_parts("PIECE", 1 << 22)
+    h, at, n = in_parts("PIECE", 500)
+    covered = lambda at, n: sorted(p for s, m in zip(at, n, strict=True) for p in range(s, s + (m & 0xFFFF)))
+    assert covered(at, n) == covered(whole[1], whole[2]) and set(whole[0]) <= set(h)
+    assert pairs(suffix_dedup.deduplicate(df), *DEDUP) == expected
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*[(k // 3, k, 0, 5, 5, None, False, data) for k, data in enumerate([b"a" * 150, b"b" * 120, b"a" * 130, b"c" * 140, b"c" * 100, b"d" * 100])], strict=True)], names=list("abcdefgh"))]
+    large = [b.to_pylist() for b in suffix_dedup._merge_task(batches)]
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", 10)
+    assert [b.to_pylist() for b in suffix_dedup._merge_task(batches)] == large
+    monkeypatch.setattr(suffix_dedup, "merge_transforms", lambda *a: (np.zeros(0, np.int64),) * 4)
+    assert not any(len(b) for b in suffix_dedup._merge_task(batches))
+
+
+def test_only_the_merge_removes(spark, monkeypatch):
+    shared = _passages(np.random.default_rng(8), 20)
+    df = spark.createDataFrame(shared, "doc_id long, text string")
+
+    def nothing_merged(batches):
+        for _ in batches:
+            pass
+        yield suffix_dedup._batch([[]] * 5, suffix_dedup.FOUND)
+
+    monkeypatch.setattr(suffix_dedup, "_merge_task", nothing_merged)
+    assert {r["n_removed"] for r in suffix_dedup.deduplicate(df).collect()} == {0}
+
+
 def test_merged_transforms():
-    """The merge of shard transforms has the order and common prefixes of all suffixes sorted together."""
+    """Intervals, common prefixes and repeats are those of all suffixes compared with each other."""
     rng = np.random.default_rng(2)
-    groups = [[bytes(rng.integers(97, 99, int(rng.integers(0, 30)), dtype=np.uint8)) for _ in range(6)] for _ in range(4)]
+    groups = [[bytes(rng.integers(97, 99, int(rng.integers(1, 30)), dtype=np.uint8)) for _ in range(6)] for _ in range(4)]
+    weights = rng.integers(1, 3, 24).tolist()
     both = [suffix_dedup.shard_transform(g) for g in groups]
-    shard, lcp = suffix_dedup.merge_transforms([b for b, _ in both], [len(g) for g in groups], 40)
-    taken = [iter(order.tolist()) for _, order in both]
-    texts = [[(g, i, s) for i, s in enumerate(strings)] for g, strings in enumerate(groups)]
-    suffixes = [[(g, i, s[k:]) for g, i, s in shard_texts for k in range(len(s) + 1)] for shard_texts in texts]
-    merged = [suffixes[s][next(taken[s])] for s in shard.tolist()]
-    key = lambda x: ([c + 1000 for c in x[2]] + [x[0] * 10 + x[1]])
-    assert merged == sorted(merged, key=key)
-    for a, b, n in zip(merged, merged[1:], lcp[1:].tolist(), strict=False):
-        common = next((k for k, (x, y) in enumerate(zip(a[2], b[2], strict=False)) if x != y), min(len(a[2]), len(b[2])))
-        assert n == common
+    strings = [s for g in groups for s in g]
+    for (before, order), g in zip(both, groups, strict=True):
+        text = b"".join(s + b"\0" for s in g)
+        starts = np.cumsum([0] + [len(s) + 1 for s in g])[:-1]
+        key = lambda p: (text[p:].split(b"\0")[0], int(np.searchsorted(starts, p, side="right")))
+        assert [key(p) for p in order.tolist()] == sorted(key(p) for p in range(len(text)))
+        assert before.tolist() == [0 if p in starts else text[p - 1] + 1 for p in order.tolist()]
+    suffixes = [(i, k) for i, s in enumerate(strings) for k in range(len(s) + 1)]
+    offsets = np.cumsum([0] + [len(b) for b, _ in both])
+    of_row = [suffixes[p + at] for (_, order), at in zip(both, offsets, strict=False) for p in order.tolist()]
+    depth = 7
+    rows, interval, _, shared = suffix_dedup.merge_transforms([b for b, _ in both], np.array([weights[i] for i, _ in of_row]), depth)
+    times = Counter()
+    for i, k in suffixes:
+        for h in range(1, depth + 1):
+            if k + h <= len(strings[i]):
+                times[strings[i][k : k + h]] += weights[i]
+    longest = [max((h for h in range(1, depth + 1) if k + h <= len(strings[i]) and times[strings[i][k : k + h]] > 1), default=0) for i, k in of_row]
+    assert shared.tolist() == longest
+    texts = [strings[i][k : k + depth] for i, k in (of_row[r] for r in rows.tolist())]
+    assert sorted(rows.tolist()) == [r for r, h in enumerate(longest) if h == depth] and texts == sorted(texts, key=lambda x: list(x))
+    assert [a == b for a, b in zip(texts, texts[1:], strict=False)] == [a == b for a, b in zip(interval.tolist(), interval[1:].tolist(), strict=False)]
+    string, offset, settled = suffix_dedup.repeated_places(strings, weights, depth, 40)
+    assert sorted(zip(string.tolist(), offset.tolist(), strict=True)) == sorted(of_row[r] for r in rows.tolist())
+    by = {}
+    for i, k, group in zip(string.tolist(), offset.tolist(), settled.tolist(), strict=True):
+        by.setdefault(group, set()).add(strings[i][k : k + depth])
+    assert all(len(x) == 1 for x in by.values()) and len(by) == len(set(texts))
 
 
 def _xx(seed, *values):
