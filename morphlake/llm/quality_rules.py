@@ -20,6 +20,9 @@ from .common import materialize, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
+#: Characters of words that are not letters, and marks that end a sentence by themselves or before a blank or line end.
+OTHERS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»–—…“”„•·©®™°±×"
+ENDS, SPACED_ENDS = "。？！।۔", ".?!"
 #: Shorter texts fail outright, and every rule abstains on them.
 MIN_WORDS = 20
 
@@ -63,7 +66,8 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     chars = F.length(text)
     without = lambda drop: chars - F.length(F.translate(text, drop, ""))
-    found = lambda regex: F.regexp_count(text, F.lit(regex)).cast("long")
+    pairs = [chars - F.length(F.replace(text, F.lit(mark + after), F.lit(after))) for mark in SPACED_ENDS for after in " \n"]
+    ends = sum(pairs, without(ENDS)) + F.right(text, F.lit(1)).isin(*SPACED_ENDS).cast("int")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
     def counts(array: Column) -> Column:
@@ -82,9 +86,9 @@ def measured(docs: DataFrame) -> DataFrame:
             _let(words(text), counts).alias("w"),
             without(SYMBOLS).cast("long").alias("n_symbols"),
             (chars - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
-            found("[A-ZÀ-ÖØ-Þ]{3}").alias("n_capitals"),
-            found(r"[^\p{L}\p{M}\x20\x09-\x0D]").alias("n_others"),
-            found(r"[.?!。？！।۔](?=[\x20\x09-\x0D]|$)").alias("n_ends"),
+            F.regexp_count(text, F.lit("[A-ZÀ-ÖØ-Þ]{3}")).cast("long").alias("n_capitals"),
+            without(OTHERS).cast("long").alias("n_others"),
+            ends.cast("long").alias("n_ends"),
             _let(lines, lambda array: F.struct(F.size(array).cast("long").alias("n"), (F.size(array) - F.size(F.array_distinct(array))).cast("long").alias("dup"))).alias("lines"),
         ), lambda x: x),
     )

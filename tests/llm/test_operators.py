@@ -5,7 +5,6 @@ import itertools
 import math
 import re
 import struct
-import unicodedata
 import zlib
 from collections import Counter
 
@@ -99,13 +98,12 @@ def _votes(text):
     n, size = len(w), sum(map(len, w))
     if n < 20:
         return [0] * 9
-    letter = lambda c: unicodedata.category(c)[0] in "LM"
     lines = [x for x in text.split("\n") if WORD.search(x)]
     count = Counter(tuple(w[k : k + 8]) for k in range(n - 7))
     covered = len({p for k in range(n - 7) if count[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)})
-    symbols, others = sum(c in "#*$%&|<>" for c in text), sum(not letter(c) and c not in " \t\n\v\f\r" for c in text)
+    symbols, others = sum(c in "#*$%&|<>" for c in text), sum(c in "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»–—…“”„•·©®™°±×" for c in text)
     capitals, shouts, near = len(re.findall("[A-ZÀ-ÖØ-Þ]{3}", text)), text.count("!"), sum(x == y for x, y in zip(w, w[1:], strict=False))
-    ends = sum(len(re.findall(r"[.?!。？！।۔](?=[\x20\x09-\x0D]|$)", text)) for _ in "x")
+    ends = len(re.findall(r"[.?!](?=[ \n]|\Z)", text)) + sum(c in "。？！।۔" for c in text)
     distinct, dup = len(set(w)), len(lines) - len(set(lines))
     sides = [
         (symbols / size > 0.06, symbols / size < 0.01), (others / size > 0.2, others / size < 0.07), (capitals / size > 0.05, capitals / size < 0.01), (shouts / n > 0.2, shouts / n < 0.02),
