@@ -81,25 +81,32 @@ def drop_auxiliaries(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~F.split_part(t, F.lit("/"), F.lit(2)).isin(*T.AUXILIARY_TAGS) | t.isin(*T.AUXILIARY_WORDS))
 
 
-def _windows(tokens: Column, low: int, high: int, make) -> Column:
-    """``make`` of every run of low..high tokens, by place and then by length; nulls are left out."""
-    no_sizes = F.array().cast("array<int>")
+def _from(array: Column, place: int) -> Column:
+    """The elements from ``place`` on."""
+    return F.slice(array, place + 1, F.size(array)) if place else array
 
-    def of(array: Column) -> Column:
-        def at(place: Column) -> Column:
-            longest = F.least(F.lit(high), F.size(array) - place)
-            sizes = F.when(longest >= low, F.sequence(F.lit(low), longest)).otherwise(no_sizes)
-            return F.transform(sizes, lambda n: let(F.slice(array, place + 1, n), make))
 
-        places = F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(no_sizes)
-        return F.flatten(F.transform(places, at))
+def _runs(first: Column, rest: Column, low: int, high: int, grow, text) -> Column:
+    """``text`` of every run of low..high elements, by place and then by length; nulls are left out.
 
-    # Bound once: an optimiser that pulls the array's expression into a lambda would compute it at each place.
-    return F.filter(let(tokens, of), lambda x: x.isNotNull())
+    ``first`` has the runs of one element; ``grow`` makes a run longer by an element of ``rest``, null
+    past the end. A run is made once and grown, so the work is linear in the output.
+    """
+
+    def level(levels: list[Column], n: int) -> Column:
+        if n > high:
+            one = F.transform(levels[low - 1], lambda x: F.array(text(x)))
+            for more in levels[low:]:
+                one = F.zip_with(one, more, lambda a, x: F.concat(a, F.array(text(x))))
+            return F.filter(F.flatten(one), lambda x: x.isNotNull())
+        return let(F.zip_with(levels[-1], _from(rest, n - 1), grow), lambda x: level([*levels, x], n + 1))
+
+    return level([first], 2)
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 3, delimiter: str = ";") -> Column:
-    return _windows(tokens, low, high, lambda run: F.array_join(run, delimiter))
+    # Bound once: an optimiser that pulls the array's expression into a lambda would compute it at each place.
+    return let(tokens, lambda t: _runs(t, t, low, high, lambda a, b: F.concat(a, F.lit(delimiter), b), lambda x: x))
 
 
 def topic_ngrams(tokens: Column, low: int, high: int, delimiter: str = ";") -> Column:
@@ -109,12 +116,19 @@ def topic_ngrams(tokens: Column, low: int, high: int, delimiter: str = ";") -> C
     """
     tag = lambda t: F.split_part(t, F.lit("/"), F.lit(2))
 
-    def make(run: Column) -> Column:
-        distinct = F.filter(run, lambda t, i: (i == 0) | (t != F.get(run, i - 1)))
-        fits = tag(F.get(run, F.lit(0))).isin(*T.NGRAM_START_TAGS) & F.exists(distinct, lambda t: tag(t) == "NNG")
-        return F.when(fits, F.array_join(distinct, delimiter))
+    def described(array: Column) -> Column:
+        same = lambda t, i: F.coalesce(t == F.get(array, i - 1), F.lit(False))
+        return F.transform(array, lambda t, i: let(tag(t), lambda x: F.struct(t.alias("t"), F.coalesce(x.isin(*T.NGRAM_START_TAGS), F.lit(False)).alias("starts"), (x == "NNG").alias("noun"), same(t, i).alias("same"))))
+
+    def grow(a: Column, b: Column) -> Column:
+        longer = F.when(b["same"], a["text"]).otherwise(F.concat(a["text"], F.lit(delimiter), b["t"]))
+        return F.struct(F.when(b["t"].isNotNull(), longer).alias("text"), (a["noun"] | b["noun"]).alias("noun"))
+
+    def runs(info: Column) -> Column:
+        first = F.transform(info, lambda x: F.struct(F.when(x["starts"], x["t"]).alias("text"), x["noun"].alias("noun")))
+        return let(first, lambda x: _runs(x, info, low, high, grow, lambda run: F.when(run["noun"], run["text"])))
 
-    return _windows(tokens, low, high, make)
+    return let(tokens, lambda t: let(described(t), runs))
 
 
 def longest_only(terms: Column) -> Column:
@@ -171,8 +185,9 @@ def has_final_consonant(word: Column) -> Column:
 
 
 def includes(word: Column, items: Iterable[str], unit_level: bool = False, endswith: bool = False, startswith: bool = False) -> Column:
-    """Whether a word holds, ends with or begins with an item, or has it as a unit between ``;``."""
-    items = list(items)
+    """Whether a word in lower case holds, ends with or begins with an item in lower case, or has an
+    item as a unit between ``;``."""
+    items, word = list(items), F.lower(word)
     if unit_level:
         units = F.split(word, ";")
         if endswith:
@@ -186,9 +201,10 @@ def includes(word: Column, items: Iterable[str], unit_level: bool = False, endsw
 
 
 def polarity_of(scores: Column, by_count: bool = True) -> Column:
-    """Polarity of an array of scores; by value, the divisor is twice the number of positive ones."""
-    total = lambda keep: F.aggregate(F.filter(scores, keep), F.lit(0.0), lambda acc, x: acc + x)
-    positive, negative = total(lambda x: x > 0), total(lambda x: x < 0)
+    """Polarity of an array of scores: by count each is one or minus one by its sign; by value the
+    divisor is twice the number of positive ones."""
+    up, down = F.filter(scores, lambda x: x > 0), F.filter(scores, lambda x: x < 0)
     if by_count:
-        return (positive + negative) / (positive - negative + T.EPSILON)
-    return (positive + negative) / (2 * F.size(F.filter(scores, lambda x: x > 0)) + T.EPSILON)
+        return (F.size(up) - F.size(down)) / (F.size(up) + F.size(down) + F.lit(T.EPSILON))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
+    return (total(up) + total(down)) / (2 * F.size(up) + F.lit(T.EPSILON))

@@ -19,8 +19,8 @@ from ..functions.tokens import expand_morphs
 
 FEATURES = ("pos", "semantic", "has_jongseong", "reading", "type", "start_pos", "end_pos", "expression")
 MORPHEME = "array<struct<surface:string," + ",".join(f"{f}:{'boolean' if f == 'has_jongseong' else 'string'}" for f in FEATURES) + ">>"
-#: Entries of a dictionary that is sent to every worker; larger ones are refused.
-MOST_ENTRIES = 2_000_000
+#: Entries and connection costs of a dictionary that is sent to every worker; larger ones are refused.
+MOST_ENTRIES, MOST_CONNECTIONS = 2_000_000, 10_000_000
 UNKNOWN_COST = 12_000
 
 
@@ -113,11 +113,14 @@ class DictionaryAnalyzer:
         if len(rows) > MOST_ENTRIES:
             raise ValueError(f"a dictionary for every worker may have {MOST_ENTRIES} entries at most")
         table = [tuple(r) for r in sorted(rows, key=lambda r: tuple(map(str, r)))]
-        costs = {(r[0], r[1]): r[2] for r in connections.select("right_id", "left_id", "cost").collect()} if connections is not None else {}
+        pairs = connections.select("right_id", "left_id", "cost").limit(MOST_CONNECTIONS + 1).collect() if connections is not None else []
+        if len(pairs) > MOST_CONNECTIONS:
+            raise ValueError(f"connections for every worker may be {MOST_CONNECTIONS} at most")
+        sent = entries.sparkSession.sparkContext.broadcast((table, {(r[0], r[1]): r[2] for r in pairs}))
 
         @F.pandas_udf(MORPHEME)
         def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            lattice = Lattice(table, costs)
+            lattice = Lattice(*sent.value)
             for texts in batches:
                 yield texts.map(lattice.parse)
 

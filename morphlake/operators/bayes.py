@@ -1,8 +1,9 @@
 """Naive Bayes tone classifier as tables, its training, evaluation and feature choice.
 
 Documents are rows (doc_id, label, features), label 1 or -1, features an array of strings of which
-only presence counts. A model is two tables: priors (label, logp) and conditionals (feature,
-logp_pos, logp_neg). All of ``by`` are columns that keep several fits apart in one plan.
+only presence counts; ids tell documents apart. A model is two tables: priors (label, logp) and
+conditionals (feature, logp_pos, logp_neg). All of ``by`` are columns that keep several fits apart in
+one plan.
 """
 
 from __future__ import annotations
@@ -15,11 +16,27 @@ from ..functions.tagset import EPSILON
 GAMMA = 0.5
 
 
+#: Buckets of the high bits of a hash in which the place of a row is found.
+BUCKETS = 4096
+
+
 def split_by_class(docs: DataFrame, ratio: float = 0.7, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with the flag ``train``: the first share of each class in the order of a seeded hash."""
-    window = Window.partitionBy("label", *by)
-    order = F.xxhash64("doc_id", *(by or (F.lit(seed),)))
-    return docs.withColumn("train", F.row_number().over(window.orderBy(order, "doc_id")) <= F.floor(F.count("*").over(window) * ratio))
+    """``docs`` with the flag ``train``: the first share of each class in the order of a seeded hash.
+
+    The last row of each share is found from counts of hash buckets and the ids of one bucket, so
+    features are neither sorted nor shuffled. Rows of one id and class are on one side.
+    """
+    keys = [*by, "label"]
+    ids = docs.select(*keys, "doc_id", F.xxhash64("doc_id", *(by or (F.lit(seed),))).alias("h")).withColumn("bucket", F.shiftright("h", 52))
+    counts = ids.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))  # BUCKETS rows a class at most
+    whole = Window.partitionBy(*keys)
+    counts = counts.withColumns({"upto": F.sum("n").over(whole.orderBy("bucket")), "wanted": F.floor(F.sum("n").over(whole) * ratio)})
+    last = counts.where((F.col("upto") - F.col("n") < F.col("wanted")) & (F.col("wanted") <= F.col("upto")))
+    last = last.select(*keys, "bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("place"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+    ends = ids.join(last, [*keys, "bucket"]).withColumn("at", place).where(F.col("at") == F.col("place")).select(*keys, F.struct("h", "doc_id").alias("end"))
+    own = F.struct(F.xxhash64("doc_id", *(by or (F.lit(seed),))).alias("h"), F.col("doc_id"))
+    return docs.join(F.broadcast(ends), keys, "left").withColumn("train", F.coalesce(own <= F.col("end"), F.lit(False))).drop("end")  # a row a class
 
 
 def feature_counts(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -54,9 +71,10 @@ def classify(docs: DataFrame, model: DataFrame, sizes: DataFrame, cutoff: float
     Features that the model lacks say nothing. ``sizes`` is :func:`label_counts` of the training
     rows. Polarity is zero unless the intensity is beyond the cut-off.
     """
-    known = docs.select(*by, "doc_id", F.explode(F.array_distinct("features")).alias("feature")).join(model, [*by, "feature"])
-    sums = known.groupBy(*by, "doc_id").agg(F.sum("logp_pos").alias("p"), F.sum("logp_neg").alias("n"))
-    rows = docs.select(*by, "doc_id").join(sums, [*by, "doc_id"], "left").na.fill(0.0, ["p", "n"])
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), *by, "doc_id", "features")
+    numbered = numbered.select("row", *by, "doc_id", F.explode_outer(F.array_distinct("features")).alias("feature"))
+    sums = numbered.join(model, [*by, "feature"], "left").groupBy("row", *by, "doc_id").agg(F.sum("logp_pos").alias("p"), F.sum("logp_neg").alias("n"))
+    rows = sums.na.fill(0.0, ["p", "n"])
     rows = rows.join(sizes, list(by)) if by else rows.crossJoin(sizes)  # one row of sizes
     total = F.col("all_pos") + F.col("all_neg") + 2 * GAMMA
     odds = F.col("n") + F.ln((F.col("all_neg") + GAMMA) / total) - F.col("p") - F.ln((F.col("all_pos") + GAMMA) / total)
@@ -88,9 +106,38 @@ def word_scores(docs: DataFrame) -> DataFrame:
 
 
 def best_words(docs: DataFrame, ratio: float = 0.2) -> DataFrame:
-    """The share of the vocabulary with the highest scores; ties in order of the word."""
+    """The share of the vocabulary with the highest scores; ties in order of a hash of the word.
+
+    The last score that is taken comes from counts by range of score, and of the words with just this
+    score those below a hash, found the same way, so no task sorts the vocabulary.
+    """
     scores = word_scores(docs)
-    return scores.orderBy(F.desc("score"), "feature").limit(int(scores.count() * ratio))
+    left = int(scores.count() * ratio)
+    if not left:
+        return scores.where(F.lit(False))
+    score, h = F.col("score"), F.xxhash64("feature")
+
+    def narrowed(rows: DataFrame, key: Column, left: int) -> tuple:
+        """The key of place ``left`` in falling order of ``key``, and the place among equal keys."""
+        bounds = sorted({*(rows.agg(F.percentile_approx(key, [k / 1000 for k in range(1, 1000)], 10_000)).first()[0] or [])})
+        bucket = F.lit(0)
+        if bounds:
+            bucket = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= key))
+        found = sorted(((r["b"], r["count"]) for r in rows.groupBy(bucket.alias("b")).count().collect()), reverse=True)
+        for b, n in found:
+            if left <= n:
+                break
+            left -= n
+        keys = rows.where(bucket == b).groupBy(key.alias("k")).count().orderBy(F.desc("k"))
+        for r in keys.toLocalIterator():
+            if left <= r["count"]:
+                return r["k"], left
+            left -= r["count"]
+        raise AssertionError("no such place")
+
+    least, place = narrowed(scores, score, left)
+    edge, _ = narrowed(scores.where(score == F.lit(least)), h, place)
+    return scores.where((score > F.lit(least)) | ((score == F.lit(least)) & (h >= F.lit(edge))))
 
 
 def only_best(docs: DataFrame, best: DataFrame) -> DataFrame:
@@ -127,6 +174,24 @@ def best_collocations(docs: DataFrame, size: int = 2, top: int = 200) -> DataFra
     return docs.join(lists, "doc_id", "left").withColumn("features", F.coalesce("own", F.array().cast("array<string>"))).drop("own")
 
 
+def feature_sets(docs: DataFrame, kind: str = "word", best_ratio: float = 0.8, top: int = 200) -> DataFrame:
+    """Documents (doc_id, label, features) with the features of a kind, chosen on all of them.
+
+    ``word`` takes the words as they are, ``best_word`` the best share of the vocabulary, ``best_bigram``
+    also the best pairs of words of each document, and ``best_trigram`` the best triples too.
+    """
+    sizes = {"word": (), "best_word": (), "best_bigram": (2,), "best_trigram": (2, 3)}
+    if kind not in sizes:
+        raise ValueError(f"unknown features {kind}")
+    if kind == "word":
+        return docs
+    out = only_best(docs, best_words(docs, best_ratio))
+    for size in sizes[kind]:
+        more = best_collocations(docs, size, top).select("doc_id", F.col("features").alias("more"))
+        out = out.join(more, "doc_id").withColumn("features", F.concat("features", "more")).drop("more")
+    return out
+
+
 def confusion(rows: DataFrame, positive: float = 1, negative: float = -1, compat: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts and rates of rows (actual, predicted); the sign of a prediction is its class, zero is none.
 
@@ -150,42 +215,53 @@ def confusion(rows: DataFrame, positive: float = 1, negative: float = -1, compat
 
 
 def spearman(rows: DataFrame) -> DataFrame:
-    """Rank correlation of (actual, predicted). Ranks come from counts of distinct values."""
+    """Rank correlation of (actual, predicted). Ranks come from counts of distinct values, summed up by
+    ranges of values and then within each, so no task sorts all of them."""
 
     def ranks(column: str, name: str) -> DataFrame:
+        value = F.col(f"v_{name}")
         counts = rows.groupBy(F.col(column).cast("double").alias(f"v_{name}")).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(f"v_{name}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(f"v_{name}", (before + (F.col("n") + 1) / 2.0).alias(name))
+        bounds = sorted({*(counts.agg(F.percentile_approx(value, [k / 256 for k in range(1, 256)], 5000)).first()[0] or [])})
+        bucket = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= value)) if bounds else F.lit(0)
+        counts = counts.withColumn("bucket", bucket)
+        before = counts.groupBy("bucket").agg(F.sum("n").alias("m"))  # 256 rows at most
+        before = before.select("bucket", (F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).alias("start"))
+        within = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.withColumn("within", within).join(F.broadcast(before), "bucket")
+        return placed.select(value, (F.col("start") + F.col("within") + (F.col("n") + 1) / 2.0).alias(name))
 
     joined = rows.join(ranks("actual", "a"), F.col("actual").cast("double") == F.col("v_a")).join(ranks("predicted", "p"), F.col("predicted").cast("double") == F.col("v_p"))
     return joined.agg(F.corr("a", "p").alias("spearman"))
 
 
 def informative_features(model: DataFrame, cutoff: float = 1.2, compat: bool = False) -> DataFrame:
-    """feature, ratio and polarity, scaled to 0..1 for positive and -1..0 for negative features.
+    """feature, ratio and polarity of the features whose smoothed probabilities differ beyond a ratio.
 
-    With ``compat`` negative features are scaled by the extremes of the positive ones.
+    A positive feature has its ratio, scaled to 0..1; a negative one the inverse of its ratio, scaled to
+    -1..0 with the most telling at -1. Where all are equal the scale is 0. With ``compat`` negative
+    features are scaled by the extremes of the positive ones.
     """
     high, low = F.exp(F.greatest("logp_pos", "logp_neg")), F.exp(F.least("logp_pos", "logp_neg"))
-    rows = model.select("feature", (high / (low + EPSILON)).alias("ratio"), (F.col("logp_pos") > F.col("logp_neg")).alias("up")).where(F.col("ratio") > cutoff)
-    ends = rows.agg(*[f(F.when(F.col("up") == up, F.col("ratio"))).alias(n) for f, up, n in ((F.min, True, "p0"), (F.max, True, "p1"), (F.min, False, "n0"), (F.max, False, "n1"))])
-    scaled = lambda lo, hi: F.coalesce(F.try_divide(F.col("ratio") - F.col(lo), F.col(hi) - F.col(lo)), F.lit(1.0))
-    negative = scaled("p0", "p1") if compat else scaled("n0", "n1")
-    return rows.crossJoin(ends).select("feature", "ratio", F.when(F.col("up"), scaled("p0", "p1")).otherwise(-negative).alias("polarity"))  # one row of ends
+    rows = model.select("feature", ((high + EPSILON) / (low + EPSILON)).alias("ratio"), (F.col("logp_pos") > F.col("logp_neg")).alias("up")).where(F.col("ratio") > cutoff)
+    rows = rows.withColumn("value", F.when(F.col("up"), F.col("ratio")).otherwise(1 / F.col("ratio")))
+    ends = rows.agg(*[f(F.when(F.col("up") == up, F.col("value"))).alias(n) for f, up, n in ((F.min, True, "p0"), (F.max, True, "p1"), (F.min, False, "n0"), (F.max, False, "n1"))])
+    scaled = lambda from_, lo, hi: F.coalesce(F.try_divide(F.col("value") - F.col(from_), F.col(hi) - F.col(lo)), F.lit(0.0))
+    negative = scaled("p1", "p0", "p1") if compat else scaled("n1", "n0", "n1")
+    return rows.crossJoin(ends).select("feature", "ratio", F.when(F.col("up"), scaled("p0", "p0", "p1")).otherwise(negative).alias("polarity"))  # one row of ends
 
 
-def evaluate(docs: DataFrame, ratio: float = 0.7, seed: int = 0, cutoff: float = 0.0) -> DataFrame:
-    """Fit on the training share and measure on the rest."""
-    rows = split_by_class(docs, ratio, seed)
+def evaluate(docs: DataFrame, ratio: float = 0.7, seed: int = 0, cutoff: float = 0.0, features: str = "word", best_ratio: float = 0.8) -> DataFrame:
+    """Fit on the training share, with features of a kind, and measure on the rest."""
+    rows = split_by_class(feature_sets(docs, features, best_ratio), ratio, seed)
     train, test = rows.where("train"), rows.where("not train")
     found = classify(test, conditionals(train), label_counts(train), cutoff)
     return confusion(found.join(test.select("doc_id", F.col("label").alias("actual")), "doc_id").withColumnRenamed("polarity", "predicted"))
 
 
-def bagging(docs: DataFrame, iterations: int = 20, ratio: float = 0.7, cutoff: float = 0.0) -> DataFrame:
+def bagging(docs: DataFrame, iterations: int = 20, ratio: float = 0.7, cutoff: float = 0.0, features: str = "word", best_ratio: float = 0.8) -> DataFrame:
     """Metrics of ``iterations`` random splits, a row each, from one grouped plan."""
     by = ("iteration",)
-    many = docs.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    many = feature_sets(docs, features, best_ratio).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     rows = split_by_class(many, ratio, by=by)
     train, test = rows.where("train"), rows.where("not train")
     found = classify(test, conditionals(train, by), label_counts(train, by), cutoff, by)

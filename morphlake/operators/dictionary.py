@@ -16,55 +16,102 @@ from ..functions import tagset as T
 from ..functions.tokens import pair
 
 
+#: Place of the row that stands for a document as a whole.
+WHOLE = -1
+
+
 def explode_tokens(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "pos", "token.surface", "token.tag")
+    """row, doc_id, pos, surface and tag of every token of (doc_id, tokens), and a row WHOLE for each document.
+
+    ``row`` tells rows of ``docs`` apart, so repeated and null ids do no harm; a column of that name is
+    taken as it is. Operators here let the row WHOLE pass, so no document is lost with its tokens.
+    """
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    none = F.lit(None).cast("string")
+    tokens = F.concat(F.array(pair(none, none)), F.coalesce(F.col("tokens"), F.array().cast("array<struct<surface:string,tag:string>>")))
+    rows = docs.select(row.alias("row"), "doc_id", tokens.alias("tokens"))  # numbered before they are taken apart
+    rows = rows.select("row", "doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return rows.select("row", "doc_id", (F.col("pos") - 1).alias("pos"), "token.surface", "token.tag")
+
+
+def only_tokens(exploded: DataFrame) -> DataFrame:
+    return exploded.where(F.col("pos") > WHOLE)
+
 
+def passing(exploded: DataFrame, condition: Column) -> DataFrame:
+    """The tokens for which a condition holds, and the rows WHOLE."""
+    return exploded.where((F.col("pos") == WHOLE) | condition)
 
-def collect_tokens(docs: DataFrame, exploded: DataFrame) -> DataFrame:
-    """Documents with their tokens in order of ``pos``; those that lost all keep an empty array."""
-    lists = exploded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "surface", "tag"))).alias("own"))
-    rows = docs.select("doc_id").join(lists, "doc_id", "left")
-    empty = F.array().cast("array<struct<surface:string,tag:string>>")
-    return rows.select("doc_id", F.coalesce(F.transform("own", lambda t: pair(t["surface"], t["tag"])), empty).alias("tokens"))
+
+def collect_tokens(exploded: DataFrame, keep_row: bool = False) -> DataFrame:
+    """Documents (doc_id, tokens) with their tokens in order of ``pos``; those that lost all keep an empty array."""
+    own = F.array_sort(F.collect_list(F.when(F.col("pos") > WHOLE, F.struct("pos", "surface", "tag"))))
+    rows = exploded.groupBy("row", "doc_id").agg(own.alias("own"))
+    return rows.select(*["row"] * keep_row, "doc_id", F.transform("own", lambda t: pair(t["surface"], t["tag"])).alias("tokens"))
 
 
 @dataclass(frozen=True)
 class Dictionary:
     """words (word, tag, prio), terms (word, category), synonyms (src, dst) and lemmas (src, dst).
 
-    Methods that add return a new dictionary.
+    Methods that add return a new dictionary. ``ranks`` has the priority of each tag; without it, it is
+    read from the words when a method first needs it.
     """
 
     words: DataFrame
     terms: DataFrame
     synonyms: DataFrame
     lemmas: DataFrame
+    ranks: tuple[tuple[str, int], ...] | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Dictionary:
         table = lambda schema: spark.createDataFrame([], schema)
-        return cls(table("word string, tag string, prio int"), table("word string, category string"), table("src string, dst string"), table("src string, dst string"))
+        return cls(table("word string, tag string, prio int"), table("word string, category string"), table("src string, dst string"), table("src string, dst string"), ())
 
     def _rows(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.words.sparkSession.createDataFrame(rows, schema)
 
-    def _priority(self, tag: str) -> int:
-        row = self.words.where(F.col("tag") == tag).agg(F.min("prio")).first()[0]
-        return row if row is not None else (self.words.agg(F.max("prio")).first()[0] or 0) + 1
+    def _ranked(self, tag: str) -> dict:
+        """``ranks`` with the tag, after all others if it is new."""
+        ranks = self.ranks
+        if ranks is None:
+            ranks = tuple((r["tag"], r["prio"]) for r in self.words.groupBy("tag").agg(F.min("prio").alias("prio")).collect())
+        known = dict(ranks)
+        known.setdefault(tag, max(known.values(), default=0) + 1)
+        return known
+
+    @classmethod
+    def load(cls, spark: SparkSession, words: Iterable[tuple[str, str]] = (), terms: Iterable[tuple[str, str]] = (), synonyms: Iterable[tuple[str, str]] = (), lemmas: Iterable[str] = ()) -> Dictionary:
+        """From files: words (path, tag) in falling priority of their tags, terms (path, category),
+        synonyms (path, tag), of which later ones win, and lemmas (path)."""
+        from ..sources.wordlists import load_dictionary, load_vocab
+
+        out = cls.empty(spark)
+        for path, tag in words:
+            out = out.add_table(load_dictionary(spark, path), tag)
+        for path, category in terms:
+            out = out.add_term_table(load_dictionary(spark, path), category)
+        for path, tag in synonyms:
+            out = out.add_synonyms(load_vocab(spark, path), tag)
+        for path in lemmas:
+            out = out.add_lemmas(load_vocab(spark, path))
+        return out
 
     def add_words(self, words: Iterable[str] | str, tag: str, force: bool = False) -> Dictionary:
         """Words under a tag; a tag seen first keeps its priority. Unknown tags need ``force``."""
         if tag not in T.TAGS and not force:
             raise ValueError(f"unknown tag {tag}")
-        prio = self._priority(tag)
-        rows = [(w, tag, prio) for w in ([words] if isinstance(words, str) else words)]
-        return replace(self, words=self.words.unionByName(self._rows(rows, "word string, tag string, prio int")).distinct())
+        ranks = self._ranked(tag)
+        rows = [(w, tag, ranks[tag]) for w in ([words] if isinstance(words, str) else words)]
+        return replace(self, words=self.words.unionByName(self._rows(rows, "word string, tag string, prio int")).distinct(), ranks=tuple(ranks.items()))
 
     def add_table(self, words: DataFrame, tag: str, force: bool = False) -> Dictionary:
         """The words of a table (word) under a tag."""
         if tag not in T.TAGS and not force:
             raise ValueError(f"unknown tag {tag}")
-        return replace(self, words=self.words.unionByName(words.select("word", F.lit(tag).alias("tag"), F.lit(self._priority(tag)).alias("prio"))).distinct())
+        ranks = self._ranked(tag)
+        return replace(self, words=self.words.unionByName(words.select("word", F.lit(tag).alias("tag"), F.lit(ranks[tag]).alias("prio"))).distinct(), ranks=tuple(ranks.items()))
 
     def add_terms(self, words: Iterable[str] | str, category: str, compat: bool = False) -> Dictionary:
         """Terms of a category; with ``compat`` they become words under that name instead."""
@@ -72,8 +119,14 @@ class Dictionary:
             raise ValueError(f"unknown category {category}")
         if compat:
             return self.add_words(words, category, force=True)
-        rows = [(w, category) for w in ([words] if isinstance(words, str) else words)]
-        return replace(self, terms=self.terms.unionByName(self._rows(rows, "word string, category string")).distinct())
+        rows = self._rows([(w,) for w in ([words] if isinstance(words, str) else words)], "word string")
+        return self.add_term_table(rows, category)
+
+    def add_term_table(self, words: DataFrame, category: str) -> Dictionary:
+        """The words of a table (word) as terms of a category."""
+        if category not in T.TERM_CATEGORIES:
+            raise ValueError(f"unknown category {category}")
+        return replace(self, terms=self.terms.unionByName(words.select("word", F.lit(category).alias("category"))).distinct())
 
     def add_synonym(self, word: str, synonym: str, tag: str = "NNG") -> Dictionary:
         one = self._rows([(word.lower(), synonym.lower())], "src string, dst string")
@@ -108,7 +161,7 @@ class Dictionary:
         Under a tag that the dictionary has, in that tag's words; otherwise in those of any tag.
         """
         rows = self.words
-        if tag is not None and not rows.where(F.col("tag") == tag).isEmpty():
+        if tag is not None and (any(t == tag for t, _ in self.ranks) if self.ranks is not None else not rows.where(F.col("tag") == tag).isEmpty()):
             rows = rows.where(F.col("tag") == tag)
         rows = rows.select(F.col("word").alias("known")).distinct()
         return words.join(rows, F.lower(column) == F.col("known"), "left_semi" if known else "left_anti")
@@ -138,17 +191,17 @@ class Dictionary:
         """Lower-case nouns; each flag says whether terms of that category stay."""
         rows = self.replace_synonyms(exploded) if replace_synonyms else exploded
         dropped = [c for c, keep in (("INDUSTRY", industry), ("GENERIC", generic), ("SECTOR", sector), ("COUNTRY", country)) if not keep]
-        rows = rows.where(F.col("tag").isin(*T.TOPIC_TAGS))
+        rows = passing(rows, F.col("tag").isin(*T.TOPIC_TAGS))
         return (self.without_terms(rows, dropped) if dropped else rows).withColumn("surface", F.lower("surface"))
 
     def sentiment_words(self, exploded: DataFrame, replace_synonyms: bool = True, lemmatize: bool = True, exclude_terms: bool = True, with_tag: bool = True) -> DataFrame:
-        """doc_id, pos and word: lower-case ``word/TAG`` of sentiment-bearing tokens."""
+        """Exploded tokens that bear sentiment, with ``word``, lower-case ``word/TAG``."""
         rows = self.replace_synonyms(exploded) if replace_synonyms else exploded
         rows = self.lemmatize(rows) if lemmatize else rows
-        rows = rows.where(F.col("tag").isin(*T.SENTIMENT_TAGS))
+        rows = passing(rows, F.col("tag").isin(*T.SENTIMENT_TAGS))
         rows = self.without_terms(rows) if exclude_terms else rows
         word = F.concat_ws("/", F.lower("surface"), F.substring_index("tag", "+", 1)) if with_tag else F.lower("surface")
-        return rows.select("doc_id", "pos", word.alias("word"))
+        return rows.withColumn("word", word)
 
 
 def _matches(rows: DataFrame, how: str, exploded: DataFrame) -> DataFrame:
@@ -158,7 +211,7 @@ def _matches(rows: DataFrame, how: str, exploded: DataFrame) -> DataFrame:
     flagged = exploded.join(tagged.distinct().withColumn("a", F.lit(True)), F.struct(F.col("surface").alias("word"), F.col("tag")) == F.col("key"), "left")
     flagged = flagged.join(bare.distinct().withColumn("b", F.lit(True)), F.col("surface") == F.col("word"), "left")
     hit = F.coalesce("a", F.lit(False)) | F.coalesce("b", F.lit(False))
-    return flagged.where(hit if how == "semi" else ~hit).drop("a", "b", "key", "word")
+    return passing(flagged, hit if how == "semi" else ~hit).drop("a", "b", "key", "word")
 
 
 def postprocess(exploded: DataFrame, stopwords: DataFrame | None = None, passwords: DataFrame | None = None, passtags: Iterable[str] | None = None, replacements: DataFrame | None = None) -> DataFrame:
@@ -173,11 +226,11 @@ def postprocess(exploded: DataFrame, stopwords: DataFrame | None = None, passwor
     if passwords is not None:
         rows = _matches(passwords, "semi", rows)
     if passtags:
-        rows = rows.where(F.col("tag").isin(*passtags))
+        rows = passing(rows, F.col("tag").isin(*passtags))
     if replacements is not None:
         exact = replacements.where("tag is not null").select(F.col("word").alias("w1"), F.col("tag").alias("t1"), F.struct("new_word", "new_tag").alias("r1"))
         loose = replacements.where("tag is null").select(F.col("word").alias("w2"), F.struct("new_word", "new_tag").alias("r2"))
         rows = rows.join(exact, (F.col("surface") == F.col("w1")) & (F.col("tag") == F.col("t1")), "left").join(loose, F.col("surface") == F.col("w2"), "left")
         new: Column = F.coalesce("r1", "r2")
-        rows = rows.select("doc_id", "pos", F.coalesce(new["new_word"], F.col("surface")).alias("surface"), F.coalesce(new["new_tag"], F.col("tag")).alias("tag"))
+        rows = rows.select("row", "doc_id", "pos", F.coalesce(new["new_word"], F.col("surface")).alias("surface"), F.coalesce(new["new_tag"], F.col("tag")).alias("tag"))
     return rows

@@ -16,12 +16,28 @@ from ..functions.tokens import drop_tags, longest_only, ngrams, phrase, slash, t
 TONE_NGRAM = {0: 5, 1: 5, 3: 3, 7: 7, 99: 1}
 
 
+def explode_terms(docs: DataFrame, column: str = "terms", *more: str) -> DataFrame:
+    """row, doc_id, pos and term of every term of (doc_id, terms), and a row with pos -1 for each document.
+
+    ``row`` tells rows apart, so repeated and null ids do no harm.
+    """
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.col(column), F.array().cast("array<string>")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *more, terms.alias("terms"))  # numbered before they are taken apart
+    rows = rows.select("row", "doc_id", *more, F.posexplode("terms").alias("pos", "term"))
+    return rows.withColumn("pos", F.col("pos") - 1)
+
+
+def collect_terms(exploded: DataFrame, column: str = "terms", *more: str) -> DataFrame:
+    """Documents (doc_id, terms) with their terms in order; a null term is left out."""
+    own = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("pos", "term"))))
+    return exploded.groupBy("row", "doc_id", *more).agg(own.alias("own")).select("doc_id", *more, F.transform("own", lambda x: x["term"]).alias(column))
+
+
 def only_known(docs: DataFrame, known: DataFrame, column: str = "terms") -> DataFrame:
     """Array ``column`` of (doc_id, ...) without what the table ``known`` (term) lacks; order and repeats stay."""
-    rows = docs.select("doc_id", F.posexplode(column).alias("pos", "term")).join(known.select("term").distinct(), "term", "left_semi")
-    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("own"))
-    kept = F.coalesce(F.transform("own", lambda x: x["term"]), F.array().cast("array<string>"))
-    return docs.join(lists, "doc_id", "left").withColumn(column, kept).drop("own")
+    words = known.select(F.col("term").alias("known")).distinct()
+    rows = explode_terms(docs, column).join(words, F.col("term") == F.col("known"), "left")
+    return collect_terms(rows.withColumn("term", F.col("known")), column)
 
 
 def tone_terms(words: DataFrame, wordset: DataFrame | None, vocab: DataFrame, kind: int = 1, keep_overlapping: bool = False) -> DataFrame:
@@ -48,41 +64,50 @@ def general_terms(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
 
 def english_terms(docs: DataFrame, stoplist: DataFrame | None = None) -> DataFrame:
     """Stems of the words of documents (doc_id, text), without those of the stoplist (stem)."""
-    words = stemmed(docs.select("doc_id", F.posexplode(english_words(F.col("text"))).alias("pos", "word")))
+    words = explode_terms(docs.select("doc_id", english_words(F.col("text")).alias("words")), "words")
+    words = stemmed(words.withColumnRenamed("term", "word"))
     if stoplist is not None:
         words = words.join(stoplist.select("stem").distinct(), "stem", "left_anti")
-    lists = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("own"))
-    rows = docs.select("doc_id").join(lists, "doc_id", "left")
-    return rows.select("doc_id", F.coalesce(F.transform("own", lambda x: x["stem"]), F.array().cast("array<string>")).alias("terms"))
+    return collect_terms(words.withColumnRenamed("stem", "term"))
 
 
-def stem_lexicon(words: DataFrame) -> DataFrame:
-    """Lexicon of rows (word, positive, negative): the first stem of each entry, positive before negative."""
-    first = F.get(english_words(F.col("word")), F.lit(0))
-    rows = words.where(F.col("positive") | F.col("negative")).select(stem_column(first).alias("term"), "positive", "negative").where("term is not null")
+def stem_lexicon(words: DataFrame, stoplist: DataFrame | None = None) -> DataFrame:
+    """Lexicon of rows (word, positive, negative): the first stem of each entry that the stoplist (stem)
+    lacks, positive before negative."""
+    rows = words.where(F.col("positive") | F.col("negative")).select(F.monotonically_increasing_id().alias("entry"), "positive", "negative", english_words(F.col("word")).alias("parts"))
+    rows = rows.select("entry", "positive", "negative", F.posexplode("parts").alias("pos", "part"))
+    rows = rows.withColumn("stem", stem_column("part"))
+    if stoplist is not None:
+        rows = rows.join(stoplist.select("stem").distinct(), "stem", "left_anti")
+    rows = rows.groupBy("entry", "positive", "negative").agg(F.min_by("stem", "pos").alias("term"))
     both = rows.groupBy("term").agg(F.max(F.when(F.col("positive"), 1)).alias("pos"), F.min(F.when(F.col("negative"), -1)).alias("neg"))
     return both.withColumn("pol", F.lit(None).cast("double"))
 
 
+def _scored(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Exploded terms with their score (by count) and pol (by value)."""
+    known = lexicon.select(F.col("term").alias("known"), F.coalesce("pos", "neg", F.lit(0)).cast("double").alias("score"), F.coalesce("pol", F.lit(0.0)).alias("pol"))
+    rows = rows.join(known, F.col("term") == F.col("known"), "left").drop("known")
+    return rows.withColumns({"score": F.coalesce("score", F.lit(0.0)), "pol": F.coalesce("pol", F.lit(0.0))})
+
+
 def term_scores(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """doc_id, pos, term, score (by count) and pol of every term of (doc_id, terms)."""
     rows = docs.select("doc_id", F.posexplode("terms").alias("pos", "term"))
-    known = lexicon.select("term", F.coalesce("pos", "neg", F.lit(0)).cast("double").alias("score"), F.coalesce("pol", F.lit(0.0)).alias("pol"))
-    return rows.join(known, "term", "left").select("doc_id", "pos", "term", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("pol", F.lit(0.0)).alias("pol"))
+    return _scored(rows, lexicon).select("doc_id", "pos", "term", "score", "pol")
 
 
 def score(docs: DataFrame, lexicon: DataFrame, by_count: bool = True) -> DataFrame:
-    """doc_id, positive, negative, polarity and subjectivity; documents without terms score zero."""
-    rows = term_scores(docs, lexicon).withColumn("s", F.col("score" if by_count else "pol"))
+    """doc_id, positive, negative, polarity and subjectivity of every row; those without terms score zero."""
+    rows = _scored(explode_terms(docs), lexicon).withColumn("s", F.col("score" if by_count else "pol"))
     s = F.col("s")
-    sums = rows.groupBy("doc_id").agg(
+    sums = rows.groupBy("row", "doc_id").agg(
         F.sum(F.when(s > 0, s).otherwise(0.0)).alias("positive"), F.sum(F.when(s < 0, s).otherwise(0.0)).alias("negative"),
-        F.count_if(s != 0).alias("hits"), F.count("*").alias("n"),
+        F.count_if(s != 0).alias("hits"), F.count_if(F.col("pos") >= 0).alias("n"),
     )
-    full = docs.select("doc_id").join(sums, "doc_id", "left").na.fill(0)
     p, n, size = F.col("positive"), F.col("negative"), F.col("n") + EPSILON
     polarity = (p + n) / ((p - n) + EPSILON) if by_count else (p + n) / size
-    return full.select("doc_id", "positive", "negative", polarity.alias("polarity"), (F.col("hits") / size).alias("subjectivity"))
+    return sums.select("doc_id", "positive", "negative", polarity.alias("polarity"), (F.col("hits") / size).alias("subjectivity"))
 
 
 def _sentiment(value: Column) -> Column:
@@ -103,8 +128,23 @@ def class_proportions(docs: DataFrame, table: DataFrame) -> DataFrame:
     """doc_id and the share of each class of ``table`` (ngram, a column a class) over matched terms, with
     repeats; null where nothing matched."""
     classes = [c for c in table.columns if c != "ngram"]
-    rows = docs.select("doc_id", F.explode("terms").alias("ngram")).join(table, "ngram")
-    sums = rows.groupBy("doc_id").agg(*[F.sum(F.coalesce(F.col(f"`{c}`"), F.lit(0.0))).alias(c) for c in classes])
+    rows = explode_terms(docs).join(table, F.col("term") == F.col("ngram"), "left")
+    sums = rows.groupBy("row", "doc_id").agg(*[F.sum(F.coalesce(F.col(f"`{c}`"), F.lit(0.0))).alias(c) for c in classes])
     total = sum((F.col(f"`{c}`") for c in classes[1:]), F.col(f"`{classes[0]}`"))
-    full = docs.select("doc_id").join(sums, "doc_id", "left")
-    return full.select("doc_id", *[F.try_divide(F.col(f"`{c}`"), total).alias(c) for c in classes])
+    return sums.select("doc_id", *[F.try_divide(F.col(f"`{c}`"), total).alias(c) for c in classes])
+
+
+def analysis(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """doc_id and, for each name, a struct of the shares of the classes of its table, as in :func:`class_proportions`.
+
+    All tables are joined to the same exploded terms, so documents are regrouped once.
+    """
+    rows = explode_terms(docs)
+    sums, out = [], []
+    for k, (name, table) in enumerate(tables.items()):
+        classes = [c for c in table.columns if c != "ngram"]
+        rows = rows.join(table.select(F.col("ngram").alias(f"ngram_{k}"), *[F.col(f"`{c}`").cast("double").alias(f"{k}_{i}") for i, c in enumerate(classes)]), F.col("term") == F.col(f"ngram_{k}"), "left")
+        sums += [F.sum(F.coalesce(F.col(f"{k}_{i}"), F.lit(0.0))).alias(f"s{k}_{i}") for i in range(len(classes))]
+        total = sum((F.col(f"s{k}_{i}") for i in range(1, len(classes))), F.col(f"s{k}_0"))
+        out.append(F.struct(*[F.try_divide(F.col(f"s{k}_{i}"), total).alias(c) for i, c in enumerate(classes)]).alias(name))
+    return rows.groupBy("row", "doc_id").agg(*sums).select("doc_id", *out)

@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 
 from ..functions import tagset as T
 from ..functions.tokens import pair, strip
-from .dictionary import Dictionary, collect_tokens, explode_tokens
+from .dictionary import Dictionary, collect_tokens, explode_tokens, only_tokens
 
 PLAIN, NUMBERED, SKIPPED = 0, 1, 2
 
 
 def candidates(exploded: DataFrame, max_ngram: int, skip_patterns: tuple[str, ...], skipped_tags: tuple[str, ...]) -> DataFrame:
-    """doc_id, start, n, kind and text of all runs of tokens (doc_id, pos, surface, tag) that may be a phrase."""
-    place = Window.partitionBy("doc_id").orderBy("pos")
+    """row, start, n, kind and text of all runs of tokens (row, pos, surface, tag) that may be a phrase."""
+    place = Window.partitionBy("row").orderBy("pos")
     tag = F.when(F.col("tag").isin(*T.NOUN_TAGS), "NNG").otherwise(F.col("tag"))
     forms = {
         "plain": F.col("surface"), "tags": tag, "numbered": F.when(F.col("tag") == "SN", "n").otherwise(F.col("surface")),
         "skipped": F.when(F.col("tag").isin(*skipped_tags), "").otherwise(F.col("surface")),
     }
-    ahead = exploded.select("doc_id", F.col("pos").alias("start"), *[F.lead(column, k).over(place).alias(f"{name}_{k}") for name, column in forms.items() for k in range(max_ngram + 1)])
+    ahead = exploded.select("row", F.col("pos").alias("start"), *[F.lead(column, k).over(place).alias(f"{name}_{k}") for name, column in forms.items() for k in range(max_ngram + 1)])
     joined = lambda name, n, by="": F.concat_ws(by, *[F.col(f"{name}_{k}") for k in range(n)])
     runs = []
     for n in range(2, max_ngram + 1):
@@ -35,15 +35,15 @@ def candidates(exploded: DataFrame, max_ngram: int, skip_patterns: tuple[str, ..
         runs.append(F.struct(F.lit(n).alias("n"), F.lit(PLAIN).alias("kind"), F.when(inside & ~joined("tags", n, "+").isin(*T.UNMERGED_PATTERNS), joined("plain", n)).alias("text")))
         if any(x.count("+") == n - 1 for x in skip_patterns):
             runs += [F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), F.when(patterned, joined(name, n)).alias("text")) for kind, name in ((NUMBERED, "numbered"), (SKIPPED, "skipped"))]
-    return ahead.select("doc_id", "start", F.inline(F.array(*runs))).where("text is not null")
+    return ahead.select("row", "start", F.inline(F.array(*runs))).where("text is not null")
 
 
 def merge_pass(docs: DataFrame, dictionary: Dictionary, max_ngram: int, skip_patterns: tuple[str, ...] = T.SKIP_PATTERNS, skipped_tags: tuple[str, ...] = T.SKIPPED_TAGS) -> DataFrame:
-    """Documents (doc_id, tokens) after one pass of merging."""
-    found = candidates(explode_tokens(docs), max_ngram, skip_patterns, skipped_tags)
+    """Documents (row, doc_id, tokens) after one pass of merging."""
+    found = candidates(only_tokens(explode_tokens(docs)), max_ngram, skip_patterns, skipped_tags)
     hits = dictionary.with_tag(found, "text").where("dict_tag is not null")
-    best = hits.groupBy("doc_id", "start").agg(F.max_by(F.struct("n", "text", "dict_tag"), F.struct("n", -F.col("kind"))).alias("hit"))
-    lists = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "hit"))).alias("hits"))
+    best = hits.groupBy("row", "start").agg(F.max_by(F.struct("n", "text", "dict_tag"), F.struct("n", -F.col("kind"))).alias("hit"))
+    lists = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "hit"))).alias("hits"))
     none = F.array().cast("array<struct<start:int,n:int,text:string,tag:string>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -52,24 +52,24 @@ def merge_pass(docs: DataFrame, dictionary: Dictionary, max_ngram: int, skip_pat
         return F.when(x["start"] < acc["next"], acc).otherwise(F.struct((x["start"] + hit["n"]).alias("next"), F.concat(acc["taken"], F.array(one)).alias("taken")))
 
     taken = F.aggregate("hits", F.struct(F.lit(0).alias("next"), none.alias("taken")), step, lambda acc: acc["taken"])
-    merged = lists.select("doc_id", F.explode(taken).alias("m")).select("doc_id", "m.*")
-    covered = merged.select("doc_id", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"), "text", F.col("tag").alias("new_tag"))
-    rows = explode_tokens(docs).join(covered, ["doc_id", "pos"], "left").where(F.col("start").isNull() | (F.col("start") == F.col("pos")))
-    return collect_tokens(docs, rows.select("doc_id", "pos", F.coalesce("text", "surface").alias("surface"), F.coalesce("new_tag", "tag").alias("tag")))
+    merged = lists.select("row", F.explode(taken).alias("m")).select("row", "m.*")
+    covered = merged.select("row", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"), "text", F.col("tag").alias("new_tag"))
+    rows = explode_tokens(docs).join(covered, ["row", "pos"], "left").where(F.col("start").isNull() | (F.col("start") == F.col("pos")))
+    return collect_tokens(rows.select("row", "doc_id", "pos", F.coalesce("text", "surface").alias("surface"), F.coalesce("new_tag", "tag").alias("tag")), keep_row=True)
 
 
 def extended_tags(docs: DataFrame, dictionary: Dictionary, max_ngram: int = 7, skip_patterns: tuple[str, ...] = T.SKIP_PATTERNS, skipped_tags: tuple[str, ...] = T.SKIPPED_TAGS) -> DataFrame:
     """Dictionary tags, a pass of merging up to ``max_ngram`` tokens, one of up to three, and tags again.
 
-    Each pass reads its input several times, so the two inputs are kept (in memory, else on disk)
+    Rows are told apart by a number, not by their ids. Each pass reads its input several times, so the two inputs are kept (in memory, else on disk)
     until Spark drops them or ``spark.catalog.clearCache()`` does; lost blocks are made again.
     """
 
     def retagged(rows: DataFrame) -> DataFrame:
-        return collect_tokens(rows, dictionary.retag(explode_tokens(rows)))
+        return collect_tokens(dictionary.retag(explode_tokens(rows)), keep_row=True)
 
-    bare = docs.select("doc_id", F.transform("tokens", lambda t: pair(strip(t["surface"]), t["tag"])).alias("tokens"))
+    bare = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform("tokens", lambda t: pair(strip(t["surface"]), t["tag"])).alias("tokens"))
     first = retagged(bare).persist()
     second = merge_pass(first, dictionary, max_ngram, skip_patterns, skipped_tags).persist()
     third = merge_pass(second, dictionary, 3, skip_patterns, skipped_tags).persist()
-    return retagged(third)
+    return retagged(third).drop("row")

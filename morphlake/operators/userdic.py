@@ -29,13 +29,21 @@ class UserDictionary:
         return rows.withColumnsRenamed({"l": "left_id", "r": "right_id"}).select(*USER_FIELDS)
 
     def add(self, words: DataFrame, pos: str = "NNP", semantic: str = "*", cost: int = 1000) -> UserDictionary:
-        """With the words (surface, and reading or null) of a table; they replace entries of equal surface."""
-        reading = F.coalesce("reading", "surface") if "reading" in words.columns else F.col("surface")
+        """With the words (surface, and reading or null) of a table; they replace entries of equal surface.
+
+        Of equal surfaces the one with the highest ``line_no`` is taken, if there is such a column, else the
+        one with the last reading in order.
+        """
+        if "reading" not in words.columns:
+            words = words.withColumn("reading", F.lit(None).cast("string"))
+        last = F.struct("line_no") if "line_no" in words.columns else F.struct(F.coalesce("reading", "surface"))
+        words = words.groupBy("surface").agg(F.max_by("reading", last).alias("reading"))
+        reading = F.coalesce("reading", "surface")
         new = words.select(
             "surface", F.lit(cost).alias("cost"), F.lit(pos).alias("pos"), F.lit(semantic).alias("semantic"),
             F.when(has_final_consonant(F.col("surface")), "T").otherwise("F").alias("has_jongseong"), reading.alias("reading"),
             *[F.lit("*").alias(f) for f in ("type", "start_pos", "end_pos", "expression")],
-        ).dropDuplicates(["surface"])
+        )
         new = self.with_context_ids(new)
         return replace(self, entries=self.entries.join(new.select("surface"), "surface", "left_anti").select(*USER_FIELDS).unionByName(new))
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..functions.porter import english_words, stemmed
-from ..operators import bayes, lexicon, merge
-from ..operators.dictionary import Dictionary, collect_tokens, explode_tokens, postprocess
+from ..operators import bayes, lexicon, merge, presets
+from ..operators.dictionary import Dictionary, collect_tokens, explode_tokens, only_tokens, postprocess
 from ..operators.userdic import UserDictionary
 from ..sources import wordlists
 
@@ -78,7 +78,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
     terms = w.select(F.col("w").alias("word"), category.alias("category")).where("category is not null")
     synonyms = w.where(n % 5 == 2).select(F.col("w").alias("src"), F.reverse("w").alias("dst"))
     lemmas = w.where(n % 5 == 3).select(F.col("w").alias("src"), F.substring("w", 1, 3).alias("dst"))
-    return Dictionary(words, terms, synonyms, lemmas)
+    return Dictionary(words, terms, synonyms, lemmas, (("NNG", 0), ("VV", 0), ("MAG", 0)))
 
 
 def bench_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,13 +152,12 @@ _RETAG = "CASE split_part(coalesce(dtag, tag), '+', 1) WHEN 'XR' THEN 'NNG' ELSE
 
 @query("check_tag", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_DICT}, r AS (SELECT doc_id, pos, w || '/' || {_RETAG} AS x FROM toks LEFT JOIN dict ON word = w) {_sql_short('r')}")
 def check_tag(spark, sf_dir):
-    docs = tagged(spark, sf_dir)
-    return _short_tokens(collect_tokens(docs, dictionary(spark, sf_dir).retag(explode_tokens(docs))))
+    return _short_tokens(collect_tokens(dictionary(spark, sf_dir).retag(explode_tokens(tagged(spark, sf_dir)))))
 
 
 def _exists_query(known):
     def run(spark, sf_dir):
-        rows = explode_tokens(tagged(spark, sf_dir)).withColumnRenamed("surface", "word")
+        rows = only_tokens(explode_tokens(tagged(spark, sf_dir))).withColumnRenamed("surface", "word")
         return dictionary(spark, sf_dir).having(rows, tag="NNG", known=known).groupBy("doc_id").agg(F.count("*").alias("n"))
 
     return run
@@ -183,14 +182,12 @@ def ext_tag_merge(spark, sf_dir):
 
 @query("synonym_replace", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_SYN}, r AS (SELECT doc_id, pos, coalesce(dst, w) || '/' || tag AS x FROM toks LEFT JOIN syn ON src = w) {_sql_short('r')}")
 def synonym_replace(spark, sf_dir):
-    docs = tagged(spark, sf_dir)
-    return _short_tokens(collect_tokens(docs, dictionary(spark, sf_dir).replace_synonyms(explode_tokens(docs))))
+    return _short_tokens(collect_tokens(dictionary(spark, sf_dir).replace_synonyms(explode_tokens(tagged(spark, sf_dir)))))
 
 
 @query("lemmatize", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_LEM}, r AS (SELECT doc_id, pos, coalesce(dst, w) || '/' || tag AS x FROM toks LEFT JOIN lem ON src = w AND tag IN ('VV', 'VX', 'XSV', 'VCN', 'VA', 'MAG', 'VAX')) {_sql_short('r')}")
 def lemmatize(spark, sf_dir):
-    docs = tagged(spark, sf_dir)
-    return _short_tokens(collect_tokens(docs, dictionary(spark, sf_dir).lemmatize(explode_tokens(docs))))
+    return _short_tokens(collect_tokens(dictionary(spark, sf_dir).lemmatize(explode_tokens(tagged(spark, sf_dir)))))
 
 
 _NOUNS = "n AS (SELECT doc_id, pos, coalesce(dst, w) AS w FROM toks LEFT JOIN syn ON src = w WHERE tag = 'NNG'), r AS (SELECT * FROM n WHERE w NOT IN (SELECT word FROM terms WHERE category IN ('INDUSTRY', 'GENERIC', 'SECTOR')))"
@@ -198,8 +195,7 @@ _NOUNS = "n AS (SELECT doc_id, pos, coalesce(dst, w) AS w FROM toks LEFT JOIN sy
 
 @query("tag_filter_nouns", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_SYN}, {SQL_TERMS}, {_NOUNS} {_sql_short('r', 'w')}")
 def tag_filter_nouns(spark, sf_dir):
-    docs = tagged(spark, sf_dir)
-    rows = collect_tokens(docs, dictionary(spark, sf_dir).nouns(explode_tokens(docs)))
+    rows = collect_tokens(dictionary(spark, sf_dir).nouns(explode_tokens(tagged(spark, sf_dir))))
     return _short(rows.select("doc_id", K.morphs(F.col("tokens")).alias("terms")))
 
 
@@ -211,14 +207,12 @@ _SENT = (
 
 @query("sent_words", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_SYN}, {SQL_LEM}, {SQL_TERMS}, {_SENT} {_sql_short('r')}")
 def sent_words(spark, sf_dir):
-    docs = tagged(spark, sf_dir)
-    rows = dictionary(spark, sf_dir).sentiment_words(explode_tokens(docs)).select("doc_id", "pos", F.col("word").alias("surface"), F.lit("").alias("tag"))
-    return _short(collect_tokens(docs, rows).select("doc_id", K.morphs(F.col("tokens")).alias("terms")))
+    rows = dictionary(spark, sf_dir).sentiment_words(explode_tokens(tagged(spark, sf_dir))).withColumnsRenamed({"surface": "plain", "word": "surface"})
+    return _short(collect_tokens(rows).select("doc_id", K.morphs(F.col("tokens")).alias("terms")))
 
 
 def _post(spark, sf_dir, **options):
-    docs = tagged(spark, sf_dir)
-    return _short_tokens(collect_tokens(docs, postprocess(explode_tokens(docs), **options)))
+    return _short_tokens(collect_tokens(postprocess(explode_tokens(tagged(spark, sf_dir)), **options)))
 
 
 def _entries(spark, sf_dir):
@@ -260,10 +254,11 @@ _INCLUDE = {
 }
 for _name, (_options, _where) in _INCLUDE.items():
 
-    @query(f"word_inclusion_{_name}", f"WITH {SQL_TOKS} SELECT w AS word, count(*) AS n FROM toks WHERE {_where} GROUP BY w")
+    @query(f"word_inclusion_{_name}", f"WITH c AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), k AS (SELECT word, lower(word) AS w FROM c) SELECT word, count(*) AS n FROM k WHERE {_where} GROUP BY word")
     def word_inclusion(spark, sf_dir, options=_options):
-        rows = english(spark, sf_dir).select(F.explode("words").alias("word"))
-        return rows.where(K.includes(F.col("word"), ("th", "on"), **options)).groupBy("word").agg(F.count("*").alias("n"))
+        words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), 0)
+        rows = _table(spark, sf_dir, "documents").select(F.explode(words).alias("word"))
+        return rows.where(K.includes(F.col("word"), ("th", "on" if options.get("unit_level") else "ON"), **options)).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("has_jongseong", "SELECT n_name AS word, (((unicode(right(n_name, 1)) - 44032) % 28) + 28) % 28 <> 0 AS final FROM nation UNION ALL SELECT x, y FROM (VALUES ('금리', false), ('물가', false), ('상승', true)) v(x, y)")
@@ -282,30 +277,91 @@ def ngrams_1_3(spark, sf_dir):
     return _short(english(spark, sf_dir).select("doc_id", K.ngrams(F.col("words"), 1, 3).alias("terms")))
 
 
-_MP = (
-    "w AS (SELECT l.doc_id, CAST(p.pos AS BIGINT) AS pos, k.k, list_slice(s.s, p.pos + 1, p.pos + k.k) AS run FROM (SELECT doc_id, list(w || '/' || split_part(tag, '+', 1) ORDER BY pos) AS s FROM toks GROUP BY doc_id) s JOIN l ON l.doc_id = s.doc_id, "
-    "unnest(range(len(s.s))) AS p(pos), (SELECT unnest([1, 2, 3]) AS k) k WHERE p.pos + k.k <= len(s.s)), "
-    "e AS (SELECT doc_id, pos, k, run, list_filter(run, lambda x, i: i = 1 OR x <> run[i - 1]) AS kept FROM w), "
-    "r AS (SELECT doc_id, pos, k, array_to_string(kept, ';') AS x FROM e WHERE split_part(run[1], '/', 2) IN ('NNG', 'VA', 'VAX', 'MAG') AND len(list_filter(kept, lambda x: split_part(x, '/', 2) = 'NNG')) > 0)"
+def _mp(high: int, words: str = "toks") -> str:
+    """Rows r (doc_id, pos, k, x) of topic n-grams of up to ``high`` slash tokens of ``words``."""
+    sizes = ", ".join(map(str, range(1, high + 1)))
+    return (
+        f"w AS (SELECT s.doc_id, CAST(p.pos AS BIGINT) AS pos, k.k, list_slice(s.s, p.pos + 1, p.pos + k.k) AS run FROM (SELECT doc_id, list(w || '/' || split_part(tag, '+', 1) ORDER BY pos) AS s FROM {words} GROUP BY doc_id) s, "
+        f"unnest(range(len(s.s))) AS p(pos), (SELECT unnest([{sizes}]) AS k) k WHERE p.pos + k.k <= len(s.s)), "
+        "e AS (SELECT doc_id, pos, k, run, list_filter(run, lambda x, i: i = 1 OR x <> run[i - 1]) AS kept FROM w), "
+        "r AS (SELECT doc_id, pos, k, array_to_string(kept, ';') AS x FROM e WHERE split_part(run[1], '/', 2) IN ('NNG', 'VA', 'VAX', 'MAG') AND len(list_filter(kept, lambda x: split_part(x, '/', 2) = 'NNG')) > 0)"
+    )
+
+
+for _high in (3, 5, 7):
+
+    @query(f"topic_ngrams_{_high}", f"WITH {SQL_TOKS}, {_mp(_high)} {_sql_short('r', 'x', 'pos, k')}")
+    def topic_ngrams(spark, sf_dir, high=_high):
+        return _short(slashed(spark, sf_dir).select("doc_id", K.topic_ngrams(F.col("terms"), 1, high).alias("terms")))
+
+
+_AUX = "t1 AS (SELECT doc_id, pos, w || '/' || CASE length(w) % 4 WHEN 0 THEN 'VX' WHEN 1 THEN 'VCN' WHEN 2 THEN 'VCP' ELSE 'VV' END AS x FROM toks UNION ALL SELECT doc_id, 1000000 + k, x FROM documents, (VALUES (1, '못하/VX'), (2, '아니/VCN'), (3, '않/VX'), (4, '지만/VCP'), (5, '싶/VX')) v(k, x))"
+
+
+@query("drop_auxiliaries", f"WITH {SQL_TOKS}, {_AUX}, r AS (SELECT * FROM t1 WHERE split_part(x, '/', 2) NOT IN ('VX', 'VCP', 'VCN') OR x IN ('못하/VX', '아니/VCN', '않/VX', '지만/VCP')) {_sql_short('r')}")
+def drop_auxiliaries(spark, sf_dir):
+    n = lambda w: F.length(w) % 4
+    tag = lambda w: F.when(n(w) == 0, "VX").when(n(w) == 1, "VCN").when(n(w) == 2, "VCP").otherwise("VV")
+    more = F.array(*map(F.lit, ("못하/VX", "아니/VCN", "않/VX", "지만/VCP", "싶/VX")))
+    return _short(english(spark, sf_dir).select("doc_id", K.drop_auxiliaries(F.concat(F.transform("words", lambda w: F.concat_ws("/", w, tag(w))), more)).alias("terms")))
+
+
+#: Slash words of the benchmark with the tags of documents, and known n-grams: these words and pairs of neighbours.
+_KNOWN = (
+    f"kw AS (SELECT w, {TAG_RULE.format(w='w')} AS tag FROM bw), ks AS (SELECT w || '/' || split_part(tag, '+', 1) AS x FROM kw), kt AS (SELECT * FROM toks SEMI JOIN bw USING (w)), "
+    "bl AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS l FROM benchmark), bp AS (SELECT DISTINCT l[p] AS a, l[p + 1] AS b FROM bl, unnest(range(1, len(l))) AS u(p)), "
+    f"vocab AS (SELECT x, length(x) AS n FROM ks UNION SELECT a || '/' || split_part({TAG_RULE.format(w='a')}, '+', 1) || ';' || b || '/' || split_part({TAG_RULE.format(w='b')}, '+', 1) AS x, length(a) + length(b) AS n FROM bp)"
 )
 
 
-@query("topic_ngrams", f"WITH {SQL_TOKS}, {_MP} {_sql_short('r', 'x', 'pos, k')}")
-def topic_ngrams(spark, sf_dir):
-    return _short(slashed(spark, sf_dir).select("doc_id", K.topic_ngrams(F.col("terms"), 1, 3).alias("terms")))
+def _known(spark, sf_dir):
+    """Known slash words (term), and the lexicon rows of known n-grams (term, n)."""
+    slash = lambda w: F.concat_ws("/", w, F.substring_index(_tag(w), "+", 1))
+    words = bench_words(spark, sf_dir).select(slash(F.col("w")).alias("term"))
+    lists = _table(spark, sf_dir, "benchmark").select(english_words(F.col("text")).alias("l"))
+    pairs = lists.select(F.posexplode("l").alias("p", "a"), "l").select("a", F.get("l", F.col("p") + 1).alias("b")).where("b is not null").distinct()
+    pairs = pairs.select(F.concat_ws(";", slash(F.col("a")), slash(F.col("b"))).alias("term"), (F.length("a") + F.length("b")).alias("n"))
+    return words, words.withColumn("n", F.length("term")).unionByName(pairs)
+
+
+def _known_words(spark, sf_dir):
+    """Documents of known words only, as a reader of classifier terms gets them."""
+    return lexicon.only_known(slashed(spark, sf_dir), _known(spark, sf_dir)[0])
+
+
+@query("classifier_terms", f"WITH {SQL_TOKS}, {SQL_BENCH}, {_KNOWN}, {_mp(5, 'kt')}, v AS (SELECT r.* FROM r JOIN vocab USING (x) WHERE k >= 2) {_sql_short('v', 'x', 'pos, k')}")
+def classifier_terms(spark, sf_dir):
+    """Known n-grams of two to five words, overlapping ones too."""
+    return _short(lexicon.classifier_terms(_known_words(spark, sf_dir), _known(spark, sf_dir)[1], keep_overlapping=True))
+
+
+_LONGEST = "d0 AS (SELECT DISTINCT doc_id, x FROM v), u AS (SELECT doc_id, x FROM d0 WHERE NOT EXISTS (SELECT 1 FROM d0 AS y WHERE y.doc_id = d0.doc_id AND y.x <> d0.x AND contains(y.x, d0.x)))"
+
+
+@query("classifier_terms_longest", f"WITH {SQL_TOKS}, {SQL_BENCH}, {_KNOWN}, {_mp(5, 'kt')}, v AS (SELECT r.* FROM r JOIN vocab USING (x) WHERE k >= 2), {_LONGEST} SELECT doc_id, x AS term FROM u")
+def classifier_terms_longest(spark, sf_dir):
+    """Known n-grams of two to five words that no longer one contains."""
+    return lexicon.classifier_terms(_known_words(spark, sf_dir), _known(spark, sf_dir)[1]).select("doc_id", F.explode("terms").alias("term"))
+
+
+@query("general_terms", f"WITH {SQL_TOKS}, {SQL_BENCH}, {_KNOWN}, gt AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, w || '/' || tag AS w FROM toks), "
+       "g AS (SELECT a.doc_id, a.pos, 1 AS k, a.w AS x FROM gt a UNION ALL SELECT a.doc_id, a.pos, 2, a.w || ';' || b.w FROM gt a JOIN gt b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1), "
+       f"v AS (SELECT g.* FROM g JOIN vocab USING (x)) {_sql_short('v', 'x', 'pos, k')}")
+def general_terms(spark, sf_dir):
+    """Known n-grams of one to three tagged tokens; no known one has three."""
+    return _short(lexicon.general_terms(tagged(spark, sf_dir), _known(spark, sf_dir)[1]))
 
 
 _CONTAIN = (
-    "f AS (SELECT doc_id, list(DISTINCT w) AS u FROM toks WHERE length(w) >= 9 GROUP BY doc_id), o AS (SELECT doc_id, list_transform(list_sort(list_transform(u, lambda x: lpad(CAST(1000000 - length(x) AS VARCHAR), 7, '0') || x)), lambda x: substr(x, 8)) AS s FROM f), "
+    "f AS (SELECT doc_id, list(DISTINCT w) AS u FROM toks GROUP BY doc_id), o AS (SELECT doc_id, list_transform(list_sort(list_transform(u, lambda x: lpad(CAST(1000000 - length(x) AS VARCHAR), 7, '0') || x)), lambda x: substr(x, 8)) AS s FROM f), "
     "q AS (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS pos, s FROM o), r AS (SELECT doc_id, pos, x FROM q WHERE len(list_filter(list_slice(s, 1, CAST(pos AS BIGINT)), lambda y: contains(y, x))) = 0)"
 )
 
 
 @query("ngram_containment", f"WITH {SQL_TOKS}, {_CONTAIN} {_sql_short('r')}")
 def ngram_containment(spark, sf_dir):
-    """Long distinct words of each document that no longer one contains."""
-    terms = F.sort_array(F.array_distinct(F.filter("words", lambda w: F.length(w) >= 9)))
-    return _short(english(spark, sf_dir).select("doc_id", K.longest_only(terms).alias("terms")))
+    """Distinct words of each document that no longer one contains."""
+    return _short(K.with_longest_ngrams(english(spark, sf_dir).select("doc_id", F.sort_array(F.array_distinct("words")).alias("words")), 1))
 
 
 @query("ngram_containment_all")
@@ -359,14 +415,80 @@ def calc_polarity(spark, sf_dir):
     return rows.select("doc_id", F.round(K.polarity_of(F.col("scores"), by_count=False), 6).alias("polarity"))
 
 
-@query("tone_terms_score", None)
+@query("calc_polarity_count", f"{_SCORED}, a AS (SELECT doc_id, count_if(p > 0) AS u, count_if(p < 0) AS v FROM s GROUP BY doc_id) SELECT d.doc_id, round((coalesce(u, 0) - coalesce(v, 0)) / (coalesce(u, 0) + coalesce(v, 0) + 0.000001E0), 6) AS polarity FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id")
+def calc_polarity_count(spark, sf_dir):
+    scores = lexicon.term_scores(_terms(spark, sf_dir), bench_lexicon(spark, sf_dir)).groupBy("doc_id").agg(F.collect_list("pol").alias("scores"))
+    rows = english(spark, sf_dir).select("doc_id").join(scores, "doc_id", "left").withColumn("scores", F.coalesce("scores", F.array().cast("array<double>")))
+    return rows.select("doc_id", F.round(K.polarity_of(F.col("scores")), 6).alias("polarity"))
+
+
+def _tone_rows(spark, sf_dir):
+    """Rows of a polarity lexicon (word, polarity, score, intensity) of the known n-grams."""
+    n = F.col("n")
+    return _known(spark, sf_dir)[1].select(F.col("term").alias("word"), F.when(n % 2 == 0, 1.0).otherwise(-1.0).alias("polarity"), ((n % 5 - 2).cast("double") / 4).alias("score"), (1 + (n % 4).cast("double")).alias("intensity"))
+
+
+def _tone_sql(high: int, cutoff: float, overlapping: bool, by_count: bool) -> str:
+    value = "CASE WHEN l.x IS NULL THEN 0.0E0 WHEN n % 2 = 0 THEN 1.0E0 ELSE -1.0E0 END" if by_count else "CASE WHEN l.x IS NULL THEN 0.0E0 ELSE CAST(n % 5 - 2 AS DOUBLE) / 4 END"
+    v = "v AS (SELECT * FROM r)" if overlapping else "v AS (SELECT r.* FROM r JOIN lx USING (x))"
+    terms = "u AS (SELECT doc_id, x FROM v)" if overlapping else _LONGEST
+    below = "positive - negative + 0.000001E0" if by_count else "n + 0.000001E0"
+    return (
+        f"WITH {SQL_TOKS}, {SQL_BENCH}, {_KNOWN}, lx AS (SELECT * FROM vocab WHERE 1 + n % 4 > {cutoff}E0), {_mp(high, 'kt')}, {v}, {terms}, s AS (SELECT u.doc_id, {value} AS c FROM u LEFT JOIN lx l ON l.x = u.x), a AS ({_AGG.format(v='c')}) "
+        f"SELECT doc_id, round({_ROUND.split(',')[0].removesuffix(' AS positive')}, 6) AS positive, round(CAST(negative AS DOUBLE), 6) AS negative, round((positive + negative) / ({below}), 6) AS polarity, round(hits / (n + 0.000001E0), 6) AS subjectivity FROM a"
+    )
+
+
+_SCORES = ("positive", "negative", "polarity", "subjectivity")
+
+
+@query("tone_terms_score", _tone_sql(3, 1.3, False, True))
 def tone_terms_score(spark, sf_dir):
-    """Tone preset: n-grams of known words, scored by a lexicon of slash terms."""
-    words = bench_words(spark, sf_dir)
-    known = words.select(F.concat_ws("/", "w", F.substring_index(_tag(F.col("w")), "+", 1)).alias("term"), F.length("w").alias("n"))
-    lex = known.select("term", F.when(F.col("n") % 2 == 0, 1).alias("pos"), F.when(F.col("n") % 2 == 1, -1).alias("neg"), F.lit(0.5).alias("pol"))
-    terms = lexicon.tone_terms(slashed(spark, sf_dir), known, lex, kind=3)
-    return _rounded(lexicon.score(terms, lex), "polarity", "subjectivity")
+    """Tone preset: the longest known n-grams of known words, by count."""
+    scorer = presets.tone(_tone_rows(spark, sf_dir), _known(spark, sf_dir)[0], kind=3)
+    return _rounded(scorer.score(slashed(spark, sf_dir)), *_SCORES)
+
+
+@query("uncertainty_score", _tone_sql(5, 2.0, True, False))
+def uncertainty_score(spark, sf_dir):
+    """Uncertainty preset: every n-gram of known words counts, by value."""
+    scorer = presets.uncertainty(_tone_rows(spark, sf_dir), _known(spark, sf_dir)[0], kind=0)
+    return _rounded(scorer.score(slashed(spark, sf_dir), by_count=False), *_SCORES)
+
+
+def _class_rows(spark, sf_dir):
+    n = F.col("n")
+    return _known(spark, sf_dir)[1].select(F.col("term").alias("ngram"), ((n % 5).cast("double") / 8).alias("neg_share"), ((n % 7).cast("double") / 8).alias("pos_share"))
+
+
+@query("class_lexicon", f"WITH {SQL_TOKS}, {SQL_BENCH}, {_KNOWN} SELECT x AS term, CASE WHEN n % 7 > n % 5 THEN 1 END AS pos, CASE WHEN n % 7 < n % 5 THEN -1 END AS neg, CAST(n % 7 - n % 5 AS DOUBLE) / 8 AS pol FROM vocab WHERE n % 7 <> n % 5")
+def class_lexicon(spark, sf_dir):
+    return wordlists.class_lexicon(_class_rows(spark, sf_dir))
+
+
+@query("general_score", f"WITH {SQL_TOKS}, {SQL_BENCH}, {_KNOWN}, gt AS (SELECT doc_id, pos, w || '/' || tag AS w FROM toks), "
+       "g AS (SELECT a.doc_id, a.w AS x FROM gt a UNION ALL SELECT a.doc_id, a.w || ';' || b.w FROM gt a JOIN gt b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1), "
+       f"s AS (SELECT g.doc_id, CAST(n % 7 - n % 5 AS DOUBLE) / 8 AS p FROM g JOIN vocab USING (x) WHERE n % 7 <> n % 5), a AS ({_AGG.format(v='p')}) "
+       f"SELECT doc_id, {_ROUND}, round((positive + negative) / (n + 0.000001E0), 6) AS polarity, round(hits / (n + 0.000001E0), 6) AS subjectivity FROM a")
+def general_score(spark, sf_dir):
+    """General preset: known n-grams of tagged tokens, by value."""
+    return _rounded(presets.general(_class_rows(spark, sf_dir)).score(tagged(spark, sf_dir), by_count=False), "polarity", "subjectivity")
+
+
+@query("breakdown", f"{_SCORED} SELECT doc_id, pos, term, p AS score, p AS polarity, CASE WHEN p > 0 THEN 'positive' WHEN p < 0 THEN 'negative' ELSE 'neutral' END AS sentiment FROM s")
+def breakdown(spark, sf_dir):
+    rows = lexicon.breakdown(_terms(spark, sf_dir), bench_lexicon(spark, sf_dir), by_count=False)
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("class_analysis", f"WITH {SQL_TOKS}, {SQL_BENCH}, k AS (SELECT w, length(w) % 3 AS a, length(w) % 4 AS b, length(w) % 5 AS c, 1 AS d FROM bw), s AS (SELECT doc_id, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM toks JOIN k USING (w) GROUP BY doc_id) "
+       "SELECT x.doc_id, round(a / CAST(nullif(a + d, 0) AS DOUBLE), 6) AS polarity_a, round(b / CAST(nullif(b + c, 0) AS DOUBLE), 6) AS intensity_b, round(c / CAST(nullif(c + d, 0) AS DOUBLE), 6) AS expressive_c FROM documents x LEFT JOIN s ON s.doc_id = x.doc_id")
+def class_analysis(spark, sf_dir):
+    """Three class tables at once."""
+    n = F.length("w")
+    table = lambda **shares: bench_words(spark, sf_dir).select(F.col("w").alias("ngram"), *[x.cast("double").alias(c) for c, x in shares.items()])
+    rows = lexicon.analysis(_terms(spark, sf_dir), {"polarity": table(a=n % 3, d=F.lit(1)), "intensity": table(b=n % 4, c=n % 5), "expressive": table(c=n % 5, d=F.lit(1))})
+    return rows.select("doc_id", F.round("polarity.a", 6).alias("polarity_a"), F.round("intensity.b", 6).alias("intensity_b"), F.round("expressive.c", 6).alias("expressive_c"))
 
 
 _CLASSES = f"WITH {SQL_TOKS}, {SQL_BENCH}, k AS (SELECT w, length(w) % 3 AS a, length(w) % 4 AS b, 1 AS c FROM bw), s AS (SELECT doc_id, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM toks JOIN k USING (w) GROUP BY doc_id) "
@@ -455,9 +577,10 @@ def chi2_words(spark, sf_dir):
     return bayes.word_scores(labelled(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
-@query("best_words_topk", f"WITH {SQL_CHI} SELECT w AS feature, round(score, 4) AS score FROM e QUALIFY row_number() OVER (ORDER BY round(score, 4) DESC, w) <= 500")
-def best_words_topk(spark, sf_dir):
-    return chi2_words(spark, sf_dir).orderBy(F.desc("score"), "feature").limit(500).select("feature", "score")
+@query("best_words", f"WITH {SQL_CHI} SELECT round(score, 4) AS score FROM e QUALIFY row_number() OVER (ORDER BY score DESC) <= floor((SELECT count(*) FROM e) * 0.2E0)")
+def best_words(spark, sf_dir):
+    """Scores of the best fifth of the vocabulary; which of the words with the last score are in it, no order decides."""
+    return bayes.best_words(labelled(spark, sf_dir)).select(F.round("score", 4).alias("score"))
 
 
 @query("split_by_class")
@@ -490,17 +613,23 @@ def spearman(spark, sf_dir):
 
 
 _INFO = (
-    f"WITH {SQL_NB}, i AS (SELECT w, exp(greatest(lp, ln_)) / (exp(least(lp, ln_)) + 0.000001E0) AS ratio, lp > ln_ AS up FROM nb), k AS (SELECT * FROM i WHERE ratio > 1.2E0), "
-    "e AS (SELECT min(ratio) FILTER (up) AS p0, max(ratio) FILTER (up) AS p1, min(ratio) FILTER (NOT up) AS n0, max(ratio) FILTER (NOT up) AS n1 FROM k) "
+    f"WITH {SQL_NB}, i AS (SELECT w, (exp(greatest(lp, ln_)) + 0.000001E0) / (exp(least(lp, ln_)) + 0.000001E0) AS ratio, lp > ln_ AS up FROM nb), k AS (SELECT w, ratio, up, CASE WHEN up THEN ratio ELSE 1 / ratio END AS v FROM i WHERE ratio > 1.2E0), "
+    "e AS (SELECT min(v) FILTER (up) AS p0, max(v) FILTER (up) AS p1, min(v) FILTER (NOT up) AS n0, max(v) FILTER (NOT up) AS n1 FROM k) "
 )
 
 
-@query("informative_features", _INFO + "SELECT w AS feature, round(ratio, 4) AS ratio, round(CASE WHEN up THEN coalesce((ratio - p0) / nullif(p1 - p0, 0), 1) ELSE -coalesce((ratio - n0) / nullif(n1 - n0, 0), 1) END, 6) AS polarity FROM k, e")
+@query("informative_features", _INFO + "SELECT w AS feature, round(ratio, 4) AS ratio, round(CASE WHEN up THEN coalesce((v - p0) / nullif(p1 - p0, 0), 0) ELSE coalesce((v - n1) / nullif(n1 - n0, 0), 0) END, 6) AS polarity FROM k, e")
 def informative_features(spark, sf_dir):
     rows = bayes.informative_features(bayes.conditionals(labelled(spark, sf_dir)))
     return rows.select("feature", F.round("ratio", 4).alias("ratio"), F.round("polarity", 6).alias("polarity"))
 
 
+@query("informative_features_compat", _INFO + "SELECT w AS feature, round(ratio, 4) AS ratio, round(CASE WHEN up THEN coalesce((v - p0) / nullif(p1 - p0, 0), 0) ELSE coalesce((v - p1) / nullif(p1 - p0, 0), 0) END, 6) AS polarity FROM k, e")
+def informative_features_compat(spark, sf_dir):
+    rows = bayes.informative_features(bayes.conditionals(labelled(spark, sf_dir)), compat=True)
+    return rows.select("feature", F.round("ratio", 4).alias("ratio"), F.round("polarity", 6).alias("polarity"))
+
+
 @query("train_evaluate")
 def train_evaluate(spark, sf_dir):
     return bayes.evaluate(labelled(spark, sf_dir))
@@ -522,6 +651,11 @@ def best_bigrams(spark, sf_dir):
     return _short(bayes.best_collocations(labelled(spark, sf_dir), 2).withColumnRenamed("features", "terms"))
 
 
+@query("train_evaluate_bigram")
+def train_evaluate_bigram(spark, sf_dir):
+    return bayes.evaluate(labelled(spark, sf_dir), features="best_bigram")
+
+
 # --- word lists and user dictionary ----------------------------------------------------------------
 
 
@@ -530,6 +664,25 @@ def wordlist_load(spark, sf_dir):
     return wordlists.wordlist_from(_table(spark, sf_dir, "part").select(F.col("p_name").alias("value")), remove_tag=True)
 
 
+@query("wordlist_keep_tags", "WITH x AS (SELECT DISTINCT split_part(v, ' ', 1) AS w FROM (SELECT trim(substr(p_name, 1, 1 + p_size % 9)) AS v FROM part) WHERE length(v) > 1) SELECT w AS word FROM x WHERE NOT starts_with(w, '#')")
+def wordlist_keep_tags(spark, sf_dir):
+    """Lines of one letter drop out, a first field of one letter does not."""
+    cut = F.substring("p_name", F.lit(1), 1 + F.col("p_size") % 9)
+    return wordlists.wordlist_from(_table(spark, sf_dir, "part").select(cut.alias("value")))
+
+
+@query("vocab_fields", "SELECT split_part(lower(p_brand), ' ', 1) AS token, arg_max(p_type, p_partkey) AS value FROM (SELECT p_brand, p_partkey, split_part(p_type, ' ', 1) AS p_type FROM part) GROUP BY 1")
+def vocab_fields(spark, sf_dir):
+    lines = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), F.concat_ws(" ", F.substring_index(F.lower("p_brand"), " ", 1), "p_type").alias("value"))
+    return wordlists.fields_from(lines)
+
+
+@query("class_table", "SELECT p_brand AS ngram, arg_max(p_size, p_partkey) AS a, arg_max(p_retailprice, p_partkey) AS b FROM (SELECT p_brand, p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) GROUP BY p_brand")
+def class_table(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), F.col("p_brand").alias("ngram"), F.col("p_size").alias("a"), F.col("p_retailprice").alias("b"))
+    return wordlists.class_table(rows)
+
+
 @query("vocab_load", "SELECT replace(lower(c_mktsegment), ' ', '') AS src, arg_max(lower(c_name), c_custkey) AS dst FROM customer GROUP BY 1")
 def vocab_load(spark, sf_dir):
     lines = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("line_no"), F.concat_ws(",", "c_mktsegment", "c_name").alias("value"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import strip
 
 USER_FIELDS = ("surface", "left_id", "right_id", "cost", "pos", "semantic", "has_jongseong", "reading", "type", "start_pos", "end_pos", "expression")
+POLARITY_SCHEMA = "word string, polarity double, score double, c3 string, c4 string, intensity double"
 USER_SCHEMA = ", ".join(f"{f} {'int' if f == 'cost' else 'string'}" for f in USER_FIELDS)
 CONTEXT_FIELDS = ("id", "pos", "semantic", "has_jongseong", "reading", "type", "start_pos", "end_pos", "expression")
 # Intensity cut-offs and their ceilings by kind of lexicon.
@@ -36,6 +37,11 @@ def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(_plain(F.col("value")).alias("word")).distinct()
 
 
+def load_terms(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct terms of a file, stripped and lower-cased; blanks inside them stay."""
+    return spark.read.text(path).select(F.lower(strip(F.col("value"))).alias("word")).distinct()
+
+
 def load_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).select("line_no", strip(F.col("value")).alias("line"))
 
@@ -62,10 +68,10 @@ def save_wordlist(words: DataFrame, path: str) -> None:
 def wordlist_from(lines: DataFrame, max_ngram: int | None = None, remove_tag: bool = False, remove_delimiter: bool = False, lowercase: bool = False) -> DataFrame:
     """First field of each line (value), distinct, without comments.
 
-    The ``;`` is removed before the length in units is tested, so both options together keep all.
+    Blank lines drop out and, unless tags are removed, lines of one letter. The ``;`` is removed before the length in units is tested, so both options together keep all.
     """
-    word = F.get(F.split(strip(F.col("value")), r"(?U)\s+"), F.lit(0))
-    rows = lines.select(F.coalesce(word, F.lit("")).alias("word")).where(F.length("word") > (0 if remove_tag else 1))
+    line = strip(F.col("value"))
+    rows = lines.where(F.length(line) > (0 if remove_tag else 1)).select(F.get(F.split(line, r"(?U)\s+"), F.lit(0)).alias("word"))
     if remove_tag:
         rows = rows.select(F.substring_index("word", "/", 1).alias("word"))
     if remove_delimiter:
@@ -80,10 +86,15 @@ def load_wordlist(spark: SparkSession, path: str, **options) -> DataFrame:
     return wordlist_from(spark.read.text(path), **options).orderBy("word")
 
 
-def load_fields(spark: SparkSession, path: str) -> DataFrame:
-    """token and value: the first two fields of each line; words of one letter are kept."""
+def fields_from(lines: DataFrame) -> DataFrame:
+    """token and value: the first two fields of each line (line_no, value), the last line of equal tokens; words of one letter are kept."""
     fields = F.split(strip(F.col("value")), r"(?U)\s+")
-    return spark.read.text(path).select(F.get(fields, F.lit(0)).alias("token"), F.get(fields, F.lit(1)).alias("value")).where(F.length("token") > 0)
+    rows = lines.select("line_no", F.get(fields, F.lit(0)).alias("token"), F.get(fields, F.lit(1)).alias("second")).where(F.length("token") > 0)
+    return rows.groupBy("token").agg(F.max_by("second", "line_no").alias("value"))
+
+
+def load_fields(spark: SparkSession, path: str) -> DataFrame:
+    return fields_from(numbered_lines(spark, path))
 
 
 def load_wordset(spark: SparkSession, path: str) -> DataFrame:
@@ -97,16 +108,25 @@ def polarity_lexicon(rows: DataFrame, kind: int = 0, cutoff: float | None = None
     return kept.select(F.col("word").alias("term"), F.when(F.col("polarity") > 0, 1).alias("pos"), F.when(F.col("polarity") < 0, -1).alias("neg"), F.col("score").alias("pol"))
 
 
+def uncertainty_lexicon(rows: DataFrame, kind: int = 0, cutoff: float | None = None) -> DataFrame:
+    """As :func:`polarity_lexicon`, with the cut-offs and the ceiling of uncertainty lexicons."""
+    return polarity_lexicon(rows, kind, cutoff, UNCERTAINTY_CUTOFFS, 3.0)
+
+
+def load_uncertainty_lexicon(spark: SparkSession, path: str, **options) -> DataFrame:
+    return uncertainty_lexicon(spark.read.schema(POLARITY_SCHEMA).csv(path), **options)
+
+
 def load_polarity_lexicon(spark: SparkSession, path: str, **options) -> DataFrame:
-    schema = "word string, polarity double, score double, c3 string, c4 string, intensity double"
-    return polarity_lexicon(spark.read.schema(schema).csv(path), **options)
+    return polarity_lexicon(spark.read.schema(POLARITY_SCHEMA).csv(path), **options)
 
 
 def class_lexicon(rows: DataFrame) -> DataFrame:
-    """Lexicon of rows (ngram, neg_share, pos_share): the sign of the difference; equal shares drop out."""
-    sign = F.signum(F.col("pos_share") - F.col("neg_share"))
-    kept = rows.where((F.length("ngram") > 1) & (sign != 0))
-    return kept.select(F.col("ngram").alias("term"), F.when(sign > 0, 1).alias("pos"), F.when(sign < 0, -1).alias("neg"), sign.alias("pol"))
+    """Lexicon of rows (ngram, neg_share, pos_share): by count the sign of the difference, by value the
+    difference; equal shares drop out."""
+    value = F.col("pos_share") - F.col("neg_share")
+    kept = rows.where((F.length("ngram") > 1) & (value != 0))
+    return kept.select(F.col("ngram").alias("term"), F.when(value > 0, 1).alias("pos"), F.when(value < 0, -1).alias("neg"), value.alias("pol"))
 
 
 def load_class_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -114,11 +134,31 @@ def load_class_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return class_lexicon(raw)
 
 
+def class_table(rows: DataFrame) -> DataFrame:
+    """Rows (line_no, ngram, a share for each class after it) without line numbers, the last of equal n-grams."""
+    classes = [c for c in rows.columns if c not in ("line_no", "ngram")]
+    last = rows.groupBy("ngram").agg(F.max_by(F.struct(*[F.col(f"`{c}`").cast("double").alias(c) for c in classes]), "line_no").alias("shares"))
+    return last.select("ngram", "shares.*")
+
+
 def load_class_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table with a header, ``ngram`` first and a share for each class after it."""
+    """A table with a header, ``ngram`` first and a share for each class after it; the last of equal n-grams."""
     raw = spark.read.option("header", True).csv(path)
-    key = raw.columns[0]
-    return raw.select(F.col(key).alias("ngram"), *[F.col(f"`{c}`").cast("double").alias(c) for c in raw.columns[1:]])
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return class_table(raw.withColumn("line_no", place).withColumnRenamed(raw.columns[0], "ngram"))
+
+
+def load_harvard(spark: SparkSession, path: str) -> DataFrame:
+    """word, positive and negative of a table with a header (Entry, Positiv, Negativ), which names its own class."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(F.col("Entry").alias("word"), F.coalesce(F.col("Positiv") == "Positiv", F.lit(False)).alias("positive"), F.coalesce(F.col("Negativ") == "Negativ", F.lit(False)).alias("negative"))
+
+
+def load_finance(spark: SparkSession, path: str) -> DataFrame:
+    """word, positive and negative of a table with a header (Word, Positive, Negative), years above zero for members."""
+    rows = spark.read.option("header", True).csv(path)
+    member = lambda c: F.coalesce(F.col(c).cast("double") > 0, F.lit(False))
+    return rows.select(F.col("Word").alias("word"), member("Positive").alias("positive"), member("Negative").alias("negative"))
 
 
 def load_stoplist(spark: SparkSession, path: str) -> DataFrame:

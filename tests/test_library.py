@@ -113,7 +113,7 @@ def test_bayes(spark):
 def test_rewriting(spark):
     docs = spark.createDataFrame([(0, [("Old", "NNG"), ("go", "XSV"), ("run", "NNG")]), (1, [])], TOKENS)
     d = Dictionary.empty(spark).add_synonym("old", "New").add_lemma("go", "gone").add_lemma("gone", "x").add_terms(["run"], "INDUSTRY").add_words(["both"], "NNP").add_words(["both"], "VV")
-    text = lambda rows: {r["doc_id"]: [tuple(t) for t in r["tokens"]] for r in collect_tokens(docs, rows).collect()}
+    text = lambda rows: {r["doc_id"]: [tuple(t) for t in r["tokens"]] for r in collect_tokens(rows).collect()}
     assert text(d.replace_synonyms(explode_tokens(docs))) == {0: [("new", "NNG"), ("go", "XSV"), ("run", "NNG")], 1: []}
     assert text(d.lemmatize(explode_tokens(docs)))[0][1] == ("gone", "VV")
     assert text(d.nouns(explode_tokens(docs)))[0] == [("new", "NNG")]
@@ -128,7 +128,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "v.txt").write_text("A,b,c\na, D\nnone\n")
     assert [tuple(r) for r in wordlists.load_vocab(spark, f"file://{tmp_path}/v.txt").collect()] == [("a", "d")]
     (tmp_path / "w.txt").write_text("x/NNG;y/NNG 3\n# no\nz 1\nlong/NNG\n")
-    assert [r["word"] for r in wordlists.load_wordlist(spark, f"file://{tmp_path}/w.txt").collect()] == ["long/NNG", "x/NNG;y/NNG"]
+    assert [r["word"] for r in wordlists.load_wordlist(spark, f"file://{tmp_path}/w.txt").collect()] == ["long/NNG", "x/NNG;y/NNG", "z"]
+    assert [r["word"] for r in wordlists.load_wordlist(spark, f"file://{tmp_path}/w.txt", max_ngram=1, remove_tag=True, lowercase=True).collect()] == ["long", "x", "z"]
     (tmp_path / "s.txt").write_bytes("CÓRDOBA  | place\nrunning\n".encode())
     assert sorted(r["stem"] for r in wordlists.load_stoplist(spark, f"file://{tmp_path}/s.txt").collect()) == ["cã", "run"]
 

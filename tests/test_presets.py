@@ -1,0 +1,313 @@
+"""Presets, loaders and tagging on small Korean and English fixtures of our own, and classifier steps by brute force."""
+
+import itertools
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from morphlake.functions import tokens as K
+from morphlake.functions.porter import stem
+from morphlake.operators import bayes, lexicon, presets
+from morphlake.operators.analyze import DictionaryAnalyzer, PretaggedAnalyzer
+from morphlake.operators.dictionary import Dictionary, explode_tokens
+from morphlake.operators.userdic import UserDictionary
+from morphlake.sources import wordlists
+
+TERMS = "doc_id long, terms array<string>"
+TOKENS = "doc_id long, tokens array<struct<surface:string,tag:string>>"
+
+
+def file(tmp_path, name, text):
+    (tmp_path / name).write_text(text, encoding="utf-8")
+    return f"file://{tmp_path}/{name}"
+
+
+def scores(rows):
+    return {r["doc_id"]: (r["positive"], r["negative"], round(r["polarity"], 6)) for r in rows.collect()}
+
+
+def test_tone_and_uncertainty(spark):
+    """Longest known n-grams score by count; for uncertainty every n-gram is a term, by value."""
+    rows = spark.createDataFrame([("금리/NNG;인상/NNG", 1.0, 0.9, 3.0), ("금리/NNG", 1.0, 0.2, 3.0), ("둔화/NNG", -1.0, -0.7, 2.5), ("약한/VA;금리/NNG", 1.0, 0.1, 1.0)], "word string, polarity double, score double, intensity double")
+    words = spark.createDataFrame([(w,) for w in ("금리/NNG", "인상/NNG", "둔화/NNG", "약한/VA")], "term string")
+    docs = spark.createDataFrame([(0, ["금리/NNG", "인상/NNG", "모름/NNG"]), (1, ["둔화/NNG", "금리/NNG"]), (2, []), (2, ["둔화/NNG"])], TERMS)
+    tone = presets.tone(rows, words, kind=1)
+    found = [tuple(r)[1:3] for r in tone.score(docs).orderBy("doc_id", "negative").collect()]
+    assert found == [(1.0, 0.0), (1.0, -1.0), (0.0, -1.0), (0.0, 0.0)]
+    assert [(r["term"], r["phrase"], r["score"], r["polarity"], r["sentiment"]) for r in tone.phrases(docs.where("doc_id = 0")).collect()] == [("금리/NNG;인상/NNG", "금리인상", 1.0, 0.9, "positive")]
+    assert tone.score(docs.where("doc_id = 0")).first()["polarity"] == tone.score(docs.where("doc_id = 0")).first()["subjectivity"] == 1 / (1 + 1e-6)
+    strict = presets.tone(rows, words, kind=1, cutoff=9.0)  # no cut-off goes beyond 2
+    assert {r["term"] for r in strict.lexicon.collect()} == {"금리/NNG;인상/NNG", "금리/NNG", "둔화/NNG"}
+    unsure = presets.uncertainty(rows, words, kind=0)  # beyond 2; n-grams 금리, 금리;인상, 인상
+    r = unsure.score(docs.where("doc_id = 0"), by_count=False).first()
+    assert r["positive"] == pytest.approx(1.1) and r["polarity"] == pytest.approx(1.1 / 3, abs=1e-6) and r["subjectivity"] == pytest.approx(2 / 3, abs=1e-6)
+    assert {r["term"] for r in presets.uncertainty(rows, words, cutoff=9.0).lexicon.collect()} == set()
+
+
+def test_general_scores_are_differences(spark):
+    rows = spark.createDataFrame([("좋/VA", 0.1, 0.6), ("좋/VA;다/EF", 0.5, 0.25), ("x", 0.0, 1.0), ("같/VA", 0.5, 0.5)], "ngram string, neg_share double, pos_share double")
+    general = presets.general(rows)
+    docs = spark.createDataFrame([(0, [("좋", "VA"), ("다", "EF"), (".", "SF"), ("같", "VA")])], TOKENS)
+    assert [r["term"] for r in general.breakdown(docs).orderBy("pos").collect()] == ["좋/VA", "좋/VA;다/EF"]
+    r = general.score(docs, by_count=False).first()
+    assert (r["positive"], r["negative"]) == (0.5, -0.25) and r["polarity"] == pytest.approx(0.125, abs=1e-6)
+    assert general.score(docs).first()["positive"] == 1.0
+
+
+def test_class_files(spark, tmp_path):
+    path = file(tmp_path, "polarity.csv", "ngram,freq,COMP,NEG,NEUT,None,POS\n가/VA,1,0,0.25,0,0,0.75\n나/VA,1,0,0.5,0,0,0.5\n다/VA;가/VA,1,0,1.0,0,0,0\n")
+    assert sorted(tuple(r) for r in wordlists.load_class_lexicon(spark, path).collect()) == [("가/VA", 1, None, 0.5), ("다/VA;가/VA", None, -1, -1.0)]
+    path = file(tmp_path, "intensity.csv", "ngram,High,Low\n가/VA,1,0\n나/VA,0.5,0.5\n가/VA,0,2\n")
+    table = wordlists.load_class_table(spark, path)
+    assert sorted(tuple(r) for r in table.collect()) == [("가/VA", 0.0, 2.0), ("나/VA", 0.5, 0.5)]
+    docs = spark.createDataFrame([(0, ["가/VA", "나/VA", "나/VA"]), (1, ["모름"]), (1, [])], TERMS)
+    out = lexicon.analysis(docs, {"intensity": table, "again": table}).orderBy("doc_id").collect()
+    assert out[0]["intensity"].asDict() == out[0]["again"].asDict() == {"High": 0.25, "Low": 0.75} and len(out) == 3 and out[1]["intensity"]["High"] is None
+
+
+def _english(text, stop=()):
+    import re
+
+    return [s for s in (stem(w) for w in re.findall("[a-z]+", (text or "").lower())) if s not in stop]
+
+
+@pytest.mark.parametrize("stop", [None, ["run", "the"]])
+def test_english_scores(spark, tmp_path, stop):
+    """Word lists with a header, stemmed; documents against counting by hand."""
+    harvard = wordlists.load_harvard(spark, file(tmp_path, "h.csv", "Entry,Positiv,Negativ\nGAIN#1,Positiv,\nLOSS,,Negativ\nRUN-GOOD,Positiv,\nNONE,,\nGAINING,,Negativ\n"))
+    finance = wordlists.load_finance(spark, file(tmp_path, "f.csv", "Word,Positive,Negative\nGAINS,2009,0\nLOSSES,0,2009\nRUNNING,2011,0\nOLD,0,-2020\n"))
+    texts = ["The gains were running, losses too", "LOSS loss Gained", "", None, "nothing", "good"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stops = spark.createDataFrame([(w,) for w in stop], "stem string") if stop else None
+    lists = {"h": ([["GAIN"], ["RUN", "GOOD"]], [["LOSS"], ["GAINING"]], harvard), "f": ([["GAINS"], ["RUNNING"]], [["LOSSES"]], finance)}
+    for up, down, table in lists.values():
+        first = lambda entries: {t[0] for e in entries if (t := _english(" ".join(e), stop or ()))}
+        positive, negative = first(up), first(down)
+        out = presets.english(table, stops).score(docs).collect()
+        for r in out:
+            s = [1 if t in positive else -1 if t in negative else 0 for t in _english(texts[r["doc_id"]], stop or ())]
+            p, n = s.count(1), -s.count(-1)
+            assert (r["positive"], r["negative"]) == (p, n) and r["polarity"] == pytest.approx((p + n) / (p - n + 1e-6)) and r["subjectivity"] == pytest.approx((p - n) / (len(s) + 1e-6))
+
+
+def test_dictionary_from_files(spark, tmp_path):
+    f = lambda name, text: file(tmp_path, name, text)
+    words = [(f("n.txt", "금 리\nBank\n"), "NNG"), (f("p.txt", "bank\n한국은행\n"), "NNP"), (f("v.txt", "오르\n"), "VV")]
+    d = Dictionary.load(spark, words, [(f("c.txt", "미국\n"), "COUNTRY"), (f("s.txt", "bank\n"), "SECTOR")], [(f("y.txt", "연준,Fed\nbok,한국은행\n"), "NNG"), (f("y2.txt", "연준,연방\n"), "MAG")], [f("l.txt", "오른,오르\n")])
+    tags = {r["word"]: r["dict_tag"] for r in d.tag_of().collect()}
+    assert tags == {"금리": "NNG", "bank": "NNG", "한국은행": "NNG", "오르": "VV", "연준": "NNG", "fed": "NNG", "bok": "NNG", "연방": "MAG"}
+    assert dict(d.ranks) == {"NNG": 1, "NNP": 2, "VV": 3, "MAG": 4}
+    assert {tuple(r) for r in d.terms.collect()} == {("미국", "COUNTRY"), ("bank", "SECTOR")}
+    assert {tuple(r) for r in d.synonyms.collect()} == {("연준", "연방"), ("bok", "한국은행")} and [tuple(r) for r in d.lemmas.collect()] == [("오른", "오르")]
+    assert sorted(r["word"] for r in wordlists.load_terms(spark, f("t.txt", " A b \na B\n")).collect()) == ["a b"]
+    with pytest.raises(ValueError):
+        d.add_term_table(spark.createDataFrame([("x",)], "word string"), "NOPE")
+
+
+def test_rows_keep_apart(spark):
+    """Repeated and null ids are documents of their own, with their own tokens."""
+    docs = spark.createDataFrame([(1, [("a", "NNG")]), (1, [("b", "NNG"), ("c", "VV")]), (None, [("d", "NNG")]), (None, []), (2, None)], TOKENS)
+    d = Dictionary.empty(spark).add_synonym("b", "z")
+    out = sorted(((r["doc_id"], [tuple(t) for t in r["tokens"]]) for r in presets.collect_tokens(d.nouns(explode_tokens(docs))).collect()), key=repr)
+    assert out == sorted([(1, [("a", "NNG")]), (1, [("z", "NNG")]), (None, [("d", "NNG")]), (None, []), (2, [])], key=repr)
+    known = spark.createDataFrame([("a",)], "term string")
+    terms = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["b"]), (None, ["a"])], TERMS)
+    assert sorted((tuple(r["terms"]) for r in lexicon.only_known(terms, known).collect())) == [(), ("a",), ("a", "a")]
+
+
+def test_tagger_modes(spark):
+    texts = spark.createDataFrame([(0, "금융/NNG 통화/NNG 위원회/NNG 열리/VV+EC 다/EF"), (1, "")], "doc_id long, text string")
+    plain = presets.Tagger(PretaggedAnalyzer())
+    words = Dictionary.empty(spark).add_words(["금융통화위원회"], "NNP").add_terms(["금융통화위원회"], "ENTITY")
+    tag = lambda t: {r["doc_id"]: [tuple(x) for x in r["tokens"]] for r in t.collect()}
+    assert tag(plain.tag(texts))[0][:2] == [("금융", "NNG"), ("통화", "NNG")]
+    assert tag(presets.Tagger(PretaggedAnalyzer(), words).tag(texts)) == {0: [("금융통화위원회", "NNP"), ("열리", "VV"), ("다", "EF")], 1: []}
+    assert tag(presets.Tagger(PretaggedAnalyzer(), words.add_words(["통화"], "NNG")).nouns(texts)) == {0: [], 1: []}
+    with pytest.raises(ValueError):
+        plain.nouns(texts)
+
+
+def test_expressions_and_spaces(spark):
+    row = ("했다", "VV+EP", None, None, None, None, None, None, "하/VV/*+았/EP/*")
+    fields = "surface string, pos string, semantic string, has_jongseong boolean, reading string, type string, start_pos string, end_pos string, expression string"
+    df = spark.createDataFrame([([row, ("다", "EF") + (None,) * 7],)], f"m array<struct<{fields.replace(' string', ':string').replace(' boolean', ':boolean')}>>")
+    one = lambda c: [tuple(t) for t in df.select(c.alias("x")).first()["x"]]
+    assert one(K.expand_morphs(F.col("m"))) == [("했다", "VV+EP"), ("다", "EF")]
+    assert one(K.expand_morphs(F.col("m"), flatten=False)) == [("하", "VV"), ("았", "EP"), ("다", "EF")]
+    tokens = F.array(K.pair(F.lit("가"), F.lit("NNG")), K.pair(F.lit("나"), F.lit("JX")), K.pair(F.lit("다"), F.lit("VV")))
+    assert [tuple(t)[0] for t in spark.range(1).select(K.with_spaces(tokens, F.lit(" 가나  다")).alias("x")).first()["x"]] == ["가", "나", " ", "다"]
+    assert spark.range(1).select(K.drop_auxiliaries(F.array(*map(F.lit, ["가/VX", "않/VX", "나/NNG"]))).alias("x")).first()["x"] == ["않/VX", "나/NNG"]
+    kept = lambda **o: spark.range(1).select(K.includes(F.lit("THE;End"), ["th", "end"], **o).alias("x")).first()["x"]
+    assert kept() and kept(startswith=True) and kept(unit_level=True, endswith=True) and not kept(unit_level=True, startswith=True)
+    polarity = lambda x, **o: spark.range(1).select(K.polarity_of(F.array(*map(F.lit, x)), **o).alias("x")).first()["x"]
+    assert polarity([2.0, -1.0]) == 0 and polarity([2.0, -1.0, 0.5]) == pytest.approx(1 / (3 + 1e-6)) and polarity([2.0, -1.0], by_count=False) == pytest.approx(1 / (2 + 1e-6))
+
+
+def test_files_round_trip(spark, tmp_path):
+    out = lambda name: f"file://{tmp_path}/{name}"
+    lines = file(tmp_path, "lines.txt", " b \na\n\n")
+    assert [tuple(r) for r in wordlists.load_lines(spark, lines).orderBy("line_no").collect()] == [(0, "b"), (1, "a"), (2, "")]
+    vocab = spark.createDataFrame([("가", "나"), ("다", "라")], "src string, dst string")
+    wordlists.save_vocab(vocab, out("vocab"))
+    assert sorted(tuple(r) for r in wordlists.load_vocab(spark, out("vocab")).collect()) == [("가", "나"), ("다", "라")]
+    wordlists.save_wordlist(spark.createDataFrame([("가나",), ("다라",)], "w string"), out("words"))
+    assert [r["word"] for r in wordlists.load_wordlist(spark, out("words")).collect()] == ["가나", "다라"]
+    fields = file(tmp_path, "fields.txt", "a 1\nbb 2\n\na 3\nbb\n")
+    assert sorted(tuple(r) for r in wordlists.load_fields(spark, fields).collect()) == [("a", "3"), ("bb", None)]
+    assert [r["token"] for r in wordlists.load_wordset(spark, fields).collect()] == ["bb"]
+    entry = lambda s, cost: (s, "1", "2", cost, "NNP", "*", "T", s, "*", "*", "*", "*")
+    entries = spark.createDataFrame([entry("금리", 5), entry("상승", 6)], wordlists.USER_SCHEMA)
+    wordlists.save_user_dictionary(entries, out("user"))
+    again = wordlists.load_user_dictionary(spark, out("user"))
+    assert sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in entries.collect())
+    ids = wordlists.load_context_ids(spark, file(tmp_path, "ids.def", "7 NNP,*,T,*,*,*,*,*\n8 NNP,*,F,*,*,*,*,*\nno\n"))
+    assert [(r["line_no"], r["id"], r["pos"], r["has_jongseong"]) for r in ids.orderBy("line_no").collect()] == [(0, "7", "NNP", "T"), (1, "8", "NNP", "F")]
+    own = UserDictionary(again, ids, ids).adjust_costs(9).adjust_context_ids().add(spark.createDataFrame([("금리", "금니", 1), ("금리", None, 2)], "surface string, reading string, line_no int"))
+    assert {r["surface"]: (r["left_id"], r["right_id"], r["cost"], r["reading"]) for r in own.entries.collect()} == {"금리": ("7", "8", 1000, "금리"), "상승": ("7", "7", 9, "상승")}
+    model = spark.createDataFrame([("x", -1.0, -2.0)], "feature string, logp_pos double, logp_neg double")
+    prior = spark.createDataFrame([(1, -0.5)], "label int, logp double")
+    bayes.save_model(prior, model, out("model"))
+    assert [x.collect() for x in bayes.load_model(spark, out("model"))] == [prior.collect(), model.collect()]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from morphlake.__main__ import main
+
+    entries = file(tmp_path, "user.csv", "금리,1,2,5,NNG,*,F,금리,*,*,*,*\n인상,1,2,5,NNG,*,T,인상,*,*,*,*\n")
+    words = file(tmp_path, "phrases.txt", "금리 인상\n")
+    assert main(["-i", "금리인상 12", "-t", "base", "-d", entries]) == 0 and main(["-i", "금리인상 12", "-d", entries, "-w", words]) == 0
+    printed = capsys.readouterr().out.strip().splitlines()[-2:]
+    assert printed == ["[('금리', 'NNG'), ('인상', 'NNG'), ('12', 'SN')]", "[('금리인상', 'NNG'), ('12', 'SN')]"]
+
+
+def test_batches_of_a_stream(spark, tmp_path):
+    from morphlake.streaming import in_batches, read_documents
+
+    spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], TERMS).write.parquet(f"{tmp_path}/in")
+    lex = spark.createDataFrame([("a", 1, None, 0.5)], "term string, pos int, neg int, pol double")
+    stream = read_documents(spark, f"{tmp_path}/in", TERMS)
+    in_batches(stream, lambda docs: lexicon.score(docs, lex), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(60)
+    assert scores(spark.read.parquet(f"{tmp_path}/out"))[1][:2] == (1.0, 0.0)
+
+
+DOCS = [(i, 1 if i % 3 else -1, (["up"] * (i % 3) + ["gain", "fall" if i % 3 == 0 else "rise", f"w{i % 5}", f"w{i % 7}"])) for i in range(60)]
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return spark.createDataFrame(DOCS, "doc_id long, label int, features array<string>")
+
+
+def test_split_is_exact(labelled):
+    for ratio in (0.0, 0.33, 0.7, 1.0):
+        rows = bayes.split_by_class(labelled, ratio).collect()
+        for label in (1, -1):
+            assert sum(r["train"] for r in rows if r["label"] == label) == math.floor(sum(d[1] == label for d in DOCS) * ratio)
+    one, two = ({r["doc_id"] for r in bayes.split_by_class(labelled, 0.5, seed).where("train").collect()} for seed in (1, 2))
+    assert one != two
+
+
+def _chi(n_ii, n_ix, n_xi, n):
+    n_io, n_oi = n_xi - n_ii, n_ix - n_ii
+    n_oo = n - n_ii - n_io - n_oi
+    below = (n_ii + n_io) * (n_ii + n_oi) * (n_io + n_oo) * (n_oi + n_oo)
+    return n * (n_ii * n_oo - n_io * n_oi) ** 2 / below if below else 0.0
+
+
+def test_best_words(labelled):
+    up, down = (Counter(w for _, lab, ws in DOCS if lab == label for w in ws) for label in (1, -1))
+    n_up, n_down = sum(up.values()), sum(down.values())
+    expected = {w: _chi(up[w], up[w] + down[w], n_up, n_up + n_down) + _chi(down[w], up[w] + down[w], n_down, n_up + n_down) for w in up | down}
+    for ratio in (0.0, 0.1, 0.3, 0.5, 1.0):
+        found = bayes.best_words(labelled, ratio).collect()
+        assert len(found) == int(len(expected) * ratio)
+        assert [round(r["score"], 6) for r in sorted(found, key=lambda r: -r["score"])] == [round(x, 6) for x in sorted(expected.values(), reverse=True)[: len(found)]]
+
+
+def test_best_collocations(spark):
+    words = "a b a b c d a b c a c d b a".split()
+    docs = spark.createDataFrame([(0, 1, words), (1, -1, []), (2, 1, ["x"])], "doc_id long, label int, features array<string>")
+    single, pairs = Counter(words), Counter(zip(words, words[1:], strict=False))
+    ranked = sorted(pairs, key=lambda p: (-_chi(pairs[p], single[p[0]], single[p[1]], len(words)), *p))
+    for top in (1, 3, 200):
+        found = {r["doc_id"]: r["features"] for r in bayes.best_collocations(docs, 2, top).collect()}
+        assert found == {0: sorted(" ".join(p) for p in ranked[:top]), 1: [], 2: []}
+    triples = Counter(zip(words, words[1:], words[2:], strict=False))
+    expected = lambda t: math.prod(single[w] for w in t) / len(words) ** 2
+    ranked = sorted(triples, key=lambda t: (-((triples[t] - expected(t)) ** 2 / expected(t)), *t))
+    assert {r["doc_id"]: r["features"] for r in bayes.best_collocations(docs, 3, 2).collect()}[0] == sorted(" ".join(t) for t in ranked[:2])
+
+
+def test_feature_sets(labelled):
+    words = {r["doc_id"]: set(r["features"]) for r in bayes.feature_sets(labelled, "best_word", 0.3).collect()}
+    best = {r["feature"] for r in bayes.best_words(labelled, 0.3).collect()}
+    assert words == {i: set(ws) & best for i, _, ws in DOCS}
+    pairs = {r["doc_id"]: set(r["features"]) for r in bayes.feature_sets(labelled, "best_bigram", 0.3).collect()}
+    assert pairs == {i: words[i] | {" ".join(p) for p in itertools.pairwise(ws)} for i, _, ws in DOCS}
+    triples = {r["doc_id"]: set(r["features"]) for r in bayes.feature_sets(labelled, "best_trigram", 0.3).collect()}
+    assert triples[1] == pairs[1] | {" ".join(DOCS[1][2][k : k + 3]) for k in range(len(DOCS[1][2]) - 2)}
+    with pytest.raises(ValueError):
+        bayes.feature_sets(labelled, "nope")
+
+
+def test_training_and_evaluation(labelled):
+    """Counts and rates of the classifier on the held-out share, document by document."""
+    rows = {r["doc_id"]: r["train"] for r in bayes.split_by_class(labelled, 0.7).collect()}
+    train, test = [d for d in DOCS if rows[d[0]]], [d for d in DOCS if not rows[d[0]]]
+    sizes = Counter(lab for _, lab, _ in train)
+    have = {label: Counter(w for _, lab, ws in train if lab == label for w in set(ws)) for label in (1, -1)}
+    known = set(have[1]) | set(have[-1])
+
+    def predict(ws):
+        logs = {}
+        for label in (1, -1):
+            logs[label] = math.log((sizes[label] + 0.5) / (len(train) + 1.0))
+            for w in set(ws) & known:
+                bins = 1 if all(have[x][w] == sizes[x] for x in (1, -1)) else 2
+                logs[label] += math.log((have[label][w] + 0.5) / (sizes[label] + bins * 0.5))
+        return 1 if logs[1] > logs[-1] else -1 if logs[1] < logs[-1] else 0
+
+    guess = [(lab, predict(ws)) for _, lab, ws in test]
+    out = bayes.evaluate(labelled, 0.7).first()
+    count = lambda a, p: sum(x == (a, p) for x in guess)
+    assert (out["t_pos"], out["t_neg"], out["f_pos"], out["f_neg"]) == (count(1, 1), count(-1, -1), count(-1, 1), count(1, -1))
+    assert out["accuracy"] == pytest.approx(sum(a == p for a, p in guess) / len(guess)) and out["pos_recall"] == pytest.approx(count(1, 1) / (count(1, 1) + count(1, -1)))
+    many = bayes.bagging(labelled, iterations=3, ratio=0.5).collect()
+    assert len(many) == 3 and all(r["t_pos"] + r["f_neg"] == 20 and r["t_neg"] + r["f_pos"] == 10 for r in many)
+
+
+def test_rank_correlation(spark):
+    from random import Random
+
+    rng = Random(3)
+    data = [(rng.choice([-1, 0, 1]), rng.choice([rng.random(), 0.5])) for _ in range(400)]
+
+    def ranks(values):
+        order = sorted(values)
+        return [(2 * order.index(v) + order.count(v) + 1) / 2 for v in values]
+
+    a, b = (ranks([x[k] for x in data]) for k in (0, 1))
+    mean = lambda x: sum(x) / len(x)
+    cov = sum((x - mean(a)) * (y - mean(b)) for x, y in zip(a, b, strict=True))
+    expected = cov / math.sqrt(sum((x - mean(a)) ** 2 for x in a) * sum((y - mean(b)) ** 2 for y in b))
+    assert bayes.spearman(spark.createDataFrame(data, "actual int, predicted double")).first()["spearman"] == pytest.approx(expected)
+
+
+def test_informative_features(spark):
+    """Positive features are scaled by their ratios, negative ones by the inverse of theirs."""
+    p = {"a": (0.8, 0.1), "b": (0.4, 0.1), "c": (0.1, 0.2), "d": (0.1, 0.6), "e": (0.3, 0.3)}
+    model = spark.createDataFrame([(w, math.log(x), math.log(y)) for w, (x, y) in p.items()], "feature string, logp_pos double, logp_neg double")
+    ratio = {w: (max(x) + 1e-6) / (min(x) + 1e-6) for w, x in p.items() if w != "e"}
+    out = {r["feature"]: (r["ratio"], r["polarity"]) for r in bayes.informative_features(model).collect()}
+    assert {w: r for w, (r, _) in out.items()} == pytest.approx(ratio)
+    assert {w: x for w, (_, x) in out.items()} == pytest.approx({"a": 1.0, "b": 0.0, "c": 0.0, "d": -1.0})
+    compat = {r["feature"]: r["polarity"] for r in bayes.informative_features(model, compat=True).collect()}
+    assert compat["d"] == pytest.approx((1 / ratio["d"] - ratio["a"]) / (ratio["a"] - ratio["b"]))
+
+
+def test_analyser_prefers_cheap_paths(spark):
+    entries = spark.createDataFrame([(s, "", "", c, "NNG", "*", "F", s, "*", "*", "*", "*") for s, c in (("금리", 10), ("금", 100), ("리", 100), ("인상", 10))], wordlists.USER_SCHEMA)
+    text = spark.createDataFrame([("금리인상",)], "text string")
+    assert [t["surface"] for t in text.select(DictionaryAnalyzer(entries).tagged(F.col("text")).alias("x")).first()["x"]] == ["금리", "인상"]
