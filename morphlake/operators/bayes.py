@@ -108,36 +108,43 @@ def word_scores(docs: DataFrame) -> DataFrame:
 def best_words(docs: DataFrame, ratio: float = 0.2) -> DataFrame:
     """The share of the vocabulary with the highest scores; ties in order of a hash of the word.
 
-    The last score that is taken comes from counts by range of score, and of the words with just this
-    score those below a hash, found the same way, so no task sorts the vocabulary.
+    The last score that is taken comes from counts by ranges of score, narrowed until few words are
+    left, and of the words with just this score those beyond a hash, found the same way. So no task
+    sorts the vocabulary; its scores are kept while ranges are counted.
     """
-    scores = word_scores(docs)
+    scores = word_scores(docs).withColumn("h", F.xxhash64("feature")).persist()
     left = int(scores.count() * ratio)
-    if not left:
-        return scores.where(F.lit(False))
+    least, place = _key_of_place(scores, "score", left) if left else (None, 0)
+    edge, _ = _key_of_place(scores.where(F.col("score") == F.lit(least)), "h", place) if left else (None, 0)
+    scores.unpersist()
     score, h = F.col("score"), F.xxhash64("feature")
-
-    def narrowed(rows: DataFrame, key: Column, left: int) -> tuple:
-        """The key of place ``left`` in falling order of ``key``, and the place among equal keys."""
-        bounds = sorted({*(rows.agg(F.percentile_approx(key, [k / 1000 for k in range(1, 1000)], 10_000)).first()[0] or [])})
+    taken = (score > F.lit(least)) | ((score == F.lit(least)) & (h >= F.lit(edge))) if left else F.lit(False)
+    return word_scores(docs).where(taken)
+
+
+def _key_of_place(rows: DataFrame, name: str, left: int, few: int = 10_000) -> tuple:
+    """The key of place ``left`` in falling order of a column, and that place among equal keys."""
+    key = F.col(name)
+    while True:
+        ends = rows.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), F.percentile_approx(key, [k / 64 for k in range(1, 64)]).alias("bounds")).first()
+        if ends["n"] <= few or ends["low"] == ends["high"]:
+            for r in rows.groupBy(key.alias("k")).count().orderBy(F.desc("k")).collect():
+                if left <= r["count"]:
+                    return r["k"], left
+                left -= r["count"]
+        bounds = sorted({*ends["bounds"], ends["low"]})
+        if len(bounds) == 1:  # nearly all are the least
+            bounds.append(ends["high"])
         bucket = F.lit(0)
-        if bounds:
-            bucket = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= key))
-        found = sorted(((r["b"], r["count"]) for r in rows.groupBy(bucket.alias("b")).count().collect()), reverse=True)
-        for b, n in found:
+        for k, x in enumerate(bounds[1:], 1):
+            bucket = F.when(key >= F.lit(x), k).otherwise(bucket)
+        for b, n in sorted(((r["b"], r["count"]) for r in rows.groupBy(bucket.alias("b")).count().collect()), reverse=True):
             if left <= n:
                 break
             left -= n
-        keys = rows.where(bucket == b).groupBy(key.alias("k")).count().orderBy(F.desc("k"))
-        for r in keys.toLocalIterator():
-            if left <= r["count"]:
-                return r["k"], left
-            left -= r["count"]
-        raise AssertionError("no such place")
-
-    least, place = narrowed(scores, score, left)
-    edge, _ = narrowed(scores.where(score == F.lit(least)), h, place)
-    return scores.where((score > F.lit(least)) | ((score == F.lit(least)) & (h >= F.lit(edge))))
+        rows = rows.where(key >= F.lit(bounds[b]))
+        if b + 1 < len(bounds):
+            rows = rows.where(key < F.lit(bounds[b + 1]))
 
 
 def only_best(docs: DataFrame, best: DataFrame) -> DataFrame:

@@ -379,7 +379,7 @@ def phrase_recovery(spark, sf_dir):
 # --- lexicon scores --------------------------------------------------------------------------------
 
 _SCORED = f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_LEX}, s AS (SELECT doc_id, pos, w AS term, CAST(coalesce(pos_s, neg_s, 0) AS DOUBLE) AS c, coalesce(pol, 0) AS p FROM toks LEFT JOIN lex ON term = w)"
-_AGG = "SELECT d.doc_id, coalesce(sum(CASE WHEN {v} > 0 THEN {v} END), 0) AS positive, coalesce(sum(CASE WHEN {v} < 0 THEN {v} END), 0) AS negative, count_if({v} <> 0) AS hits, count({v}) AS n FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
+_AGG = "SELECT d.doc_id, coalesce(sum(CASE WHEN {v} > 0 THEN {v} END), 0) AS positive, coalesce(sum(CASE WHEN {v} < 0 THEN {v} END), 0) AS negative, coalesce(count_if({v} <> 0), 0) AS hits, count({v}) AS n FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
 _ROUND = "CAST(positive AS DOUBLE) AS positive, CAST(negative AS DOUBLE) AS negative"
 
 
