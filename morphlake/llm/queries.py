@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import iblt, language_id, maxent_lm, packing, quality_cnn, quality_rules, simhash, suffix_dedup
+from . import hard_negatives, iblt, language_id, maxent_lm, packing, quality_cnn, quality_rules, ranked_search, reply_trees, simhash, suffix_dedup
 from .bpe_codec import encode_documents
 from .common import table
 from .token_counts import token_counts
@@ -51,6 +51,23 @@ def op10_iblt(spark, sf_dir):
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_reply_trees(spark, sf_dir):
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return reply_trees.digests(reply_trees.format_chains(rows))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 # The parts of operators that SQL can say, each from the operator's own rows.
 
 
@@ -88,6 +105,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_iblt": op10_iblt,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_reply_trees": op12_reply_trees,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
     "op1_base": op1_base,
     "op4_base": op4_base,
@@ -125,4 +145,19 @@ ORACLES: dict[str, str] = {
     "p AS (SELECT *, list_distinct(regexp_extract_all(t, '[^\\n]{1,256}')) AS a, list_distinct(regexp_extract_all(x, '[^\\n]{1,256}')) AS b, list_distinct(regexp_extract_all(o, '[^\\n]{1,256}')) AS c FROM e) "
     "SELECT doc_id, length(t) AS n_chars, sha256(x) AS edited_sha256, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2 * len(list_intersect(a, b)) / CAST(len(a) + len(b) AS DOUBLE) END, 9) AS near_edited, "
     "round(CASE WHEN len(a) + len(c) = 0 THEN 1 ELSE 2 * len(list_intersect(a, c)) / CAST(len(a) + len(c) AS DOUBLE) END, 9) AS near_next FROM p",
+    "op11_ranked_search": r"WITH t AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents), "
+    r"q AS (SELECT item_id, w, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY ALL), "
+    "z AS (SELECT count(*) AS docs, CAST(sum(len(l)) AS BIGINT) AS terms FROM t WHERE len(l) > 0), p AS (SELECT k, doc_id, w, count(*) AS tf, any_value(n) AS n FROM (SELECT k, doc_id, len(l) AS n, unnest(l) AS w FROM t) SEMI JOIN q USING (w) GROUP BY k, doc_id, w), "
+    "v AS (SELECT w, CAST(floor(1000 * ln((2.0E0 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS v FROM p, z GROUP BY w), "
+    "s AS (SELECT item_id, k, doc_id, CAST(sum(times * v * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN p USING (w) JOIN v USING (w), z GROUP BY item_id, k, doc_id), "
+    "r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 20",
+    "op12_reply_trees": r"WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, n, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(n, role)) "
+    r"SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, "
+    r"sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id",
+    "op13_hard_negatives": "WITH e AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings "
+    "WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+    "s AS (SELECT a.k AS a, a.vec_id AS anchor_id, b.vec_id AS vec_id, b.k AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.k <> b.k), "
+    "p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5), "
+    "n AS (SELECT p.a, p.b, p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score "
+    "FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score) SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5",
 }
