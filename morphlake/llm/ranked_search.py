@@ -297,12 +297,12 @@ def search(index: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
     while True:
         open_ = bounds.where(F.col("place") > start).withColumn("least", F.lit(1).cast("long"))
         if found is not None:
-            last = found.where(F.col("rank") == top).select("item_id", F.col("score").alias("last"))
-            open_ = open_.join(last, "item_id", "left").withColumn("least", F.coalesce("last", "least")).where(F.col("bound") >= F.col("least"))
+            last = found.where(F.col("rank") == top).select(F.col("item_id").alias("item"), F.col("score").alias("last"))
+            open_ = open_.join(last, F.col("item_id").eqNullSafe(F.col("item")), "left").drop("item").withColumn("least", F.coalesce("last", "least")).where(F.col("bound") >= F.col("least"))
             if open_.isEmpty():
                 break
-        visit = open_.where(F.col("place") <= end).select("item_id", "block", "least")
-        wanted = visit.join(valued, "item_id").withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(together)).cast("int"))
+        visit = open_.where(F.col("place") <= end).select(F.col("item_id").alias("item"), "block", "least")
+        wanted = visit.join(valued, F.col("item").eqNullSafe(F.col("item_id"))).withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(together)).cast("int"))
         new = _score_blocks(wanted, hits.unionByName(heads), kind, together, top).withColumn("block", F.lit(end).cast("long"))
         every = new if found is None else found.drop("rank").unionByName(new)
         found = scratch.write(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top), "found")
