@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import tagset as T
 
-STRIP = r"(?U)^\s+|\s+$"
+STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def let(value: Column, body) -> Column:

@@ -20,13 +20,14 @@ from ..functions.tokens import pair
 WHOLE = -1
 
 
-def explode_tokens(docs: DataFrame) -> DataFrame:
+def explode_tokens(docs: DataFrame, keep_row: bool = False) -> DataFrame:
     """row, doc_id, pos, surface and tag of every token of (doc_id, tokens), and a row WHOLE for each document.
 
-    ``row`` tells rows of ``docs`` apart, so repeated and null ids do no harm; a column of that name is
-    taken as it is. Operators here let the row WHOLE pass, so no document is lost with its tokens.
+    ``row`` tells rows of ``docs`` apart, so repeated and null ids do no harm; with ``keep_row`` it is the
+    column of that name, which must tell them apart. Operators here let the row WHOLE pass, so no document
+    is lost with its tokens.
     """
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    row = F.col("row") if keep_row else F.monotonically_increasing_id()
     none = F.lit(None).cast("string")
     tokens = F.concat(F.array(pair(none, none)), F.coalesce(F.col("tokens"), F.array().cast("array<struct<surface:string,tag:string>>")))
     rows = docs.select(row.alias("row"), "doc_id", tokens.alias("tokens"))  # numbered before they are taken apart

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.porter import english_words, stem_column, stemmed
 from ..functions.tagset import EPSILON
-from ..functions.tokens import drop_tags, longest_only, ngrams, phrase, slash, topic_ngrams
+from ..functions.tokens import drop_tags, ngrams, phrase, slash
+from .phrases import Runs, longest_terms, map_lists, table_below, topic_runs
 
 # Longest n-gram of each kind of tone lexicon.
 TONE_NGRAM = {0: 5, 1: 5, 3: 3, 7: 7, 99: 1}
@@ -40,20 +41,50 @@ def only_known(docs: DataFrame, known: DataFrame, column: str = "terms") -> Data
     return collect_terms(rows.withColumn("term", F.col("known")), column)
 
 
-def tone_terms(words: DataFrame, wordset: DataFrame | None, vocab: DataFrame, kind: int = 1, keep_overlapping: bool = False) -> DataFrame:
+def known_runs(words: DataFrame, low: int, high: int, wordset: DataFrame | None = None, vocab: DataFrame | None = None, longest: bool = False, limit: int | None = None) -> DataFrame:
+    """Topic n-grams of ``low`` to ``high`` tokens of documents (doc_id, terms): of the words of ``wordset``
+    (term), only those of ``vocab`` (term), and with ``longest`` without those that a longer one holds.
+
+    Tables up to ``limit`` bytes are sent to all tasks, and a document is read once, from each token only
+    as far as a known n-gram goes on; larger tables are joined. Null terms become none.
+    """
+    spark, sent = words.sparkSession.sparkContext, {}
+    rows = words.select("doc_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    for name, table in (("wordset", wordset), ("vocab", vocab)):
+        small = None if table is None else table_below(table.select("term").where("term is not null").distinct(), limit)
+        if small is not None:
+            terms = small["term"].to_pylist()
+            sent[name] = spark.broadcast(Runs(terms) if name == "vocab" else frozenset(terms))
+    if wordset is not None and "wordset" not in sent:
+        rows = only_known(rows, wordset)
+
+    words_sent, vocab_sent = sent.get("wordset"), sent.get("vocab")
+    last = longest and (vocab is None or vocab_sent is not None)
+
+    def grams(tokens: list) -> list:
+        if words_sent is not None:
+            known = words_sent.value
+            tokens = [t for t in tokens if t in known]
+        found = topic_runs(tokens, low, high, known=None if vocab_sent is None else vocab_sent.value)
+        return longest_terms(found) if last else found
+
+    rows = map_lists(rows, "terms", grams)
+    if vocab is not None and "vocab" not in sent:
+        rows = only_known(rows, vocab)
+        rows = map_lists(rows, "terms", longest_terms) if longest else rows
+    return rows
+
+
+def tone_terms(words: DataFrame, wordset: DataFrame | None, vocab: DataFrame, kind: int = 1, keep_overlapping: bool = False, limit: int | None = None) -> DataFrame:
     """Terms of documents (doc_id, terms) of slash tokens: known words, their n-grams, and of these the
     known ones without those that a longer one holds. With overlaps, n-grams are taken as they are."""
-    rows = only_known(words, wordset) if wordset is not None else words
-    rows = rows.withColumn("terms", topic_ngrams(F.col("terms"), 1, TONE_NGRAM.get(kind, 0)))
-    if keep_overlapping:
-        return rows
-    return only_known(rows, vocab).withColumn("terms", longest_only(F.col("terms")))
+    high = TONE_NGRAM.get(kind, 0)
+    return known_runs(words, 1, high, wordset, None if keep_overlapping else vocab, longest=not keep_overlapping, limit=limit)
 
 
-def classifier_terms(words: DataFrame, vocab: DataFrame, keep_overlapping: bool = False) -> DataFrame:
+def classifier_terms(words: DataFrame, vocab: DataFrame, keep_overlapping: bool = False, limit: int | None = None) -> DataFrame:
     """Known n-grams of two to five of documents (doc_id, terms)."""
-    rows = only_known(words.withColumn("terms", topic_ngrams(F.col("terms"), 2, 5)), vocab)
-    return rows if keep_overlapping else rows.withColumn("terms", longest_only(F.col("terms")))
+    return known_runs(words, 2, 5, None, vocab, longest=not keep_overlapping, limit=limit)
 
 
 def general_terms(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:

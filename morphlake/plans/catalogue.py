@@ -43,8 +43,15 @@ SQL_TERMS = "terms AS (SELECT w AS word, CASE substr(w, 1, 1) WHEN 't' THEN 'IND
 SQL_LEX = "lex AS (SELECT w AS term, CASE WHEN length(w) % 5 = 0 THEN 1 END AS pos_s, CASE WHEN length(w) % 5 = 1 THEN -1 END AS neg_s, CAST(length(w) % 7 - 3 AS DOUBLE) / 4 AS pol FROM bw)"
 
 
+#: Bytes of a scan for each core below which its rows are dealt out first: a file of one row group is one task, however it is split.
+SPREAD_BYTES = 32 << 20
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    small = name == "documents" and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SPREAD_BYTES
+    return rows.repartition(cores) if small else rows
 
 
 def _tag(word: Column) -> Column:
@@ -292,7 +299,7 @@ for _high in (3, 5, 7):
 
     @query(f"topic_ngrams_{_high}", f"WITH {SQL_TOKS}, {_mp(_high)} {_sql_short('r', 'x', 'pos, k')}")
     def topic_ngrams(spark, sf_dir, high=_high):
-        return _short(slashed(spark, sf_dir).select("doc_id", K.topic_ngrams(F.col("terms"), 1, high).alias("terms")))
+        return _short(lexicon.known_runs(slashed(spark, sf_dir), 1, high))
 
 
 _AUX = "t1 AS (SELECT doc_id, pos, w || '/' || CASE length(w) % 4 WHEN 0 THEN 'VX' WHEN 1 THEN 'VCN' WHEN 2 THEN 'VCP' ELSE 'VV' END AS x FROM toks UNION ALL SELECT doc_id, 1000000 + k, x FROM documents, (VALUES (1, '못하/VX'), (2, '아니/VCN'), (3, '않/VX'), (4, '지만/VCP'), (5, '싶/VX')) v(k, x))"
