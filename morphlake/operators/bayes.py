@@ -1,19 +1,26 @@
 """Naive Bayes tone classifier as tables, its training, evaluation and feature choice.
 
 Documents are rows (doc_id, label, features), label 1 or -1, features an array of strings of which
-only presence counts; ids tell documents apart. A model is two tables: priors (label, logp) and
-conditionals (feature, logp_pos, logp_neg). All of ``by`` are columns that keep several fits apart in
-one plan.
+only presence counts; ids tell documents apart. A model is three tables: priors (label, logp),
+conditionals (feature, logp_pos, logp_neg, and the counts they come from) and the sizes of the classes.
+All of ``by`` are columns that keep several fits apart in one plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tagset import EPSILON
+from ..sources import versions
 
 GAMMA = 0.5
+# Fixed value: what an expectation of zero counts as.
+LEAST = 1e-20
+#: Splits whose memberships one mask holds.
+MASK_BITS = 60
 
 
 #: Buckets of the high bits of a hash in which the place of a row is found.
@@ -26,17 +33,23 @@ def split_by_class(docs: DataFrame, ratio: float = 0.7, seed: int = 0, by: tuple
     The last row of each share is found from counts of hash buckets and the ids of one bucket, so
     features are neither sorted nor shuffled. Rows of one id and class are on one side.
     """
+    seeded = by or (F.lit(seed),)
+    ends = _last_of_share(docs.select(*by, "label", "doc_id", F.xxhash64("doc_id", *seeded).alias("h")), ratio, by)
+    own = F.struct(F.xxhash64("doc_id", *seeded).alias("h"), F.col("doc_id"))
+    return docs.join(F.broadcast(ends), [*by, "label"], "left").withColumn("train", F.coalesce(own <= F.col("end"), F.lit(False))).drop("end")  # a row a class
+
+
+def _last_of_share(ids: DataFrame, ratio: float, by: tuple[str, ...]) -> DataFrame:
+    """label and ``end``, the last (h, doc_id) of the share, of rows (label, doc_id, h); no row for an empty share."""
     keys = [*by, "label"]
-    ids = docs.select(*keys, "doc_id", F.xxhash64("doc_id", *(by or (F.lit(seed),))).alias("h")).withColumn("bucket", F.shiftright("h", 52))
+    ids = ids.withColumn("bucket", F.shiftright("h", 52))
     counts = ids.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))  # BUCKETS rows a class at most
     whole = Window.partitionBy(*keys)
     counts = counts.withColumns({"upto": F.sum("n").over(whole.orderBy("bucket")), "wanted": F.floor(F.sum("n").over(whole) * ratio)})
     last = counts.where((F.col("upto") - F.col("n") < F.col("wanted")) & (F.col("wanted") <= F.col("upto")))
     last = last.select(*keys, "bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("place"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
-    ends = ids.join(last, [*keys, "bucket"]).withColumn("at", place).where(F.col("at") == F.col("place")).select(*keys, F.struct("h", "doc_id").alias("end"))
-    own = F.struct(F.xxhash64("doc_id", *(by or (F.lit(seed),))).alias("h"), F.col("doc_id"))
-    return docs.join(F.broadcast(ends), keys, "left").withColumn("train", F.coalesce(own <= F.col("end"), F.lit(False))).drop("end")  # a row a class
+    return ids.join(last, [*keys, "bucket"]).withColumn("at", place).where(F.col("at") == F.col("place")).select(*keys, F.struct("h", "doc_id").alias("end"))
 
 
 def feature_counts(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -57,12 +70,12 @@ def priors(docs: DataFrame) -> DataFrame:
 
 
 def conditionals(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """feature, logp_pos, logp_neg; a feature of every document has one value, others two."""
+    """feature, logp_pos, logp_neg, n_pos and n_neg; a feature of every document has one value, others two."""
     counts, sizes = feature_counts(docs, by), label_counts(docs, by)
     rows = counts.join(sizes, list(by)) if by else counts.crossJoin(sizes)  # one row of sizes
     bins = F.when((F.col("n_pos") == F.col("all_pos")) & (F.col("n_neg") == F.col("all_neg")), 1).otherwise(2)
     logp = lambda n, size: F.ln((F.col(n) + GAMMA) / (F.col(size) + bins * GAMMA))
-    return rows.select(*by, "feature", logp("n_pos", "all_pos").alias("logp_pos"), logp("n_neg", "all_neg").alias("logp_neg"))
+    return rows.select(*by, "feature", logp("n_pos", "all_pos").alias("logp_pos"), logp("n_neg", "all_neg").alias("logp_neg"), "n_pos", "n_neg")
 
 
 def classify(docs: DataFrame, model: DataFrame, sizes: DataFrame, cutoff: float = 1.3, by: tuple[str, ...] = ()) -> DataFrame:
@@ -154,11 +167,32 @@ def only_best(docs: DataFrame, best: DataFrame) -> DataFrame:
     return docs.join(lists, "doc_id", "left").withColumn("features", F.coalesce("own", F.array().cast("array<string>"))).drop("own")
 
 
+def _deviation(whole: Column, pairs: tuple[Column, Column, Column], singles: tuple[Column, Column, Column], total: Column) -> Column:
+    """Pearson's sum over the eight cells of a 2 x 2 x 2 table: squared deviation from independence over expectation.
+
+    ``whole`` counts the triple, ``pairs`` its first two, outer two and last two words, ``singles`` its words.
+    """
+    whole, total = whole.cast("double"), total.cast("double")
+    first, outer, last = (p.cast("double") for p in pairs)
+    one, two, three = (s.cast("double") for s in singles)
+    cells = {(1, 1, 1): whole, (1, 1, 0): first - whole, (1, 0, 1): outer - whole, (0, 1, 1): last - whole}
+    cells[1, 0, 0] = one - whole - cells[1, 1, 0] - cells[1, 0, 1]
+    cells[0, 1, 0] = two - whole - cells[1, 1, 0] - cells[0, 1, 1]
+    cells[0, 0, 1] = three - whole - cells[1, 0, 1] - cells[0, 1, 1]
+    cells[0, 0, 0] = total - sum(cells.values(), F.lit(0.0))
+    margin = lambda k, v: (one, two, three)[k] if v else total - (one, two, three)[k]
+    out = F.lit(0.0)
+    for at, cell in cells.items():
+        expected = margin(0, at[0]) * margin(1, at[1]) * margin(2, at[2]) / (total * total)
+        out = out + (cell - expected) ** 2 / (expected + F.lit(LEAST))
+    return out
+
+
 def best_collocations(docs: DataFrame, size: int = 2, top: int = 200) -> DataFrame:
     """Documents (doc_id, features) with the n-grams of two or three words that their own counts favour.
 
-    Two words are ranked by chi-square; three by the sum of squared deviations from independence
-    over expectation. Ties go in order of the words.
+    Both are ranked by Pearson's chi-square: pairs over the four cells of their table, triples over the
+    eight of theirs. Ties go in order of the words.
     """
     words = docs.select("doc_id", F.posexplode("features").alias("pos", "w1"))
     place = Window.partitionBy("doc_id").orderBy("pos")
@@ -166,7 +200,8 @@ def best_collocations(docs: DataFrame, size: int = 2, top: int = 200) -> DataFra
     for k in range(2, size + 1):
         runs = runs.withColumn(f"w{k}", F.lead("w1", k - 1).over(place))
     names = [f"w{k}" for k in range(1, size + 1)]
-    counts = runs.where(F.col(names[-1]).isNotNull()).groupBy("doc_id", *names).agg(F.count("*").alias("n"))
+    count = lambda rows, *by: rows.where(F.col(by[-1]).isNotNull()).groupBy("doc_id", *by).agg(F.count("*").alias("n"))
+    counts = count(runs, *names)
     single = words.groupBy("doc_id", "w1").agg(F.count("*").alias("f"))
     for name in names:
         counts = counts.join(single.select("doc_id", F.col("w1").alias(name), F.col("f").alias(f"f_{name}")), ["doc_id", name])
@@ -174,8 +209,11 @@ def best_collocations(docs: DataFrame, size: int = 2, top: int = 200) -> DataFra
     if size == 2:
         value = F.coalesce(chi_square(F.col("n"), F.col("f_w1"), F.col("f_w2"), F.col("total")), F.lit(0.0))
     else:
-        expected = F.col("f_w1") * F.col("f_w2") * F.col("f_w3") / (F.col("total") * F.col("total"))
-        value = (F.col("n") - expected) ** 2 / expected
+        pairs = count(runs, "w1", "w2")  # all neighbours, the last two words of a text too
+        outer = counts.groupBy("doc_id", "w1", "w3").agg(F.sum("n").alias("n_outer"))
+        counts = counts.join(pairs.withColumnRenamed("n", "n_first"), ["doc_id", "w1", "w2"]).join(outer, ["doc_id", "w1", "w3"])
+        counts = counts.join(pairs.select("doc_id", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("n").alias("n_last")), ["doc_id", "w2", "w3"])
+        value = _deviation(F.col("n"), (F.col("n_first"), F.col("n_outer"), F.col("n_last")), (F.col("f_w1"), F.col("f_w2"), F.col("f_w3")), F.col("total"))
     ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(value.desc(), *names))).where(F.col("place") <= top)
     lists = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat_ws(" ", *names))).alias("own"))
     return docs.join(lists, "doc_id", "left").withColumn("features", F.coalesce("own", F.array().cast("array<string>"))).drop("own")
@@ -241,20 +279,33 @@ def spearman(rows: DataFrame) -> DataFrame:
     return joined.agg(F.corr("a", "p").alias("spearman"))
 
 
-def informative_features(model: DataFrame, cutoff: float = 1.2, compat: bool = False) -> DataFrame:
-    """feature, ratio and polarity of the features whose smoothed probabilities differ beyond a ratio.
+def informative_features(model: DataFrame, sizes: DataFrame, cutoff: float = 1.2, compat: bool = False) -> DataFrame:
+    """feature, present, ratio and polarity of the values of features whose smoothed probabilities differ
+    beyond a ratio, by labels.
 
-    A positive feature has its ratio, scaled to 0..1; a negative one the inverse of its ratio, scaled to
-    -1..0 with the most telling at -1. Where all are equal the scale is 0. With ``compat`` negative
-    features are scaled by the extremes of the positive ones.
+    A feature has two values, present and absent. Only labels that have documents with a value are
+    compared for it, so what one label alone has, has the ratio 1. A positive value has its ratio, scaled to
+    0..1; a negative one the inverse of its ratio, scaled to -1..0 with the most telling at -1. Where all are
+    equal the scale is 0. With ``compat`` negative values are scaled by the extremes of the positive ones.
     """
-    high, low = F.exp(F.greatest("logp_pos", "logp_neg")), F.exp(F.least("logp_pos", "logp_neg"))
-    rows = model.select("feature", ((high + EPSILON) / (low + EPSILON)).alias("ratio"), (F.col("logp_pos") > F.col("logp_neg")).alias("up")).where(F.col("ratio") > cutoff)
+    rows = model.crossJoin(sizes)  # one row of sizes
+    both = (F.col("n_pos") == F.col("all_pos")) & (F.col("n_neg") == F.col("all_neg"))
+    away = lambda k: F.col(f"all_{k}") - F.col(f"n_{k}")
+    absent = lambda k: (away(k) + GAMMA) / (F.col(f"all_{k}") + F.when(both, 1).otherwise(2) * GAMMA)
+    seen = lambda n, p: F.when(n > 0, p)
+    values = F.array(*[
+        F.struct(F.lit(here).alias("present"), *[seen(F.col(f"n_{k}") if here else away(k), F.exp(f"logp_{k}") if here else absent(k)).alias(k) for k in ("pos", "neg")])
+        for here in (True, False)
+    ])
+    rows = rows.select("feature", F.inline(values)).where("pos is not null or neg is not null")
+    high, low = F.greatest("pos", "neg") + EPSILON, F.least("pos", "neg") + EPSILON
+    up = F.coalesce(F.col("pos") > F.col("neg"), F.col("pos").isNotNull())
+    rows = rows.select("feature", "present", (high / low).alias("ratio"), up.alias("up")).where(F.col("ratio") > cutoff)
     rows = rows.withColumn("value", F.when(F.col("up"), F.col("ratio")).otherwise(1 / F.col("ratio")))
     ends = rows.agg(*[f(F.when(F.col("up") == up, F.col("value"))).alias(n) for f, up, n in ((F.min, True, "p0"), (F.max, True, "p1"), (F.min, False, "n0"), (F.max, False, "n1"))])
     scaled = lambda from_, lo, hi: F.coalesce(F.try_divide(F.col("value") - F.col(from_), F.col(hi) - F.col(lo)), F.lit(0.0))
     negative = scaled("p1", "p0", "p1") if compat else scaled("n1", "n0", "n1")
-    return rows.crossJoin(ends).select("feature", "ratio", F.when(F.col("up"), scaled("p0", "p0", "p1")).otherwise(negative).alias("polarity"))  # one row of ends
+    return rows.crossJoin(ends).select("feature", "present", "ratio", F.when(F.col("up"), scaled("p0", "p0", "p1")).otherwise(negative).alias("polarity"))  # one row of ends
 
 
 def evaluate(docs: DataFrame, ratio: float = 0.7, seed: int = 0, cutoff: float = 0.0, features: str = "word", best_ratio: float = 0.8) -> DataFrame:
@@ -266,14 +317,57 @@ def evaluate(docs: DataFrame, ratio: float = 0.7, seed: int = 0, cutoff: float =
 
 
 def bagging(docs: DataFrame, iterations: int = 20, ratio: float = 0.7, cutoff: float = 0.0, features: str = "word", best_ratio: float = 0.8) -> DataFrame:
-    """Metrics of ``iterations`` random splits, a row each, from one grouped plan."""
-    by = ("iteration",)
-    many = feature_sets(docs, features, best_ratio).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    rows = split_by_class(many, ratio, by=by)
-    train, test = rows.where("train"), rows.where("not train")
-    found = classify(test, conditionals(train, by), label_counts(train, by), cutoff, by)
-    joined = found.join(test.select("iteration", "doc_id", F.col("label").alias("actual")), ["iteration", "doc_id"]).withColumnRenamed("polarity", "predicted")
-    return confusion(joined, by=by)
+    """Metrics of ``iterations`` random splits, a row each.
+
+    A document carries a mask of the splits that it trains, so features are counted for all splits in one
+    aggregation and scored for all in one join, as often as they are and not once for every split.
+    """
+    chosen = feature_sets(docs, features, best_ratio)
+    out = None
+    for start in range(1, iterations + 1, MASK_BITS):
+        rows = _bagged(chosen, list(range(start, min(start + MASK_BITS, iterations + 1))), ratio, cutoff)
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def with_masks(docs: DataFrame, splits: list[int], ratio: float) -> DataFrame:
+    """``docs`` with ``mask``: bit k is set if the document trains the split ``splits[k]``, as in :func:`split_by_class`."""
+    ids = docs.select("label", "doc_id").withColumn("iteration", F.explode(F.array(*map(F.lit, splits))))
+    ends = _last_of_share(ids.withColumn("h", F.xxhash64("doc_id", "iteration")), ratio, ("iteration",))
+    ends = ends.groupBy("label").agg(F.collect_list(F.struct("iteration", "end")).alias("ends"))  # an entry a split
+    own = lambda e: F.struct(F.xxhash64("doc_id", e["iteration"]).alias("h"), F.col("doc_id")) <= e["end"]
+    bit = lambda e: F.when(own(e), F.call_function("shiftleft", F.lit(1).cast("long"), e["iteration"] - splits[0])).otherwise(F.lit(0).cast("long"))
+    mask = F.aggregate("ends", F.lit(0).cast("long"), lambda acc, e: acc + bit(e))
+    return docs.join(F.broadcast(ends), "label", "left").withColumn("mask", F.coalesce(mask, F.lit(0).cast("long"))).drop("ends")
+
+
+def _bagged(docs: DataFrame, splits: list[int], ratio: float, cutoff: float) -> DataFrame:
+    rows, places = with_masks(docs, splits, ratio), range(len(splits))
+    trains = lambda k: F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
+    counted = lambda names: [F.count_if(trains(k) & (F.col("label") > 0 if name == names[0] else F.col("label") < 0)).alias(f"{name}_{k}") for name in names for k in places]
+    sizes = rows.agg(*counted(("all_pos", "all_neg"))).first().asDict()  # one row
+    counts = rows.select("label", "mask", F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature").agg(*counted(("n_pos", "n_neg")))
+
+    def odds(k: int) -> Column:
+        """What the feature adds to the log odds against the positive label; nothing where the split has not seen it."""
+        pos, neg, all_pos, all_neg = F.col(f"n_pos_{k}"), F.col(f"n_neg_{k}"), sizes[f"all_pos_{k}"], sizes[f"all_neg_{k}"]
+        bins = F.when((pos == all_pos) & (neg == all_neg), 1).otherwise(2)
+        return F.when(pos + neg > 0, F.ln((neg + GAMMA) / (F.lit(all_neg) + bins * GAMMA)) - F.ln((pos + GAMMA) / (F.lit(all_pos) + bins * GAMMA))).otherwise(0.0)
+
+    model = counts.select("feature", F.array(*map(odds, places)).alias("odds"))
+    tested = rows.where(F.col("mask") != (1 << len(splits)) - 1).select(F.monotonically_increasing_id().alias("row"), "label", "mask", "features")
+    tested = tested.select("row", "label", "mask", F.explode_outer(F.array_distinct("features")).alias("feature"))
+    sums = tested.join(model, "feature", "left").groupBy("row", "label", "mask").agg(*[F.sum(F.get("odds", F.lit(k))).alias(f"odds_{k}") for k in places])
+
+    def outcome(k: int) -> Column:
+        prior = F.ln(F.lit((sizes[f"all_neg_{k}"] + GAMMA) / (sizes[f"all_pos_{k}"] + GAMMA)))
+        pos = 1 / (1 + F.exp(F.coalesce(F.col(f"odds_{k}"), F.lit(0.0)) + prior))
+        intensity = F.greatest(pos, 1 - pos) / (F.least(pos, 1 - pos) + EPSILON)
+        predicted = F.when(intensity > cutoff, pos - (1 - pos)).otherwise(0.0)
+        return F.struct(F.lit(splits[k]).alias("iteration"), F.col("label").alias("actual"), F.when(~trains(k), predicted).alias("predicted"))
+
+    found = sums.select(F.inline(F.array(*map(outcome, places)))).where("predicted is not null")
+    return confusion(found, by=("iteration",))
 
 
 def bagging_summary(metrics: DataFrame) -> DataFrame:
@@ -283,10 +377,40 @@ def bagging_summary(metrics: DataFrame) -> DataFrame:
     return metrics.agg(best, *[F.avg(c).alias(c) for c in names])
 
 
-def save_model(prior: DataFrame, model: DataFrame, path: str) -> None:
-    prior.write.mode("overwrite").parquet(f"{path}/prior")
-    model.write.mode("overwrite").parquet(f"{path}/cond")
+@dataclass(frozen=True)
+class Model:
+    """A fitted classifier as tables: ``prior`` (label, logp), ``cond`` as of :func:`conditionals`, ``sizes`` as
+    of :func:`label_counts`, and the kind of features that its documents need."""
+
+    prior: DataFrame
+    cond: DataFrame
+    sizes: DataFrame
+    features: str = "word"
+
+    def classify(self, docs: DataFrame, cutoff: float = 1.3) -> DataFrame:
+        return classify(docs, self.cond, self.sizes, cutoff)
+
+    def informative(self, cutoff: float = 1.2, compat: bool = False) -> DataFrame:
+        return informative_features(self.cond, self.sizes, cutoff, compat)
+
+    def save(self, path: str) -> None:
+        """As one versioned table, so that a reader never gets parts of two models."""
+        parts = [
+            self.prior.select(F.lit("prior").alias("part"), F.struct("label", "logp").alias("prior"), F.lit(None).alias("cond"), F.lit(None).alias("sizes"), F.lit(None).alias("features")),
+            self.cond.select(F.lit("cond").alias("part"), F.lit(None).alias("prior"), F.struct("feature", "logp_pos", "logp_neg", "n_pos", "n_neg").alias("cond"), F.lit(None).alias("sizes"), F.lit(None).alias("features")),
+            self.sizes.select(F.lit("sizes").alias("part"), F.lit(None).alias("prior"), F.lit(None).alias("cond"), F.struct("all_pos", "all_neg").alias("sizes"), F.lit(self.features).alias("features")),
+        ]
+        versions.write(parts[0].unionByName(parts[1]).unionByName(parts[2]), path, "parquet")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        """The last saved state; it stays that one while it is used."""
+        rows = versions.read(spark, path)
+        part = lambda name: rows.where(F.col("part") == name).select(f"{name}.*")
+        return cls(part("prior"), part("cond"), part("sizes"), rows.where("part = 'sizes'").select("features").first()[0])
 
 
-def load_model(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/prior"), spark.read.parquet(f"{path}/cond")
+def fit(docs: DataFrame, features: str = "word", best_ratio: float = 0.8) -> Model:
+    """The model of all documents, with features of a kind."""
+    rows = feature_sets(docs, features, best_ratio)
+    return Model(priors(rows), conditionals(rows), label_counts(rows), features)

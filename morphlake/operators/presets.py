@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources import wordlists
 from . import lexicon
@@ -21,8 +22,8 @@ class Scorer:
     lexicon: DataFrame
     terms: Callable[[DataFrame], DataFrame]
 
-    def score(self, docs: DataFrame, by_count: bool = True) -> DataFrame:
-        return lexicon.score(self.terms(docs), self.lexicon, by_count)
+    def score(self, docs: DataFrame, by_count: bool = True, with_breakdown: bool = False) -> DataFrame:
+        return lexicon.score(self.terms(docs), self.lexicon, by_count, with_breakdown)
 
     def breakdown(self, docs: DataFrame, by_count: bool = True) -> DataFrame:
         return lexicon.breakdown(self.terms(docs), self.lexicon, by_count)
@@ -76,3 +77,31 @@ class Tagger:
         if self.dictionary is None:
             raise ValueError("nouns without terms need a dictionary; functions.tokens.base_nouns does without")
         return collect_tokens(self.dictionary.nouns(explode_tokens(self.tag(docs)), **options))
+
+    def sentiment_words(self, docs: DataFrame, **options) -> DataFrame:
+        """doc_id and terms, the slash words of texts that bear sentiment."""
+        if self.dictionary is None:
+            raise ValueError("sentiment words need a dictionary")
+        rows = self.dictionary.sentiment_words(explode_tokens(self.tag(docs)), **options)
+        return lexicon.collect_terms(rows.withColumn("term", F.when(F.col("pos") >= 0, F.col("word"))))
+
+
+@dataclass(frozen=True)
+class TextScorer:
+    """From texts (doc_id, text) to scores: tags, sentiment words, n-grams and the lexicon in one chain.
+
+    ``scorer`` is one of :func:`tone` or :func:`uncertainty`. Texts without words, null ones too, score zero.
+    """
+
+    tagger: Tagger
+    scorer: Scorer
+
+    def tokenize(self, docs: DataFrame) -> DataFrame:
+        """doc_id and terms as they are scored."""
+        return self.scorer.terms(self.tagger.sentiment_words(docs))
+
+    def score(self, docs: DataFrame, by_count: bool = True, with_breakdown: bool = False) -> DataFrame:
+        return self.scorer.score(self.tagger.sentiment_words(docs), by_count, with_breakdown)
+
+    def phrases(self, docs: DataFrame) -> DataFrame:
+        return self.scorer.phrases(self.tagger.sentiment_words(docs))

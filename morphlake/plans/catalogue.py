@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as K
 from ..functions.porter import english_words, stemmed
 from ..operators import bayes, lexicon, merge, presets
+from ..operators.inclusion import including
 from ..operators.dictionary import Dictionary, collect_tokens, explode_tokens, only_tokens, postprocess
 from ..operators.userdic import UserDictionary
 from ..sources import wordlists
@@ -268,6 +269,23 @@ for _name, (_options, _where) in _INCLUDE.items():
         return rows.where(K.includes(F.col("word"), ("th", "on" if options.get("unit_level") else "ON"), **options)).groupBy("word").agg(F.count("*").alias("n"))
 
 
+#: Distinct words, their parts of all lengths, and as items all words read backwards.
+_ITEMS = "c AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), k AS (SELECT word, count(*) AS n FROM c GROUP BY word), d AS (SELECT DISTINCT lower(word) AS w FROM k), items AS (SELECT reverse(w) AS i FROM d)"
+_PARTS = {
+    "sub": "SELECT w, substr(w, a, n) AS i FROM d, unnest(range(1, length(w) + 1)) AS x(a), unnest(range(1, length(w) - a + 2)) AS y(n)",
+    "prefix": "SELECT w, left(w, n) AS i FROM d, unnest(range(1, length(w) + 1)) AS x(n)", "suffix": "SELECT w, right(w, n) AS i FROM d, unnest(range(1, length(w) + 1)) AS x(n)",
+}
+for _name, _parts in _PARTS.items():
+
+    @query(f"word_inclusion_table_{_name}", f"WITH {_ITEMS}, p AS ({_parts}) SELECT word, n FROM k WHERE lower(word) IN (SELECT w FROM p SEMI JOIN items USING (i))")
+    def word_inclusion_table(spark, sf_dir, options=_INCLUDE[_name][0]):
+        """Words that hold, begin with or end with one of a table of items: all words, read backwards."""
+        words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), 0)
+        rows = _table(spark, sf_dir, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        items = rows.select(F.reverse(F.lower("word")).alias("item"))
+        return including(rows, items, **options)
+
+
 @query("has_jongseong", "SELECT n_name AS word, (((unicode(right(n_name, 1)) - 44032) % 28) + 28) % 28 <> 0 AS final FROM nation UNION ALL SELECT x, y FROM (VALUES ('금리', false), ('물가', false), ('상승', true)) v(x, y)")
 def has_jongseong(spark, sf_dir):
     names = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("word"))
@@ -408,6 +426,18 @@ def lexicon_score_weighted(spark, sf_dir):
     return _rounded(lexicon.score(_terms(spark, sf_dir), bench_lexicon(spark, sf_dir), by_count=False), "polarity", "subjectivity")
 
 
+_SHORT_BREAKDOWN = "md5(coalesce(string_agg(term || ' ' || CAST(CAST(c AS INTEGER) AS VARCHAR) || ' ' || CASE WHEN c > 0 THEN 'positive' WHEN c < 0 THEN 'negative' ELSE 'neutral' END, ' ' ORDER BY pos), ''))"
+
+
+@query("score_with_breakdown", f"{_SCORED}, a AS ({_AGG.format(v='c')}), b AS (SELECT doc_id, {_SHORT_BREAKDOWN} AS digest FROM s GROUP BY doc_id) "
+       "SELECT a.doc_id, round((positive + negative) / (positive - negative + 0.000001E0), 6) AS polarity, n AS terms, coalesce(digest, md5('')) AS digest FROM a LEFT JOIN b ON b.doc_id = a.doc_id")
+def score_with_breakdown(spark, sf_dir):
+    """Scores and the explained terms of a document in one row."""
+    rows = lexicon.score(_terms(spark, sf_dir), bench_lexicon(spark, sf_dir), with_breakdown=True)
+    text = F.transform("breakdown", lambda x: F.concat_ws(" ", x["term"], x["score"].cast("int"), x["sentiment"]))
+    return _rounded(rows.select("doc_id", "polarity", F.size("breakdown").cast("long").alias("terms"), _digest(text).alias("digest")), "polarity")
+
+
 @query("score_breakdown", f"{_SCORED} SELECT term, c AS score, p AS polarity, CASE WHEN c > 0 THEN 'positive' WHEN c < 0 THEN 'negative' ELSE 'neutral' END AS sentiment, count(*) AS n FROM s GROUP BY 1, 2, 3, 4")
 def score_breakdown(spark, sf_dir):
     rows = lexicon.breakdown(_terms(spark, sf_dir), bench_lexicon(spark, sf_dir), phrases=True)
@@ -553,7 +583,7 @@ def nb_train_priors(spark, sf_dir):
 
 @query("nb_train_cond", f"WITH {SQL_NB} SELECT w AS feature, round(lp, 6) AS logp_pos, round(ln_, 6) AS logp_neg FROM nb")
 def nb_train_cond(spark, sf_dir):
-    return _rounded(bayes.conditionals(labelled(spark, sf_dir)), "logp_pos", "logp_neg")
+    return _rounded(bayes.conditionals(labelled(spark, sf_dir)).select("feature", "logp_pos", "logp_neg"), "logp_pos", "logp_neg")
 
 
 _CLASSIFIED = (
@@ -620,21 +650,29 @@ def spearman(spark, sf_dir):
 
 
 _INFO = (
-    f"WITH {SQL_NB}, i AS (SELECT w, (exp(greatest(lp, ln_)) + 0.000001E0) / (exp(least(lp, ln_)) + 0.000001E0) AS ratio, lp > ln_ AS up FROM nb), k AS (SELECT w, ratio, up, CASE WHEN up THEN ratio ELSE 1 / ratio END AS v FROM i WHERE ratio > 1.2E0), "
+    f"WITH {SQL_NB}, pv AS (SELECT w, np, nn, zp, zn, CASE WHEN np = zp AND nn = zn THEN 1 ELSE 2 END AS b FROM c, z), "
+    "v AS (SELECT w, true AS present, CASE WHEN np > 0 THEN (np + 0.5E0) / (zp + 0.5E0 * b) END AS p, CASE WHEN nn > 0 THEN (nn + 0.5E0) / (zn + 0.5E0 * b) END AS n FROM pv "
+    "UNION ALL SELECT w, false, CASE WHEN zp > np THEN (zp - np + 0.5E0) / (zp + 0.5E0 * b) END, CASE WHEN zn > nn THEN (zn - nn + 0.5E0) / (zn + 0.5E0 * b) END FROM pv), "
+    "i AS (SELECT w, present, (greatest(coalesce(p, n), coalesce(n, p)) + 0.000001E0) / (least(coalesce(p, n), coalesce(n, p)) + 0.000001E0) AS ratio, coalesce(p > n, p IS NOT NULL) AS up FROM v WHERE p IS NOT NULL OR n IS NOT NULL), "
+    "k AS (SELECT w, present, ratio, up, CASE WHEN up THEN ratio ELSE 1 / ratio END AS v FROM i WHERE ratio > 1.2E0), "
     "e AS (SELECT min(v) FILTER (up) AS p0, max(v) FILTER (up) AS p1, min(v) FILTER (NOT up) AS n0, max(v) FILTER (NOT up) AS n1 FROM k) "
 )
 
 
-@query("informative_features", _INFO + "SELECT w AS feature, round(ratio, 4) AS ratio, round(CASE WHEN up THEN coalesce((v - p0) / nullif(p1 - p0, 0), 0) ELSE coalesce((v - n1) / nullif(n1 - n0, 0), 0) END, 6) AS polarity FROM k, e")
+def _informative(spark, sf_dir, compat=False):
+    rows = labelled(spark, sf_dir)
+    found = bayes.informative_features(bayes.conditionals(rows), bayes.label_counts(rows), compat=compat)
+    return found.select("feature", "present", F.round("ratio", 4).alias("ratio"), F.round("polarity", 6).alias("polarity"))
+
+
+@query("informative_features", _INFO + "SELECT w AS feature, present, round(ratio, 4) AS ratio, round(CASE WHEN up THEN coalesce((v - p0) / nullif(p1 - p0, 0), 0) ELSE coalesce((v - n1) / nullif(n1 - n0, 0), 0) END, 6) AS polarity FROM k, e")
 def informative_features(spark, sf_dir):
-    rows = bayes.informative_features(bayes.conditionals(labelled(spark, sf_dir)))
-    return rows.select("feature", F.round("ratio", 4).alias("ratio"), F.round("polarity", 6).alias("polarity"))
+    return _informative(spark, sf_dir)
 
 
-@query("informative_features_compat", _INFO + "SELECT w AS feature, round(ratio, 4) AS ratio, round(CASE WHEN up THEN coalesce((v - p0) / nullif(p1 - p0, 0), 0) ELSE coalesce((v - p1) / nullif(p1 - p0, 0), 0) END, 6) AS polarity FROM k, e")
+@query("informative_features_compat", _INFO + "SELECT w AS feature, present, round(ratio, 4) AS ratio, round(CASE WHEN up THEN coalesce((v - p0) / nullif(p1 - p0, 0), 0) ELSE coalesce((v - p1) / nullif(p1 - p0, 0), 0) END, 6) AS polarity FROM k, e")
 def informative_features_compat(spark, sf_dir):
-    rows = bayes.informative_features(bayes.conditionals(labelled(spark, sf_dir)), compat=True)
-    return rows.select("feature", F.round("ratio", 4).alias("ratio"), F.round("polarity", 6).alias("polarity"))
+    return _informative(spark, sf_dir, compat=True)
 
 
 @query("train_evaluate")
@@ -658,6 +696,16 @@ def best_bigrams(spark, sf_dir):
     return _short(bayes.best_collocations(labelled(spark, sf_dir), 2).withColumnRenamed("features", "terms"))
 
 
+@query("best_trigrams")
+def best_trigrams(spark, sf_dir):
+    return _short(bayes.best_collocations(labelled(spark, sf_dir), 3).withColumnRenamed("features", "terms"))
+
+
+@query("train_evaluate_trigram")
+def train_evaluate_trigram(spark, sf_dir):
+    return bayes.evaluate(labelled(spark, sf_dir), features="best_trigram")
+
+
 @query("train_evaluate_bigram")
 def train_evaluate_bigram(spark, sf_dir):
     return bayes.evaluate(labelled(spark, sf_dir), features="best_bigram")

@@ -1,7 +1,9 @@
 """Readers and writers of word lists, vocabularies, lexicons and user dictionaries.
 
-Every reader returns a DataFrame with a fixed schema and never writes to its input. Lines get a
-number where order or the last of several matters.
+Every reader returns a DataFrame with a fixed schema; only with ``rewrite`` does it write the list back.
+Lines get a number where order or the last of several matters. Saved lists are versioned folders (see
+``versions``), which all readers take as they take plain files, so a list may be loaded, changed and saved
+under its own name.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import strip
+from . import versions
 
 USER_FIELDS = ("surface", "left_id", "right_id", "cost", "pos", "semantic", "has_jongseong", "reading", "type", "start_pos", "end_pos", "expression")
 POLARITY_SCHEMA = "word string, polarity double, score double, c3 string, c4 string, intensity double"
@@ -22,7 +25,7 @@ UNCERTAINTY_CUTOFFS = {0: 2.0, 1: 1.3}
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """value and line_no, in the order of the file; small text assets only."""
-    whole = spark.read.text(path, wholetext=True).select(F.split("value", "\r\n|\n|\r").alias("lines"))
+    whole = spark.read.text(versions.current(spark, path), wholetext=True).select(F.split("value", "\r\n|\n|\r").alias("lines"))
     whole = whole.select(F.when(F.element_at("lines", -1) == "", F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines")).alias("lines"))
     return whole.select(F.posexplode("lines").alias("line_no", "value"))
 
@@ -32,14 +35,22 @@ def _plain(column: Column) -> Column:
     return F.replace(F.lower(strip(column)), F.lit(" "), F.lit(""))
 
 
-def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct words of a file; a blank line is the empty word."""
-    return spark.read.text(path).select(_plain(F.col("value")).alias("word")).distinct()
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(versions.current(spark, path))
+
+
+def load_dictionary(spark: SparkSession, path: str, rewrite: bool = False) -> DataFrame:
+    """Distinct words of a file; a blank line is the empty word. ``rewrite`` writes them back."""
+    words = _lines(spark, path).select(_plain(F.col("value")).alias("word")).distinct()
+    if rewrite:
+        save_wordlist(words, path)
+        return load_dictionary(spark, path)
+    return words
 
 
 def load_terms(spark: SparkSession, path: str) -> DataFrame:
     """Distinct terms of a file, stripped and lower-cased; blanks inside them stay."""
-    return spark.read.text(path).select(F.lower(strip(F.col("value"))).alias("word")).distinct()
+    return _lines(spark, path).select(F.lower(strip(F.col("value"))).alias("word")).distinct()
 
 
 def load_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -58,15 +69,27 @@ def load_vocab(spark: SparkSession, path: str, delimiter: str = ",") -> DataFram
 
 
 def save_vocab(vocab: DataFrame, path: str, delimiter: str = ",") -> None:
-    vocab.select(F.concat_ws(delimiter, "src", "dst")).write.mode("overwrite").text(path)
+    """A line for each pair (src, dst); a null side is written as nothing."""
+    line = F.concat(F.coalesce("src", F.lit("")), F.lit(delimiter), F.coalesce("dst", F.lit("")))
+    versions.write(vocab.select(line.alias("value")), path, "text")
 
 
 def save_wordlist(words: DataFrame, path: str) -> None:
-    words.select(words.columns[0]).write.mode("overwrite").text(path)
+    versions.write(words.select(F.coalesce(words[words.columns[0]], F.lit("")).alias("value")), path, "text")
+
+
+def _uncommented(words: DataFrame, lowercase: bool) -> DataFrame:
+    words = words.where(~F.startswith("word", F.lit("#")))
+    return words.select(F.lower("word").alias("word")) if lowercase else words
+
+
+def wordlist_from(lines: DataFrame, lowercase: bool = False, **options) -> DataFrame:
+    """First field of each line (value), distinct, without comments; options as in :func:`_listed`."""
+    return _uncommented(_listed(lines, **options), lowercase)
 
 
-def wordlist_from(lines: DataFrame, max_ngram: int | None = None, remove_tag: bool = False, remove_delimiter: bool = False, lowercase: bool = False) -> DataFrame:
-    """First field of each line (value), distinct, without comments.
+def _listed(lines: DataFrame, max_ngram: int | None = None, remove_tag: bool = False, remove_delimiter: bool = False) -> DataFrame:
+    """First field of each line (value), distinct.
 
     Blank lines drop out and, unless tags are removed, lines of one letter. The ``;`` is removed before the length in units is tested, so both options together keep all.
     """
@@ -78,12 +101,16 @@ def wordlist_from(lines: DataFrame, max_ngram: int | None = None, remove_tag: bo
         rows = rows.select(F.replace("word", F.lit(";"), F.lit("")).alias("word"))
     if max_ngram:
         rows = rows.where(F.size(F.split("word", ";")) <= max_ngram)
-    rows = rows.distinct().where(~F.startswith("word", F.lit("#")))
-    return rows.select(F.lower("word").alias("word")) if lowercase else rows
+    return rows.distinct()
 
 
-def load_wordlist(spark: SparkSession, path: str, **options) -> DataFrame:
-    return wordlist_from(spark.read.text(path), **options).orderBy("word")
+def load_wordlist(spark: SparkSession, path: str, rewrite: bool = False, lowercase: bool = False, **options) -> DataFrame:
+    """In order of the words. ``rewrite`` writes them back as they are, comments among them, before small letters are made."""
+    words = _listed(_lines(spark, path), **options)
+    if rewrite:
+        save_wordlist(words, path)
+        words = _lines(spark, path).select(F.col("value").alias("word"))
+    return _uncommented(words, lowercase).orderBy("word")
 
 
 def fields_from(lines: DataFrame) -> DataFrame:
@@ -172,14 +199,17 @@ def load_stoplist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_user_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of one CSV file or a folder of them; of equal surfaces the last row is taken."""
-    rows = spark.read.schema(USER_SCHEMA).csv(path).withColumn("file", F.col("_metadata.file_path")).withColumn("place", F.monotonically_increasing_id())
+    """Entries of one CSV file or of the ``*.csv`` files of a folder; of equal surfaces the last row is taken."""
+    path = versions.current(spark, path)
+    reader = spark.read.schema(USER_SCHEMA)
+    reader = reader.option("pathGlobFilter", "*.csv") if versions.is_folder(spark, path) else reader
+    rows = reader.csv(path).withColumn("file", F.col("_metadata.file_path")).withColumn("place", F.monotonically_increasing_id())
     last = rows.groupBy("surface").agg(F.max_by(F.struct(*[F.col(f) for f in USER_FIELDS]), F.struct("file", "place")).alias("e"))
     return last.select("e.*")
 
 
 def save_user_dictionary(entries: DataFrame, path: str) -> None:
-    entries.select(*USER_FIELDS).write.mode("overwrite").csv(path)
+    versions.write(entries.select(*USER_FIELDS), path, "csv")
 
 
 def load_context_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -166,10 +166,6 @@ def test_files_round_trip(spark, tmp_path):
     assert [(r["line_no"], r["id"], r["pos"], r["has_jongseong"]) for r in ids.orderBy("line_no").collect()] == [(0, "7", "NNP", "T"), (1, "8", "NNP", "F")]
     own = UserDictionary(again, ids, ids).adjust_costs(9).adjust_context_ids().add(spark.createDataFrame([("금리", "금니", 1), ("금리", None, 2)], "surface string, reading string, line_no int"))
     assert {r["surface"]: (r["left_id"], r["right_id"], r["cost"], r["reading"]) for r in own.entries.collect()} == {"금리": ("7", "8", 1000, "금리"), "상승": ("7", "7", 9, "상승")}
-    model = spark.createDataFrame([("x", -1.0, -2.0)], "feature string, logp_pos double, logp_neg double")
-    prior = spark.createDataFrame([(1, -0.5)], "label int, logp double")
-    bayes.save_model(prior, model, out("model"))
-    assert [x.collect() for x in bayes.load_model(spark, out("model"))] == [prior.collect(), model.collect()]
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -296,15 +292,27 @@ def test_rank_correlation(spark):
 
 
 def test_informative_features(spark):
-    """Positive features are scaled by their ratios, negative ones by the inverse of theirs."""
-    p = {"a": (0.8, 0.1), "b": (0.4, 0.1), "c": (0.1, 0.2), "d": (0.1, 0.6), "e": (0.3, 0.3)}
-    model = spark.createDataFrame([(w, math.log(x), math.log(y)) for w, (x, y) in p.items()], "feature string, logp_pos double, logp_neg double")
-    ratio = {w: (max(x) + 1e-6) / (min(x) + 1e-6) for w, x in p.items() if w != "e"}
-    out = {r["feature"]: (r["ratio"], r["polarity"]) for r in bayes.informative_features(model).collect()}
-    assert {w: r for w, (r, _) in out.items()} == pytest.approx(ratio)
-    assert {w: x for w, (_, x) in out.items()} == pytest.approx({"a": 1.0, "b": 0.0, "c": 0.0, "d": -1.0})
-    compat = {r["feature"]: r["polarity"] for r in bayes.informative_features(model, compat=True).collect()}
-    assert compat["d"] == pytest.approx((1 / ratio["d"] - ratio["a"]) / (ratio["a"] - ratio["b"]))
+    """Only labels that have a value are compared; positive values are scaled by their ratios, negative ones by the inverse."""
+    counts = {"a": (8, 1), "b": (4, 1), "c": (1, 2), "d": (1, 6), "e": (3, 3), "one": (7, 0), "other": (0, 9), "all": (10, 10)}
+    rows = spark.createDataFrame([(w, p, n, math.log((p + 0.5) / (10.5 if w == "all" else 11)), math.log((n + 0.5) / (10.5 if w == "all" else 11))) for w, (p, n) in counts.items()], "feature string, n_pos long, n_neg long, logp_pos double, logp_neg double")
+    sizes = spark.createDataFrame([(10, 10)], "all_pos long, all_neg long")
+    expected = {}
+    for w, (p, n) in counts.items():
+        for present, x, y in ((True, p, n), (False, 10 - p, 10 - n)):
+            bins = 0.5 * (1 if (p, n) == (10, 10) else 2)
+            seen = [(v + 0.5) / (10 + bins) for v in (x, y) if v > 0]
+            if seen and (max(seen) + 1e-6) / (min(seen) + 1e-6) > 1.2:
+                expected[w, present] = ((max(seen) + 1e-6) / (min(seen) + 1e-6), x > y)
+    assert ("one", True) not in expected and ("other", True) not in expected and ("a", False) in expected
+    up, down = [r for r, u in expected.values() if u], [1 / r for r, u in expected.values() if not u]
+    found = {(r["feature"], r["present"]): (r["ratio"], r["polarity"]) for r in bayes.informative_features(rows, sizes).collect()}
+    compat = {(r["feature"], r["present"]): r["polarity"] for r in bayes.informative_features(rows, sizes, compat=True).collect()}
+    assert {k: r for k, (r, _) in found.items()} == pytest.approx({k: r for k, (r, _) in expected.items()})
+    for k, (r, u) in expected.items():
+        assert found[k][1] == pytest.approx((r - min(up)) / (max(up) - min(up)) if u else (1 / r - max(down)) / (max(down) - min(down)))
+        assert compat[k] == pytest.approx((r - min(up)) / (max(up) - min(up)) if u else (1 / r - max(up)) / (max(up) - min(up)))
+    everything = {r["feature"]: r["ratio"] for r in bayes.informative_features(rows, sizes, cutoff=0.9).where("present").collect()}
+    assert everything["one"] == everything["other"] == 1.0
 
 
 def test_analyser_prefers_cheap_paths(spark):
