@@ -62,18 +62,44 @@ def expand_morphs(morphemes: Column, flatten: bool = True) -> Column:
     return F.flatten(F.transform(morphemes, lambda m: F.when(m["expression"].isNull(), whole(m)).otherwise(parts(m))))
 
 
-def with_spaces(tokens: Column, text: Column) -> Column:
-    """Tokens with (' ', 'SP') where the text has white space between them."""
-    start = F.struct(text.alias("rest"), F.array().cast("array<struct<surface:string,tag:string>>").alias("out"))
+def spaced(surfaces: list[str | None], tags: list[str | None], text: str) -> tuple[list, list]:
+    """Tokens with (' ', 'SP') where the text has white space between them, found by one walk along the text.
+
+    A token that the text does not go on with stays where it is and moves nothing.
+    """
+    out_s, out_t, at, size = [], [], 0, len(text)
+    for surface, tag in zip(surfaces, tags, strict=True):
+        start = at
+        while at < size and text[at].isspace():
+            at += 1
+        if at > start and out_s:
+            out_s.append(" ")
+            out_t.append("SP")
+        out_s.append(surface)
+        out_t.append(tag)
+        if surface and text.startswith(surface, at):
+            at += len(surface)
+    return out_s, out_t
 
-    def step(acc: Column, t: Column) -> Column:
-        bare = F.regexp_replace(acc["rest"], r"(?U)^\s+", "")
-        gap = (F.length(bare) < F.length(acc["rest"])) & (F.size(acc["out"]) > 0)
-        space = F.when(gap, F.array(pair(F.lit(" "), F.lit("SP")))).otherwise(F.array().cast("array<struct<surface:string,tag:string>>"))
-        rest = F.when(F.startswith(bare, t["surface"]), F.substr(bare, F.length(t["surface"]) + 1)).otherwise(bare)
-        return F.struct(rest.alias("rest"), F.concat(acc["out"], space, F.array(pair(t["surface"], t["tag"]))).alias("out"))
 
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+def with_spaces(tokens: Column, text: Column) -> Column:
+    """:func:`spaced` of tokens and their text, linear in both; null tokens stay null, a null text has no white space."""
+
+    @F.arrow_udf("array<struct<surface:string,tag:string>>")
+    def run(tokens: pa.Array, text: pa.Array) -> pa.Array:
+        lengths, flat = tokens.value_lengths(), tokens.flatten()
+        surfaces, tags, at = flat.field("surface").to_pylist(), flat.field("tag").to_pylist(), 0
+        out_s, out_t, ends = [], [], [0]
+        for n, own in zip(lengths.to_pylist(), text.to_pylist(), strict=True):
+            s, t = spaced(surfaces[at : at + (n or 0)], tags[at : at + (n or 0)], own or "")
+            at += n or 0
+            out_s += s
+            out_t += t
+            ends.append(len(out_s))
+        values = pa.StructArray.from_arrays([pa.array(out_s, pa.string()), pa.array(out_t, pa.string())], names=["surface", "tag"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=lengths.is_null())
+
+    return run(tokens, text)
 
 
 def drop_auxiliaries(tokens: Column) -> Column:

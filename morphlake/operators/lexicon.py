@@ -128,22 +128,45 @@ def term_scores(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     return _scored(rows, lexicon).select("doc_id", "pos", "term", "score", "pol")
 
 
+#: What a document's score is made of; sums of its parts add up to its own.
+SUMS = ("positive", "negative", "hits", "n")
+
+
+def _sums(value: Column) -> list[Column]:
+    """SUMS of exploded terms and their values."""
+    return [
+        F.sum(F.when(value > 0, value).otherwise(0.0)).alias("positive"), F.sum(F.when(value < 0, value).otherwise(0.0)).alias("negative"),
+        F.count_if(value != 0).alias("hits"), F.count_if(F.col("pos") >= 0).alias("n"),
+    ]
+
+
+def from_sums(sums: DataFrame, by_count: bool = True, *more: str | Column) -> DataFrame:
+    """doc_id, positive, negative, polarity and subjectivity of rows (doc_id, SUMS)."""
+    p, n, size = F.col("positive"), F.col("negative"), F.col("n") + EPSILON
+    polarity = (p + n) / ((p - n) + EPSILON) if by_count else (p + n) / size
+    return sums.select("doc_id", "positive", "negative", polarity.alias("polarity"), (F.col("hits") / size).alias("subjectivity"), *more)
+
+
+def partial_sums(docs: DataFrame, lexicon: DataFrame, by_count: bool = True) -> DataFrame:
+    """doc_id and SUMS of documents (doc_id, terms), whose rows may be parts of documents.
+
+    Works on streams too, where it keeps these four numbers of each document as state.
+    """
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("terms", F.array().cast("array<string>")))
+    rows = docs.select("doc_id", F.posexplode(terms).alias("pos", "term")).withColumn("pos", F.col("pos") - 1)
+    return _scored(rows, lexicon).groupBy("doc_id").agg(*_sums(F.col("score" if by_count else "pol")))
+
+
 def score(docs: DataFrame, lexicon: DataFrame, by_count: bool = True, with_breakdown: bool = False) -> DataFrame:
     """doc_id, positive, negative, polarity and subjectivity of every row; those without terms score zero.
 
     ``with_breakdown`` adds the array ``breakdown`` of term, score, polarity and sentiment of each term in order.
     """
     rows = _scored(explode_terms(docs), lexicon).withColumn("s", F.col("score" if by_count else "pol"))
-    s = F.col("s")
-    sums = rows.groupBy("row", "doc_id").agg(
-        F.sum(F.when(s > 0, s).otherwise(0.0)).alias("positive"), F.sum(F.when(s < 0, s).otherwise(0.0)).alias("negative"),
-        F.count_if(s != 0).alias("hits"), F.count_if(F.col("pos") >= 0).alias("n"),
-        *[F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "term", s.alias("s"))))).alias("own")] * with_breakdown,
-    )
-    p, n, size = F.col("positive"), F.col("negative"), F.col("n") + EPSILON
-    polarity = (p + n) / ((p - n) + EPSILON) if by_count else (p + n) / size
+    own = F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "term", "s")))).alias("own")
+    sums = rows.groupBy("row", "doc_id").agg(*_sums(F.col("s")), *[own] * with_breakdown)
     explained = F.transform("own", lambda x: F.struct(x["term"].alias("term"), x["s"].alias("score"), x["s"].alias("polarity"), _sentiment(x["s"]).alias("sentiment")))
-    return sums.select("doc_id", "positive", "negative", polarity.alias("polarity"), (F.col("hits") / size).alias("subjectivity"), *[explained.alias("breakdown")] * with_breakdown)
+    return from_sums(sums, by_count, *[explained.alias("breakdown")] * with_breakdown)
 
 
 def _sentiment(value: Column) -> Column:

@@ -153,3 +153,47 @@ def test_stream(spark, tmp_path):
     stream = read_documents(spark, f"{tmp_path}/in", TOKENS).select("doc_id", K.slash(K.drop_tags(F.col("tokens"))).alias("terms"))
     write(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(60)
     assert [r["terms"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [["a/NNG"]]
+
+
+def plain_score(parts, lex):
+    values = [lex.get(t, 0) for terms in parts for t in terms or []]
+    p, n = sum(v for v in values if v > 0), sum(v for v in values if v < 0)
+    return (p, n, (p + n) / (p - n + 1e-6), sum(v != 0 for v in values) / (len(values) + 1e-6))
+
+
+def test_scores_of_parts_with_a_changing_lexicon(spark, tmp_path):
+    from morphlake import streaming
+    from morphlake.sources import versions
+
+    lex = lambda up: spark.createDataFrame([(up, 1, None, 0.5), ("down", None, -1, -0.5)], "term string, pos int, neg int, pol double")
+    first, second = [(1, ["up", "x"]), (2, None), (None, ["down"]), (1, ["down"])], [(1, ["up", "new"]), (3, ["new"]), (None, [])]
+    found = lambda df: {r["doc_id"]: tuple(r)[1:] for r in df.collect()}
+    path, schema = f"file://{tmp_path}/lexicon", "doc_id long, terms array<string>"
+    for rows, up in ((first, "up"), (second, "new")):
+        versions.write(lex(up), path)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streaming.read_documents(spark, f"{tmp_path}/in", schema)
+        streaming.score_parts(stream, path, f"{tmp_path}/sums", f"{tmp_path}/check").awaitTermination(120)
+    value = lambda d: ([t for i, t in first if i == d], [t for i, t in second if i == d])
+    expected = {}
+    for d in (1, 2, 3, None):  # the old lexicon for the first batch, the new one for the second
+        a, b = value(d)
+        both = [[{"up": "+", "down": "-"}.get(t, t) for t in x or []] for x in a] + [[{"new": "+", "down": "-"}.get(t, t) for t in x or []] for x in b]
+        expected[d] = pytest.approx(plain_score(both, {"+": 1, "-": -1}))
+    assert found(streaming.scores(spark, f"{tmp_path}/sums")) == expected
+    streaming.add_parts(spark.createDataFrame(second, schema), lex("new"), f"{tmp_path}/sums", 1)  # a batch that is run again
+    assert found(streaming.scores(spark, f"{tmp_path}/sums")) == expected
+    query = streaming.running_scores(streaming.read_documents(spark, f"{tmp_path}/in", schema), lex("up")).writeStream.outputMode("complete").format("memory").queryName("running").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert found(spark.table("running")) == {d: pytest.approx(plain_score(sum(value(d), []), {"up": 1, "down": -1})) for d in (1, 2, 3, None)}
+
+
+def test_spaces_of_a_long_text(spark):
+    rows = [(1, [("a", "X"), ("b", "X"), ("zz", "X"), ("c", "X")], " a b\x1c\u3000cc"), (2, None, "x"), (3, [], " "), (4, [("a", "X")], None), (5, [(None, "X"), ("b", None)], "a b")]
+    df = spark.createDataFrame(rows, "i int, t array<struct<surface:string,tag:string>>, text string")
+    found = {r["i"]: r["x"] and [x["surface"] for x in r["x"]] for r in df.select("i", K.with_spaces(F.col("t"), F.col("text")).alias("x")).collect()}
+    assert found == {1: ["a", " ", "b", " ", "zz", "c"], 2: None, 3: [], 4: ["a"], 5: [None, "b"]}
+    words = [f"w{i}" for i in range(200_000)]
+    text = " ".join(words)  # over a million characters
+    surfaces, _ = K.spaced(words, ["X"] * len(words), text)
+    assert len(text) > 1_000_000 and "".join(surfaces) == text
