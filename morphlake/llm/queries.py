@@ -71,18 +71,18 @@ def op13_hard_negatives(spark, sf_dir):
 # The parts of operators that SQL can say, each from the operator's own rows.
 
 
-def op1_base(spark, sf_dir):
+def lm_counts(spark, sf_dir):
     """Columns of operator 1 that counts decide."""
     rows = op1_maxent_lm(spark, sf_dir)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
 
 
-def op4_base(spark, sf_dir):
+def rules_counts(spark, sf_dir):
     """Columns of operator 4 that counts decide."""
     return op4_quality_rules(spark, sf_dir).drop("posterior", "kept")
 
 
-def op10_likeness(spark, sf_dir):
+def sketch_likeness(spark, sf_dir):
     """Columns of operator 10 but for the fingerprints, whose hash SQL lacks."""
     rows = op10_iblt(spark, sf_dir)
     return rows.select("doc_id", "n_chars", "edited_sha256", *[F.round(c, 9).alias(c) for c in ("near_edited", "near_next")])
@@ -109,9 +109,9 @@ QUERIES = {
     "op12_reply_trees": op12_reply_trees,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
-    "op1_base": op1_base,
-    "op4_base": op4_base,
-    "op10_likeness": op10_likeness,
+    "lm_counts": lm_counts,
+    "rules_counts": rules_counts,
+    "sketch_likeness": sketch_likeness,
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -122,7 +122,7 @@ _FOLD = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CA
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
-    "op1_base": f"WITH {_CRC}, d AS (SELECT doc_id, {_FOLD.format(modulus=7)} = 2 AS held_out, list_append({_WORDS.replace("coalesce(text, '')", _LOWER)}, '') AS l FROM documents, crc), "
+    "lm_counts": f"WITH {_CRC}, d AS (SELECT doc_id, {_FOLD.format(modulus=7)} = 2 AS held_out, list_append({_WORDS.replace("coalesce(text, '')", _LOWER)}, '') AS l FROM documents, crc), "
     "t AS (SELECT doc_id, held_out, unnest(l) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), z AS (SELECT sum(c) AS n, count(*) AS v FROM c) "
     "SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))), 5) AS base_score "
     "FROM t LEFT JOIN c USING (w), z GROUP BY doc_id, held_out",
@@ -134,13 +134,13 @@ ORACLES: dict[str, str] = {
     "cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s), "
     "k AS (SELECT cut.doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, string_agg(substr(x, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS last FROM cut JOIN d2 USING (doc_id) GROUP BY cut.doc_id) "
     "SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM d2 LEFT JOIN k USING (doc_id)",
-    "op4_base": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS l FROM documents), g AS (SELECT doc_id, p, list_slice(l, p + 1, p + 8) AS run FROM d, unnest(range(len(l) - 7)) AS r(p)), "
+    "rules_counts": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS l FROM documents), g AS (SELECT doc_id, p, list_slice(l, p + 1, p + 8) AS run FROM d, unnest(range(len(l) - 7)) AS r(p)), "
     "m AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, run) AS n FROM g) WHERE n > 1), c AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM m, unnest(range(8)) AS r(o) GROUP BY doc_id), "
     "s AS (SELECT doc_id, line FROM d, unnest(string_split(text, chr(10))) AS u(line) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')), "
     "y AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM s GROUP BY doc_id) "
     "SELECT d.doc_id, len(l) AS n_words, length(list_aggregate(l, 'string_agg', '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, "
     "len(l) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(l) AS base_failed FROM d LEFT JOIN c USING (doc_id) LEFT JOIN y USING (doc_id)",
-    "op10_likeness": "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS o FROM d), "
+    "sketch_likeness": "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS o FROM d), "
     "e AS (SELECT doc_id, t, o, left(t, length(t) - length(t) // 3) || left(o, length(t) // 3) AS x FROM n), "
     "p AS (SELECT *, list_distinct(regexp_extract_all(t, '[^\\n]{1,256}')) AS a, list_distinct(regexp_extract_all(x, '[^\\n]{1,256}')) AS b, list_distinct(regexp_extract_all(o, '[^\\n]{1,256}')) AS c FROM e) "
     "SELECT doc_id, length(t) AS n_chars, sha256(x) AS edited_sha256, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2 * len(list_intersect(a, b)) / CAST(len(a) + len(b) AS DOUBLE) END, 9) AS near_edited, "

@@ -14,7 +14,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from morphlake.llm import maxent_lm, packing, quality_cnn, queries, simhash
+from morphlake.llm import maxent_lm, packing, quality_cnn, quality_rules, queries, simhash
 from morphlake.llm.bpe_codec import WordBpe
 
 
@@ -252,5 +252,8 @@ def test_pipeline_on_awkward_rows(spark, tables, name):
     assert {"doc_id", "batch_id", "n_tokens"} <= set(out.columns) and out.count() <= len(made[name][0])
 
 
-def test_words_of_rules_and_packing_agree():
-    assert re.findall(r"[^\x20\x09-\x0D]+", "a\x1cb c\x85d　e") == ["a\x1cb", "c\x85d　e"] and math.isfinite(1.0)
+def test_words_of_rules_and_packing_agree(docs, rows):
+    """Both count the runs without ASCII white space; other blanks part no words."""
+    expected = Counter((i, n) for i, t in rows if (n := len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))))
+    count = lambda df, name: Counter((r["doc_id"], r[name]) for r in df.collect() if r[name])
+    assert count(quality_rules.judge(docs), "n_words") == count(packing.pack(docs), "n_tokens") == expected
