@@ -6,12 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..sources import wordlists
-from . import lexicon
+from . import lexicon, rewrite
 from .analyze import Analyzer
-from .dictionary import Dictionary, collect_tokens, explode_tokens
+from .dictionary import Dictionary
 from .merge import extended_tags
 
 
@@ -76,14 +75,13 @@ class Tagger:
     def nouns(self, docs: DataFrame, **options) -> DataFrame:
         if self.dictionary is None:
             raise ValueError("nouns without terms need a dictionary; functions.tokens.base_nouns does without")
-        return collect_tokens(self.dictionary.nouns(explode_tokens(self.tag(docs)), **options))
+        return rewrite.nouns(self.tag(docs), self.dictionary, **options)
 
     def sentiment_words(self, docs: DataFrame, **options) -> DataFrame:
         """doc_id and terms, the slash words of texts that bear sentiment."""
         if self.dictionary is None:
             raise ValueError("sentiment words need a dictionary")
-        rows = self.dictionary.sentiment_words(explode_tokens(self.tag(docs)), **options)
-        return lexicon.collect_terms(rows.withColumn("term", F.when(F.col("pos") >= 0, F.col("word"))))
+        return rewrite.sentiment_words(self.tag(docs), self.dictionary, **options)
 
 
 @dataclass(frozen=True)

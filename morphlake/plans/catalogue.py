@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..functions.porter import english_words, stemmed
-from ..operators import bayes, lexicon, merge, presets
+from ..operators import bayes, lexicon, merge, presets, rewrite
 from ..operators.inclusion import including
 from ..operators.dictionary import Dictionary, collect_tokens, explode_tokens, only_tokens, postprocess
 from ..operators.userdic import UserDictionary
@@ -160,7 +160,7 @@ _RETAG = "CASE split_part(coalesce(dtag, tag), '+', 1) WHEN 'XR' THEN 'NNG' ELSE
 
 @query("check_tag", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_DICT}, r AS (SELECT doc_id, pos, w || '/' || {_RETAG} AS x FROM toks LEFT JOIN dict ON word = w) {_sql_short('r')}")
 def check_tag(spark, sf_dir):
-    return _short_tokens(collect_tokens(dictionary(spark, sf_dir).retag(explode_tokens(tagged(spark, sf_dir)))))
+    return _short_tokens(rewrite.rewritten(tagged(spark, sf_dir), dictionary(spark, sf_dir), retag=True))
 
 
 def _exists_query(known):
@@ -190,12 +190,12 @@ def ext_tag_merge(spark, sf_dir):
 
 @query("synonym_replace", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_SYN}, r AS (SELECT doc_id, pos, coalesce(dst, w) || '/' || tag AS x FROM toks LEFT JOIN syn ON src = w) {_sql_short('r')}")
 def synonym_replace(spark, sf_dir):
-    return _short_tokens(collect_tokens(dictionary(spark, sf_dir).replace_synonyms(explode_tokens(tagged(spark, sf_dir)))))
+    return _short_tokens(rewrite.rewritten(tagged(spark, sf_dir), dictionary(spark, sf_dir), synonyms=True))
 
 
 @query("lemmatize", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_LEM}, r AS (SELECT doc_id, pos, coalesce(dst, w) || '/' || tag AS x FROM toks LEFT JOIN lem ON src = w AND tag IN ('VV', 'VX', 'XSV', 'VCN', 'VA', 'MAG', 'VAX')) {_sql_short('r')}")
 def lemmatize(spark, sf_dir):
-    return _short_tokens(collect_tokens(dictionary(spark, sf_dir).lemmatize(explode_tokens(tagged(spark, sf_dir)))))
+    return _short_tokens(rewrite.rewritten(tagged(spark, sf_dir), dictionary(spark, sf_dir), lemmas=True))
 
 
 _NOUNS = "n AS (SELECT doc_id, pos, coalesce(dst, w) AS w FROM toks LEFT JOIN syn ON src = w WHERE tag = 'NNG'), r AS (SELECT * FROM n WHERE w NOT IN (SELECT word FROM terms WHERE category IN ('INDUSTRY', 'GENERIC', 'SECTOR')))"
@@ -203,7 +203,7 @@ _NOUNS = "n AS (SELECT doc_id, pos, coalesce(dst, w) AS w FROM toks LEFT JOIN sy
 
 @query("tag_filter_nouns", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_SYN}, {SQL_TERMS}, {_NOUNS} {_sql_short('r', 'w')}")
 def tag_filter_nouns(spark, sf_dir):
-    rows = collect_tokens(dictionary(spark, sf_dir).nouns(explode_tokens(tagged(spark, sf_dir))))
+    rows = rewrite.nouns(tagged(spark, sf_dir), dictionary(spark, sf_dir))
     return _short(rows.select("doc_id", K.morphs(F.col("tokens")).alias("terms")))
 
 
@@ -215,8 +215,7 @@ _SENT = (
 
 @query("sent_words", f"WITH {SQL_TOKS}, {SQL_BENCH}, {SQL_SYN}, {SQL_LEM}, {SQL_TERMS}, {_SENT} {_sql_short('r')}")
 def sent_words(spark, sf_dir):
-    rows = dictionary(spark, sf_dir).sentiment_words(explode_tokens(tagged(spark, sf_dir))).withColumnsRenamed({"surface": "plain", "word": "surface"})
-    return _short(collect_tokens(rows).select("doc_id", K.morphs(F.col("tokens")).alias("terms")))
+    return _short(rewrite.sentiment_words(tagged(spark, sf_dir), dictionary(spark, sf_dir)))
 
 
 def _post(spark, sf_dir, **options):

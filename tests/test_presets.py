@@ -11,7 +11,7 @@ from morphlake.functions import tokens as K
 from morphlake.functions.porter import stem
 from morphlake.operators import bayes, lexicon, presets
 from morphlake.operators.analyze import DictionaryAnalyzer, PretaggedAnalyzer
-from morphlake.operators.dictionary import Dictionary, explode_tokens
+from morphlake.operators.dictionary import Dictionary, collect_tokens, explode_tokens
 from morphlake.operators.userdic import UserDictionary
 from morphlake.sources import wordlists
 
@@ -110,7 +110,7 @@ def test_rows_keep_apart(spark):
     """Repeated and null ids are documents of their own, with their own tokens."""
     docs = spark.createDataFrame([(1, [("a", "NNG")]), (1, [("b", "NNG"), ("c", "VV")]), (None, [("d", "NNG")]), (None, []), (2, None)], TOKENS)
     d = Dictionary.empty(spark).add_synonym("b", "z")
-    out = sorted(((r["doc_id"], [tuple(t) for t in r["tokens"]]) for r in presets.collect_tokens(d.nouns(explode_tokens(docs))).collect()), key=repr)
+    out = sorted(((r["doc_id"], [tuple(t) for t in r["tokens"]]) for r in collect_tokens(d.nouns(explode_tokens(docs))).collect()), key=repr)
     assert out == sorted([(1, [("a", "NNG")]), (1, [("z", "NNG")]), (None, [("d", "NNG")]), (None, []), (2, [])], key=repr)
     known = spark.createDataFrame([("a",)], "term string")
     terms = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["b"]), (None, ["a"])], TERMS)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from morphlake.functions import tagset as T
 from morphlake.functions import tokens as K
-from morphlake.operators import lexicon
+from morphlake.operators import lexicon, rewrite
+from morphlake.operators.dictionary import Dictionary
 from morphlake.operators.phrases import longest_terms
 
 
@@ -69,3 +70,30 @@ def test_known_runs(spark, limit):
     assert show(found) == sorted(((d, kept(only(grams(t or [], 2, 5), vocab))) for d, t in docs), key=repr)
     column = rows.where("terms is not null").select("doc_id", K.topic_ngrams(F.col("terms"), 1, 4).alias("terms"))
     assert show(column) == sorted(((d, grams(t, 1, 4)) for d, t in docs if t is not None), key=repr)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_rewriting_sent_and_joined(spark, limit):
+    """All steps in a row, token by token as they are defined, with nulls, repeated ids and a clashing column."""
+    words = Dictionary.empty(spark).add_words(["up"], "NNG").add_words(["both"], "NNP").add_words(["both"], "VV").add_synonym("old", "New").add_lemma("go", "gone").add_lemma("gone", "x")
+    words = words.add_terms(["firm"], "INDUSTRY").add_terms(["land"], "COUNTRY")
+    tokens = [("UP", "XR"), ("Both", "X"), ("Old", "NNG"), ("go", "XSV"), ("Gone", "VV+EC"), ("gone", "VV"), ("Firm", "NNG"), ("land", "NNG"), ("r", "XR"), (None, "NNG"), ("y", None), ("z", "JX")]
+    rows = [(1, tokens), (1, tokens[::-1]), (None, tokens[2:5]), (2, []), (3, None)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, tokens array<struct<surface:string,tag:string>>, row string")
+    known = {"up": "NNG", "both": "NNP", "old": "NNG", "new": "NNG"}
+
+    def retagged(s, t):
+        t = known.get((s or "").lower(), t)
+        t = t and t.split("+")[0]
+        return (s, "NNG" if t == "XR" else t)
+
+    same = lambda s, t: ("new" if s and s.lower() == "old" else s, t)
+    root = lambda s, t: ({"go": "gone", "gone": "x"}[s.lower()], "VV" if t == "XSV" else t) if s and s.lower() in ("go", "gone") and t in T.LEMMA_TAGS else (s, t)
+    low = lambda s: s and s.lower()
+    show = lambda df: sorted(((r["doc_id"], [tuple(t) for t in r["tokens"]]) for r in df.collect()), key=repr)
+    each = lambda f: sorted(((i, f(t or [])) for i, t in rows), key=repr)
+    assert show(rewrite.rewritten(docs, words, retag=True, limit=limit)) == each(lambda t: [retagged(*x) for x in t])
+    assert show(rewrite.rewritten(docs, words, retag=True, synonyms=True, lemmas=True, limit=limit)) == each(lambda t: [root(*same(*retagged(*x))) for x in t])
+    assert show(rewrite.nouns(docs, words, limit=limit)) == each(lambda t: [(low(s), x) for s, x in (same(*y) for y in t) if x == "NNG" and low(s) != "firm"])
+    found = sorted(((r["doc_id"], r["terms"]) for r in rewrite.sentiment_words(docs, words, limit=limit).collect()), key=repr)
+    assert found == each(lambda t: ["/".join(p for p in (low(s), x) if p) for s, x in (root(*same(*y)) for y in t) if x in T.SENTIMENT_TAGS and low(s) not in ("firm", "land")])
