@@ -17,6 +17,8 @@ import pytest
 from morphlake.llm import maxent_lm, packing, quality_cnn, quality_rules, queries, simhash
 from morphlake.llm.bpe_codec import WordBpe
 
+from .test_search import negatives, ranked
+
 
 @pytest.fixture(scope="module")
 def model(spark):
@@ -176,6 +178,18 @@ SHARED = " ".join(f"shared{k}" for k in range(40))
 BASIC = " ".join(f"basic{k} text." for k in range(60))
 
 
+def _items(docs):
+    return [(k, t and t[:150]) for k, (_, t) in enumerate(docs[-9:])]
+
+
+def _turns(docs):
+    return [(i and i % 7, k, ("user", "assistant", None)[k % 3], t) for k, (i, t) in enumerate(docs)]
+
+
+def _vectors(docs):
+    return [(i, None if k % 50 == 49 else [((k * 7 + d * d * 3) % 11 - 3) / 8 for d in range(4)], k % 3 if k % 40 else None) for k, (i, _) in enumerate(docs)]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """Tables of the driver's names: plain, awkward and empty."""
@@ -193,6 +207,9 @@ def tables(spark, tmp_path_factory):
         spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{folder}/{name}/documents.parquet")
         spark.createDataFrame(known, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/{name}/labels.parquet")
         spark.createDataFrame([(k, f"http://a{k % 3}.example.de/{k}", f"<html lang='en'><p>{t}</p></html>") for k, (_, t) in enumerate(docs[:40])], "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/{name}/pages.parquet")
+        spark.createDataFrame(_items(docs), "item_id long, text string").coalesce(1).write.parquet(f"{folder}/{name}/benchmark.parquet")
+        spark.createDataFrame(_turns(docs), "conv_id long, turn long, role string, text string").coalesce(2).write.parquet(f"{folder}/{name}/conversations.parquet")
+        spark.createDataFrame(_vectors(docs), "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/{name}/embeddings.parquet")
     return folder, made
 
 
@@ -203,7 +220,18 @@ def test_registered_queries(spark, tables, name):
     for key, query in queries.QUERIES.items():
         if key == "pipeline":
             continue
-        found = query(spark, f"{folder}/{name}").count()
+        out, docs = query(spark, f"{folder}/{name}"), made[name][0]
+        if key.startswith("op11"):
+            assert sorted(map(tuple, out.collect()), key=repr) == ranked(docs, _items(docs)), key
+            continue
+        if key.startswith("op12"):
+            assert Counter(r["conv_id"] for r in out.collect()) == Counter({*(r[0] for r in _turns(docs)), -1}), key
+            continue
+        if key.startswith("op13"):
+            shifted = [(i, v, lab if lab is None or i is None or i % 7 else (lab + 1) % 10) for i, v, lab in _vectors(docs)]
+            assert sorted(map(tuple, out.collect()), key=repr) == negatives(shifted, lambda i: i is not None and i % 100 == 0), key
+            continue
+        found = out.count()
         assert found == (min(40, len(made[name][0])) if key.startswith("op3") else len(made[name][0])), key
 
 
