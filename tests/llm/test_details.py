@@ -61,6 +61,17 @@ def test_language_model_reads_long_texts_in_runs(model, monkeypatch):
     assert parts["n_tokens"] == whole["n_tokens"] == [len(maxent_lm.tokens_of(t)) for t in texts] and np.allclose(parts["head_score"], whole["head_score"])
 
 
+def test_letter_trigrams_of_many_tokens():
+    """Trigrams of tokens side by side are those of each alone; tokens without a letter have bucket 0."""
+    tokens = [b"word", b"a", b"(ab)", b"...", b"", "\u00fc\u00df".encode(), b"^$", b"x" * 5000]
+    alone = []
+    for t in tokens:
+        x = b"^" + t.strip(b".,;:!?|\"'()") + b"$"
+        alone.append([((a * 7919 + b * 104729 + c * 1299709) >> 3) % maxent_lm.TRIGRAMS for a, b, c in zip(x, x[1:], x[2:], strict=False)] or [0])
+    flat, sizes = maxent_lm._grams(tokens)
+    assert flat.tolist() == sum(alone, []) and sizes.tolist() == [len(x) for x in alone]
+
+
 def test_language_model_learns(spark):
     """Held-out texts with an order are likelier than under the base, and the model beats counts alone."""
     rng = np.random.default_rng(1)
