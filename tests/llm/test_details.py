@@ -52,7 +52,8 @@ def test_language_model_reads_long_texts_in_runs(model, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), pa.array([False] * 5), pa.array(texts)], names=["rid", "doc_id", "held_out", "text"])
 
     def scored():
-        (out,) = maxent_lm._scores(SimpleNamespace(value=fitted))([batch])
+        written = maxent_lm._places(SimpleNamespace(value=fitted.tokens))([batch])
+        (out,) = maxent_lm._scores(SimpleNamespace(value=fitted))(written)
         return out.to_pydict()
 
     whole = scored()
