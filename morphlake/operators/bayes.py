@@ -123,16 +123,22 @@ def best_words(docs: DataFrame, ratio: float = 0.2) -> DataFrame:
 
     The last score that is taken comes from counts by ranges of score, narrowed until few words are
     left, and of the words with just this score those beyond a hash, found the same way. So no task
-    sorts the vocabulary; its scores are kept while ranges are counted.
+    sorts the vocabulary. Its scores are computed once: written to the session's checkpoint folder, or
+    where it has none kept by the executors, of which lost ones are made again.
     """
-    scores = word_scores(docs).withColumn("h", F.xxhash64("feature")).persist()
+    scores = _once(word_scores(docs).withColumn("h", F.xxhash64("feature")))
     left = int(scores.count() * ratio)
     least, place = _key_of_place(scores, "score", left) if left else (None, 0)
     edge, _ = _key_of_place(scores.where(F.col("score") == F.lit(least)), "h", place) if left else (None, 0)
-    scores.unpersist()
-    score, h = F.col("score"), F.xxhash64("feature")
-    taken = (score > F.lit(least)) | ((score == F.lit(least)) & (h >= F.lit(edge))) if left else F.lit(False)
-    return word_scores(docs).where(taken)
+    score = F.col("score")
+    taken = (score > F.lit(least)) | ((score == F.lit(least)) & (F.col("h") >= F.lit(edge))) if left else F.lit(False)
+    return scores.where(taken).drop("h")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows`` for several readers, with the folder of ``spark.checkpoint.dir`` as the place to write them to."""
+    has_folder = rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return rows.checkpoint() if has_folder else rows.persist()
 
 
 def _key_of_place(rows: DataFrame, name: str, left: int, few: int = 10_000) -> tuple:

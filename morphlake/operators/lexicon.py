@@ -87,6 +87,13 @@ def classifier_terms(words: DataFrame, vocab: DataFrame, keep_overlapping: bool
     return known_runs(words, 2, 5, None, vocab, longest=not keep_overlapping, limit=limit)
 
 
+def classifier_features(words: DataFrame, vocab: DataFrame, keep_overlapping: bool = False, limit: int | None = None) -> DataFrame:
+    """doc_id and features of documents (doc_id, terms): their words, then their :func:`classifier_terms`. Null terms are none."""
+    own = F.coalesce("terms", F.array().cast("array<string>")).alias("terms")
+    found = classifier_terms(words.select(F.struct("doc_id", own).alias("doc_id"), own), vocab, keep_overlapping, limit)
+    return found.select("doc_id.doc_id", F.concat(F.col("doc_id.terms"), F.col("terms")).alias("features"))
+
+
 def general_terms(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """Known n-grams of one to three of tagged documents (doc_id, tokens), without symbols."""
     rows = docs.select("doc_id", ngrams(slash(drop_tags(F.col("tokens"))), 1, 3).alias("terms"))

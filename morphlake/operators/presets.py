@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.tokens import drop_auxiliaries
 from ..sources import wordlists
-from . import lexicon, rewrite
+from . import bayes, lexicon, rewrite
 from .analyze import Analyzer
 from .dictionary import Dictionary
 from .merge import extended_tags
@@ -103,3 +105,35 @@ class TextScorer:
 
     def phrases(self, docs: DataFrame) -> DataFrame:
         return self.scorer.phrases(self.tagger.sentiment_words(docs))
+
+
+@dataclass(frozen=True)
+class TextClassifier:
+    """From texts (doc_id, text) to the tone of a trained classifier in one chain: tags, sentiment words without
+    auxiliaries, their n-grams of two to five words in ``vocab`` (term), and the model.
+
+    Null and empty texts have no features and get what the sizes of the classes say. Repeated rows are each returned.
+    """
+
+    tagger: Tagger
+    vocab: DataFrame
+    model: bayes.Model | None = None
+
+    def tokenize(self, docs: DataFrame) -> DataFrame:
+        """doc_id and terms, the words that tell tone."""
+        return self.tagger.sentiment_words(docs).withColumn("terms", drop_auxiliaries(F.col("terms")))
+
+    def features(self, docs: DataFrame, keep_overlapping: bool = False) -> DataFrame:
+        return lexicon.classifier_features(self.tokenize(docs), self.vocab, keep_overlapping)
+
+    def fit(self, docs: DataFrame, features: str = "word", best_ratio: float = 0.8) -> TextClassifier:
+        """This chain with a model of texts (doc_id, text, label), label 1 or -1; other labels and null ones teach nothing."""
+        known = docs.where(F.col("label").isin(1, -1)).select(F.struct("doc_id", "label").alias("doc_id"), "text")
+        rows = self.features(known).select("doc_id.doc_id", "doc_id.label", "features")
+        return replace(self, model=bayes.fit(rows, features, best_ratio))
+
+    def classify(self, docs: DataFrame, cutoff: float = 1.3) -> DataFrame:
+        """doc_id, polarity, intensity, pos_score and neg_score of every row."""
+        if self.model is None:
+            raise ValueError("classifying needs a model: fit one, or load a saved one")
+        return self.model.classify(self.features(docs), cutoff)

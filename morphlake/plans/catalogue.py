@@ -600,6 +600,22 @@ def nb_classify(spark, sf_dir):
     return _rounded(found.drop("intensity"), "polarity", "pos_score", "neg_score")
 
 
+_OWN = f"v AS (SELECT r.* FROM r JOIN vocab USING (x) WHERE k >= 2), {_LONGEST}, own AS (SELECT doc_id, w || '/' || split_part(tag, '+', 1) AS w FROM kt UNION SELECT doc_id, x AS w FROM u)"
+_FEAT = f"{SQL_LAB}, feat AS (SELECT DISTINCT toks.doc_id, label, w FROM toks JOIN lab ON lab.doc_id = toks.doc_id)"
+_BY_NGRAMS = _CLASSIFIED.replace(_FEAT, f"{SQL_BENCH}, {_KNOWN}, {_mp(5, 'kt')}, {_OWN}, {SQL_LAB}, feat AS (SELECT own.doc_id, label, w FROM own JOIN lab ON lab.doc_id = own.doc_id)")
+_BY_NGRAMS = _BY_NGRAMS.replace("(SELECT DISTINCT doc_id, w FROM toks)", "own")
+
+
+@query("nb_classify_ngrams", _BY_NGRAMS + "SELECT doc_id, round(pos_score, 6) AS pos_score, round(1 - pos_score, 6) AS neg_score, round(CASE WHEN greatest(pos_score, 1 - pos_score) / (least(pos_score, 1 - pos_score) + 0.000001E0) > 1.5E0 THEN pos_score - (1 - pos_score) ELSE 0 END, 6) AS polarity FROM q")
+def nb_classify_ngrams(spark, sf_dir):
+    """Known words and their known n-grams of two to five that no longer one contains, learned and classified."""
+    features = lexicon.classifier_features(_known_words(spark, sf_dir), _known(spark, sf_dir)[1])
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 1).otherwise(-1).alias("label"))
+    rows = features.join(labels, "doc_id").select("doc_id", "label", "features")
+    found = bayes.fit(rows).classify(features, cutoff=1.5)
+    return _rounded(found.drop("intensity"), "polarity", "pos_score", "neg_score")
+
+
 SQL_CHI = (
     f"{SQL_TOKS}, {SQL_LAB}, f AS (SELECT w, count_if(label > 0) AS np, count_if(label < 0) AS nn FROM toks JOIN lab ON lab.doc_id = toks.doc_id GROUP BY w), z AS (SELECT sum(np) AS zp, sum(nn) AS zn FROM f), "
     "b AS (SELECT w, np, nn, CAST(np AS DOUBLE) AS ap, CAST(nn AS DOUBLE) AS an, CAST(np + nn AS DOUBLE) AS fr, CAST(zp AS DOUBLE) AS zp, CAST(zn AS DOUBLE) AS zn, CAST(zp + zn AS DOUBLE) AS z FROM f, z), "

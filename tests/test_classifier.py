@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from morphlake.operators import bayes
+from morphlake.operators import bayes, presets
+from morphlake.operators.analyze import PretaggedAnalyzer
+from morphlake.operators.dictionary import Dictionary
 
 SCHEMA = "doc_id long, label int, features array<string>"
 
@@ -118,3 +120,31 @@ def test_saved_models_classify(spark, tmp_path):
     assert show(again) == show(model) and show(bayes.Model.load(spark, path)) == show(other)
     fresh = bayes.Model.load(spark.newSession(), path)
     assert fresh.classify(fresh.cond.sparkSession.createDataFrame([(1, ["a"])], "doc_id long, features array<string>")).count() == 1
+
+
+def test_texts_to_classes_in_one_chain(spark, tmp_path):
+    """Own sentences, learned and classified against a plain program; the saved model does the same."""
+    words = Dictionary.empty(spark).add_words(["금리", "성장"], "NNG").add_words(["인상", "둔화"], "NNG")
+    vocab = spark.createDataFrame([("금리/NNG;인상/NNG",), ("성장/NNG;둔화/NNG",)], "term string")
+    chain = presets.TextClassifier(presets.Tagger(PretaggedAnalyzer(), words), vocab)
+    up, down = "금리/NNG 를/JKO 인상/NNG 하/XSV ./SF", "성장/NNG 이/JKS 둔화/NNG 되/XSV ./SF"
+    data = [(1, up, 1), (2, down, -1), (3, up + " " + down, -1), (4, "인상/NNG 되/VX", 1), (5, None, 1), (6, up, None), (7, up, 0), (8, up, 1), (10, up, 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, label int")
+    expected = {1: ["금리/NNG", "인상/NNG", "하/XSV", "금리/NNG;인상/NNG"], 2: ["성장/NNG", "둔화/NNG", "되/XSV", "성장/NNG;둔화/NNG"], 4: ["인상/NNG"], 5: []}
+    found = {r["doc_id"]: r["features"] for r in chain.features(docs).collect()}
+    assert {i: found[i] for i in expected} == expected and set(found[3]) == {*expected[1], *expected[2]}
+    with pytest.raises(ValueError):
+        chain.classify(docs)
+    fitted = chain.fit(docs.withColumn("tokens", F.lit("clash")))
+    asked = spark.createDataFrame([(1, up), (1, up), (2, down), (3, ""), (None, None), (9, "모름/NNG")], "doc_id long, text string")
+    learned = [(i, label, found[i]) for i, _, label in data if label in (1, -1)]
+    features = [expected[1]] * 2 + [expected[2], [], [], []]
+    plain = [scores(learned, [(0, 0, f)])[0] for f in features]
+    rows = fitted.classify(asked, cutoff=1.5).collect()
+    assert sorted(round(r["pos_score"], 9) for r in rows) == sorted(round(p, 9) for p in plain) and len(rows) == 6
+    tone = {r["doc_id"]: r for r in rows}
+    assert tone[1]["polarity"] > 0 > tone[2]["polarity"] and tone[3]["polarity"] == tone[9]["polarity"]
+    fitted.model.save(f"file://{tmp_path}/model")
+    again = presets.TextClassifier(chain.tagger, vocab, bayes.Model.load(spark, f"file://{tmp_path}/model"))
+    assert sorted(map(str, again.classify(asked, cutoff=1.5).collect())) == sorted(map(str, rows))
+    assert fitted.classify(asked.where("doc_id > 99")).count() == 0
