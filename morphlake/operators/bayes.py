@@ -8,11 +8,15 @@ All of ``by`` are columns that keep several fits apart in one plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import SLICE, bounded_batches
 from ..functions.tagset import EPSILON
 from ..sources import versions
 
@@ -69,9 +73,12 @@ def priors(docs: DataFrame) -> DataFrame:
     return rows.select("label", F.ln((F.col("n") + GAMMA) / (n + GAMMA * labels)).alias("logp"))
 
 
-def conditionals(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """feature, logp_pos, logp_neg, n_pos and n_neg; a feature of every document has one value, others two."""
-    counts, sizes = feature_counts(docs, by), label_counts(docs, by)
+def conditionals(docs: DataFrame, by: tuple[str, ...] = (), sizes: DataFrame | None = None) -> DataFrame:
+    """feature, logp_pos, logp_neg, n_pos and n_neg; a feature of every document has one value, others two.
+
+    ``sizes`` is :func:`label_counts` of the documents, if it is known without their features.
+    """
+    counts, sizes = feature_counts(docs, by), label_counts(docs, by) if sizes is None else sizes
     rows = counts.join(sizes, list(by)) if by else counts.crossJoin(sizes)  # one row of sizes
     bins = F.when((F.col("n_pos") == F.col("all_pos")) & (F.col("n_neg") == F.col("all_neg")), 1).otherwise(2)
     logp = lambda n, size: F.ln((F.col(n) + GAMMA) / (F.col(size) + bins * GAMMA))
@@ -112,7 +119,7 @@ def word_scores(docs: DataFrame) -> DataFrame:
     """feature, n_pos, n_neg and score of all word occurrences: the two labels' chi-squares together."""
     rows = docs.select("label", F.explode("features").alias("feature"))
     counts = rows.groupBy("feature").agg(F.count_if(F.col("label") > 0).alias("n_pos"), F.count_if(F.col("label") < 0).alias("n_neg"))
-    totals = rows.agg(F.count_if(F.col("label") > 0).alias("all_pos"), F.count_if(F.col("label") < 0).alias("all_neg"))
+    totals = counts.agg(F.sum("n_pos").alias("all_pos"), F.sum("n_neg").alias("all_neg"))
     freq, n = F.col("n_pos") + F.col("n_neg"), F.col("all_pos") + F.col("all_neg")
     value = lambda k: F.coalesce(chi_square(F.col(f"n_{k}"), freq, F.col(f"all_{k}"), n), F.lit(0.0))
     return counts.crossJoin(totals).select("feature", "n_pos", "n_neg", (value("pos") + value("neg")).alias("score"))  # one row of totals
@@ -166,67 +173,128 @@ def _key_of_place(rows: DataFrame, name: str, left: int, few: int = 10_000) -> t
             rows = rows.where(key < F.lit(bounds[b + 1]))
 
 
-def only_best(docs: DataFrame, best: DataFrame) -> DataFrame:
-    """Documents with those of their features that ``best`` (feature) has."""
+def _own_best(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """``docs`` with ``own``, those of their features that ``best`` (feature) has, each once, in order; by ids."""
     rows = docs.select("doc_id", F.explode(F.array_distinct("features")).alias("feature")).join(best.select("feature"), "feature", "left_semi")
     lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("feature")).alias("own"))
-    return docs.join(lists, "doc_id", "left").withColumn("features", F.coalesce("own", F.array().cast("array<string>"))).drop("own")
+    return docs.join(lists, "doc_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+
+
+def only_best(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """Documents with those of their features that ``best`` (feature) has."""
+    return _own_best(docs, best).withColumn("features", F.col("own")).drop("own")
+
 
+def _square_of_pairs(whole: np.ndarray, first: np.ndarray, second: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """:func:`chi_square` of counts of pairs, of their words and of all words."""
+    with_second, with_first = second - whole, first - whole
+    neither = total - whole - with_second - with_first
+    below = (whole + with_second) * (whole + with_first) * (with_second + neither) * (with_first + neither)
+    above = total * (whole * neither - with_second * with_first) ** 2
+    return np.divide(above, below, out=np.zeros_like(above), where=below != 0)
 
-def _deviation(whole: Column, pairs: tuple[Column, Column, Column], singles: tuple[Column, Column, Column], total: Column) -> Column:
+
+def _deviation(whole: np.ndarray, pairs: tuple[np.ndarray, ...], singles: tuple[np.ndarray, ...], total: np.ndarray) -> np.ndarray:
     """Pearson's sum over the eight cells of a 2 x 2 x 2 table: squared deviation from independence over expectation.
 
     ``whole`` counts the triple, ``pairs`` its first two, outer two and last two words, ``singles`` its words.
     """
-    whole, total = whole.cast("double"), total.cast("double")
-    first, outer, last = (p.cast("double") for p in pairs)
-    one, two, three = (s.cast("double") for s in singles)
+    first, outer, last = pairs
+    one, two, three = singles
     cells = {(1, 1, 1): whole, (1, 1, 0): first - whole, (1, 0, 1): outer - whole, (0, 1, 1): last - whole}
     cells[1, 0, 0] = one - whole - cells[1, 1, 0] - cells[1, 0, 1]
     cells[0, 1, 0] = two - whole - cells[1, 1, 0] - cells[0, 1, 1]
     cells[0, 0, 1] = three - whole - cells[1, 0, 1] - cells[0, 1, 1]
-    cells[0, 0, 0] = total - sum(cells.values(), F.lit(0.0))
-    margin = lambda k, v: (one, two, three)[k] if v else total - (one, two, three)[k]
-    out = F.lit(0.0)
+    cells[0, 0, 0] = total - sum(cells.values(), 0.0)
+    margin = lambda k, v: singles[k] if v else total - singles[k]
+    out = 0.0
     for at, cell in cells.items():
         expected = margin(0, at[0]) * margin(1, at[1]) * margin(2, at[2]) / (total * total)
-        out = out + (cell - expected) ** 2 / (expected + F.lit(LEAST))
+        out = out + (cell - expected) ** 2 / (expected + LEAST)
+    return out
+
+
+def _collocations(column: pa.ListArray, sizes: tuple[int, ...], top: int) -> list[list[list[str]]]:
+    """For each size and document of a column of words, the n-grams that its own counts favour, in order of their text."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = column.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    in_order = sorted(range(len(words)), key=words.__getitem__)  # codes in order of the words, so ties go by code
+    rank = np.empty(len(words) + 1, np.int64)
+    rank[in_order], rank[-1] = np.arange(len(words)), -1
+    code = rank[coded.indices.fill_null(len(words)).to_numpy(zero_copy_only=False)]
+    words, n = [words[k] for k in in_order], len(words) + 1
+    doc, total = np.repeat(np.arange(len(lengths)), lengths), lengths.astype(float)
+
+    def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each distinct key is first, which one each key is, and how often each occurs."""
+        _, at, which, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        return at, which, count.astype(float)
+
+    _, own, single = counted(doc * n + code + 1)  # a null has the code -1
+    of_word = single[own]
+    next_to = (doc[:-1] == doc[1:]) & (code[:-1] >= 0) & (code[1:] >= 0)
+    start = np.flatnonzero(next_to)
+    first, pair, of_pair = counted((doc[start] * n + code[start]) * n + code[start + 1])
+    out = []
+    for size in sizes:
+        if size == 2:
+            at = start[first]
+            value = _square_of_pairs(of_pair, of_word[at], of_word[at + 1], total[doc[at]])
+        else:
+            place = np.full(len(code) + 1, -1)
+            place[start] = pair
+            begins = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
+            head, _, whole = counted(place[begins] * n + code[begins + 2] if len(begins) else begins)
+            _, around, of_outer = counted((doc[begins] * n + code[begins]) * n + code[begins + 2] if len(begins) else begins)
+            at = begins[head]
+            pairs = of_pair[place[at]], of_outer[around[head]], of_pair[place[at + 1]]
+            value = _deviation(whole, pairs, (of_word[at], of_word[at + 1], of_word[at + 2]), total[doc[at]]) if len(at) else np.zeros(0)
+        best = np.lexsort((-value, doc[at]))
+        at = at[best]
+        begin = np.searchsorted(doc[at], np.arange(len(lengths)))
+        at = at[np.arange(len(at)) - begin[doc[at]] < top]
+        found: list[list[str]] = [[] for _ in lengths]
+        for d, *gram in zip(doc[at].tolist(), *[code[at + k].tolist() for k in range(size)], strict=True):
+            found[d].append(" ".join([words[w] for w in gram]))
+        out.append([sorted(x) for x in found])
     return out
 
 
+def _with_collocations(docs: DataFrame, sizes: tuple[int, ...], top: int, own: str | None = None) -> DataFrame:
+    """``docs`` whose features are those of the column ``own``, if one is named, and the best n-grams of each size of its words.
+
+    N-grams are counted within a document, so each is done where it lies, some at a time.
+    """
+    place, before = docs.columns.index("features"), docs.columns.index(own) if own else None
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                lists = [x or [] for x in part.column(before).to_pylist()] if own else [[] for _ in range(part.num_rows)]
+                for found in _collocations(part.column(place), sizes, top):
+                    lists = [a + b for a, b in zip(lists, found, strict=True)]
+                columns = list(part.columns)
+                columns[place] = pa.array(lists, pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = bounded_batches(docs).mapInArrow(run, kinds)
+    return out.drop(own) if own else out
+
+
 def best_collocations(docs: DataFrame, size: int = 2, top: int = 200) -> DataFrame:
     """Documents (doc_id, features) with the n-grams of two or three words that their own counts favour.
 
     Both are ranked by Pearson's chi-square: pairs over the four cells of their table, triples over the
     eight of theirs. Ties go in order of the words.
     """
-    words = docs.select("doc_id", F.posexplode("features").alias("pos", "w1"))
-    place = Window.partitionBy("doc_id").orderBy("pos")
-    runs = words
-    for k in range(2, size + 1):
-        runs = runs.withColumn(f"w{k}", F.lead("w1", k - 1).over(place))
-    names = [f"w{k}" for k in range(1, size + 1)]
-    count = lambda rows, *by: rows.where(F.col(by[-1]).isNotNull()).groupBy("doc_id", *by).agg(F.count("*").alias("n"))
-    counts = count(runs, *names)
-    single = words.groupBy("doc_id", "w1").agg(F.count("*").alias("f"))
-    for name in names:
-        counts = counts.join(single.select("doc_id", F.col("w1").alias(name), F.col("f").alias(f"f_{name}")), ["doc_id", name])
-    counts = counts.join(words.groupBy("doc_id").agg(F.count("*").alias("total")), "doc_id")
-    if size == 2:
-        value = F.coalesce(chi_square(F.col("n"), F.col("f_w1"), F.col("f_w2"), F.col("total")), F.lit(0.0))
-    else:
-        pairs = count(runs, "w1", "w2")  # all neighbours, the last two words of a text too
-        outer = counts.groupBy("doc_id", "w1", "w3").agg(F.sum("n").alias("n_outer"))
-        counts = counts.join(pairs.withColumnRenamed("n", "n_first"), ["doc_id", "w1", "w2"]).join(outer, ["doc_id", "w1", "w3"])
-        counts = counts.join(pairs.select("doc_id", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("n").alias("n_last")), ["doc_id", "w2", "w3"])
-        value = _deviation(F.col("n"), (F.col("n_first"), F.col("n_outer"), F.col("n_last")), (F.col("f_w1"), F.col("f_w2"), F.col("f_w3")), F.col("total"))
-    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(value.desc(), *names))).where(F.col("place") <= top)
-    lists = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat_ws(" ", *names))).alias("own"))
-    return docs.join(lists, "doc_id", "left").withColumn("features", F.coalesce("own", F.array().cast("array<string>"))).drop("own")
+    return _with_collocations(docs, (size,), top)
 
 
-def feature_sets(docs: DataFrame, kind: str = "word", best_ratio: float = 0.8, top: int = 200) -> DataFrame:
-    """Documents (doc_id, label, features) with the features of a kind, chosen on all of them.
+def feature_maker(docs: DataFrame, kind: str = "word", best_ratio: float = 0.8, top: int = 200) -> Callable[[DataFrame], DataFrame]:
+    """What gives documents (doc_id, label, features) the features of a kind, chosen on all of ``docs``.
 
     ``word`` takes the words as they are, ``best_word`` the best share of the vocabulary, ``best_bigram``
     also the best pairs of words of each document, and ``best_trigram`` the best triples too.
@@ -235,12 +303,16 @@ def feature_sets(docs: DataFrame, kind: str = "word", best_ratio: float = 0.8, t
     if kind not in sizes:
         raise ValueError(f"unknown features {kind}")
     if kind == "word":
-        return docs
-    out = only_best(docs, best_words(docs, best_ratio))
-    for size in sizes[kind]:
-        more = best_collocations(docs, size, top).select("doc_id", F.col("features").alias("more"))
-        out = out.join(more, "doc_id").withColumn("features", F.concat("features", "more")).drop("more")
-    return out
+        return lambda rows: rows
+    best = best_words(docs, best_ratio)
+    if not sizes[kind]:
+        return lambda rows: only_best(rows, best)
+    return lambda rows: _with_collocations(_own_best(rows, best), sizes[kind], top, "own")
+
+
+def feature_sets(docs: DataFrame, kind: str = "word", best_ratio: float = 0.8, top: int = 200) -> DataFrame:
+    """``docs`` with the features of a kind, as in :func:`feature_maker`."""
+    return feature_maker(docs, kind, best_ratio, top)(docs)
 
 
 def confusion(rows: DataFrame, positive: float = 1, negative: float = -1, compat: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
@@ -316,9 +388,11 @@ def informative_features(model: DataFrame, sizes: DataFrame, cutoff: float = 1.2
 
 def evaluate(docs: DataFrame, ratio: float = 0.7, seed: int = 0, cutoff: float = 0.0, features: str = "word", best_ratio: float = 0.8) -> DataFrame:
     """Fit on the training share, with features of a kind, and measure on the rest."""
-    rows = split_by_class(feature_sets(docs, features, best_ratio), ratio, seed)
+    # Each document's features are made once, for the side that it is on; all else reads labels and ids only.
+    make, rows = feature_maker(docs, features, best_ratio), split_by_class(docs, ratio, seed)
     train, test = rows.where("train"), rows.where("not train")
-    found = classify(test, conditionals(train), label_counts(train), cutoff)
+    sizes = label_counts(train.select("label"))
+    found = classify(make(test), conditionals(make(train), sizes=sizes), sizes, cutoff)
     return confusion(found.join(test.select("doc_id", F.col("label").alias("actual")), "doc_id").withColumnRenamed("polarity", "predicted"))
 
 
@@ -418,5 +492,5 @@ class Model:
 
 def fit(docs: DataFrame, features: str = "word", best_ratio: float = 0.8) -> Model:
     """The model of all documents, with features of a kind."""
-    rows = feature_sets(docs, features, best_ratio)
-    return Model(priors(rows), conditionals(rows), label_counts(rows), features)
+    rows, sizes = feature_sets(docs, features, best_ratio), label_counts(docs)  # features change no document's label
+    return Model(priors(docs), conditionals(rows, sizes=sizes), sizes, features)

@@ -148,3 +148,12 @@ def test_texts_to_classes_in_one_chain(spark, tmp_path):
     again = presets.TextClassifier(chain.tagger, vocab, bayes.Model.load(spark, f"file://{tmp_path}/model"))
     assert sorted(map(str, again.classify(asked, cutoff=1.5).collect())) == sorted(map(str, rows))
     assert fitted.classify(asked.where("doc_id > 99")).count() == 0
+
+
+def test_collocations_stay_with_their_documents(spark):
+    """No word moves for n-grams of one document; rows of one id are each their own, and nulls part the words."""
+    docs = spark.createDataFrame([(1, 1, ["a", "b", "c"]), (1, 1, ["d", "e"]), (None, 1, ["f", "g"]), (2, 1, ["h", None, "i", "j"]), (3, 1, None)], SCHEMA)
+    for size, expected in ((2, [["a b", "b c"], ["d e"], ["f g"], ["i j"], []]), (3, [["a b c"], [], [], [], []])):
+        found = bayes.best_collocations(docs, size)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["features"] for r in found.collect()) == sorted(expected)
