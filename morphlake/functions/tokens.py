@@ -7,13 +7,14 @@ slash tokens by ``;``. These functions need no shuffle and no state, so they als
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tagset as T
+from .batches import SLICE, bounded_batches
 
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -186,18 +187,50 @@ def longest_ngrams(words: list[str], high: int, delimiter: str = ";") -> list[st
     return kept
 
 
-def with_longest_ngrams(rows: DataFrame, high: int) -> DataFrame:
-    """doc_id and terms, :func:`longest_ngrams` of the array ``words``, of every row."""
+def _mapped_lists(rows: DataFrame, column: str, one: Callable[[list], list]) -> DataFrame:
+    """doc_id and terms, ``one`` of an array of strings, of every row; a few documents at a time."""
 
     def run(batches):
         for batch in batches:
-            found = [longest_ngrams(x or [], high) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "terms"])
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                found = [one(x or []) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "terms"])
 
-    rows = rows.select("doc_id", "words")
+    rows = bounded_batches(rows).select("doc_id", column)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, terms array<string>")
 
 
+def with_longest_ngrams(rows: DataFrame, high: int) -> DataFrame:
+    """doc_id and terms, :func:`longest_ngrams` of the array ``words``, of every row."""
+    return _mapped_lists(rows, "words", lambda words: longest_ngrams(words, high))
+
+
+def phrase_of(term: str) -> str:
+    """As :func:`phrase`."""
+    parts = [x.split("/") for x in term.split(";")]
+    return "".join([x[0] for x in parts]) if all([len(x) == 2 for x in parts]) else term
+
+
+def with_phrases(rows: DataFrame, low: int = 1, high: int = 3, delimiter: str = ";") -> DataFrame:
+    """doc_id and terms, the :func:`phrase` of each of the :func:`ngrams` of the array ``terms``, of every row."""
+
+    def one(tokens: list[str | None]) -> list[str]:
+        out, n = [], len(tokens)
+        whole = [None if t is None else phrase_of(t) for t in tokens]
+        # Where all tokens have one slash, a phrase is the phrases of its tokens side by side.
+        plain = [t is not None and delimiter == ";" and ";" not in t and t.count("/") == 1 for t in tokens]
+        for i in range(n):
+            for j in range(i + low, min(i + high, n) + 1):
+                if all(plain[i:j]):
+                    out.append("".join(whole[i:j]))
+                elif None not in tokens[i:j]:
+                    out.append(phrase_of(delimiter.join(tokens[i:j])))
+        return out
+
+    return _mapped_lists(rows, "terms", one)
+
+
 def phrase(term: Column) -> Column:
     """Surfaces of an n-gram without blanks; the term itself if a part has not exactly one slash."""
     parts = F.split(term, ";")

@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tagset as T
+from ..functions.batches import SLICE, bounded_batches
 
 #: Bytes of strings, with ROW_BYTES for each row, up to which a table is sent to all tasks.
 SENT_BYTES, ROW_BYTES = 64 << 20, 64
-#: Documents of an output batch: n-grams multiply the size of a document.
-SLICE = 64
 
 
 def table_below(rows: DataFrame, limit: int | None = None) -> pa.Table | None:
@@ -116,25 +115,30 @@ def _token_lists(column: pa.ListArray) -> Iterator[tuple[list, list]]:
 
 
 def map_tokens(docs: DataFrame, one: Callable[[list, list], tuple[list, list]]) -> DataFrame:
-    """``docs`` with ``tokens`` rewritten row by row by ``one`` of the surfaces and the tags; null tokens become none."""
+    """``docs`` with ``tokens`` rewritten row by row by ``one`` of the surfaces and the tags; null tokens become none.
+
+    A few documents are taken apart at a time, so memory does not follow the size of a batch.
+    """
     place = docs.columns.index("tokens")
     kind = pa.struct([("surface", pa.string()), ("tag", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            surfaces, tags, ends = [], [], [0]
-            for s, t in _token_lists(batch.column(place)):
-                s, t = one(s, t)
-                surfaces += s
-                tags += t
-                ends.append(len(surfaces))
-            flat = pa.StructArray.from_arrays([pa.array(surfaces, pa.string()), pa.array(tags, pa.string())], fields=list(kind))
-            columns = list(batch.columns)
-            columns[place] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                surfaces, tags, ends = [], [], [0]
+                for s, t in _token_lists(part.column(place)):
+                    s, t = one(s, t)
+                    surfaces += s
+                    tags += t
+                    ends.append(len(surfaces))
+                flat = pa.StructArray.from_arrays([pa.array(surfaces, pa.string()), pa.array(tags, pa.string())], fields=list(kind))
+                columns = list(part.columns)
+                columns[place] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     kinds = [(f"`{f.name}`", "array<struct<surface:string,tag:string>>" if k == place else f.dataType.simpleString()) for k, f in enumerate(docs.schema.fields)]
-    return docs.mapInArrow(run, ", ".join(" ".join(x) for x in kinds))
+    return bounded_batches(docs).mapInArrow(run, ", ".join(" ".join(x) for x in kinds))
 
 
 def map_lists(docs: DataFrame, column: str, one: Callable[[list], list]) -> DataFrame:
@@ -150,7 +154,7 @@ def map_lists(docs: DataFrame, column: str, one: Callable[[list], list]) -> Data
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     kinds = [(f"`{f.name}`", "array<string>" if k == place else f.dataType.simpleString()) for k, f in enumerate(docs.schema.fields)]
-    return docs.mapInArrow(run, ", ".join(" ".join(x) for x in kinds))
+    return bounded_batches(docs).mapInArrow(run, ", ".join(" ".join(x) for x in kinds))
 
 
 def _tag(token: str) -> str | None:
@@ -201,6 +205,25 @@ def topic_runs(tokens: list[str | None], low: int, high: int, delimiter: str = "
     return out
 
 
+def known_ngrams(tokens: list[str | None], low: int, high: int, known: Runs) -> list[str]:
+    """Those of ``functions.tokens.ngrams`` that are known, by place and then by length."""
+    out, n, begun = [], len(tokens), known.beginnings
+    for i, text in enumerate(tokens):
+        if text not in begun:  # nearly all places end here
+            continue
+        if low <= 1 and text in known.terms:
+            out.append(text)
+        for j in range(i + 1, min(i + high, n)):
+            if tokens[j] is None:
+                break
+            text = f"{text}{known.delimiter}{tokens[j]}"
+            if text not in begun:
+                break
+            if j - i + 1 >= low and text in known.terms:
+                out.append(text)
+    return out
+
+
 def longest_terms(terms: list[str | None]) -> list[str]:
     """Distinct terms, longest first, without those that are part of the text of another.
 
