@@ -5,13 +5,16 @@ Lexicons are tables (term, pos, neg, pol): pos is 1, neg is -1, pol any value, e
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import SLICE, bounded_batches
 from ..functions.porter import english_words, stem_column, stemmed
 from ..functions.tagset import EPSILON
 from ..functions.tokens import drop_tags, ngrams, phrase, slash
-from .phrases import Runs, longest_terms, map_lists, table_below, topic_runs
+from .phrases import Runs, known_ngrams, longest_terms, map_lists, table_below, topic_runs
 
 # Longest n-gram of each kind of tone lexicon.
 TONE_NGRAM = {0: 5, 1: 5, 3: 3, 7: 7, 99: 1}
@@ -34,11 +37,19 @@ def collect_terms(exploded: DataFrame, column: str = "terms", *more: str) -> Dat
     return exploded.groupBy("row", "doc_id", *more).agg(own.alias("own")).select("doc_id", *more, F.transform("own", lambda x: x["term"]).alias(column))
 
 
-def only_known(docs: DataFrame, known: DataFrame, column: str = "terms") -> DataFrame:
-    """Array ``column`` of (doc_id, ...) without what the table ``known`` (term) lacks; order and repeats stay."""
-    words = known.select(F.col("term").alias("known")).distinct()
-    rows = explode_terms(docs, column).join(words, F.col("term") == F.col("known"), "left")
-    return collect_terms(rows.withColumn("term", F.col("known")), column)
+def only_known(docs: DataFrame, known: DataFrame, column: str = "terms", limit: int | None = None) -> DataFrame:
+    """doc_id and the array ``column`` without what the table ``known`` (term) lacks; order and repeats stay. Null becomes none.
+
+    A table up to ``limit`` bytes is sent to all tasks; ``limit`` 0 joins.
+    """
+    words = known.select(F.col("term").alias("known")).where("known is not null").distinct()
+    small = table_below(words, limit)
+    if small is None:
+        rows = explode_terms(docs, column).join(words, F.col("term") == F.col("known"), "left")
+        return collect_terms(rows.withColumn("term", F.col("known")), column)
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(small["known"].to_pylist()))
+    rows = docs.select("doc_id", F.coalesce(F.col(column), F.array().cast("array<string>")).alias(column))
+    return map_lists(rows, column, lambda terms: [t for t in terms if t in sent.value])
 
 
 def known_runs(words: DataFrame, low: int, high: int, wordset: DataFrame | None = None, vocab: DataFrame | None = None, longest: bool = False, limit: int | None = None) -> DataFrame:
@@ -56,7 +67,7 @@ def known_runs(words: DataFrame, low: int, high: int, wordset: DataFrame | None
             terms = small["term"].to_pylist()
             sent[name] = spark.broadcast(Runs(terms) if name == "vocab" else frozenset(terms))
     if wordset is not None and "wordset" not in sent:
-        rows = only_known(rows, wordset)
+        rows = only_known(rows, wordset, limit=0)
 
     words_sent, vocab_sent = sent.get("wordset"), sent.get("vocab")
     last = longest and (vocab is None or vocab_sent is not None)
@@ -70,7 +81,7 @@ def known_runs(words: DataFrame, low: int, high: int, wordset: DataFrame | None
 
     rows = map_lists(rows, "terms", grams)
     if vocab is not None and "vocab" not in sent:
-        rows = only_known(rows, vocab)
+        rows = only_known(rows, vocab, limit=0)
         rows = map_lists(rows, "terms", longest_terms) if longest else rows
     return rows
 
@@ -94,10 +105,19 @@ def classifier_features(words: DataFrame, vocab: DataFrame, keep_overlapping: bo
     return found.select("doc_id.doc_id", F.concat(F.col("doc_id.terms"), F.col("terms")).alias("features"))
 
 
-def general_terms(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """Known n-grams of one to three of tagged documents (doc_id, tokens), without symbols."""
-    rows = docs.select("doc_id", ngrams(slash(drop_tags(F.col("tokens"))), 1, 3).alias("terms"))
-    return rows if vocab is None else only_known(rows, vocab)
+def general_terms(docs: DataFrame, vocab: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Known n-grams of one to three of tagged documents (doc_id, tokens), without symbols.
+
+    A vocabulary up to ``limit`` bytes is sent to all tasks, and only n-grams that it goes on with are made.
+    """
+    rows = docs.select("doc_id", slash(drop_tags(F.col("tokens"))).alias("terms"))
+    small = None if vocab is None else table_below(vocab.select("term").where("term is not null").distinct(), limit)
+    if small is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(Runs(small["term"].to_pylist()))
+        rows = rows.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+        return map_lists(rows, "terms", lambda tokens: known_ngrams(tokens, 1, 3, sent.value))
+    rows = rows.select("doc_id", ngrams(F.col("terms"), 1, 3).alias("terms"))
+    return rows if vocab is None else only_known(rows, vocab, limit=0)
 
 
 def english_terms(docs: DataFrame, stoplist: DataFrame | None = None) -> DataFrame:
@@ -164,18 +184,53 @@ def partial_sums(docs: DataFrame, lexicon: DataFrame, by_count: bool = True) ->
     return _scored(rows, lexicon).groupBy("doc_id").agg(*_sums(F.col("score" if by_count else "pol")))
 
 
-def score(docs: DataFrame, lexicon: DataFrame, by_count: bool = True, with_breakdown: bool = False) -> DataFrame:
+def score(docs: DataFrame, lexicon: DataFrame, by_count: bool = True, with_breakdown: bool = False, limit: int | None = None) -> DataFrame:
     """doc_id, positive, negative, polarity and subjectivity of every row; those without terms score zero.
 
     ``with_breakdown`` adds the array ``breakdown`` of term, score, polarity and sentiment of each term in order.
+    A lexicon up to ``limit`` bytes is sent to all tasks and no term leaves its document; a larger one, or one
+    with a term twice, is joined.
     """
+    value = F.coalesce("pos", "neg", F.lit(0)).cast("double") if by_count else F.coalesce("pol", F.lit(0.0))
+    small = table_below(lexicon.select("term", value.alias("s")).where("term is not null"), limit)
+    known = None if small is None else dict(zip(small["term"].to_pylist(), small["s"].to_pylist(), strict=True))
+    explained = F.transform("own", lambda x: F.struct(x["term"].alias("term"), x["s"].alias("score"), x["s"].alias("polarity"), _sentiment(x["s"]).alias("sentiment")))
+    if known is not None and len(known) == len(small):
+        return from_sums(_summed(docs, known, with_breakdown), by_count, *[explained.alias("breakdown")] * with_breakdown)
     rows = _scored(explode_terms(docs), lexicon).withColumn("s", F.col("score" if by_count else "pol"))
     own = F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "term", "s")))).alias("own")
     sums = rows.groupBy("row", "doc_id").agg(*_sums(F.col("s")), *[own] * with_breakdown)
-    explained = F.transform("own", lambda x: F.struct(x["term"].alias("term"), x["s"].alias("score"), x["s"].alias("polarity"), _sentiment(x["s"]).alias("sentiment")))
     return from_sums(sums, by_count, *[explained.alias("breakdown")] * with_breakdown)
 
 
+def _summed(docs: DataFrame, known: dict[str, float], with_breakdown: bool) -> DataFrame:
+    """doc_id and SUMS of documents (doc_id, terms), with ``own``, their terms and values, if asked for; in one pass."""
+    sent = docs.sparkSession.sparkContext.broadcast({t: x for t, x in known.items() if x != 0})
+    entry = pa.struct([("term", pa.string()), ("s", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part, scores = batch.slice(k, SLICE), sent.value
+                lists, sums, values = part.column(1), [], []
+                for terms in lists.to_pylist():
+                    own = [scores.get(t, 0.0) for t in terms or []]
+                    hits = [x for x in own if x != 0]
+                    sums.append((sum([x for x in hits if x > 0], 0.0), sum([x for x in hits if x < 0], 0.0), len(hits), len(own)))
+                    values += own
+                kinds = (pa.float64(), pa.float64(), pa.int64(), pa.int64())
+                columns = [part.column(0), *[pa.array(x, kind) for x, kind in zip(zip(*sums, strict=True), kinds, strict=True)]]
+                if with_breakdown:
+                    ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+                    flat = pa.StructArray.from_arrays([lists.flatten(), pa.array(values, pa.float64())], fields=list(entry))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *SUMS, *["own"] * with_breakdown])
+
+    rows = bounded_batches(docs).select("doc_id", "terms")
+    more = ", own array<struct<term:string,s:double>>" if with_breakdown else ""
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, positive double, negative double, hits long, n long{more}")
+
+
 def _sentiment(value: Column) -> Column:
     return F.when(value > 0, "positive").when(value < 0, "negative").otherwise("neutral")
 
