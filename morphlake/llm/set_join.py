@@ -5,6 +5,11 @@ order. Two sets of similarity t or more share one of the first n - ceil(t * n) +
 so texts meet in lists by these elements. The order puts frequent shingles last: those of a sample,
 and after a first pass those whose lists would be long. Any order gives the same links.
 
+Near copies are found before that by their SimHash fingerprints, the majority bits of the same hashes,
+through the multi-index tables of :mod:`simhash`; what they find is compared as below, and the lists
+compare only texts that are not joined yet. Fingerprints of texts at a lower similarity differ in more
+bits than can be looked up, so the lists find the rest; no link depends on a fingerprint.
+
 What meets is first compared by parity sketches: SPARSE bits and more for each element, the parity of
 the elements that fall on each. Two sketches differ in at most as many bits as their sets in elements, so
 a pair that differs in too many is not similar. What is left, nearly all of it similar, is compared
@@ -25,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Scratch, bounded_batches, release
 from .components import connected_components
 
@@ -85,16 +91,17 @@ def apart(x: Column, y: Column) -> Column:
     return F.aggregate(differing, F.lit(0), lambda acc, v: acc + v)
 
 
-PREFIX = "text_hash long, digest binary, n long, prefix array<long>, sketch array<long>"
+PREFIX = "text_hash long, digest binary, n long, prefix array<long>"
+WHOLE = f"{PREFIX}, sketch array<long>, fp long"
 
 
-def _prefixes(late, size: int, similarity: float):
-    """Digest, size and sketch of the set of each text, and its first elements in the common order."""
+def _prefixes(late, size: int, similarity: float, whole: bool):
+    """Digest and size of the set of each text, its first elements in the common order, and if ``whole`` its sketch and fingerprint."""
 
     def run(batches):
         keys, counts = late.value
         for batch in batches:
-            digests, sizes, heads, sketches = [], [], [], []
+            digests, sizes, heads, sketches, prints = [], [], [], [], []
             for text in batch.column(2):
                 h = shingles(text.as_py(), size)
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
@@ -102,9 +109,12 @@ def _prefixes(late, size: int, similarity: float):
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 heads.append(h[np.lexsort((h, rank))][: prefix_size(len(h), similarity)])
-                sketches.append(sketch(h))
-            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "digest", "n", "prefix", "sketch"])
+                if whole:
+                    sketches.append(sketch(h))
+                    prints.append(simhash.of_hashes(h))
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+            more = [pa.array(sketches, pa.list_(pa.int64())), pa.array(prints, pa.int64())] if whole else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "text_hash", "digest", "n", "prefix", "sketch", "fp"][: 5 + len(more)])
 
     return run
 
@@ -144,37 +154,28 @@ def components(docs: DataFrame, shingle: int, similarity: float, scratch: Scratc
     late = some.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow()
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def in_order(known: pa.Table) -> DataFrame:
+    def in_order(known: pa.Table, whole: bool) -> DataFrame:
         """Rows with the first elements of their sets, those of the table (h, count) after all others."""
         keys, counts = np.array(known["h"], np.int64), np.array(known["count"], np.int64)
         by_key = np.argsort(keys)
         sent = spark.sparkContext.broadcast((keys[by_key], counts[by_key]))
-        return rows.mapInArrow(_prefixes(sent, shingle, similarity), f"doc_id {kind}, {PREFIX}")
+        return rows.mapInArrow(_prefixes(sent, shingle, similarity, whole), f"doc_id {kind}, {WHOLE if whole else PREFIX}")
 
-    first = in_order(late).select("digest", "prefix").groupBy("digest").agg(F.first("prefix").alias("prefix"))
+    first = in_order(late, False).select("digest", "prefix").groupBy("digest").agg(F.first("prefix").alias("prefix"))
     crowded = first.select(F.explode("prefix").alias("h")).groupBy("h").count().where(F.col("count") > LONG).orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow()
     known = pa.concat_tables([late, crowded.cast(late.schema)]).group_by("h").aggregate([("count", "max")]).rename_columns(["h", "count"])
     release(spark)
-    heads = passing.write(in_order(known), "jaccard-heads")
+    heads = passing.write(in_order(known, True), "jaccard-heads")
     of_row = F.struct(F.xxhash64("doc_id").alias("k"), F.col("text_hash").alias("t"))
-    nodes = heads.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(of_row).alias("one"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch")])
+    nodes = heads.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(of_row).alias("one"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch", "fp")])
     nodes = passing.write(nodes.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")
     release(spark)
 
-    # One shuffle of (element, id, size and place) finds the elements that several sets have, and the middle set of each.
-    place = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR((1 << 32) - 1 - F.col("n"))
-    keys = nodes.select(F.posexplode("prefix").alias("at", "key"), "id", "n").select("key", "id", place.alias("place"))
-    group = Window.partitionBy("key")
-    lists = keys.withColumns({"members": F.count("*").over(group), "first": F.min(F.struct("place", "id")).over(group)}).where("members > 1")
-    at, size = lambda c: F.shiftright(c, 32), lambda c: (1 << 32) - 1 - F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-    lists = passing.write(lists.select("key", "id", size("place").alias("n"), at("place").alias("at"), F.col("first.id").alias("first_id"), size("first.place").alias("first_n"), at("first.place").alias("first_at")), "jaccard-lists")
-    release(spark)
-
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar: by their sketches, and what is left by their sets."""
+        """Those of the distinct pairs (a, b) that are similar: by their sketches, and what is left by their sets."""
         own = Scratch()
         side = lambda c, x: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(x))
-        close = pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
+        close = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-6
         close = own.write(close.where(apart(F.col("x"), F.col("y")) <= most).select("a", "b"), "jaccard-close")
         members = nodes.join(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "one.k", "one.t")
@@ -189,15 +190,37 @@ def components(docs: DataFrame, shingle: int, similarity: float, scratch: Scratc
         release(spark)
         return edges
 
+    # Texts of one fingerprint meet the first of them; the first ones of fingerprints that link meet.
+    prints = passing.write(nodes.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("members")), "jaccard-prints")
+    equal = nodes.select("fp", "id").join(prints.where("members > 1"), "fp").where("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b"))
+    of_print = lambda c: prints.select(F.col("fp").alias(c), F.col("first_id").alias(f"first_{c}"))
+    linked = simhash.links(prints.select("fp")).distinct().join(of_print("a"), "a").join(of_print("b"), "b")
+    linked = linked.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    near = verified(passing.write(equal.union(linked.distinct()), "jaccard-near"))
+    joined = passing.write(connected_components(near), "jaccard-joined")
+    release(spark)
+
+    # One shuffle of (element, id, size and place) finds the elements that several sets have, and the middle set of each.
+    place = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR((1 << 32) - 1 - F.col("n"))
+    keys = nodes.select(F.posexplode("prefix").alias("at", "key"), "id", "n").select("key", "id", place.alias("place"))
+    group = Window.partitionBy("key")
+    lists = keys.withColumns({"members": F.count("*").over(group), "first": F.min(F.struct("place", "id")).over(group)}).where("members > 1")
+    at, size = lambda c: F.shiftright(c, 32), lambda c: (1 << 32) - 1 - F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    lists = passing.write(lists.select("key", "id", size("place").alias("n"), at("place").alias("at"), F.col("first.id").alias("first_id"), size("first.place").alias("first_n"), at("first.place").alias("first_at")), "jaccard-lists")
+    release(spark)
+
     reach_first = _can_reach(similarity, F.col("n"), F.col("at"), F.col("first_n"), F.col("first_at"))
-    edges = verified(lists.where((F.col("id") != F.col("first_id")) & reach_first).select(F.col("first_id").alias("a"), F.col("id").alias("b")))
+    root_of = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    pairs = lists.where((F.col("id") != F.col("first_id")) & reach_first).select(F.col("first_id").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    edges = near.union(verified(pairs.select("a", "b")))
     rooted = lists.join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     mixed = passing.write(rooted.join(open_keys, "key", "left_semi").select("key", "id", "n", "at", "root"), "jaccard-open")
     other = mixed.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "n", "at", "root")])
     differ = (F.col("id") < F.col("other_id")) & (F.col("root") != F.col("other_root"))
     pairs = mixed.join(other, "key").where(differ & _can_reach(similarity, F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at")))
-    edges = edges.union(verified(pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b"))))
+    edges = edges.union(verified(pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()))
     roots = connected_components(edges).withColumnRenamed("node", "id")
     rooted = nodes.select("digest", "least", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

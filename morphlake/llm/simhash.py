@@ -46,11 +46,21 @@ def fingerprint(text: str | None) -> int:
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
         pairs = zip(starts[at : min(n, at + BLOCK)].tolist(), ends[at + SHINGLE - 1 : min(n, at + BLOCK) + SHINGLE - 1].tolist(), strict=True)
-        h = np.array([digest(joined[s:e], SEED) for s, e in pairs], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([digest(joined[s:e], SEED) for s, e in pairs], "<u8"))
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint, as a signed integer, of shingles whose hashes are given; 0 if there are none."""
+    ones = sum((_ones(h[at : at + BLOCK]) for at in range(0, len(h), BLOCK)), np.zeros(BITS, np.int64))
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
 def _fingerprints(batches):
     for batch in batches:
         values = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
@@ -118,8 +128,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None =
     the text with the smallest hash stays. Rows of equal id and text are one document: any of them
     stays. Rows without an id cannot be told apart and all stay; an empty table stays empty.
 
-    With ``similarity``, texts link by that Jaccard similarity of their shingles or more, which no
-    Hamming distance decides; else by fingerprints of three-word shingles.
+    With ``similarity``, texts link by that Jaccard similarity of their shingles or more: fingerprints
+    of these shingles are looked up as above, what meets is compared exactly, and the links that no
+    Hamming distance this small finds are joined exactly. Else they link by fingerprints of three-word shingles.
     """
     if similarity is None and shingle != SHINGLE:
         raise ValueError("fingerprints are of three-word shingles; give a similarity")

@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from morphlake.llm import iblt, maxent_lm, packing, quality_cnn, quality_rules, queries, simhash
+from morphlake.llm import iblt, maxent_lm, packing, quality_cnn, quality_rules, queries, set_join, simhash
 from morphlake.llm.bpe_codec import WordBpe
 
 from .test_search import negatives, ranked
@@ -90,6 +90,30 @@ def test_fingerprints_in_blocks(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
+def test_pipeline_near_dedup_looks_up_fingerprints(spark, monkeypatch):
+    """Near copies meet by fingerprints first; what they do not find is joined, so nothing depends on them."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in rng.integers(0, 9000, 400).tolist()]
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(0, 400, 10)] + [" ".join(base[k : k + 90]) for k in range(0, 400, 100)] + [None, ""]
+    assert simhash.of_hashes(set_join.shingles(texts[0], 3)) & (1 << 64) - 1 == simhash.fingerprint(texts[0])
+    prints = {simhash.of_hashes(set_join.shingles(t, 5)) for t in texts}
+    close = {(min(a, b), max(a, b)) for a in prints for b in prints if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= simhash.DISTANCE}
+    docs, links, met = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), simhash.links, set()
+
+    def seen(nodes):
+        met.update((min(r), max(r)) for r in links(nodes).collect())
+        return links(nodes)
+
+    kept = {}
+    for name, way in (("all", seen), ("none", lambda nodes: links(nodes).limit(0))):
+        monkeypatch.setattr(simhash, "links", way)
+        kept[name] = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert close and met == close
+    assert kept["all"] == kept["none"] == [0, 40, 41, 42, 43, 44]
+
+
 def test_one_id_with_several_texts_keeps_each_group(spark):
     rows = [(1, "alpha beta gamma delta " * 9), (1, "one two three four five six " * 9), (1, "alpha beta gamma delta " * 9), (2, "alpha beta gamma delta " * 9), (3, "one two three four five six " * 9), (None, "x"), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
