@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,13 @@ from .common import Scratch, bounded_batches, materialize, release
 WINDOW, GRAM = 100, 24
 SPAN = WINDOW - GRAM + 1  # k-grams in a window
 PIECE = 1 << 22  # windows of a long text that are held at once
+TOGETHER = 1 << 16  # bytes of short texts that are hashed side by side
 SLICE = 20  # windows
 #: Strings of one anchor above which its windows become strings of their own; more in very large
 #: corpora, so that there are at most CROWDS such anchors, which every task is told (8 MB).
 CROWD, CROWDS = 4096, 1_000_000
 SHARD_BYTES, TASK_BYTES = 1 << 18, 1 << 22
 RUN = 4096  # windows of strings in a row that are dealt out as one
-PACKED = 7  # letters of nine bits in a sort key
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,32 +60,40 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     level = {1: _TABLE[data]}
     for n in (1, 2, 4, 8):
         x = level[n]
-        level[2 * n] = x[:-n] * _POWERS[n] + x[n:]
-    x = level[16][: len(data) - GRAM + 1] * _POWERS[8] + level[8][16:][: len(data) - GRAM + 1]
+        level[2 * n] = x[:-n] * _POWERS[n]
+        level[2 * n] += x[n:]
+    x = level[16][: len(data) - GRAM + 1] * _POWERS[8]
+    x += level[8][16:][: len(data) - GRAM + 1]
     x ^= x >> np.uint64(29)
     x *= _MIX
     x ^= x >> np.uint64(32)
     return x
 
 
+def _least(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the k-grams of some bytes, and where the anchor of each window lies."""
+    h = _gram_hashes(part)
+    low = np.uint64(0xFFFFFF)
+    least = h & ~low
+    least |= np.arange(len(h), dtype=np.uint64)
+    width = 1
+    while width * 2 <= SPAN:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    rest = SPAN - width
+    if rest:
+        least = np.minimum(least[:-rest], least[rest:])
+    least &= low
+    return h, least.view(np.int64)
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first window, and number of windows of each context of a text, with the place of
     the anchor in the first window in the bits from the 16th on."""
     n = len(data) - WINDOW + 1
     out = []
     for at in range(0, max(0, n), PIECE):
-        part = data[at : min(len(data), at + PIECE + WINDOW - 1)]
-        h = _gram_hashes(part)
-        low = np.uint64(0xFFFFFF)
-        least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        width = 1
-        while width * 2 <= SPAN:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        rest = SPAN - width
-        if rest:
-            least = np.minimum(least[:-rest], least[rest:])
-        where = (least & low).astype(np.int64)
+        h, where = _least(data[at : min(len(data), at + PIECE + WINDOW - 1)])
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         out.append((h[where[first]].view(np.int64), first + at, np.diff(np.append(first, len(where))) + (where[first] - first << 16)))
     if not out:
@@ -92,14 +101,41 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def anchors_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`anchors` for all texts one after another, and which text each context is of.
+
+    Short texts are hashed side by side, TOGETHER bytes at once; windows across two of them are left out.
+    """
+    out, at = [tuple(np.zeros(0, np.int64) for _ in range(4))], 0
+    while at < len(texts):
+        to, held = at + 1, len(texts[at])
+        while to < len(texts) and held + len(texts[to]) <= TOGETHER:
+            held += len(texts[to])
+            to += 1
+        if to == at + 1:
+            found = anchors(texts[at])
+            out.append((*found, np.full(len(found[0]), at, np.int64)))
+        elif held >= WINDOW:
+            sizes = np.fromiter(map(len, texts[at:to]), np.int64, to - at)
+            begins = np.cumsum(sizes) - sizes
+            h, where = _least(np.concatenate(texts[at:to]))
+            own = np.repeat(np.arange(to - at), np.maximum(sizes - WINDOW + 1, 0))  # the text of each window
+            window = np.arange(len(own)) + (begins - (np.cumsum(np.maximum(sizes - WINDOW + 1, 0)) - np.maximum(sizes - WINDOW + 1, 0)))[own]
+            where = where[window]
+            first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])[: len(where)])
+            of = own[first]
+            out.append((h[where[first]].view(np.int64), window[first] - begins[of], np.diff(np.append(first, len(where))) + (where[first] - window[first] << 16), of + at))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _texts(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint8) for x in column.fill_null("").cast(pa.large_binary())]
 
 
 def _anchor_counts(batches):
     for batch in batches:
-        found = [anchors(t)[0] for t in _texts(batch.column(0))]
-        h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        h, n = np.unique(anchors_of(_texts(batch.column(0)))[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
 
 
@@ -115,13 +151,12 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
 def _contexts(batches):
     """A row for each context: anchor, digest of its bytes, document, first window, number of windows."""
     for batch in batches:
-        parts = []
-        for doc, tie, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True):
-            h, at, n = anchors(data)
-            raw, digest = memoryview(data), xxhash.xxh3_64_intdigest
-            c = np.array([digest(raw[s : s + m + WINDOW - 1]) for s, m in zip(at.tolist(), (n & 0xFFFF).tolist(), strict=True)], np.uint64).view(np.int64)
-            parts.append((h, c, np.full(len(h), doc, np.int64), np.full(len(h), tie, np.int64), at, n))
-        yield _batch([np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[]] * 6, CONTEXT)
+        texts, digest = _texts(batch.column(2)), xxhash.xxh3_64_intdigest
+        h, at, n, of = anchors_of(texts)
+        raw, stops = [memoryview(t) for t in texts], at + (n & 0xFFFF) + (WINDOW - 1)
+        c = np.array([digest(raw[k][s:e]) for k, s, e in zip(of.tolist(), at.tolist(), stops.tolist(), strict=True)], np.uint64).view(np.int64)
+        doc, tie = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        yield _batch([h, c, doc[of], tie[of], at, n], CONTEXT)
 
 
 def _single_windows(crowded):
@@ -131,15 +166,16 @@ def _single_windows(crowded):
         digest = xxhash.xxh3_64_intdigest
         known = np.sort(np.array(crowded.value, np.int64))
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for doc, tie, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True):
-                h, at, n = anchors(data)
-                mine = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                raw = memoryview(data)
-                starts = [s for first, m in zip(at[mine].tolist(), (n[mine] & 0xFFFF).tolist(), strict=True) for s in range(first, first + m)]
-                for k, column in enumerate(([digest(raw[s : s + WINDOW], 1) for s in starts], [digest(raw[s : s + WINDOW], 2) for s in starts], [doc] * len(starts), [tie] * len(starts), starts, [1] * len(starts))):
-                    out[k] += column
-            yield _batch([np.array(x, np.uint64).view(np.int64) if k < 2 else x for k, x in enumerate(out)], CONTEXT)
+            texts = _texts(batch.column(2))
+            h, at, n, of = anchors_of(texts)
+            mine = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+            n = n[mine] & 0xFFFF
+            of, starts = np.repeat(of[mine], n), np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            raw = [memoryview(t) for t in texts]
+            windows = [raw[k][s : s + WINDOW] for k, s in zip(of.tolist(), starts.tolist(), strict=True)]
+            both = [np.array([digest(w, seed) for w in windows], np.uint64).view(np.int64) for seed in (1, 2)]
+            doc, tie = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            yield _batch([*both, doc[of], tie[of], starts, np.ones(len(starts), np.int64)], CONTEXT)
 
     return run
 
@@ -185,8 +221,8 @@ def shard_transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     Letters are bytes plus one; 0 is an end. Ends sort before letters and among each other in the
     order of the strings. Suffixes are positions in the strings with their ends, one after another.
-    Suffixes are sorted by their first PACKED letters and then by doubling prefixes, as far as they
-    are not told apart yet.
+    Suffixes are sorted by as many of their first letters as a sort key holds and then by doubling
+    prefixes, as far as they are not told apart yet.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
     ends = np.cumsum(sizes + 1) - 1
@@ -196,16 +232,26 @@ def shard_transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text[inner] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
     owner = np.repeat(np.arange(len(strings)), sizes + 1)
     left = ends[owner] - np.arange(len(text))  # letters before the end
+    used = np.zeros(257, bool)
+    used[text] = True
+    used[0] = True
+    bits, places = int(np.count_nonzero(used) - 1).bit_length(), len(text).bit_length()
+    width = max(1, (63 - places) // max(1, bits))  # letters in a sort key, before the place
+    dense = (np.cumsum(used) - 1)[text]  # letters in their order, without those that do not occur
     packed = np.zeros(len(text), np.int64)
-    for k in range(PACKED):
-        packed = packed << 9 | np.where(left >= k, text[np.minimum(np.arange(len(text)) + k, len(text) - 1)], 0)
-    ended = np.where(left < PACKED, owner + 1, 0)
-    order = np.lexsort((ended, packed))
+    for k in range(width):
+        packed <<= bits
+        n = max(0, len(text) - k)
+        packed[:n] |= np.where(left[:n] >= k, dense[k:], 0)
+    packed <<= places
+    packed |= np.arange(len(text))  # suffixes that end have their order from the strings
+    packed.sort()
+    order = packed & ((1 << places) - 1)
+    packed >>= places
     fresh = np.ones(len(text), bool)
-    fresh[1:] = (packed[order][1:] != packed[order][:-1]) | (ended[order][1:] > 0)
+    fresh[1:] = (packed[1:] != packed[:-1]) | (left[order[1:]] < width)
     rank = np.empty(len(text), np.int64)  # place of the first suffix not told apart
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(len(text)), 0))
-    width = PACKED
     while True:
         open_at = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
         if not len(open_at):
@@ -235,10 +281,12 @@ def merge_transforms(transforms: list[np.ndarray], weights: np.ndarray, depth: i
     its interval whose string has a multiplicity is returned at once, with letters to come.
     """
     letters = np.concatenate(transforms)
+    if letters.max(initial=0) < 256:
+        letters = letters.astype(np.uint8)  # sorts in one pass
     follows = np.empty(len(letters), np.int32)  # row of the suffix that is one letter longer
     at = 0
     for t in transforms:
-        follows[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
+        follows[at + np.argsort(letters[at : at + len(t)], kind="stable")] = np.arange(at, at + len(t))
         at += len(t)
     shared = np.zeros(len(letters), np.int16)
     rows = np.arange(len(letters), dtype=np.int32) if rows is None else rows
@@ -252,13 +300,16 @@ def merge_transforms(transforms: list[np.ndarray], weights: np.ndarray, depth: i
         fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (interval[1:] != interval[:-1])])
         starts = np.flatnonzero(fresh)
         n = np.diff(np.append(starts, len(rows)))
-        total = np.add.reduceat(weights[rows], starts)
+        single = np.flatnonzero(n == 1)
+        several = weights[rows[starts[single]]] > 1
+        stays = n > 1
         if settle:
-            single = starts[(n == 1) & (total > 1)]
+            single = starts[single[several]]
             settled.append((rows[single], np.arange(known, known - len(single), -1) - 1, np.full(len(single), depth - h)))
             known -= len(single)
-            total[n == 1] = 0
-        repeated = np.repeat(total > 1, n)
+        else:
+            stays[single[several]] = True
+        repeated = np.repeat(stays, n)
         rows, interval = rows[repeated], np.cumsum(fresh, dtype=np.int32)[repeated]
         shared[rows] = h
     settled.append((rows, interval, np.zeros(len(rows), np.int64)))
@@ -296,20 +347,25 @@ def _repeats(strings: dict[bytes, list[tuple]]) -> Iterator[tuple]:
     A row without a context is an interval to cut. One with a context says how many windows of it
     (``stop``), a string that has other places too, were found repeated.
     """
-    places = [list({x[:3]: x for x in v}.values()) for v in strings.values()]  # repeated rows have equal places
+    places = [v if len(v) == 1 else list({x[:3]: x for x in v}.values()) for v in strings.values()]  # repeated rows have equal places
     weights = [min(2, len(p) + any(x[5] for x in p)) for p in places]
     string, offset, interval = repeated_places(list(strings), weights)
     if not len(string):
         return
     flat = [x for p in places for x in p]
-    doc, tie, at = (np.array(x) for x in zip(*(x[:3] for x in flat), strict=True))
+    doc, tie, at = (np.array([x[k] for x in flat]) for k in range(3))
     sizes = np.array([len(p) for p in places])
     begins = np.cumsum(sizes) - sizes
     n = sizes[string]
     place, offset = np.repeat(begins[string] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(offset, n)
     start, interval = at[place] + offset, np.repeat(interval, n)
     # Contexts with a multiplicity, each from its offset in its place on.
-    parts = [(k, *part) for k, x in enumerate(flat) if x[5] for part in zip(np.cumsum([0, *(x[4] or [0])[:-1]]).tolist(), np.cumsum([x[3], *(x[4] or [0])[:-1]]).tolist(), strict=True)]
+    parts = []
+    for k, x in enumerate(flat):
+        if x[5]:
+            parts.append((k, 0, x[3]))
+            if x[4]:
+                parts += [(k, n, x[3] + n) for n in accumulate(x[4][:-1])]
     if parts:
         of, first, context = (np.array(x) for x in zip(*parts, strict=True))
         mine = np.array([x[5] for x in flat])[place]

@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from morphlake.llm import iblt, maxent_lm, packing, quality_cnn, quality_rules, queries, set_join, simhash
+from morphlake.llm import iblt, maxent_lm, packing, quality_cnn, quality_rules, queries, set_join, simhash, suffix_dedup
 from morphlake.llm.bpe_codec import WordBpe
 
 from .test_search import negatives, ranked
@@ -90,6 +90,17 @@ def test_fingerprints_in_blocks(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
+@pytest.mark.parametrize("together", [1, 300, 1 << 16])
+def test_anchors_of_many_texts_at_once(monkeypatch, together):
+    """Contexts of texts hashed side by side are those of each alone; none reaches into the next text."""
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 101, n, dtype=np.uint8) for n in (0, 99, 100, 5, 700, 23, 0, 101, 250, 99)] + [np.full(300, 97, np.uint8)]
+    alone = [(*row, k) for k, t in enumerate(texts) for row in zip(*(x.tolist() for x in suffix_dedup.anchors(t)), strict=True)]
+    assert list(zip(*(x.tolist() for x in suffix_dedup.anchors_of(texts)), strict=True)) == alone
+    assert [len(x) for x in suffix_dedup.anchors_of([])] == [len(x) for x in suffix_dedup.anchors_of(texts[:2])] == [0] * 4
+
+
 def test_pipeline_near_dedup_looks_up_fingerprints(spark, monkeypatch):
     """Near copies meet by fingerprints first; what they do not find is joined, so nothing depends on them."""
     import corpus_pipeline
