@@ -180,6 +180,16 @@ def _single_windows(crowded):
     return run
 
 
+def _lists(column: pa.Array, fields: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The structs of each list of a column as tuples; none for a null."""
+    flat = column.flatten()
+    rows = list(zip(*(flat.field(f).to_numpy(zero_copy_only=False).tolist() for f in fields), strict=True))
+    at = 0
+    for n in column.value_lengths().fill_null(0).to_pylist():
+        yield rows[at : at + n]
+        at += n
+
+
 STRINGS = "key long, doc long, tie long, at long, context long, windows array<int>, several boolean, data binary"
 
 
@@ -198,12 +208,11 @@ def _strings(batches):
                 out.append((digest(data) >> 1, doc, tie, at, at, [n for _, n in run], True, data))
                 run.clear()
 
-        for doc, tie, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+        for doc, tie, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), _lists(batch.column(3), ("at", "windows", "several", "alone")), strict=True):
             raw, run = text.tobytes(), []
-            for w in sorted(wanted, key=lambda w: w["at"]):
-                at, several = w["at"], w["several"]
-                far, n = w["windows"] >> 16, w["windows"] & 0xFFFF  # the anchor lies far - n + 1 to far bytes into the windows
-                if w["alone"]:  # and so several
+            for at, windows, several, alone in sorted(wanted):
+                far, n = windows >> 16, windows & 0xFFFF  # the anchor lies far - n + 1 to far bytes into the windows
+                if alone:  # and so several
                     if run and (run[-1][0] + run[-1][1] != at or at + n - run[0][0] > RUN):
                         close(doc, tie, raw, run)
                     run.append((at, n))
@@ -341,14 +350,14 @@ def repeated_places(strings: list[bytes], weights: list[int], depth: int = WINDO
 FOUND = "doc long, tie long, start long, stop long, context long"
 
 
-def _repeats(strings: dict[bytes, list[tuple]]) -> Iterator[tuple]:
-    """Rows FOUND of strings, each with its places (doc, tie, at, context, windows, several).
+def _repeats(strings: dict[bytes, list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """Batches FOUND of strings, each with its places (doc, tie, at, context, windows, several).
 
     A row without a context is an interval to cut. One with a context says how many windows of it
     (``stop``), a string that has other places too, were found repeated.
     """
     places = [v if len(v) == 1 else list({x[:3]: x for x in v}.values()) for v in strings.values()]  # repeated rows have equal places
-    weights = [min(2, len(p) + any(x[5] for x in p)) for p in places]
+    weights = [2 if len(p) > 1 or p[0][5] else 1 for p in places]
     string, offset, interval = repeated_places(list(strings), weights)
     if not len(string):
         return
@@ -372,7 +381,7 @@ def _repeats(strings: dict[bytes, list[tuple]]) -> Iterator[tuple]:
         which = np.searchsorted(of << 20 | first, place[mine] << 20 | offset[mine], side="right") - 1
         found = np.bincount(which, minlength=len(of))
         hit = np.flatnonzero(found)
-        yield from zip(doc[of[hit]].tolist(), tie[of[hit]].tolist(), [0] * len(hit), found[hit].tolist(), context[hit].tolist(), strict=True)
+        yield _batch([doc[of[hit]], tie[of[hit]], np.zeros(len(hit), np.int64), found[hit], context[hit]], FOUND)
     order = np.lexsort((start, tie[place], doc[place], interval))
     later = np.concatenate([[False], interval[order][1:] == interval[order][:-1]])
     place, start = place[order][later], start[order][later]
@@ -381,7 +390,7 @@ def _repeats(strings: dict[bytes, list[tuple]]) -> Iterator[tuple]:
     if len(doc):
         cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] > start[:-1] + 1)]))
         last = np.append(cut[1:], len(doc)) - 1
-        yield from ((*x, None) for x in zip(doc[cut].tolist(), tie[cut].tolist(), start[cut].tolist(), (start[last] + WINDOW).tolist(), strict=True))
+        yield _batch([doc[cut], tie[cut], start[cut], start[last] + WINDOW, [None] * len(cut)], FOUND)
 
 
 def _merge_task(batches):
@@ -391,12 +400,12 @@ def _merge_task(batches):
     """
     ready: dict[bytes, list[tuple]] = {}
     group: dict[bytes, list[tuple]] = {}
-    out: list[tuple] = []
+    out = [_batch([[]] * 5, FOUND)]
     held, last = 0, None
 
     def close():
         nonlocal held
-        if len(group) > 1 or any(len(v) > 1 or v[0][5] for v in group.values()):
+        if len(group) > 1 or any(v[0][5] or len(v) > 1 for v in group.values()):
             for data, places in group.items():
                 if data in ready:
                     ready[data] += places
@@ -406,22 +415,23 @@ def _merge_task(batches):
         group.clear()
 
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(8)]
-        for key, doc, tie, at, context, windows, several, data in zip(*columns, strict=True):
+        columns = [batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in (0, 1, 2, 3, 4, 6)]
+        lists = batch.column(5).to_pylist() if batch.column(5).null_count < batch.num_rows else [None] * batch.num_rows
+        for key, doc, tie, at, context, several, windows, data in zip(*columns, lists, batch.column(7).to_pylist(), strict=True):
             if key != last:
                 close()
                 last = key
                 if held > TASK_BYTES:
                     out += _repeats(ready)
                     ready, held = {}, 0
-                if len(out) > 50_000:
-                    yield _batch(list(zip(*out, strict=True)), FOUND)
-                    out = []
+                    if sum(map(len, out)) > 50_000:
+                        yield pa.concat_batches(out)
+                        out = out[:1]
             group.setdefault(data, []).append((doc, tie, at, context, windows, several))
     close()
     if ready:
         out += _repeats(ready)
-    yield _batch(list(zip(*out, strict=True)) if out else [[]] * 5, FOUND)
+    yield pa.concat_batches(out)
 
 
 def tie_of(docs: DataFrame, key: str) -> Column:
@@ -467,10 +477,10 @@ def repeated_intervals(named: DataFrame) -> DataFrame:
     return found
 
 
-def _cut(data: np.ndarray, spans: list[dict] | None) -> tuple[bytes, int, int]:
+def _cut(data: np.ndarray, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """What is left, how many bytes went, and in how many runs."""
     merged: list[list[int]] = []
-    for s, e in sorted((x["start"], x["stop"]) for x in spans or ()):
+    for s, e in sorted(spans):
         if merged and s <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], e)
         else:
@@ -501,7 +511,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(_cut(data, spans), len(data)) for data, spans in zip(_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+            rows = [(_cut(data, spans), len(data)) for data, spans in zip(_texts(batch.column(1)), _lists(batch.column(2), ("start", "stop")), strict=True)]
             n = [pa.array([x for x in part], pa.int64()) for part in ([b for _, b in rows], [r[1] for r, _ in rows], [r[2] for r, _ in rows])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *n, pa.array([hashlib.sha256(r[0]).hexdigest() for r, _ in rows], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -518,7 +528,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            kept = [None if t is None else _cut(data, spans)[0].decode("utf-8", "ignore") for t, data, spans in zip(batch.column(1).is_null().to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+            kept = [None if t is None else _cut(data, spans)[0].decode("utf-8", "ignore") for t, data, spans in zip(batch.column(1).is_null().to_pylist(), _texts(batch.column(1)), _lists(batch.column(2), ("start", "stop")), strict=True)]
             text = [None if null else x for null, x in zip(batch.column(1).is_null().to_pylist(), kept, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["row", "text"])
 
