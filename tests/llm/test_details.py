@@ -74,6 +74,22 @@ def test_letter_trigrams_of_many_tokens():
     assert flat.tolist() == sum(alone, []) and sizes.tolist() == [len(x) for x in alone]
 
 
+def test_class_weights_of_combinations_and_counts_of_batches():
+    """Weights of the classes before, summed up once, give the softmax of plain sums; batches of a task are counted together."""
+    rng = np.random.default_rng(5)
+    head = [(b"w%d" % k, 90 - k) for k in range(80)]
+    model = maxent_lm.Model(head, 5000, 100, {})
+    model.weights = rng.normal(0, 3, model.weights.shape).astype(np.float32)
+    worker = maxent_lm.Worker(model)
+    ids = rng.integers(0, 80 + maxent_lm.TOPICS + 1, 9000)
+    features = worker.features(ids, np.arange(9000) // 70 * 70)
+    z = model.weights[features].astype(np.float64).sum(1)
+    assert np.allclose(worker.class_logs(features), z - np.log(np.exp(z).sum(1, keepdims=True)), atol=1e-4)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["text"]) for x in (["A b", None], [], ["a a"])]
+    found = list(maxent_lm._token_counts(batches))
+    assert len(found) == 1 and dict(zip(*(c.to_pylist() for c in found[0].columns), strict=True)) == {b"a": 3, b"b": 1, b"": 3}
+
+
 def test_language_model_learns(spark):
     """Held-out texts with an order are likelier than under the base, and the model beats counts alone."""
     rng = np.random.default_rng(1)
