@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ STRIDE, WIDTH, DEPTH, FILTERS, HIDDEN = 4, 8, 8, 32, 16
 BLOCK = 64  # bytes; chunks are four blocks long and start every third block
 CHUNK, STEP = 4 * BLOCK, 3 * BLOCK
 PIECE_CHUNKS = 2048  # chunks of a long text that are held at once
+TRAIN_CHUNKS = 128  # chunks of a batch whose responses at all positions are held at once in training, 24 KB each
 
 
 @dataclass
@@ -61,6 +63,11 @@ def _pieces(data: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def _chunks_of(positions: int) -> np.ndarray:
+    """First blocks of the chunks of a piece with so many filter positions."""
+    return np.arange(0, max(1, -(-positions * STRIDE // BLOCK) - 1), CHUNK // BLOCK - 1)
+
+
 def _chunk_maxima(net: Network, pieces: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Filter maxima of all chunks, and how many chunks each piece has."""
     x = net.embed[np.concatenate([p for p, _ in pieces])].reshape(-1, STRIDE * DEPTH)
@@ -134,17 +141,16 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoc
         rng.normal(0, 0.15, (2 * FILTERS, HIDDEN)).astype(f32), np.zeros(HIDDEN, f32), rng.normal(0, 0.3, HIDDEN).astype(f32), np.zeros(1, f32),
     )
     # Every chunk as rows of CHUNK + WIDTH - STRIDE bytes; a short last chunk repeats its last position.
-    grids, owner = [], []
-    positions = CHUNK // STRIDE
-    for i, data in enumerate(texts):
+    positions, per = CHUNK // STRIDE, BLOCK // STRIDE
+    chunks = [sum(len(_chunks_of(n)) for _, n in _pieces(data)) for data in texts]
+    grid, k = np.empty((sum(chunks), positions, WIDTH), np.uint8), 0  # filled in place, as it is most of what the driver holds
+    for data in texts:
         for piece, n in _pieces(data):
-            blocks = -(-n // (BLOCK // STRIDE))
-            at = np.arange(0, max(1, blocks - 1), CHUNK // BLOCK - 1) * (BLOCK // STRIDE)
+            at = _chunks_of(n) * per
             where = np.minimum(at[:, None] + np.arange(positions), n - 1) * STRIDE
-            grids.append(piece[where[:, :, None] + np.arange(WIDTH)])
-            owner.append(np.full(len(at), i))
-    grid, owner = np.concatenate(grids), np.concatenate(owner)  # (chunks, positions, WIDTH)
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+            grid[k : k + len(at)] = piece[where[:, :, None] + np.arange(WIDTH)]
+            k += len(at)
+    first = np.concatenate([[0], np.cumsum(chunks, dtype=np.int64)])
     moments = [(np.zeros_like(a), np.zeros_like(a)) for a in net.arrays()]
     step, steps = 0, epochs * -(-len(texts) // batch)
     for _ in range(epochs):
@@ -155,10 +161,13 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoc
             n = first[docs + 1] - first[docs]
             at = np.cumsum(n) - n
             g = grid[rows]
-            x = net.embed[g].reshape(len(rows), positions, WIDTH * DEPTH)
-            y = x @ net.filters
-            best = y.argmax(1)  # (chunks, FILTERS)
-            c = np.maximum(np.take_along_axis(y, best[:, None], 1)[:, 0] + net.bias, 0)
+            best, c, xb = np.empty((len(rows), FILTERS), np.int64), np.empty((len(rows), FILTERS), f32), np.empty((len(rows), FILTERS, WIDTH * DEPTH), f32)
+            for s in (slice(r, r + TRAIN_CHUNKS) for r in range(0, len(rows), TRAIN_CHUNKS)):
+                x = net.embed[g[s]].reshape(-1, positions, WIDTH * DEPTH)
+                y = x @ net.filters
+                best[s] = y.argmax(1)
+                c[s] = np.maximum(np.take_along_axis(y, best[s][:, None], 1)[:, 0] + net.bias, 0)
+                xb[s] = x[np.arange(len(x))[:, None], best[s]]
             top, mean = np.maximum.reduceat(c, at, axis=0), np.add.reduceat(c, at, axis=0) / n[:, None]
             p = np.concatenate([top, mean], 1)
             h = np.tanh(p @ net.hidden + net.hidden_bias)
@@ -170,7 +179,6 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoc
             ties = c == top[within]
             dc = dp[within, FILTERS:] / n[within, None] + dp[within, :FILTERS] * ties / np.maximum(np.add.reduceat(ties, at, axis=0, dtype=f32), 1)[within]
             dc = (dc * (c > 0)).astype(f32)
-            xb = x[np.arange(len(rows))[:, None], best]  # (chunks, FILTERS, WIDTH * DEPTH)
             d_filters = np.einsum("cfk,cf->kf", xb, dc)
             gb = g[np.arange(len(rows))[:, None], best]  # (chunks, FILTERS, WIDTH)
             d_embed = np.empty_like(net.embed)
@@ -211,12 +219,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = 2
             fitting.append((r["doc_id"],))
     chosen = spark.createDataFrame(fitting, f"chosen_id {known.schema['doc_id'].dataType.simpleString()}")
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"), "left_semi")
-    found = sorted((r["doc_id"], r["text"], r["quality"]) for r in rows.select("doc_id", "text", "quality").collect())
-    y = np.array([q for _, _, q in found], np.float32)
+    # Arrow keeps the texts in a few buffers, which go back to the system; as Python strings they would leave its heap at its largest.
+    found = rows.select("doc_id", "text", "quality").toArrow()
+    order = pc.sort_indices(found, [(c, "ascending") for c in found.column_names]).to_pylist()
+    y = np.array(found["quality"].to_pylist(), np.float32)[order]
     if len({*y}) < 2:
         return (counts[1] + 1) / (sum(counts.values()) + 2)
     share = {q: counts[q] / sum(counts.values()) / np.mean(y == q) for q in (0, 1)}
-    return train([np.frombuffer(t.encode(), np.uint8) for _, t, _ in found], y, np.array([share[q] for q in y], np.float32), seed=seed)
+    net = train([np.frombuffer(found["text"][k].as_buffer(), np.uint8) for k in order], y, np.array([share[q] for q in y], np.float32), seed=seed)
+    del found
+    pa.default_memory_pool().release_unused()
+    return net
 
 
 def _scores(model: Network | float, column) -> np.ndarray:

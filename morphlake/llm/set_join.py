@@ -213,14 +213,16 @@ def components(docs: DataFrame, shingle: int, similarity: float, scratch: Scratc
     root_of = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     pairs = lists.where((F.col("id") != F.col("first_id")) & reach_first).select(F.col("first_id").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    edges = near.union(verified(pairs.select("a", "b")))
-    rooted = lists.join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # What is joined already comes as stars, which few rounds leave alone.
+    stars = lambda found: found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    met = connected_components(stars(joined).union(verified(pairs.select("a", "b"))))
+    rooted = lists.join(met.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     mixed = passing.write(rooted.join(open_keys, "key", "left_semi").select("key", "id", "n", "at", "root"), "jaccard-open")
     other = mixed.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "n", "at", "root")])
     differ = (F.col("id") < F.col("other_id")) & (F.col("root") != F.col("other_root"))
     pairs = mixed.join(other, "key").where(differ & _can_reach(similarity, F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at")))
-    edges = edges.union(verified(pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()))
+    edges = stars(met).union(verified(pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()))
     roots = connected_components(edges).withColumnRenamed("node", "id")
     rooted = nodes.select("digest", "least", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

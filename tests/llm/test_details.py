@@ -5,6 +5,7 @@ import math
 import os
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -15,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from morphlake.llm import iblt, maxent_lm, packing, quality_cnn, quality_rules, queries, set_join, simhash, suffix_dedup
+from morphlake.llm import components, iblt, maxent_lm, packing, quality_cnn, quality_rules, queries, set_join, simhash, suffix_dedup
 from morphlake.llm.bpe_codec import WordBpe
 
 from .test_search import negatives, ranked
@@ -361,3 +362,22 @@ def test_cells_that_look_like_one_digest(spark):
     found = rows.withColumn("found", iblt.recovered(F.array("a", "b"), F.array("c"))["found"])
     wrong = found.where((F.array_sort("found.ours") != F.array_sort(F.array("a", "b"))) | (F.col("found.theirs") != F.array("c")))
     assert wrong.count() == 0
+
+
+def test_components_of_one_task_take_one_round(spark, monkeypatch):
+    """A task's edges become stars at once, so a chain takes one round, which plans little on the driver."""
+    rounds, remove = [], components.remove
+    monkeypatch.setattr(components, "remove", lambda spark, path: rounds.append(path) or remove(spark, path))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(99)] + [(None, 5), (7, 7)], "a long, b long")
+    found = sorted(map(tuple, components.connected_components(edges).collect()))
+    assert found == [(k, 0) for k in range(100)] and len(rounds) == 1
+
+
+def test_training_holds_few_responses():
+    """The responses at all positions, 24 KB a chunk, are held for some chunks of a batch only."""
+    texts = [np.arange(100_000, dtype=np.uint8)] * 4
+    tracemalloc.start()
+    quality_cnn.train(texts, np.array([0, 1, 0, 1], np.float32), np.ones(4, np.float32), epochs=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24_000 * (400_000 // quality_cnn.STEP)
