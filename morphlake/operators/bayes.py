@@ -8,17 +8,20 @@ All of ``by`` are columns that keep several fits apart in one plan.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import SLICE, bounded_batches
 from ..functions.tagset import EPSILON
 from ..sources import versions
+from . import phrases
 
 GAMMA = 0.5
 # Fixed value: what an expectation of zero counts as.
@@ -38,11 +41,16 @@ def split_by_class(docs: DataFrame, ratio: float = 0.7, seed: int = 0, by: tuple
     features are neither sorted nor shuffled. Rows of one id and class are on one side.
     """
     seeded = by or (F.lit(seed),)
-    ends = _last_of_share(docs.select(*by, "label", "doc_id", F.xxhash64("doc_id", *seeded).alias("h")), ratio, by)
+    ends = _sent(_last_of_share(docs.select(*by, "label", "doc_id", F.xxhash64("doc_id", *seeded).alias("h")), ratio, by))
     own = F.struct(F.xxhash64("doc_id", *seeded).alias("h"), F.col("doc_id"))
     return docs.join(F.broadcast(ends), [*by, "label"], "left").withColumn("train", F.coalesce(own <= F.col("end"), F.lit(False))).drop("end")  # a row a class
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """A few ``rows``, found now and not again by each that reads them."""
+    return rows.sparkSession.createDataFrame(rows.toArrow(), rows.schema)
+
+
 def _last_of_share(ids: DataFrame, ratio: float, by: tuple[str, ...]) -> DataFrame:
     """label and ``end``, the last (h, doc_id) of the share, of rows (label, doc_id, h); no row for an empty share."""
     keys = [*by, "label"]
@@ -133,31 +141,58 @@ def best_words(docs: DataFrame, ratio: float = 0.2) -> DataFrame:
     sorts the vocabulary. Its scores are computed once: written to the session's checkpoint folder, or
     where it has none kept by the executors, of which lost ones are made again.
     """
+    scores, taken = _scores_taken(docs, ratio)
+    return scores.where(taken).drop("h")
+
+
+def _scores_taken(docs: DataFrame, ratio: float) -> tuple[DataFrame, Column]:
+    """:func:`word_scores` with a hash ``h`` of the word, and the condition on them of :func:`best_words`."""
     scores = _once(word_scores(docs).withColumn("h", F.xxhash64("feature")))
     left = int(scores.count() * ratio)
     least, place = _key_of_place(scores, "score", left) if left else (None, 0)
     edge, _ = _key_of_place(scores.where(F.col("score") == F.lit(least)), "h", place) if left else (None, 0)
     score = F.col("score")
     taken = (score > F.lit(least)) | ((score == F.lit(least)) & (F.col("h") >= F.lit(edge))) if left else F.lit(False)
-    return scores.where(taken).drop("h")
+    return scores, taken
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    """``rows`` for several readers, with the folder of ``spark.checkpoint.dir`` as the place to write them to."""
-    has_folder = rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return rows.checkpoint() if has_folder else rows.persist()
+    """``rows`` for several readers, written to the folder of ``spark.checkpoint.dir``, until the driver's JVM ends."""
+    spark, context = rows.sparkSession, rows.sparkSession.sparkContext
+    folder = context._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
+        return rows.persist()
+    path = f"{folder.get()}/bayes-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _left_out(scores: DataFrame, taken: Column) -> np.ndarray | None:
+    """The hashes, in order, of the words that are not taken, to be sent to all tasks.
+
+    None if they are more than may be sent, or if one of them is also the hash of a word that is taken;
+    among the words of ``scores`` a hash then does not tell which are which.
+    """
+    rest = scores.where(~taken).select("h")
+    if rest.count() * 8 > phrases.SENT_BYTES:
+        return None
+    both = scores.groupBy("h").agg(F.bool_or(taken).alias("some"), F.bool_and(taken).alias("every")).where("some and not every")
+    return np.sort(rest.toArrow()["h"].to_numpy()) if both.isEmpty() else None
 
 
-def _key_of_place(rows: DataFrame, name: str, left: int, few: int = 10_000) -> tuple:
+def _key_of_place(rows: DataFrame, name: str, left: int, few: int = 1 << 18) -> tuple:
     """The key of place ``left`` in falling order of a column, and that place among equal keys."""
     key = F.col(name)
     while True:
-        ends = rows.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), F.percentile_approx(key, [k / 64 for k in range(1, 64)]).alias("bounds")).first()
-        if ends["n"] <= few or ends["low"] == ends["high"]:
-            for r in rows.groupBy(key.alias("k")).count().orderBy(F.desc("k")).collect():
-                if left <= r["count"]:
-                    return r["k"], left
-                left -= r["count"]
+        keys = rows.groupBy(key.alias("k")).count().limit(few + 1).toArrow()
+        if keys.num_rows <= few:
+            for k, n in sorted(zip(keys["k"].to_pylist(), keys["count"].to_pylist(), strict=True), reverse=True):
+                if left <= n:
+                    return k, left
+                left -= n
+        ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.percentile_approx(key, [k / 64 for k in range(1, 64)]).alias("bounds")).first()
         bounds = sorted({*ends["bounds"], ends["low"]})
         if len(bounds) == 1:  # nearly all are the least
             bounds.append(ends["high"])
@@ -214,16 +249,22 @@ def _deviation(whole: np.ndarray, pairs: tuple[np.ndarray, ...], singles: tuple[
     return out
 
 
-def _collocations(column: pa.ListArray, sizes: tuple[int, ...], top: int) -> list[list[list[str]]]:
-    """For each size and document of a column of words, the n-grams that its own counts favour, in order of their text."""
+def _collocations(column: pa.ListArray, sizes: tuple[int, ...], top: int, kept: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple[np.ndarray, pa.Array]]:
+    """For each size the n-grams of a column of words that their document's own counts favour, by document and in order
+    of their text, and which document each is of.
+
+    Before them, if ``kept`` says of places in the column whether their words count, each document's distinct words that do.
+    """
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = column.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    in_order = sorted(range(len(words)), key=words.__getitem__)  # codes in order of the words, so ties go by code
+    words = coded.dictionary
+    in_order = pc.sort_indices(words).to_numpy()  # codes in order of the words, so ties go by code
     rank = np.empty(len(words) + 1, np.int64)
     rank[in_order], rank[-1] = np.arange(len(words)), -1
     code = rank[coded.indices.fill_null(len(words)).to_numpy(zero_copy_only=False)]
-    words, n = [words[k] for k in in_order], len(words) + 1
+    words, n = words.take(pa.array(in_order)), len(words) + 1
+    # A space sorts before all else that words have, unless they hold white space themselves.
+    by_words = not pc.any(pc.match_substring_regex(words, "[\\x00-\\x20]")).as_py()
     doc, total = np.repeat(np.arange(len(lengths)), lengths), lengths.astype(float)
 
     def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,12 +272,24 @@ def _collocations(column: pa.ListArray, sizes: tuple[int, ...], top: int) -> lis
         _, at, which, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         return at, which, count.astype(float)
 
-    _, own, single = counted(doc * n + code + 1)  # a null has the code -1
+    words_at, own, single = counted(doc * n + code + 1)  # a null has the code -1
     of_word = single[own]
     next_to = (doc[:-1] == doc[1:]) & (code[:-1] >= 0) & (code[1:] >= 0)
     start = np.flatnonzero(next_to)
     first, pair, of_pair = counted((doc[start] * n + code[start]) * n + code[start + 1])
+
+    def texts(at: np.ndarray, size: int) -> tuple[np.ndarray, pa.Array]:
+        at = at[np.lexsort((*[code[at + k] for k in reversed(range(size))], doc[at]))]
+        parts = [words.take(pa.array(code[at + k])) for k in range(size)]
+        found, owner = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0], doc[at]
+        if not by_words:
+            found = found.take(pc.sort_indices(pa.table({"d": owner, "x": found}), [("d", "ascending"), ("x", "ascending")]))
+        return owner, found
+
     out = []
+    if kept is not None:
+        at = words_at[code[words_at] >= 0]
+        out.append(texts(at[kept(at)], 1))
     for size in sizes:
         if size == 2:
             at = start[first]
@@ -253,35 +306,45 @@ def _collocations(column: pa.ListArray, sizes: tuple[int, ...], top: int) -> lis
         best = np.lexsort((-value, doc[at]))
         at = at[best]
         begin = np.searchsorted(doc[at], np.arange(len(lengths)))
-        at = at[np.arange(len(at)) - begin[doc[at]] < top]
-        found: list[list[str]] = [[] for _ in lengths]
-        for d, *gram in zip(doc[at].tolist(), *[code[at + k].tolist() for k in range(size)], strict=True):
-            found[d].append(" ".join([words[w] for w in gram]))
-        out.append([sorted(x) for x in found])
+        out.append(texts(at[np.arange(len(at)) - begin[doc[at]] < top], size))
     return out
 
 
-def _with_collocations(docs: DataFrame, sizes: tuple[int, ...], top: int, own: str | None = None) -> DataFrame:
-    """``docs`` whose features are those of the column ``own``, if one is named, and the best n-grams of each size of its words.
+def _with_collocations(docs: DataFrame, sizes: tuple[int, ...], top: int, own: str | None = None, left_out: np.ndarray | None = None) -> DataFrame:
+    """``docs`` whose features are the best n-grams of each size of its words, after those of the column ``own``, if one
+    is named, or its distinct words without those of the hashes ``left_out``, if they are given.
 
     N-grams are counted within a document, so each is done where it lies, some at a time.
     """
-    place, before = docs.columns.index("features"), docs.columns.index(own) if own else None
+    if left_out is not None:
+        own, sent = "own", docs.sparkSession.sparkContext.broadcast(left_out)
+        docs = docs.withColumn(own, F.transform("features", lambda w: F.xxhash64(w)))
+    place, before, by_hash = docs.columns.index("features"), docs.columns.index(own) if own else None, left_out is not None
+
+    def not_left_out(hashes: np.ndarray) -> np.ndarray:
+        rest = sent.value
+        return rest[np.minimum(np.searchsorted(rest, hashes), len(rest) - 1)] != hashes if len(rest) else np.ones(len(hashes), bool)
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                lists = [x or [] for x in part.column(before).to_pylist()] if own else [[] for _ in range(part.num_rows)]
-                for found in _collocations(part.column(place), sizes, top):
-                    lists = [a + b for a, b in zip(lists, found, strict=True)]
-                columns = list(part.columns)
-                columns[place] = pa.array(lists, pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = bounded_batches(docs).mapInArrow(run, kinds)
-    return out.drop(own) if own else out
+                hashes = part.column(before).flatten().to_numpy() if by_hash else None
+                kept = (lambda at, h=hashes: not_left_out(h[at])) if by_hash else None
+                found = _collocations(part.column(place), sizes, top, kept)
+                if own and not by_hash:
+                    lengths = part.column(before).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                    found.insert(0, (np.repeat(np.arange(len(lengths)), lengths), part.column(before).flatten()))
+                owner = np.concatenate([d for d, _ in found])
+                values = pa.concat_arrays([x.cast(pa.string()) for _, x in found]).take(pa.array(np.argsort(owner, kind="stable")))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))])
+                columns = [c for i, c in enumerate(part.columns) if i != before]
+                columns[names.index("features")] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = [f for f in docs.schema.fields if f.name != own]
+    names = [f.name for f in fields]
+    return bounded_batches(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
 
 
 def best_collocations(docs: DataFrame, size: int = 2, top: int = 200) -> DataFrame:
@@ -297,14 +360,19 @@ def feature_maker(docs: DataFrame, kind: str = "word", best_ratio: float = 0.8,
     """What gives documents (doc_id, label, features) the features of a kind, chosen on all of ``docs``.
 
     ``word`` takes the words as they are, ``best_word`` the best share of the vocabulary, ``best_bigram``
-    also the best pairs of words of each document, and ``best_trigram`` the best triples too.
+    also the best pairs of words of each document, and ``best_trigram`` the best triples too. It takes
+    documents of ``docs``; words that ``docs`` lacks have no score.
     """
     sizes = {"word": (), "best_word": (), "best_bigram": (2,), "best_trigram": (2, 3)}
     if kind not in sizes:
         raise ValueError(f"unknown features {kind}")
     if kind == "word":
         return lambda rows: rows
-    best = best_words(docs, best_ratio)
+    scores, taken = _scores_taken(docs, best_ratio)
+    left_out = _left_out(scores, taken)
+    if left_out is not None:
+        return lambda rows: _with_collocations(rows, sizes[kind], top, left_out=left_out)
+    best = scores.where(taken)
     if not sizes[kind]:
         return lambda rows: only_best(rows, best)
     return lambda rows: _with_collocations(_own_best(rows, best), sizes[kind], top, "own")
@@ -389,9 +457,10 @@ def informative_features(model: DataFrame, sizes: DataFrame, cutoff: float = 1.2
 def evaluate(docs: DataFrame, ratio: float = 0.7, seed: int = 0, cutoff: float = 0.0, features: str = "word", best_ratio: float = 0.8) -> DataFrame:
     """Fit on the training share, with features of a kind, and measure on the rest."""
     # Each document's features are made once, for the side that it is on; all else reads labels and ids only.
+    docs = docs if features == "word" else _once(docs)
     make, rows = feature_maker(docs, features, best_ratio), split_by_class(docs, ratio, seed)
     train, test = rows.where("train"), rows.where("not train")
-    sizes = label_counts(train.select("label"))
+    sizes = _sent(label_counts(train.select("label")))
     found = classify(make(test), conditionals(make(train), sizes=sizes), sizes, cutoff)
     return confusion(found.join(test.select("doc_id", F.col("label").alias("actual")), "doc_id").withColumnRenamed("polarity", "predicted"))
 

@@ -157,3 +157,31 @@ def test_collocations_stay_with_their_documents(spark):
         found = bayes.best_collocations(docs, size)
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
         assert sorted(r["features"] for r in found.collect()) == sorted(expected)
+
+
+def test_features_of_the_best_words_move_no_token(spark, monkeypatch):
+    """Words that are not among the best are told by their hashes where documents lie; joined words give the same."""
+    rng = random.Random(5)
+    data = [(i, 1 if i % 3 else -1, [rng.choice(["a", "b", "c d", "c", "e\tf", "e", "é", "zz", f"w{i}"]) for _ in range(i)]) for i in range(40)]
+    docs = spark.createDataFrame([*data, (40, 1, None)], SCHEMA)
+    for kind in ("best_word", "best_bigram", "best_trigram"):
+        rows = bayes.feature_sets(docs, kind, 0.5, top=7)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        found = {r["doc_id"]: r["features"] for r in rows.collect()}
+        with monkeypatch.context() as m:
+            m.setattr(bayes.phrases, "SENT_BYTES", 0)
+            joined = bayes.feature_sets(docs, kind, 0.5, top=7)
+            assert "Exchange" in joined._jdf.queryExecution().executedPlan().toString()
+            assert {r["doc_id"]: r["features"] for r in joined.collect()} == found
+    best = {r["feature"] for r in bayes.best_words(docs, 0.5).collect()}
+    pairs, triples = ({r["doc_id"]: r["features"] for r in bayes.best_collocations(docs, k, 7).collect()} for k in (2, 3))
+    assert found == {i: sorted(best & set(w or [])) + pairs[i] + triples[i] for i, _, w in [*data, (40, 1, None)]}
+    assert all(x[i] == sorted(x[i]) for x in (pairs, triples) for i in x)
+
+
+def test_evaluation_reads_its_documents_once(spark):
+    """The tables of an evaluation start from written documents, and the ends of the shares are not found again in each."""
+    docs = spark.createDataFrame(corpus(60, 3), SCHEMA).repartition(3).withColumn("features", F.filter("features", lambda w: w != "never"))
+    plan = bayes.evaluate(docs, features="best_bigram")._jdf.queryExecution().optimizedPlan().toString()
+    assert "never" not in plan and "Window" not in plan
