@@ -381,3 +381,39 @@ def test_training_holds_few_responses():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 24_000 * (400_000 // quality_cnn.STEP)
+
+
+def test_language_model_tells_tokens_of_a_class_apart(model):
+    """Within a class the tokens before decide, after any history its tokens add up to one, and scores use it."""
+    fitted, tokens = model
+    worker = maxent_lm.Worker(fitted)
+    every = [t for t in tokens if t in worker.ids and t]
+    ids = worker.encode(every)
+    cls, low = worker.classes[ids], np.log10(np.array([tokens[t] for t in every]) + maxent_lm.RARE)
+    low -= fitted.leaf_bottom()[cls]
+    found = {}
+    for history in ([], [b"w1"], [b"w2", b"w7", b"never seen"], [b"never seen", b"w1"], [b"w3", b"w2"]):
+        rows = [worker.encode([*history, t]) for t in every]
+        p = found[tuple(history)] = np.array([10 ** worker.inside(x, np.zeros(len(x), np.int64), np.full(len(x), y))[-1] for x, y in zip(rows, low, strict=True)])
+        for c in set(cls.tolist()):
+            assert abs(p[cls == c].sum() - (10 ** low[cls == c]).sum()) < 1e-5
+    one, other = found[b"w1",], found[b"w3", b"w2"]
+    ratio = one / other
+    assert max(ratio[cls == c].max() / ratio[cls == c].min() for c in set(cls.tolist())) > 1.2
+
+
+def test_language_model_learns_the_order_of_words(spark, monkeypatch):
+    """Two texts of the same words in another order: the one whose pairs were seen scores higher, beyond what classes tell."""
+    rng = np.random.default_rng(1)
+    pairs = [(f"a{k}", f"b{k}") for k in range(40)]
+    texts = [" ".join(x for k in rng.permutation(40)[:20] for x in pairs[k]) for _ in range(300)]
+    seen, mixed = " ".join(f"a{k} b{k}" for k in range(40)), " ".join(f"a{k} b{(k + 7) % 40}" for k in range(40))
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [*enumerate(texts), (held[0], seen), (held[1], mixed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda: {r["doc_id"]: r["score"] for r in maxent_lm.score_documents(docs).where(F.col("doc_id") >= 1000).collect()}
+    found = score()
+    monkeypatch.setattr(maxent_lm, "PAIRS", 0)
+    classes_only = score()
+    assert found[held[0]] > classes_only[held[0]] + 20 and found[held[0]] > -100 > classes_only[held[0]]
+    assert found[held[0]] - found[held[1]] > classes_only[held[0]] - classes_only[held[1]] + 20
